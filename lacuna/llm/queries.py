@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import langid, toxicity
+from lacuna.llm import langid, mixing, quality, secrets, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted", "cross_entropy")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(documents, table(spark, sf_dir, "labels").where(remainder(3) != 1))
@@ -34,9 +44,90 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder(3) == 1).alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda x: x["layers"] == "")
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    def joined(spans: Column | str) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    digest = F.sha2(joined(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *[count(k) for k in secrets.KINDS], digest, joined("secrets").alias("spans"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op4_quality": op4_quality,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
+    "op8_secrets": op8_secrets,
+    "op10_url_filter": op10_url_filter,
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_QUALITY = rf"""
+with base as (
+  select row_number() over () as row_id, doc_id, coalesce(text, '') as text, {_WORDS} as words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines
+  from documents
+), places as (
+  select row_id, unnest(words) as a, generate_subscripts(words, 1) as i from base
+), windows as (
+  select row_id, i, a, lead(a, 1) over w as b, lead(a, 2) over w as c from places window w as (partition by row_id order by i)
+), marked as (
+  select row_id, i, c is not null and count(*) over (partition by row_id, a, b, c) > 1 as twice from windows
+), covered as (
+  select row_id, twice or coalesce(lag(twice, 1) over w, false) or coalesce(lag(twice, 2) over w, false) as inside
+  from marked window w as (partition by row_id order by i)
+), repeated as (
+  select row_id, count(*) filter (where inside) as n_repeat_words from covered group by row_id
+), counted as (
+  select doc_id, text, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
+    cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols,
+    cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(lines) as n_lines,
+    cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words
+  from base left join repeated using (row_id)
+), judged as (
+  select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or {" or ".join(f"({r.rejects})" for r in quality.RULES).replace("{g}", ", 'g'")}) as kept
+from judged
+"""
+
+_MIXING = r"""
+with sized as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+    coalesce(md5(cast(doc_id as varchar)), '') as key
+  from documents
+), sources as (
+  select source, cast(sum(size) as bigint) as source_size,
+    [3.0::double, 1.0, 2.0][1 + (row_number() over (order by source nulls last) - 1) % 3] as weight
+  from sized group by source
+), filling as (
+  select *, 2 * source_size as whole, 2 * source_size / weight as fills from sources
+), levels as (
+  select *, (1.5::double * sum(source_size) over () - coalesce(sum(whole) over (order by fills, source nulls last rows between unbounded preceding and 1 preceding), 0))
+    / sum(weight) over (order by fills, source nulls last rows between current row and unbounded following) as level
+  from filling
+), goals as (
+  select source, source_size, least(cast(whole as double), weight * (select arg_min(level, fills) from levels where level <= fills)) as target from levels
+), placed as (
+  select s.*, source_size, target, coalesce(sum(size) over (partition by s.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start
+  from sized s join goals g on s.source is not distinct from g.source
+)
+select doc_id, cast(size as bigint) as size, source_size, round(target, 6) as target,
+  cast(greatest(least(round(target) - start, size), 0) + greatest(least(round(target) - start - source_size, size), 0) as bigint) as taken
+from placed
+"""
+
+SQL: dict[str, str] = {"op4_quality": _QUALITY, "op6_mixing": _MIXING}
