@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import langid, mixing, quality, secrets, toxicity, urlfilter
+from lacuna.llm import decontam, langid, linededup, mixing, quality, secrets, sharding, toxicity, urlfilter
+from lacuna.llm.storage import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +28,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "accepted", "cross_entropy")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_item", "n_shared", F.round("containment", 6).alias("containment"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -58,6 +69,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secrets.KINDS], digest, joined("secrets").alias("spans"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    return sharding.shard(table(spark, sf_dir, "documents"), folder).assignment()
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
@@ -65,10 +81,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
+    "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
+    "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -130,4 +149,21 @@ select doc_id, cast(size as bigint) as size, source_size, round(target, 6) as ta
 from placed
 """
 
-SQL: dict[str, str] = {"op4_quality": _QUALITY, "op6_mixing": _MIXING}
+_LOWER_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_DECONTAMINATION = f"""
+with d as (select doc_id, {_LOWER_WORDS} as w from documents), b as (select item_id, {_LOWER_WORDS} as w from benchmark),
+ds as (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) end) as s
+    from d where len(w) > 0)
+), bs as (
+  select distinct item_id, s from (
+    select item_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) end) as s
+    from b where len(w) > 0)
+), sizes as (select item_id, count(*) as n_item from bs group by item_id)
+select doc_id, item_id, any_value(n_item) as n_item, count(*) as n_shared, round(count(*) / any_value(n_item), 6) as containment
+from ds join bs using (s) join sizes using (item_id) group by doc_id, item_id having 100 * count(*) >= 80 * any_value(n_item)
+"""
+
+SQL: dict[str, str] = {"op3_decontamination": _DECONTAMINATION, "op4_quality": _QUALITY, "op6_mixing": _MIXING}
