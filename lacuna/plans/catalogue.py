@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lacuna.plans import retrieval
+from lacuna.plans.inputs import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+PARTS = (retrieval,)
+QUERIES: dict[str, Query] = {name: q for part in PARTS for name, q in part.C.queries.items()}
+SQL: dict[str, str] = {name: s for part in PARTS for name, s in part.C.sql.items()}
