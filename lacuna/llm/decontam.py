@@ -33,10 +33,13 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(bare) > 0, F.split(bare, r"[\x20\x09-\x0D]+"))
 
 
-def shingle_texts(words: Column) -> Column:
-    """The shingles as texts, in order."""
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
-    return F.when(F.size(words) < SHINGLE, F.array(F.array_join(words, " "))).otherwise(many)
+def shingle_texts(text: Column) -> Column:
+    """The distinct shingles of a text, as texts. The words are bound once: a lambda would split the text for each shingle."""
+    def of(words: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
+        return F.array_distinct(F.when(F.size(words) < SHINGLE, F.array(F.array_join(words, " "))).otherwise(many))
+
+    return F.element_at(F.transform(F.array(words_of(text)), of), 1)
 
 
 def _hash_at(h: str, i: str) -> Column:
@@ -72,8 +75,8 @@ def find(documents: DataFrame, items: DataFrame) -> DataFrame:
     candidates = candidates.withColumnRenamed("doc_id", "of_doc")
 
     texts = documents.select("doc_id", "text").join(_sized(candidates), F.col("doc_id").eqNullSafe(F.col("of_doc")))
-    texts = texts.select("doc_id", F.array_distinct(shingle_texts(words_of(F.col("text")))).alias("in_doc"), F.explode("items").alias("of_item"))
-    wanted = items.select("item_id", F.array_distinct(shingle_texts(words_of(F.col("text")))).alias("in_item"))
+    texts = texts.select("doc_id", shingle_texts(F.col("text")).alias("in_doc"), F.explode("items").alias("of_item"))
+    wanted = items.select("item_id", shingle_texts(F.col("text")).alias("in_item"))
     pairs = texts.join(_sized(wanted), F.col("of_item").eqNullSafe(F.col("item_id")))
     counted = pairs.select("doc_id", "item_id", F.size("in_item").cast("bigint").alias("n_item"), F.size(F.array_intersect("in_item", "in_doc")).cast("bigint").alias("n_shared"))
     found = counted.where(F.col("n_shared") * 100 >= F.col("n_item") * int(SIMILARITY * 100))
