@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 
 from lacuna.llm import tokens
 from lacuna.llm.components import components
-from lacuna.llm.storage import keep
+from lacuna.llm.storage import keep, small_batches
 
 BROADCAST_ROWS = 1_000_000
-RANGE_POSTINGS = 1_500_000
-UNIT_POSTINGS = 2_000_000
+RANGE_POSTINGS = 1_000_000
+UNIT_POSTINGS = 1_000_000
 UNIT_DOCS = 60_000
 BUCKET_BYTES = 8 << 20
 CLUSTER_BYTES = 16 << 20
@@ -290,9 +290,10 @@ def _sized(frame: DataFrame) -> DataFrame:
 
 def signatures(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class) of each row, written."""
+    small_batches(documents.sparkSession)
     kind = documents.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())])
-    return keep(documents.select("doc_id", "text").mapInArrow(_signatures, schema), "jaccard-signatures")
+    return keep(documents.select("doc_id", "text").mapInArrow(tokens.tidy(_signatures), schema), "jaccard-signatures")
 
 
 def class_links(documents: DataFrame, signed: DataFrame) -> DataFrame:
@@ -303,9 +304,9 @@ def class_links(documents: DataFrame, signed: DataFrame) -> DataFrame:
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(8, -(-total // RANGE_POSTINGS))
     single = documents.join(_sized(copies), F.col("doc_id") == F.col("copy"), "left_anti").select("text")
-    index = single.mapInArrow(_postings(ranges), "key int, unit bigint, body binary")
-    shared = index.groupBy("key").applyInArrow(_shared, "unit bigint, names boolean, body binary")
-    parts = keep(shared.groupBy("unit").applyInArrow(_clusters, _PARTS), "jaccard-parts")
+    index = single.mapInArrow(tokens.tidy(_postings(ranges)), "key int, unit bigint, body binary")
+    shared = index.groupBy("key").applyInArrow(tokens.tidy(_shared), "unit bigint, names boolean, body binary")
+    parts = keep(shared.groupBy("unit").applyInArrow(tokens.tidy(_clusters), _PARTS), "jaccard-parts")
 
     prefix = parts.where("kind = 2").select(F.col("a").alias("shingle"), F.col("b").alias("class"))
     lead = prefix.groupBy("shingle").agg(F.min("class").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -322,7 +323,7 @@ def class_links(documents: DataFrame, signed: DataFrame) -> DataFrame:
     alone = F.pmod(F.xxhash64("cluster"), F.lit(buckets))
     pair = F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
     dealt = dealt.withColumn("task", F.when(F.col("blocks") == 1, alone).otherwise(pair)).withColumn("several", F.col("blocks") > 1)
-    return keep(dealt.select("task", "several", "cluster", "block", "class", "n", "body").groupBy("task", "several").applyInArrow(_joined, "a bigint, b bigint, n_links bigint"), "jaccard-links")
+    return keep(dealt.select("task", "several", "cluster", "block", "class", "n", "body").groupBy("task", "several").applyInArrow(tokens.tidy(_joined), "a bigint, b bigint, n_links bigint"), "jaccard-links")
 
 
 def join(documents: DataFrame) -> DataFrame:

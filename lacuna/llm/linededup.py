@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.llm import tokens
-from lacuna.llm.storage import keep
+from lacuna.llm.storage import keep, small_batches
 
 BROADCAST_ROWS = 500_000
 _U = np.uint64
@@ -117,16 +117,17 @@ def _sized(frame: DataFrame, column: str) -> DataFrame:
 
 def dedup(documents: DataFrame) -> DataFrame:
     """documents with repeated chunks cut out of text, and n_removed_chunks and n_removed_lines appended."""
+    small_batches(documents.sparkSession)
     documents = documents.drop("n_removed_chunks", "n_removed_lines")
     kind = documents.schema["doc_id"].dataType
     listed = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = keep(listed.mapInArrow(_listed, T.StructType([T.StructField("doc_id", kind), T.StructField("place", T.IntegerType()), T.StructField("hash", T.LongType())])).distinct(), "lines-chunks")
+    found = keep(listed.mapInArrow(tokens.tidy(_listed), T.StructType([T.StructField("doc_id", kind), T.StructField("place", T.IntegerType()), T.StructField("hash", T.LongType())])).distinct(), "lines-chunks")
     counted = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
     keepers = keep(found.join(counted.select("hash", "doc_id"), ["hash", "doc_id"]).groupBy("hash", "doc_id").agg(F.min("place").alias("place")), "lines-keepers")
 
     repeated = keep(found.join(keepers.select("hash", F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place")), "hash"), "lines-repeated")
     places = keep(repeated.groupBy(F.col("doc_id").alias("of_doc")).agg(F.sort_array(F.collect_list("place")).alias("places")), "lines-places")
-    texts = listed.join(_sized(places, "places"), F.col("doc_id") == F.col("of_doc")).select("text", "places").mapInArrow(_texts, "hash bigint, chunk string")
+    texts = listed.join(_sized(places, "places"), F.col("doc_id") == F.col("of_doc")).select("text", "places").mapInArrow(tokens.tidy(_texts), "hash bigint, chunk string")
     same = texts.groupBy("hash", "chunk").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.sum("one").alias("kinds")).where("kinds = 1").select("hash")
 
     gone = repeated.join(same, "hash").where("doc_id != first_doc or place != first_place")
@@ -158,4 +159,4 @@ def dedup(documents: DataFrame) -> DataFrame:
             arrays = [text if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_chunks), pa.array(n_lines)], names=schema.names)
 
-    return marked.mapInArrow(cut, schema)
+    return marked.mapInArrow(tokens.tidy(cut), schema)

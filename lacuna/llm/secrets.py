@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lacuna.llm import tokens
+from lacuna.llm.storage import small_batches
 
 KINDS = ("assign", "access", "hex")
 MAX_UNPACKED = 1 << 24
@@ -201,6 +202,7 @@ def suspects(column: pa.Array) -> np.ndarray:
 
 def scan(documents: DataFrame) -> DataFrame:
     """documents with `secrets` appended: an array of (kind, start, end, layers)."""
+    small_batches(documents.sparkSession)
     documents = documents.drop("secrets")
     schema = T.StructType([*documents.schema.fields, T.StructField("secrets", SECRETS, False)])
     at = documents.columns.index("text")
@@ -213,4 +215,4 @@ def scan(documents: DataFrame) -> DataFrame:
                 out[r] = findings(column[int(r)].as_py() or "")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=schema.names)
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tokens.tidy(run), schema)

@@ -23,6 +23,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000, size: int = 8 << 20) -> None:
+    """Let Arrow batches hold at most so many rows and bytes: texts are whole, and both sides of a batch hold it in memory."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def keep(frame: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"

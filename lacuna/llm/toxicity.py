@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.llm import tokens
+from lacuna.llm.storage import small_batches
 
 
 @dataclass(frozen=True)
@@ -92,6 +93,7 @@ def ftrl(examples: list[np.ndarray], labels: np.ndarray, s: Settings) -> Model:
 
 def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """documents (doc_id, text), labels (doc_id, toxic): learn from at most s.max_rows rows that have both."""
+    small_batches(documents.sparkSession)
     sample = (
         labels.where("doc_id is not null and toxic in (0, 1)")
         .groupBy("doc_id")
@@ -117,7 +119,7 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mo
         model = ftrl([examples[i] for i in by_key], y[by_key], s)
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.append(model.index, -1), pa.int32()), "w": pa.array(np.append(model.weight, model.bias), pa.float32())})
 
-    got = rows.mapInArrow(train, "i int, w float").toPandas()
+    got = rows.mapInArrow(tokens.tidy(train), "i int, w float").toPandas()
     weights = got[got["i"] >= 0]
     bias = got.loc[got["i"] < 0, "w"]
     return Model(weights["i"].to_numpy(np.int32), weights["w"].to_numpy(np.float32), float(bias.iloc[0]) if len(bias) else -30.0, s.dims)
@@ -136,6 +138,7 @@ def score_column(texts: pa.Array, dense: np.ndarray, bias: float) -> np.ndarray:
 
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """documents with `toxicity` (0 to 1) appended; other columns pass through, one named toxicity is replaced."""
+    small_batches(documents.sparkSession)
     documents = documents.drop("toxicity")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*documents.schema.fields, T.StructField("toxicity", T.DoubleType())])
@@ -147,4 +150,4 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_column(batch.column(at), dense, m.bias))], names=[*batch.schema.names, "toxicity"])
 
-    return documents.mapInArrow(run, schema)
+    return documents.mapInArrow(tokens.tidy(run), schema)
