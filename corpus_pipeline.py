@@ -20,7 +20,7 @@ from lacuna.llm import decontam, jaccard, mixing, sharding, toxicity
 from lacuna.llm.queries import remainder, table
 from lacuna.llm.storage import keep, shared_folder
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
