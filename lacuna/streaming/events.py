@@ -78,15 +78,10 @@ def _fold(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -
             cost += 0.0 if pd.isna(e.cost_usd) else float(e.cost_usd)
             iterations = max(iterations, 0 if pd.isna(e.agent_iteration) else int(e.agent_iteration) + 1)
             finished = finished or (e.step == "final_answer" and e.phase != "started")
-    if state.hasTimedOut:
-        state.remove()
-        return
     state.update((last, applied, cost, iterations, finished, sorted(held)))
-    if finished:
-        state.setTimeoutDuration(600_000)
     yield pd.DataFrame({"run_id": [key[0]], "last_seq": [last], "applied": [applied], "total_cost_usd": [cost], "agent_iterations": [iterations], "finished": [bool(finished)]})
 
 
 def folded(stream: DataFrame) -> DataFrame:
-    """The state of each run as its events come in; a repeated event changes nothing. The state of a finished run ends after a while."""
-    return stream.groupBy("run_id").applyInPandasWithState(_fold, FOLDED, _STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    """The state of each run as its events come in; a repeated event changes nothing. State grows with the number of runs."""
+    return stream.groupBy("run_id").applyInPandasWithState(_fold, FOLDED, _STATE, "update", GroupStateTimeout.NoTimeout)
