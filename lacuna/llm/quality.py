@@ -36,7 +36,7 @@ class Rule:
 RULES = (
     Rule("mean_word_length", "word_chars < 3 * n_words or word_chars > 10 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
     Rule("repeated_words", "100 * n_repeat_words > 35 * n_words"),
     Rule("capitals", "10 * length(regexp_replace(text, '[^A-Z]', ''{g})) > 4 * word_chars"),
     Rule("digits", "10 * length(regexp_replace(text, '[^0-9]', ''{g})) > 2 * word_chars"),
