@@ -69,7 +69,8 @@ def lines_of(poems: DataFrame) -> DataFrame:
 
 def postings(lines: DataFrame, size: int) -> DataFrame:
     """(gram, place, and the line): an inverted index of grams at line granularity. Write it bucketed by gram to keep it."""
-    return lines.select("*", F.posexplode(text.grams(F.col("text_match"), size)).alias("place", "gram")).withColumn("place", F.col("place") + 1)
+    placed = lines.where(F.length("text_match") >= size).select("*", F.explode(F.sequence(F.lit(1), F.length("text_match") - (size - 1))).alias("place"))
+    return placed.withColumn("gram", F.substring("text_match", F.col("place"), F.lit(size)))
 
 
 def stats(poems: DataFrame) -> DataFrame:

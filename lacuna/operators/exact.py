@@ -86,13 +86,14 @@ def classify(works: Column, longest: Column, windows: Column, profile: Profile)
 def search(queries: DataFrame, lines: DataFrame, profile: Profile, readings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Outcome of each query that has a reading, and the hits of its chosen reading.
 
-    Readings other than the one as written are only swept for queries that it doesn't decide."""
-    every = (readings if readings is not None else enumerate_readings(queries, profile)).where(F.col("ord") < profile.max_readings)
+    Readings other than the one as written are only swept for queries that it doesn't decide. Hits, which caps bound, are
+    cached: scores, decisions and the result share them."""
+    every = (readings if readings is not None else enumerate_readings(queries, profile)).where(F.col("ord") < profile.max_readings).cache()
     plain, others = every.where("not reordered"), every.where("reordered")
-    first = hits(sweep(plain, profile), lines, profile)
-    first_scores = scores(evidence(first))
+    first = hits(sweep(plain, profile), lines, profile).cache()
+    first_scores = scores(evidence(first)).cache()
     decided = first_scores.where((F.col("longest_run") >= profile.decisive) & (F.size("work_ids") == 1)).select("query_id")
-    second = hits(sweep(others.join(decided, "query_id", "left_anti"), profile), lines, profile)
+    second = hits(sweep(others.join(decided, "query_id", "left_anti"), profile), lines, profile).cache()
     found, scored = first.unionByName(second), first_scores.unionByName(scores(evidence(second)))
     choice = Window.partitionBy("query_id").orderBy(F.desc("longest_run"), F.asc("ord"))
     chosen = scored.withColumn("n", F.row_number().over(choice)).where("n = 1").drop("n")

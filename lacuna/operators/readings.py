@@ -55,9 +55,14 @@ def enumerate_readings(queries: DataFrame, profile: Profile = HAN, most: int | N
         return F.concat(F.array(_reading("as_written", plain)), F.when(F.size("forms") > 1, several).otherwise(none), F.array(_reading("stream_reverse", F.reverse(plain))), grids)
 
     offsets = F.transform(F.sequence(F.lit(0), F.size("widths") - 1), lambda i: F.aggregate(F.slice("widths", F.lit(1), i), F.lit(0), lambda a, b: a + b))
-    listed = frame.select("query_id", F.split("stream", "").alias("characters"), let(offsets, of).alias("found"))
-    spelled = F.transform("found", lambda r: F.struct(r["strategy"].alias("strategy"), r["cols"].alias("cols"), r["source_index"].alias("source_index"), F.array_join(F.transform(r["source_index"], lambda p: F.get(F.col("characters"), p)), "").alias("chars")))
-    listed = listed.select("query_id", spelled.alias("found")).withColumn("texts", F.transform("found", lambda r: r["chars"]))
+
+    def spelled(characters: Column) -> Column:
+        def text_of(r: Column) -> Column:
+            return F.struct(r["strategy"].alias("strategy"), r["cols"].alias("cols"), r["source_index"].alias("source_index"), F.array_join(F.transform(r["source_index"], lambda p: F.get(characters, p)), "").alias("chars"))
+
+        return F.transform(let(offsets, of), text_of)
+
+    listed = frame.select("query_id", let(F.split("stream", ""), spelled).alias("found")).withColumn("texts", F.transform("found", lambda r: r["chars"]))
     kept = F.filter("found", lambda r, i: F.array_position("texts", r["chars"]) == i + 1)
     listed = listed.select("query_id", F.posexplode(F.slice(kept, 1, most or profile.all_readings)).alias("ord", "r"))
     return listed.select("query_id", "ord", "r.*").withColumn("reordered", F.col("strategy") != "as_written")

@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """The frame on all cores: a table of fewer splits than cores is small, and is dealt out anew."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
 def literal(value: Any) -> str:
     if value is None:
         return "NULL"
@@ -63,7 +69,7 @@ class Inline:
 
 def poems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as poems: a text is a work of its language, so copies are editions of one."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"))
     formed = documents.withColumn("text_match", text.match_form(F.col("text"), LETTERS)).where(F.length("text_match") > 0)
     return formed.select(F.col("doc_id").alias("poem_id"), keys.work_key(F.col("lang"), F.lit(""), F.col("text_match")).alias("work_id"), F.col("lang").alias("dataset"), F.col("source").alias("edition"), F.col("text").alias("text_display"), "text_match", F.length("text_match").alias("char_count"))
 
