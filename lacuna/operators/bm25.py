@@ -22,28 +22,29 @@ def terms(queries: DataFrame, profile: Profile) -> DataFrame:
 
 
 def term_hits(wanted: DataFrame, poems: DataFrame, profile: Profile, true_df: bool = False) -> DataFrame:
-    """(term, poem_id, n): documents of each wanted term and how many of them there are."""
+    """(term, poem_id, work_id, char_count, n): documents of each wanted term and how many of them there are.
+
+    What scores need of a document travels with its postings, so the corpus is read once and never joined again; the cap
+    is applied before the shuffle as well as after it."""
     distinct = wanted.select("term").distinct()
     if distinct.count() <= BROADCAST_TERMS:
         distinct = F.broadcast(distinct)
-    index = poems.select("poem_id", F.explode(F.array_distinct(text.bigrams(F.col("text_match")))).alias("term"))
-    met = index.join(distinct, "term").distinct()
+    index = poems.select("poem_id", "work_id", "char_count", F.explode(F.array_distinct(text.bigrams(F.col("text_match")))).alias("term"))
+    met = index.join(distinct, "term")
     of_term = Window.partitionBy("term")
-    capped = met.withColumn("k", F.row_number().over(of_term.orderBy("poem_id")))
-    if not true_df:
-        capped = capped.where(F.col("k") <= profile.hits_per_term)
-    return capped.drop("k").withColumn("n", F.count("*").over(of_term))
+    if true_df:
+        return met.join(met.groupBy("term").agg(F.count("*").alias("n")), "term")
+    capped = met.withColumn("k", F.row_number().over(of_term.orderBy("poem_id"))).where(F.col("k") <= profile.hits_per_term).drop("k")
+    return capped.withColumn("n", F.count("*").over(of_term))
 
 
 def search(queries: DataFrame, poems: DataFrame, profile: Profile, limit: int = 50, true_df: bool = False) -> DataFrame:
     """(query_id, poem_id, work_id, matched_terms, score, position): the best `limit` of the 4 * limit with most terms."""
     wanted = terms(queries, profile)
-    found = wanted.join(term_hits(wanted, poems, profile, true_df), "term")
     stats = F.broadcast(corpus.stats(poems))
-    sized = found.join(poems.select("poem_id", "work_id", "char_count"), "poem_id").join(stats)
+    found = wanted.join(term_hits(wanted, poems, profile, true_df), "term").join(stats)
     part = numbers.bm25_term(F.lit(1.0), F.col("char_count"), F.col("avg_doc_len"), numbers.idf(F.col("n"), F.col("total_docs")))
-    scored = sized.groupBy("query_id", "poem_id", "work_id").agg(F.count("*").alias("matched_terms"), F.sum(part).alias("score"))
-    scored = scored.withColumn("score", F.round("score", 9))
+    scored = found.groupBy("query_id", "poem_id", "work_id").agg(F.count("*").alias("matched_terms"), F.round(F.sum(part), 9).alias("score"))
     most = Window.partitionBy("query_id").orderBy(F.desc("matched_terms"), "poem_id")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "poem_id")
     narrowed = scored.withColumn("k", F.row_number().over(most)).where(F.col("k") <= 4 * limit).drop("k")

@@ -25,16 +25,18 @@ def cells(rows: DataFrame, names: list[str]) -> DataFrame:
 
 
 def profile(filled: DataFrame) -> DataFrame:
-    """(row_index, ord, name, value) to (name, ord, cjk_ratio, filled, mean_length, samples, score)."""
+    """(row_index, ord, name, value) to (name, ord, cjk_ratio, filled, mean_length, samples, score); samples are the first three."""
     some = F.col("value") != ""
     counted = filled.groupBy("ord", "name").agg(
         F.coalesce(F.avg(F.when(some, text.cjk_ratio(F.col("value")))), F.lit(0.0)).alias("cjk_ratio"),
         (F.count_if(some) / F.count("*")).alias("filled"),
         F.coalesce(F.avg(F.when(some, F.length("value"))), F.lit(0.0)).alias("mean_length"),
-        F.slice(F.array_sort(F.collect_list(F.when(some, F.struct("row_index", "value")))), 1, 3).alias("s"),
     )
+    first = Window.partitionBy("ord", "name").orderBy("row_index")
+    shown = filled.where(some).withColumn("k", F.row_number().over(first)).where("k <= 3").groupBy("ord", "name").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("s"))
     score = F.col("cjk_ratio") * F.col("filled") * F.log1p("mean_length")
-    return counted.select("name", "ord", "cjk_ratio", "filled", "mean_length", F.transform("s", lambda x: x["value"]).alias("samples"), score.alias("score"))
+    samples = F.coalesce(F.transform("s", lambda x: x["value"]), F.array().cast("array<string>"))
+    return counted.join(shown, ["ord", "name"], "left").select("name", "ord", "cjk_ratio", "filled", "mean_length", samples.alias("samples"), score.alias("score"))
 
 
 def suggest(profiles: DataFrame) -> DataFrame:

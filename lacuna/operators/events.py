@@ -78,9 +78,10 @@ def fold_steps(events: DataFrame) -> DataFrame:
     )
 
 
-def first_seen(values: Column) -> Column:
-    """Distinct strings in order of first appearance; values: array of (seq, array of strings)."""
-    return F.array_distinct(F.flatten(F.transform(F.array_sort(values), lambda x: x["flags"])))
+def first_seen(log: DataFrame) -> DataFrame:
+    """(run_id, flags): the distinct flags of a run in order of first appearance. Copies are merged before a run is gathered."""
+    each = log.select("run_id", "seq", F.posexplode("flags").alias("place", "flag")).groupBy("run_id", "flag").agg(F.min(F.struct("seq", "place")).alias("at"))
+    return each.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "flag"))), lambda x: x["flag"]).alias("flags"))
 
 
 def fold_runs(events: DataFrame) -> DataFrame:
@@ -88,18 +89,17 @@ def fold_runs(events: DataFrame) -> DataFrame:
     steps = fold_steps(events).withColumn("key", F.concat_ws(":", "step", "source"))
     order = F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "key"))), lambda x: x["key"])
     per_run = steps.groupBy("run_id").agg(F.count("*").alias("steps"), order.alias("order"), F.count_if(is_failure(F.col("status"))).alias("failed_steps"))
-    flags = F.coalesce("flags", F.array().cast("array<string>")).alias("flags")
     totals = events.groupBy("run_id").agg(
         F.max("seq").alias("last_seq"),
         F.count("*").alias("applied"),
-        first_seen(F.collect_list(F.struct("seq", flags))).alias("flags"),
         F.coalesce(F.max(F.col("agent_iteration") + 1), F.lit(0)).alias("agent_iterations"),
         F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("total_cost_usd"),
         F.coalesce(F.sum("tokens_in"), F.lit(0)).alias("tokens_in"),
         F.coalesce(F.sum("tokens_out"), F.lit(0)).alias("tokens_out"),
         F.max((F.col("step") == "final_answer") & (F.col("phase") != "started")).alias("finished"),
     )
-    return totals.join(per_run, "run_id")
+    flags = F.coalesce("flags", F.array().cast("array<string>")).alias("flags")
+    return totals.join(per_run, "run_id").join(first_seen(events), "run_id", "left").withColumn("flags", flags)
 
 
 def failed_sources(events: DataFrame) -> DataFrame:

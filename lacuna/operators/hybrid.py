@@ -14,6 +14,7 @@ from lacuna.operators import bm25, confidence, exact, fusion, vectors
 
 #: A scorer takes (query_id, work_id, query, content) and returns it with rerank_score.
 Scorer = Callable[[DataFrame], DataFrame]
+BROADCAST_WORKS = 500_000
 SOURCES = ("exact", "bm25", "vector", "reranker")
 
 
@@ -74,8 +75,10 @@ def search(queries: DataFrame, poems: DataFrame, lines: DataFrame, profile: Prof
     every = lists[0]
     for one in lists[1:]:
         every = every.unionByName(one)
-    fused = fusion.fuse(every, settings.fuse_top, settings.rrf_k)
-    contents = poems.groupBy("work_id").agg(F.min_by("text_match", "poem_id").alias("content"))
+    fused = fusion.fuse(every, settings.fuse_top, settings.rrf_k).cache()
+    named = fused.select("work_id").distinct()
+    named = F.broadcast(named) if named.count() <= BROADCAST_WORKS else named
+    contents = poems.join(named, "work_id", "left_semi").groupBy("work_id").agg(F.min_by("text_match", "poem_id").alias("content"))
     forms = queries.select("query_id", F.coalesce(F.nullif(text.match_form(F.col("text"), profile), F.lit("")), F.col("text")).alias("query"))
     pairs = fused.join(contents, "work_id").join(forms, "query_id")
     scored = scorer(pairs) if scorer else pairs.withColumn("rerank_score", F.lit(None).cast("double"))
