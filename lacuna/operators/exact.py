@@ -26,15 +26,19 @@ def sweep(readings: DataFrame, profile: Profile) -> DataFrame:
 
 
 def hits(windows: DataFrame, lines: DataFrame, profile: Profile, sized: bool = True) -> DataFrame:
-    """Lines that contain a window, hits_per_window at most for each, by poem and line."""
-    seeded = windows.withColumn("gram", F.substring("win", 1, profile.seed))
-    if sized and windows.count() <= BROADCAST_WINDOWS:
-        seeded = F.broadcast(seeded)
-    index = corpus.postings(lines, profile.seed)
-    met = index.join(seeded, "gram").where(F.expr("substring(text_match, place, length(win)) = win"))
-    found = met.select(*KEY, "at", "win", "poem_id", "work_id", "line_no", "text_display").distinct()
+    """Lines that contain a window, hits_per_window at most for each, by poem and line.
+
+    Windows that begin at one place share their seed: the place is joined once, and the lengths that match are read off."""
+    size = F.length("win").alias("n")
+    places = windows.groupBy(*KEY, "at").agg(F.max(F.struct(size, "win"))["win"].alias("longest"), F.collect_set(size).alias("sizes")).withColumn("gram", F.substring("longest", 1, profile.seed))
+    if sized and places.count() <= BROADCAST_WINDOWS:
+        places = F.broadcast(places)
+    met = corpus.postings(lines, profile.seed).join(places, "gram")
+    matching = F.filter("sizes", lambda n: F.substring(F.col("text_match"), F.col("place"), n) == F.substring(F.col("longest"), F.lit(1), n))
+    each = met.select(*KEY, "at", "longest", "poem_id", "work_id", "line_no", "text_display", F.explode(matching).alias("n"))
+    found = each.withColumn("win", F.substring("longest", F.lit(1), F.col("n"))).drop("longest", "n").distinct()
     first = Window.partitionBy(*KEY, "win").orderBy("poem_id", "line_no")
-    return found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= profile.hits_per_window).drop("n")
+    return found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= profile.hits_per_window).drop("k")
 
 
 def inverted(pairs: Column) -> Column:

@@ -23,7 +23,7 @@ def duck():
 def plain(value):
     if hasattr(value, "tolist"):
         value = value.tolist()
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return "NULL"
     return f"{value:.9g}" if isinstance(value, float) else str(value)
 
