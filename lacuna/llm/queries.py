@@ -172,4 +172,24 @@ select doc_id, item_id, any_value(n_item) as n_item, count(*) as n_shared, round
 from ds join bs using (s) join sizes using (item_id) group by doc_id, item_id having 100 * count(*) >= 80 * any_value(n_item)
 """
 
-SQL: dict[str, str] = {"op3_decontamination": _DECONTAMINATION, "op4_quality": _QUALITY, "op6_mixing": _MIXING}
+_JACCARD = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), shingle as (
+  select distinct doc_id, s from (
+    select doc_id, unnest(case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) end) as s
+    from words where len(w) > 0)
+), sized as (select doc_id, count(*) as n from shingle group by doc_id),
+shared as (select a.doc_id as x, b.doc_id as y, count(*) as o from shingle a join shingle b on a.s = b.s and a.doc_id < b.doc_id group by all),
+link as (
+  select x, y, o = a.n and o = b.n as same from shared join sized a on x = a.doc_id join sized b on y = b.doc_id where 100 * o >= 80 * (a.n + b.n - o)
+), both_ways as (select x, y, same from link union all select y, x, same from link),
+class as (select d.doc_id, least(d.doc_id, coalesce(min(y) filter (where same), d.doc_id)) as class_id from documents d left join both_ways on x = d.doc_id group by d.doc_id),
+reach(doc_id, other) as (select doc_id, doc_id from documents union select reach.doc_id, y from reach join both_ways on other = x),
+component as (select doc_id, min(other) as component_id from reach group by doc_id),
+linked as (select x, count(distinct class_id) as n_links from both_ways join class on y = doc_id where not same group by x)
+select c.doc_id, coalesce(n, 0) as n_shingles, component_id, class_id, coalesce(n_links, 0) as n_links
+from class c join component using (doc_id) left join sized using (doc_id) left join linked on x = c.doc_id
+"""
+
+SQL: dict[str, str] = {"op2_ngram_jaccard": _JACCARD, "op3_decontamination": _DECONTAMINATION, "op4_quality": _QUALITY, "op6_mixing": _MIXING}
