@@ -114,7 +114,7 @@ def _shared(table: pa.Table) -> pa.Table:
     """One range: of postings to those of shingles that two classes or more hold, by unit, with their number."""
     key, units, bodies = table.column(0)[0].as_py(), table.column(1).to_pylist(), table.column(2).to_pylist()
     if key < 0:
-        return pa.table({"unit": pa.array(units, pa.int64()), "names": pa.array([True] * len(units)), "body": pa.array(bodies, pa.binary())})
+        return pa.table({"unit": pa.array(units, pa.int64()), "names": pa.array([True] * len(units), pa.bool_()), "body": pa.array(bodies, pa.binary())})
     parts = [unplaned(b) for b in bodies]
     every = np.concatenate(parts)
     source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -134,7 +134,7 @@ def _shared(table: pa.Table) -> pa.Table:
             own = own[np.argsort(every[own] & _LOW, kind="stable")]
             names.append(units[i])
             out.append((every[own] & _LOW).astype(np.uint16).tobytes() + np.minimum(held_by[own], 0xFFFF).astype(np.uint16).tobytes() + planes(shingle[own], 6))
-    return pa.table({"unit": pa.array(names, pa.int64()), "names": pa.array([False] * len(names)), "body": pa.array(out, pa.binary())})
+    return pa.table({"unit": pa.array(names, pa.int64()), "names": pa.array([False] * len(names), pa.bool_()), "body": pa.array(out, pa.binary())})
 
 
 def least_overlap(n: np.ndarray) -> np.ndarray:

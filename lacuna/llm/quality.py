@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 GAP = r"[\x20\x09-\x0D]+"
 SOLID = r"[^\x20\x09-\x0D]"
-RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed", "kept", "failed_rule")
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def repeated_words(words: Column) -> Column:
 
 def measured(documents: DataFrame) -> DataFrame:
     """Append the base counts."""
-    documents = documents.drop(*RESULT, "n_lines")
+    documents = documents.drop(*RESULT)
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(SOLID))
 
@@ -108,7 +108,7 @@ def condition(rule: Rule) -> Column:
 
 def ordered(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500, repeat: int = 2) -> list[Rule]:
     """The rules by rejections per second, both measured on at most sample_rows rows."""
-    taken = measured(documents.select("text").limit(sample_rows)).select("text", *[c for c in RESULT[:5]], "n_lines").cache()
+    taken = measured(documents.select("text").limit(sample_rows)).select("text", *RESULT[:6]).cache()
     try:
         rows = taken.count()
         if not rows:
@@ -134,4 +134,4 @@ def judge(documents: DataFrame, rules: list[Rule] | tuple[Rule, ...] | None = No
     cascade = F.when(F.col("base_failed"), F.lit("base"))
     for rule in rules:
         cascade = cascade.when(condition(rule), F.lit(rule.name))
-    return frame.withColumn("failed_rule", cascade).withColumn("kept", F.col("failed_rule").isNull()).drop("n_lines")
+    return frame.withColumn("failed_rule", cascade).withColumn("kept", F.col("failed_rule").isNull())

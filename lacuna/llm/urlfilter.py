@@ -205,9 +205,11 @@ def fit(judged: DataFrame, s: Settings = Settings()) -> Model:
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, s: Settings = Settings()) -> DataFrame:
     """pages with host, path, rule, verdict and block_score appended."""
     name, action = fitting(rules)
-    judged = parsed(pages).withColumns({"rule": name, "action": action})
+    kept = [c for c in pages.columns if c.lower() not in (*RESULT, "url")]
+    others = [F.struct(*kept).alias("others")] if kept else []  # their names can't clash with those of features
+    judged = parsed(pages.select("url", *others)).withColumns({"rule": name, "action": action})
     model = fit(judged.select("url", "host", "path", "action"), s)
-    columns = [c for c in judged.columns if c != "action"]
+    columns = [*[f"others.{c}" for c in kept], "url", "host", "path", "rule"]
     featured, _ = lexical(judged)
     featured = _binned(featured.withColumns({"f_suffix": model.suffix, "f_section": model.section}), model.cuts)
     score = 1 / (1 + F.exp(-model.margin()))

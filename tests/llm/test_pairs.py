@@ -247,3 +247,8 @@ def test_boundaries_shift_with_their_lines():
 
 def test_line_dedup_of_nothing(spark):
     assert linededup.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_join_where_nothing_is_shared(spark):
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(40))) for i in range(5)]
+    assert joined(spark.createDataFrame(rows, SCHEMA)) == brute(rows)

@@ -126,10 +126,10 @@ def test_sql(spark, name):
 def test_mixing(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randrange(200)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(300)] + [(7, "w w", "a"), (7, "w w", "a"), (None, "w", "a"), (900, None, "d"), (901, "", "d")]
-    docs = spark.createDataFrame(rows, SCHEMA + ", source string").withColumn("size", F.lit("clash")).withColumn("other", F.lit(1))
+    docs = spark.createDataFrame(rows, SCHEMA + ", source string").withColumn("size", F.lit("clash")).withColumn("other", F.lit(1)).withColumn("bucket", F.lit("mine"))
     first = sorted(mixing.mix(docs).collect(), key=str)
     assert first == sorted(mixing.mix(docs).collect(), key=str) and len(first) == len(rows)
-    assert all(r["taken"] <= 2 * r["size"] and r["other"] == 1 for r in first)
+    assert all(r["taken"] <= 2 * r["size"] and (r["other"], r["bucket"]) == (1, "mine") for r in first)
     totals = {}
     for r in first:
         totals.setdefault(r["source"], [r["target"], 0, r["source_size"]])[1] += r["taken"]
@@ -250,8 +250,9 @@ URLS = [None, "", "nothing", "http://", "HTTP://Ex.Example.COM/en/7", "http://ex
 
 
 def test_urls(spark):
-    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS * 40)], "page_id bigint, url string, rule string")
+    pages = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(URLS * 40)], "page_id bigint, url string, rule string, suffix string")
     rows = urlfilter.judge(pages).collect()
+    assert {r["suffix"] for r in rows} == {"y"}
     assert len(rows) == len(URLS) * 40
     for r in rows:
         host, path = brute_host(r["url"])
@@ -300,6 +301,10 @@ def test_pipeline(spark):
     assert len(kept["toxicity"]) > len(kept["ngram_jaccard"]) > len(kept["decontamination"])
     assert set(kept["mixing"]) <= set(kept["decontamination"]) and max(map(kept["mixing"].count, kept["mixing"])) == 2
     assert sorted(kept["sharding"]) == sorted(kept["mixing"])
+    odd = spark.createDataFrame([(1, None, None, None, None, "a"), (None, "", "en", "s", 0, "a"), (1, None, None, None, None, "a"), (2, "w " * 50_000, None, "s", 1, None), (3, "one two", "en", None, 2, "a")], "doc_id bigint, text string, lang string, source string, n_chars bigint, toxicity string")
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        assert name == "sharding" or (out.columns == odd.columns and {r["toxicity"] for r in out.collect()} <= {"a", None})
     empty = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for name, stage in pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
