@@ -25,7 +25,9 @@ BROADCAST_ROWS = 200_000
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(remainder(3) != 1))
-    return toxicity.score(docs, model).where(F.col("toxicity") < toxicity.Settings().threshold).select(*docs.columns)
+    own = docs.withColumnRenamed("toxicity", "__toxicity")  # a column of that name stays what it was
+    kept = toxicity.score(own, model).where(F.col("toxicity") < toxicity.Settings().threshold)
+    return kept.drop("toxicity").withColumnRenamed("__toxicity", "toxicity").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +40,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs.select("doc_id", "text", "source")).where(F.size("placements") > 0)
-    placed = keep(mixed.groupBy(F.col("doc_id").alias("of_doc")).agg(F.max("placements").alias("placements")), "pipeline-placements")
+    placed = keep(mixed.groupBy(F.col("doc_id").alias("__of")).agg(F.max("placements").alias("__placements")), "pipeline-placements")
     placed = F.broadcast(placed) if placed.count() <= BROADCAST_ROWS else placed
-    rows = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select(*docs.columns, F.explode("placements").alias("placement"))
-    by = [F.col("placement.position"), F.col("doc_id"), F.col("placement.copy")]
+    rows = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("__of"))).select(*docs.columns, F.explode("__placements").alias("__placement"))
+    by = [F.col("__placement.position"), F.col("doc_id"), F.col("__placement.copy")]
     return rows.repartitionByRange(*by).sortWithinPartitions(*by).select(*docs.columns)
 
 
