@@ -74,6 +74,12 @@ def compact(results: DataFrame, most: int = 5, snippet: int = 40) -> DataFrame:
     return statuses.join(shown, "run_id", "left")
 
 
+def with_found(local: DataFrame, found: DataFrame) -> DataFrame:
+    """Evidence of a run with what an agent found that it didn't have by id, first."""
+    new = found.join(local.select("run_id", "id"), ["run_id", "id"], "left_anti").withColumn("list_ord", F.lit(0))
+    return new.unionByName(local.withColumn("list_ord", F.lit(1)))
+
+
 class Tool(Protocol):
     name: str
     source: str
@@ -107,7 +113,10 @@ def run_tool(tool: Tool, arguments: dict[str, Any]) -> ToolResult:
         return ToolResult("error", error=f"bad arguments: {issue}")
     pool = concurrent.futures.ThreadPoolExecutor(1)
     try:
-        rows = tuple(pool.submit(tool.execute, arguments).result(timeout=tool.seconds))
+        found = pool.submit(tool.execute, arguments).result(timeout=tool.seconds)
+        if isinstance(found, ToolResult):
+            return found
+        rows = tuple(found)
     except concurrent.futures.TimeoutError:
         return ToolResult("timeout", error=f"took more than {tool.seconds:g} s")
     except Exception as error:  # a tool may raise anything
@@ -138,8 +147,18 @@ class FunctionTool:
             return "query must be a text"
         return None if self.least <= len(query) <= self.most else f"query must have {self.least} to {self.most} characters"
 
-    def execute(self, arguments: dict[str, Any]) -> list[dict[str, Any]]:
-        return list(self.function(arguments["query"]))
+    def execute(self, arguments: dict[str, Any]) -> list[dict[str, Any]] | ToolResult:
+        found = self.function(arguments["query"])
+        return found if isinstance(found, ToolResult) else list(found)
+
+
+def ask_model_tool(provider: Callable[[str], str] | None) -> FunctionTool:
+    """What a model says of a query: any text is a result, without a source."""
+    def ask(query: str) -> list[dict[str, Any]]:
+        said = (provider(query) if provider else "").strip()
+        return [{"id": None, "content": said, "source": "model", "url": None}] if said else []
+
+    return FunctionTool("ask_model", "model", ask, reason=None if provider else "no model is configured")
 
 
 class ProviderError(RuntimeError):

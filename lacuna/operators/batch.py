@@ -126,6 +126,12 @@ def status_counts(results: DataFrame) -> DataFrame:
     return latest(results).groupBy("job_id", "status").agg(F.count("*").alias("n"))
 
 
+def with_counts(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """jobs with a map of statuses to numbers of rows; a job without results has an empty one."""
+    counted = status_counts(results.join(jobs.select("job_id"), "job_id", "left_semi")).groupBy("job_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("counts"))
+    return jobs.join(counted, "job_id", "left").withColumn("counts", F.coalesce("counts", F.create_map().cast("map<string,bigint>")))
+
+
 def newest(jobs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return jobs.orderBy(F.desc("created_at"), "job_id").offset(offset).limit(limit)
 

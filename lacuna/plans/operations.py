@@ -377,6 +377,18 @@ def calibration_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("l_orderkey", "c_custkey", "n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 4).alias("revenue"))
 
 
+@C.add("json_predicate", "select event_id, cast(json_extract_string(props, '$.k') as int) as k from events where event_type like 'c%' and cast(json_extract_string(props, '$.k') as int) > 50")
+def json_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf_dir, "events").where(F.col("event_type").like("c%") & (k > 50)).select("event_id", k.alias("k"))
+
+
+@C.add("jobs_with_counts", f"with {RESULT_SQL}, job as (select distinct source as job_id from documents) select job_id, string_agg(status || ':' || n, ';' order by status) as counts from job join (select job_id, status, count(*) as n from result group by all) using (job_id) group by job_id")
+def jobs_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = batch.with_counts(_rows(spark, sf_dir).select("job_id").distinct(), _results(spark, sf_dir)).where("cardinality(counts) > 0")
+    return met.select("job_id", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ";").alias("counts"))
+
+
 NAMES = Inline({"requested": "varchar", "served": "varchar"}, ("big-model", "big-model-2024"), ("big-model", "Big Model"), ("big-model", "small"), ("a.b", "ab-c"), ("x", None))
 
 
