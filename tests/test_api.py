@@ -33,7 +33,7 @@ def test_tools(engine):
     exact = agent.run_tool(engine.exact_tool(), {"query": "危檣獨夜舟"})
     assert exact.status == "has_result" and exact.rows[0]["score"] == 5
     assert agent.run_tool(engine.exact_tool(), {"query": "龘龘龘龘龘"}).status == "no_result"
-    assert agent.run_tool(engine.semantic_tool(), {"query": "大江星垂龘龘龘龘龘龘龘龘龘龘龘龘"}).status == "low_confidence"
+    assert agent.run_tool(engine.semantic_tool(), {"query": "大江星垂龘靐齉爩麤龗灪吁圳丼彘"}).status == "low_confidence"
     assert agent.run_tool(agent.ask_model_tool(lambda q: " it is "), {"query": "天地"}).rows[0]["content"] == "it is"
     assert agent.run_tool(agent.ask_model_tool(None), {"query": "天地"}).status == "unavailable"
 
