@@ -176,17 +176,19 @@ def findings(text: str) -> list[dict]:
     return [{"kind": KINDS[k], "start": s, "end": e, "layers": path} for (s, k, e), path in sorted(out.items())]
 
 
-def _runs(solid: np.ndarray, least: int) -> np.ndarray:
-    """Where runs of at least that length end."""
-    edges = np.flatnonzero(~solid)
-    edges = np.concatenate([[-1], edges, [len(solid)]])
-    return edges[1:][np.diff(edges) > least] - 1
+def _runs(solid: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
+    """Where runs of at least that length begin; no run goes beyond the row that it begins in."""
+    cut = np.zeros(len(solid) + 1, dtype=bool)
+    cut[bounds] = True
+    start = np.flatnonzero(solid & (cut[:-1] | np.append(True, ~solid[:-1])[: len(solid)]))
+    end = np.flatnonzero(solid & (cut[1:] | np.append(~solid[1:], True)[: len(solid)])) + 1
+    return start[end - start >= least]
 
 
 def suspects(column: pa.Array) -> np.ndarray:
     """Rows that may have a finding: any trace that a pattern or a decoder needs."""
     data, offsets = tokens.utf8(column)
-    places = [_runs(_BASE64_BYTE[data], 16), _runs(_HEX_BYTE[data], 32)]
+    places = [_runs(_BASE64_BYTE[data], offsets, 16), _runs(_HEX_BYTE[data], offsets, 32)]
     low = tokens.LOWER[data].tobytes()
     for key in _KEYS:
         at, hits = low.find(key), []

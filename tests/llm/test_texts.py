@@ -58,6 +58,15 @@ def test_layers(wrap):
     assert 0 in secrets.suspects(__import__("pyarrow").array([text]))
 
 
+@pytest.mark.parametrize("end", [KEY, "0f" * 16, base64.b64encode(SECRET.encode()).decode().rstrip("=")])
+def test_runs_end_with_their_row(spark, end):
+    texts = ["", f"ends in {end}", "abc begins with a letter", "", f"ends in {end}", f"{end} begins", None, "0"]
+    got = {r["doc_id"]: [tuple(x) for x in r["secrets"]] for r in secrets.scan(frame(spark, texts).coalesce(1)).collect()}
+    assert got == {i: [tuple(f.values()) for f in secrets.findings(t or "")] for i, t in enumerate(texts)}
+    assert all(got[i] for i in (1, 4, 5)) and not any(got[i] for i in (0, 2, 3, 6, 7))
+    assert secrets.suspects(__import__("pyarrow").array(texts)).tolist() == [1, 4, 5]
+
+
 def test_cycles_end():
     text = "a%2525252541" + base64.b64encode(b"plain text without any secret in it").decode()
     assert secrets.findings(text) == []
