@@ -1,23 +1,31 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by overlapping pairs of lines, or by content-defined chunks of lines.
 
-Each line has a hash; a rolling hash covers a line and the one before. A chunk ends where the rolling hash is a local
-minimum, so boundaries depend on a few lines around them, come back wherever the same lines do, and keep chunks at two
-lines or more inside a text. Chunks of two lines or more that hold a word and stand in several places are candidates;
-their bytes are fetched and compared, and where they are the same, all but the first place (lowest doc_id, then
-lowest place) are cut out. What of a repeated passage lies in a chunk together with other lines stays.
+By pairs, which the query uses, every two adjacent lines of which one holds a word are a unit. Each line of a repeated
+run of two lines or more lies in a repeated pair, so the run goes whole, wherever it begins and ends; every line that
+goes still stands in an earlier place. Where a pair overlaps its own first place (three equal lines) only the line
+behind that place goes. Lines without a word go with the lines to both sides of them. n_removed_chunks counts
+stretches of removed lines.
 
-Tables of chunks hold hashes and places alone; texts are read again for the documents that have a candidate and for
-those that lose one. The list of such documents is broadcast where it holds at most BROADCAST_ROWS chunks, else
+By chunks, the default of dedup(), a rolling hash covers a line and the one before. A chunk ends where the rolling hash
+is a local minimum, so boundaries depend on a few lines around them, come back wherever the same lines do, and keep
+chunks at two lines or more inside a text. Chunks with two lines that hold a word count; what of a repeated passage
+lies in a chunk together with other lines stays.
+
+Either way, units that stand in several places are candidates; their bytes are fetched and compared, and where they are
+the same, all but the first place (lowest doc_id, then lowest place) are cut out.
+
+Tables of units hold hashes and places alone; texts are read again for the documents that have a candidate and for
+those that lose one. The list of such documents is broadcast where it holds at most BROADCAST_ROWS units, else
 documents are shuffled to it.
 
-Cases: a null text stays null and an empty one empty; a document without id is passed through and its chunks don't
-count; rows with the same id count as one document, so copies of a whole row keep or lose the same lines; chunks of
+Cases: a null text stays null and an empty one empty; a document without id is passed through and its units don't
+count; rows with the same id count as one document, so copies of a whole row keep or lose the same lines; units of
 which two texts have the same hash are left alone. Columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +40,7 @@ from lacuna.llm.storage import keep, small_batches
 BROADCAST_ROWS = 500_000
 _U = np.uint64
 _STEP = _U(0x9FB21C651E98DF25)
+_BLANK = "\x20\t\n\r\x0b\x0c"
 
 
 def line_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,24 +94,42 @@ def chunks(column: pa.Array, block: int = tokens.BLOCK_BYTES) -> Iterator[tuple[
         lo = hi
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pairs(column: pa.Array, block: int = tokens.BLOCK_BYTES) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same for every two adjacent lines of a row."""
+    data, offsets = tokens.utf8(column)
+    rows, lo = len(offsets) - 1, 0
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + block, side="right")) - 1)
+        first, last = int(offsets[lo]), int(offsets[hi])
+        row, h, solid = line_hashes(data[first:last], offsets[lo : hi + 1] - first)
+        at = np.flatnonzero(row[1:] == row[:-1])
+        with np.errstate(over="ignore"):
+            value = tokens.mix(tokens.mix(h[at] * _STEP) + h[at + 1])
+        place = at - np.searchsorted(row, row[at])
+        yield row[at] + lo, place, place, np.full(len(at), 2), value, solid[at].astype(np.int64) + solid[at + 1]
+        lo = hi
+
+
+def _listed(batches: Iterator[pa.RecordBatch], units: Callable, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, place, _, lines, value, solid in chunks(batch.column(1)):
-            good = (lines > 1) & (solid > 1)
+        for row, place, _, lines, value, solid in units(batch.column(1)):
+            good = (lines > 1) & (solid >= words)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[good])), pa.array(place[good].astype(np.int32)), pa.array(value[good].view(np.int64))], names=["doc_id", "place", "hash"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, places) to (hash, chunk text)."""
+def _texts(batches: Iterator[pa.RecordBatch], units: Callable) -> Iterator[pa.RecordBatch]:
+    """(text, places) to (hash, text of the unit)."""
     for batch in batches:
         wanted = batch.column(1).to_pylist()
         text = batch.column(0)
-        for row, place, first, lines, value, _ in chunks(text):
+        for row, place, first, lines, value, _ in units(text):
             at, out, hashes = 0, [], []
             for r in np.unique(row):
                 end = np.searchsorted(row, r, side="right")
                 own = text[int(r)].as_py().split("\n")
                 for p in wanted[r]:
+                    if p >= end - at:  # of another text with the same id
+                        continue
                     k = at + p
                     out.append("\n".join(own[first[k] : first[k] + lines[k]]))
                     hashes.append(value[k])
@@ -115,19 +142,42 @@ def _sized(frame: DataFrame, column: str) -> DataFrame:
     return F.broadcast(frame) if n <= BROADCAST_ROWS else frame
 
 
-def dedup(documents: DataFrame) -> DataFrame:
-    """documents with repeated chunks cut out of text, and n_removed_chunks and n_removed_lines appended."""
+def _lost(places: list[int], first: np.ndarray, lines: np.ndarray, value: np.ndarray) -> set[int]:
+    """The lines of a text that its units at those places cover."""
+    gone, lost = set(places), set()
+    for p in places:
+        start, stop = int(first[p]), int(first[p] + lines[p])
+        if p and p - 1 not in gone and value[p - 1] == value[p]:  # overlaps its first place, if units overlap
+            start = max(start, int(first[p - 1] + lines[p - 1]))
+        lost.update(range(start, stop))
+    return lost
+
+
+def _between(own: list[str], lost: set[int]) -> set[int]:
+    """Lines without a word that have only such lines between them and lost lines to both sides."""
+    out, at = set(), sorted(lost)
+    for a, b in zip(at, at[1:]):
+        if b > a + 1 and not any(x.strip(_BLANK) for x in own[a + 1 : b]):
+            out.update(range(a + 1, b))
+    return out
+
+
+def dedup(documents: DataFrame, units: Callable = chunks, words: int = 2) -> DataFrame:
+    """documents with repeated units cut out of text, and n_removed_chunks and n_removed_lines appended.
+
+    units: chunks or pairs; words: how many lines with a word a unit needs.
+    """
     small_batches(documents.sparkSession)
     documents = documents.drop("n_removed_chunks", "n_removed_lines")
     kind = documents.schema["doc_id"].dataType
     listed = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = keep(listed.mapInArrow(tokens.tidy(_listed), T.StructType([T.StructField("doc_id", kind), T.StructField("place", T.IntegerType()), T.StructField("hash", T.LongType())])).distinct(), "lines-chunks")
+    found = keep(listed.mapInArrow(tokens.tidy(lambda batches: _listed(batches, units, words)), T.StructType([T.StructField("doc_id", kind), T.StructField("place", T.IntegerType()), T.StructField("hash", T.LongType())])).distinct(), "lines-chunks")
     counted = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
     keepers = keep(found.join(counted.select("hash", "doc_id"), ["hash", "doc_id"]).groupBy("hash", "doc_id").agg(F.min("place").alias("place")), "lines-keepers")
 
     repeated = keep(found.join(keepers.select("hash", F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place")), "hash"), "lines-repeated")
     places = keep(repeated.groupBy(F.col("doc_id").alias("of_doc")).agg(F.sort_array(F.collect_list("place")).alias("places")), "lines-places")
-    texts = listed.join(_sized(places, "places"), F.col("doc_id") == F.col("of_doc")).select("text", "places").mapInArrow(tokens.tidy(_texts), "hash bigint, chunk string")
+    texts = listed.join(_sized(places, "places"), F.col("doc_id") == F.col("of_doc")).select("text", "places").mapInArrow(tokens.tidy(lambda batches: _texts(batches, units)), "hash bigint, chunk string")
     same = texts.groupBy("hash", "chunk").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.sum("one").alias("kinds")).where("kinds = 1").select("hash")
 
     gone = repeated.join(same, "hash").where("doc_id != first_doc or place != first_place")
@@ -144,15 +194,18 @@ def dedup(documents: DataFrame) -> DataFrame:
             n_chunks, n_lines = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows, dtype=np.int64)
             touched = np.flatnonzero(~np.asarray(places.is_null()))
             if len(touched):
-                new, out = {}, text.take(pa.array(touched))
-                for row, _, first, lines, _, _ in chunks(out):
+                out = text.take(pa.array(touched))
+                new = dict(zip(touched.tolist(), out.to_pylist()))
+                for row, _, first, lines, value, _ in units(out):
                     for r in np.unique(row):
-                        lo = np.searchsorted(row, r)
-                        own = (out[int(r)].as_py() or "").split("\n")
-                        lost = {i for p in places[int(touched[r])].as_py() for i in range(first[lo + p], first[lo + p] + lines[lo + p])}
-                        new[int(touched[r])] = "\n".join(x for i, x in enumerate(own) if i not in lost)
-                        n_lines[touched[r]] = len(lost)
-                        n_chunks[touched[r]] = len(places[int(touched[r])])
+                        lo, hi, of = np.searchsorted(row, r), np.searchsorted(row, r, side="right"), int(touched[r])
+                        own, gone = (out[int(r)].as_py() or "").split("\n"), [p for p in places[of].as_py() if p < hi - lo]
+                        lost = _lost(gone, first[lo:hi], lines[lo:hi], value[lo:hi])
+                        if units is pairs:
+                            lost |= _between(own, lost)
+                        new[of] = "\n".join(x for i, x in enumerate(own) if i not in lost)
+                        n_lines[of] = len(lost)
+                        n_chunks[of] = sum(i - 1 not in lost for i in lost) if units is pairs else len(gone)
                 mask = np.zeros(batch.num_rows, dtype=bool)
                 mask[touched] = True
                 text = pc.replace_with_mask(text, pa.array(mask), pa.array([new[int(t)] for t in touched], text.type))

@@ -44,7 +44,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), linededup.pairs, words=1)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,6 +238,28 @@ def test_line_dedup(spark, monkeypatch, limit):
     assert total == sum(len(t.split("\n")) - len(u.split("\n")) + (not u and bool(t)) for (_, t), (_, u) in zip(sorted(rows, key=lambda r: str(r[0])), sorted(brute_dedup(rows), key=lambda r: str(r[0]))) if t)
 
 
+@pytest.mark.parametrize("limit", [500_000, -1])
+def test_repeated_runs_go_whole(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(linededup, "BROADCAST_ROWS", limit)
+    rng = random.Random(5)
+    rows, want = [], []
+    for n in range(2, 9):
+        run = [f"line {k} of the run of {n}" if k != 1 else "" for k in range(n)]
+        for i in range(6):
+            head, tail = ([f"own {rng.randrange(10**9)}" for _ in range(rng.randrange(1, 9))] for _ in range(2))
+            rows.append((10 * n + i, "\n".join(head + run + tail)))
+            want.append((10 * n + i, "\n".join(head + (run if not i else []) + tail), n if i else 0, 1 if i else 0))
+    for i, (text, kept, n, stretches) in enumerate([
+        ("x\nx\nx\nx\nend", "x\nx\nend", 2, 1), ("p\n\n\n\n\nq\nz", "p\n\n\n\n\nq\nz", 0, 0), ("0\np\n\n\n\n\nq\n1", "0\n1", 6, 1),
+        (None, None, 0, 0), ("", "", 0, 0), ("\n\n\n", "\n\n\n", 0, 0), ("\n\n\n\n", "\n\n\n\n", 0, 0), ("0\n\n1", "0\n\n1", 0, 0),
+    ]):
+        rows.append((100 + i, text))
+        want.append((100 + i, kept, n, stretches))
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op5_line_dedup(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"], r["n_removed_lines"], r["n_removed_chunks"]) for r in got) == sorted(want)
+
+
 def test_boundaries_shift_with_their_lines():
     lines = [f"line {i * i % 97} {i}" for i in range(60)]
     plain = {lines[f] for f, _ in chunked("\n".join(lines))}
