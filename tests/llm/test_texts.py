@@ -205,6 +205,22 @@ def test_language(spark):
     assert langid.identify(frame(spark, ["karo"]), nothing).first()["lang_pred"] == "und"
 
 
+def test_no_count_of_a_language_is_dropped(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    pages = ["".join(map(chr, rng.choices(range(0x4E00, 0x9000), k=60_000))) for _ in range(20)]
+    rows = [(i, "zh", t) for i, t in enumerate(pages)] + [(100, "aa", "karo mika tulo sena"), (101, "aa", "sena tulo karo")]
+    train = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    model = langid.fit(train)
+    assert model.languages == ["aa", "zh"]
+    packed = [np.concatenate([k for _, _, k in langid.keys(pa.array([t]))]) for _, _, t in rows]
+    assert len(model.grams[langid.ORDER].hash) == len(np.unique(np.concatenate(packed))) > 1_000_000
+    got = langid.identify(frame(spark, ["mika karo tulo", pages[3][:500]]), model).collect()
+    assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["aa", "zh"]
+
+
 def test_language_probabilities_sum_to_one():
     import numpy as np
     import pyarrow as pa
