@@ -9,8 +9,8 @@ its characters, the span of the original text it came from, and findings are rep
 A batch is searched for traces first (key words, long runs, escapes); only texts that have one become Python strings.
 
 Cases: a null or empty text has no finding. Equal findings (kind and span) count once. Spans count code points of the
-original text, ends are exclusive. Compressed layers are unpacked up to `MAX_UNPACKED` bytes: a guard against
-archives made to exhaust memory; texts themselves are never cut.
+original text, ends are exclusive. Compressed layers are unpacked whole, with all their members, in pieces of `PIECE`
+bytes, and then held whole: memory grows with what they unpack to. Texts are never cut.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from lacuna.llm import tokens
 from lacuna.llm.storage import small_batches
 
 KINDS = ("assign", "access", "hex")
-MAX_UNPACKED = 1 << 24
+PIECE = 1 << 24
 _KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -117,19 +117,39 @@ def _escaped(layer: Layer) -> Layer | None:
     return _rewritten(layer, found, "unicode") if found else None
 
 
+def _unpacker(raw: bytes) -> Callable | None:
+    """What makes decompressors for the format that the bytes begin with."""
+    if raw[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    return lzma.LZMADecompressor if raw[:6] == b"\xfd7zXZ\x00" else None
+
+
 def _unpacked(raw: bytes) -> bytes | None:
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MAX_UNPACKED)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(raw, MAX_UNPACKED)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_UNPACKED)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, MAX_UNPACKED)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        pass
-    return None
+    """All members that stand one after another, whole; up to the first fault where there is one."""
+    make, out = _unpacker(raw), []
+    while make:
+        unpack = make()
+        try:
+            out.append(unpack.decompress(raw, PIECE))
+            while not unpack.eof:
+                if hasattr(unpack, "unconsumed_tail"):
+                    piece = unpack.decompress(unpack.unconsumed_tail, PIECE)
+                    stuck = not piece and not unpack.unconsumed_tail
+                else:
+                    piece = b"" if unpack.needs_input else unpack.decompress(b"", PIECE)
+                    stuck = not piece and unpack.needs_input
+                out.append(piece)
+                if stuck:
+                    break
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            break
+        raw = unpack.unused_data.lstrip(b"\0") if unpack.eof else b""
+        make = _unpacker(raw)
+    return b"".join(out) if out else None
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:
@@ -142,7 +162,7 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
         except (binascii.Error, ValueError):
             continue
         path, plain = "base64", True
-        while (inner := _unpacked(raw)) is not None:
+        while (inner := _unpacked(raw)) is not None and inner != raw:
             raw, path, plain = inner, f"{path}/compressed", False
         try:
             text = raw.decode("utf-8")
@@ -156,7 +176,7 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
             yield Layer(text, s[4 * k // 3], e[np.minimum((4 * k + 4 + 2) // 3 - 1 + (k % 3 != 2), len(body) - 1)], f"{layer.path}/{path}")
         else:
             a, b = layer.span(m.start(), m.end())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b), f"{layer.path}/{path}")
+            yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)), f"{layer.path}/{path}")
 
 
 def findings(text: str) -> list[dict]:

@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import importlib
+import lzma
 import random
 import re
 import urllib.parse
@@ -67,6 +68,12 @@ def test_runs_end_with_their_row(spark, end):
     assert secrets.suspects(__import__("pyarrow").array(texts)).tolist() == [1, 4, 5]
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_layers_are_whole(pack):
+    for packed in (pack(("é " * 6_000_000 + SECRET).encode()), pack(b"first member ") + pack(SECRET.encode())):
+        assert "assign" in {f["kind"] for f in secrets.findings("see " + base64.b64encode(packed).decode())}
+
+
 def test_cycles_end():
     text = "a%2525252541" + base64.b64encode(b"plain text without any secret in it").decode()
     assert secrets.findings(text) == []
