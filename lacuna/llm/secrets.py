@@ -1,8 +1,9 @@
 """Secret scans with a worklist of decoded layers.
 
 Three patterns are searched in every whole text and in every layer that decoding uncovers: percent escapes and
-Unicode escapes are undone over the whole layer, base64 runs are decoded one by one, and what they hold is
-unpacked where it is compressed. A new layer goes on the worklist unless the same text was seen before in this
+Unicode escapes are undone over the whole layer, base64 runs are decoded one by one, those wrapped into
+lines of one width also as a whole, and what they hold is unpacked where it is compressed and read as UTF-8, else
+latin-1, and as UTF-16 where there are NULs. A new layer goes on the worklist unless the same text was seen before in this
 document, so decoding stops at a fixpoint and a text that decodes to itself ends there. Each layer knows, for each of
 its characters, the span of the original text it came from, and findings are reported there.
 
@@ -40,7 +41,7 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+_NEXT = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+)(={0,2})")
 
 _HEX_BYTE = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _ANY_HEX = np.isin(np.arange(256), list(b"0123456789abcdefABCDEF"))
@@ -152,9 +153,43 @@ def _unpacked(raw: bytes) -> bytes | None:
     return b"".join(out) if out else None
 
 
+def _base64_runs(text: str) -> Iterator[np.ndarray]:
+    """The places of the characters of each run without its padding, and of runs wrapped into lines of one width."""
+    joined = 0
+    for m in _BASE64.finditer(text):
+        line = np.arange(m.start(), m.start() + len(m[0].rstrip("=")))
+        yield line
+        if m.start() < joined or m[0].endswith("="):
+            continue
+        lines, at = [line], m.end()
+        while len(lines[-1]) == len(line) and (n := _NEXT.match(text, at)) and len(n[1]) <= len(line):
+            lines.append(np.arange(n.start(1), n.end(1)))
+            at = n.end()
+            if len(n[1]) == len(line):
+                joined = at
+            if n[2]:
+                break
+        if len(lines) > 1:
+            places = np.concatenate(lines)
+            yield places[: len(places) - (len(places) % 4 == 1)]
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, int]]:
+    """UTF-8, or else latin-1; UTF-16 of either order too where there is a NUL or a byte order mark. With the least bytes of a character."""
+    try:
+        yield raw.decode("utf-8"), 1
+    except UnicodeDecodeError:
+        yield raw.decode("latin-1"), 1
+    if b"\0" in raw or raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        yield raw.decode("utf-16-le", "replace"), 2
+        yield raw.decode("utf-16-be", "replace"), 2
+
+
 def _decoded(layer: Layer) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    for places in _base64_runs(layer.text):
+        a, b = int(places[0]), int(places[-1]) + 1
+        body = layer.text[a:b] if len(places) == b - a else "".join(layer.text[a:b].split())
+        body = body.replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
             continue
         try:
@@ -164,19 +199,18 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
         path, plain = "base64", True
         while (inner := _unpacked(raw)) is not None and inner != raw:
             raw, path, plain = inner, f"{path}/compressed", False
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not text or _CONTROL.search(text):
-            continue
-        if plain and len(text) == len(raw):  # byte k stands in characters 4k/3 to (4k + 4)/3
-            k = np.arange(len(raw))
-            s, e = layer.spans(m.start(), m.start() + len(body))
-            yield Layer(text, s[4 * k // 3], e[np.minimum((4 * k + 4 + 2) // 3 - 1 + (k % 3 != 2), len(body) - 1)], f"{layer.path}/{path}")
-        else:
-            a, b = layer.span(m.start(), m.end())
-            yield Layer(text, np.broadcast_to(a, len(text)), np.broadcast_to(b, len(text)), f"{layer.path}/{path}")
+        for text, wide in _texts(raw):
+            if not text:
+                continue
+            if plain and len(text) == -(-len(raw) // wide):  # byte k stands in characters 4k/3 to (4k + 4)/3
+                k = np.arange(0, len(raw), wide)
+                z = np.minimum(k + wide, len(raw)) - 1
+                s, e = (x[places - a] for x in layer.spans(a, b))
+                yield Layer(text, s[4 * k // 3], e[np.minimum((4 * z + 4 + 2) // 3 - 1 + (z % 3 != 2), len(body) - 1)], f"{layer.path}/{path}")
+            else:
+                pad = len(layer.text[b : b + 2]) - len(layer.text[b : b + 2].lstrip("="))
+                start, end = layer.span(a, b + pad)
+                yield Layer(text, np.broadcast_to(start, len(text)), np.broadcast_to(end, len(text)), f"{layer.path}/{path}")
 
 
 def findings(text: str) -> list[dict]:

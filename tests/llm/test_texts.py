@@ -74,6 +74,26 @@ def test_compressed_layers_are_whole(pack):
         assert "assign" in {f["kind"] for f in secrets.findings("see " + base64.b64encode(packed).decode())}
 
 
+def wrapped(raw, width, end="\n"):
+    line = base64.b64encode(raw).decode()
+    return end.join(line[i : i + width] for i in range(0, len(line), width))
+
+
+@pytest.mark.parametrize(
+    "inner, least",
+    [
+        (base64.b64encode(SECRET.encode("utf-16-le")).decode(), 0), (base64.b64encode(SECRET.encode("utf-16")).decode(), 0), (base64.b64encode(SECRET.encode("utf-16-be")).decode(), 0),
+        (base64.b64encode(b"caf\xe9 " + SECRET.encode()).decode(), 0), (base64.b64encode(b"\x1b[31m" + SECRET.encode()).decode(), 0),
+        (wrapped(b"x" * 40 + b" " + SECRET.encode() + b" " + b"y" * 90, 64), 1), (wrapped(b"x" * 50 + b" " + SECRET.encode(), 76, "\r\n  "), 1), (wrapped(gzip.compress(bytes(range(256)) + SECRET.encode()), 64), 1),
+    ],
+)
+def test_layers_in_any_coding_and_wrapped(inner, least):
+    text = f"ä before\n{inner}\nafter"
+    found = [f for f in secrets.findings(text) if f["kind"] == "assign" and f["layers"]]
+    assert found and all(9 <= f["start"] < f["end"] <= 9 + len(inner) for f in found)
+    assert any("\n" in text[f["start"] : f["end"]] for f in found) or not least
+
+
 def test_cycles_end():
     text = "a%2525252541" + base64.b64encode(b"plain text without any secret in it").decode()
     assert secrets.findings(text) == []
