@@ -2,15 +2,21 @@
 
 Everything is DataFrame expressions. A rule is (action, host, path): it fits its host and all subdomains where the
 URL's path starts with its own; the longest rule that fits wins, and the first listed among equals. URLs that a rule
-decides are the labelled ones: at most `max_rows` of them, those of the lowest hash, teach the trees. Features are
-lengths, depth, digit ratio, entropy of the characters, numbers of parameters and labels, and how often URLs of the
-same suffix were blocked in the sample. Each feature is cut into bins at sample quantiles; a level of a tree is one
-aggregation of gradients by node, feature and bin, so the driver sees histograms and never rows. The finished trees are
-one CASE expression over bins.
+decides are the labelled ones: at most `max_rows` of them, those of the lowest hash, teach the trees; one in `folds` is
+held out. Features are lengths, depth, digit ratio, entropy of the characters, numbers of parameters and labels, and how
+often URLs of the same suffix were blocked. That rate is cross-fitted: a URL that teaches gets the rate of the other
+folds, so its own label is no part of its features. What the rules look at besides the suffix, hosts and first path
+segments, is left out: such features only retell the rules and say nothing about URLs that no rule decides.
+
+Each feature is cut into bins at sample quantiles; a level of a tree is one aggregation of gradients by node, feature
+and bin, so the driver sees histograms and never rows. The finished trees are one CASE expression over bins. The
+threshold is the one of the best balanced accuracy on the URLs held out, where the area under the curve is measured too.
 
 Cases: a null URL, or one without ://, has an empty host and path, no rule, and gets the trees' verdict from its
-other features. Without labelled URLs of both kinds the trees say what the labelled ones say, or allow. Repeated rows
-are judged alike. Columns pass through, those named like a result are replaced.
+other features. Without labelled URLs of both kinds the trees say what the labelled ones say, or allow; where those held
+out are of one kind, the threshold is that of the settings. Of equally good splits the first feature by name and the
+lowest bin wins, of equally good thresholds the lowest. Repeated rows are judged alike. Columns pass through, those named
+like a result are replaced.
 """
 
 from __future__ import annotations
@@ -41,6 +47,7 @@ class Settings:
     l2: float = 1.0
     least: float = 1.0
     prior_rows: float = 20.0
+    folds: int = 5
     threshold: float = 0.5
 
 
@@ -89,19 +96,27 @@ def lexical(frame: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_hyphens": F.regexp_count("host", F.lit("[-_]")),
         "f_last_number": F.coalesce(F.length(F.regexp_extract("path", r"([0-9]+)[^0-9/]*/?$", 1)), F.lit(0)),
     }
-    suffix = {"suffix": F.element_at(labels, -1), "section": F.concat_ws("/", F.element_at(labels, -1), F.regexp_extract("path", "^/([^/]*)/", 1))}
-    frame = frame.withColumns({k: v.cast("double") for k, v in made.items()} | suffix)
-    return frame, [*made, "f_suffix", "f_section"]
+    frame = frame.withColumns({k: v.cast("double") for k, v in made.items()} | {"suffix": F.xxhash64(F.element_at(labels, -1))})
+    return frame, [*made, "f_suffix"]
+
+
+def rates(sample: DataFrame, s: Settings) -> DataFrame:
+    """(fold, suffix, rate): how often URLs of a suffix are blocked in the sample, drawn towards the mean of all.
 
+    For a fold, its own rows are left out; fold -1 has all. At most max_rows * folds rows of three numbers."""
+    by = sample.groupBy("suffix", "fold").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    folds = F.explode(F.sequence(F.lit(-1), F.lit(s.folds - 1)))
+    others = by.select("suffix", "y", "n", "fold", folds.alias("for")).where("for != fold")
+    whole = others.groupBy("for").agg((F.sum("y") / F.sum("n")).alias("mean")).withColumnRenamed("for", "of")
+    drawn = others.groupBy("for", "suffix").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).join(F.broadcast(whole), F.col("for") == F.col("of"))
+    return drawn.select(F.col("for").alias("fold"), "suffix", ((F.col("y") + s.prior_rows * F.col("mean")) / (F.col("n") + s.prior_rows)).alias("rate"))
 
-def _rates(sample: DataFrame, column: str, s: Settings) -> Column:
-    """How often URLs of a suffix are blocked in the sample, drawn towards the mean; bounded by the sample."""
-    got = sample.groupBy(column).agg(F.sum("y").alias("y"), F.count("*").alias("n")).where("n >= 5").orderBy(F.desc("n"), column).limit(1000).collect()
-    mean = sum(r["y"] for r in got) / max(1, sum(r["n"] for r in got))
-    if not got:
-        return F.lit(0.5)
-    table = F.create_map(*[F.lit(x) for r in got for x in (r[column], (r["y"] + s.prior_rows * mean) / (r["n"] + s.prior_rows))])
-    return F.coalesce(F.element_at(table, F.col(column)), F.lit(mean))
+
+def with_rate(frame: DataFrame, known: DataFrame, mean: float) -> DataFrame:
+    """Append f_suffix by (fold, suffix); an unknown suffix has the mean."""
+    known = F.broadcast(known.select(F.col("fold").alias("__fold"), F.col("suffix").alias("__suffix"), "rate"))
+    joined = frame.join(known, (F.col("fold") == F.col("__fold")) & (F.col("suffix") == F.col("__suffix")), "left")
+    return joined.withColumn("f_suffix", F.coalesce("rate", F.lit(mean))).drop("__fold", "__suffix", "rate")
 
 
 @dataclass(frozen=True)
@@ -129,8 +144,17 @@ class Model:
     base: float
     trees: tuple[Tree, ...]
     cuts: dict[str, list[float]]
-    suffix: Column
-    section: Column
+    rates: DataFrame | None = None
+    mean: float = 0.5
+    threshold: float = 0.5
+    auc: float | None = None
+
+    def featured(self, frame: DataFrame) -> DataFrame:
+        """Append the bins that the trees ask for to a frame with url, host and path."""
+        frame, _ = lexical(frame)
+        if not self.trees:
+            return frame
+        return _binned(with_rate(frame.withColumn("fold", F.lit(-1)), self.rates, self.mean).drop("fold"), self.cuts)
 
     def margin(self) -> Column:
         return reduce(lambda total, t: total + t.column(), self.trees, F.lit(self.base))
@@ -147,59 +171,99 @@ def _binned(frame: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     return frame.withColumns(bins)
 
 
-def fit(judged: DataFrame, s: Settings = Settings()) -> Model:
-    """judged: url, host, path and action (block, allow or null)."""
+def quality(margins: list[tuple[float, float, int]], default: float) -> tuple[float, float | None]:
+    """(margin, blocked, all) of URLs held out to the threshold of the best balanced accuracy and the area under the curve."""
+    margins = sorted(margins)
+    ones = sum(y for _, y, _ in margins)
+    zeros = sum(n for *_, n in margins) - ones
+    if not ones or not zeros:
+        return default, None
+    below_ones = below_zeros = area = 0.0
+    best = (0.5, default)
+    for at, (m, y, n) in enumerate(margins):
+        gain = ((ones - below_ones) / ones + below_zeros / zeros) / 2  # block from this margin on
+        if gain > best[0] + 1e-9:
+            cut = m if not at else (m + margins[at - 1][0]) / 2
+            best = (gain, 1 / (1 + math.exp(-max(-30.0, min(30.0, cut)))))
+        area += y * (below_zeros + (n - y) / 2)
+        below_ones, below_zeros = below_ones + y, below_zeros + n - y
+    return best[1], area / (ones * zeros)
+
+
+def grow(histogram: list, splits: dict, sums: dict, s: Settings) -> None:
+    """One level: the best split of each node from its (node, feature, bin, g, h)."""
+    nodes: dict[int, dict[str, list]] = {}
+    for r in histogram:
+        nodes.setdefault(r["node"], {}).setdefault(r["feature"], []).append((r["bin"], r["g"], r["h"]))
+    for node, by in sorted(nodes.items()):
+        first = by[min(by)]
+        gt, ht = sum(x[1] for x in sorted(first)), sum(x[2] for x in sorted(first))
+        sums[node] = (gt, ht)
+        best = (1e-6, None, None, None)
+        for feature in sorted(by):
+            gl = hl = 0.0
+            for b, g, h in sorted(by[feature])[:-1]:
+                gl, hl = gl + g, hl + h
+                if min(hl, ht - hl) < s.least:
+                    continue
+                gain = gl * gl / (hl + s.l2) + (gt - gl) ** 2 / (ht - hl + s.l2) - gt * gt / (ht + s.l2)
+                if gain > best[0] + 1e-9:
+                    best = (gain, feature, b, (gl, hl))
+        if best[1]:
+            splits[node] = (best[1], best[2])
+            sums[2 * node], sums[2 * node + 1] = best[3], (gt - best[3][0], ht - best[3][1])
+
+
+def prepared(judged: DataFrame, s: Settings) -> tuple[DataFrame, list[str], DataFrame, float | None]:
+    """The labelled sample with all features and its fold, their names, the rates of suffixes and the mean of those that teach."""
     sample = judged.where("action is not null").orderBy(F.xxhash64("url"), "url").limit(s.max_rows)
     sample, names = lexical(sample.select("url", "host", "path", (F.col("action") == "block").cast("double").alias("y")))
-    sample = keep(sample, "urlfilter-sample")
-    suffix, section = _rates(sample, "suffix", s), _rates(sample, "section", s)
-    sample = sample.withColumns({"f_suffix": suffix, "f_section": section})
+    sample = sample.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(s.folds)), F.lit(s.folds)).cast("int"))
+    sample = keep(sample.drop("url", "host", "path"), "urlfilter-sample")
+    teaching = sample.where("fold > 0")
+    mean = teaching.agg(F.avg("y")).first()[0]
+    known = keep(rates(teaching, s), "urlfilter-rates")
+    # those held out are no part of any rate; fold -1 has all that teach
+    sample = with_rate(sample.withColumn("of", F.col("fold")).withColumn("fold", F.when(F.col("fold") == 0, F.lit(-1)).otherwise(F.col("fold"))), known, mean or 0.0)
+    return sample.drop("fold").withColumnRenamed("of", "fold"), names, known, mean
+
+
+def fit(judged: DataFrame, s: Settings = Settings()) -> Model:
+    """judged: url, host, path and action (block, allow or null)."""
+    sample, names, known, mean = prepared(judged, s)
+    if mean is None or mean in (0.0, 1.0):
+        return Model(-20.0 if not mean else 20.0, (), {}, threshold=s.threshold)
     quantiles = [(i + 1) / s.bins for i in range(s.bins - 1)]
-    found = sample.agg(F.avg("y").alias("mean"), *[F.percentile(n, F.array(*map(F.lit, quantiles))).alias(n) for n in names]).first()
-    if found["mean"] is None or found["mean"] in (0.0, 1.0):
-        return Model(-20.0 if not found["mean"] else 20.0, (), {}, suffix, section)
+    found = sample.where("fold > 0").agg(*[F.percentile(n, F.array(*map(F.lit, quantiles))).alias(n) for n in names]).first()
     cuts = {n: sorted(set(found[n])) for n in names}
-    rows = keep(_binned(sample, cuts).select("y", *[n.replace("f_", "b_", 1) for n in cuts]), "urlfilter-bins")
-    base = math.log(found["mean"] / (1 - found["mean"]))
-    trees: list[Tree] = []
     bins = [n.replace("f_", "b_", 1) for n in cuts]
-    for _ in range(s.trees):
-        p = 1 / (1 + F.exp(-Model(base, tuple(trees), {}, suffix, section).margin()))
-        graded = rows.select(*bins, (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
-        splits: dict[int, tuple[str, int]] = {}
-        leaves: dict[int, float] = {}
-        sums: dict[int, tuple[float, float]] = {}
-        for level in range(s.depth):
-            at = Tree(splits, leaves).place()
-            each = F.explode(F.array(*[F.struct(F.lit(b).alias("feature"), F.col(b).alias("bin")) for b in bins]))
-            got = graded.select(at.alias("node"), "g", "h", each.alias("f")).where(F.col("node") >= 2**level).groupBy("node", "f.feature", "f.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
-            nodes: dict[int, dict[str, list]] = {}
-            for r in got:
-                nodes.setdefault(r["node"], {}).setdefault(r["feature"], []).append((r["bin"], r["g"], r["h"]))
-            for node, by in sorted(nodes.items()):
-                any_feature = next(iter(by.values()))
-                gt, ht = sum(x[1] for x in any_feature), sum(x[2] for x in any_feature)
-                sums[node] = (gt, ht)
-                best = (1e-6, None, None, None)
-                for feature in sorted(by):
-                    gl = hl = 0.0
-                    for b, g, h in sorted(by[feature])[:-1]:
-                        gl, hl = gl + g, hl + h
-                        if min(hl, ht - hl) < s.least:
-                            continue
-                        gain = gl * gl / (hl + s.l2) + (gt - gl) ** 2 / (ht - hl + s.l2) - gt * gt / (ht + s.l2)
-                        if gain > best[0] + 1e-9:
-                            best = (gain, feature, b, (gl, hl))
-                if best[1]:
-                    splits[node] = (best[1], best[2])
-                    sums[2 * node], sums[2 * node + 1] = best[3], (gt - best[3][0], ht - best[3][1])
-        for node, (g, h) in sums.items():
-            if node not in splits:
-                leaves[node] = round(s.rate * g / (h + s.l2), 6)
-        trees.append(Tree(splits, leaves))
-        if not splits:
-            break
-    return Model(base, tuple(trees), cuts, suffix, section)
+    rows = keep(_binned(sample, cuts).select("y", "fold", *bins).coalesce(2), "urlfilter-bins").persist()
+    try:
+        base = math.log(mean / (1 - mean))
+        trees: list[Tree] = []
+        for _ in range(s.trees):
+            p = 1 / (1 + F.exp(-Model(base, tuple(trees), {}).margin()))
+            graded = rows.where("fold > 0").select(*bins, (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
+            splits: dict[int, tuple[str, int]] = {}
+            leaves: dict[int, float] = {}
+            sums: dict[int, tuple[float, float]] = {}
+            for level in range(s.depth):
+                at = Tree(splits, leaves).place()
+                each = F.explode(F.array(*[F.struct(F.lit(b).alias("feature"), F.col(b).alias("bin")) for b in bins]))
+                placed = graded.select(at.alias("node"), "g", "h", each.alias("f")).where(F.col("node") >= 2**level)
+                grow(placed.groupBy("node", "f.feature", "f.bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect(), splits, sums, s)
+            for node, (g, h) in sums.items():
+                if node not in splits:
+                    leaves[node] = round(s.rate * g / (h + s.l2), 6)
+            trees.append(Tree(splits, leaves))
+            if not splits:
+                break
+        margin = F.round(Model(base, tuple(trees), {}).margin(), 3).alias("m")
+        held = rows.where("fold = 0").groupBy(margin).agg(F.sum("y").alias("y"), F.count("*").alias("n")).collect()
+    finally:
+        rows.unpersist()
+    threshold, auc = quality([(r["m"], r["y"], r["n"]) for r in held], s.threshold)
+    return Model(base, tuple(trees), cuts, known.where("fold = -1"), mean, threshold, auc)
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, s: Settings = Settings()) -> DataFrame:
@@ -210,9 +274,6 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, s: Settings = Setti
     judged = parsed(pages.select("url", *others)).withColumns({"rule": name, "action": action})
     model = fit(judged.select("url", "host", "path", "action"), s)
     columns = [*[f"others.{c}" for c in kept], "url", "host", "path", "rule"]
-    featured, _ = lexical(judged)
-    featured = _binned(featured.withColumns({"f_suffix": model.suffix, "f_section": model.section}), model.cuts)
-    score = 1 / (1 + F.exp(-model.margin()))
-    scored = featured.withColumn("block_score", score)
-    verdict = F.coalesce("action", F.when(F.col("block_score") >= s.threshold, F.lit("block")).otherwise(F.lit("allow")))
+    scored = model.featured(judged).withColumn("block_score", 1 / (1 + F.exp(-model.margin())))
+    verdict = F.coalesce("action", F.when(F.col("block_score") >= model.threshold, F.lit("block")).otherwise(F.lit("allow")))
     return scored.select(*columns, verdict.alias("verdict"), "block_score")

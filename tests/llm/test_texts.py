@@ -313,17 +313,84 @@ def test_urls(spark):
         assert r["verdict"] == action if action else r["verdict"] in ("allow", "block")
 
 
-def test_trees_learn(spark):
-    rng = random.Random(8)
+def labelled_urls(n, seed=8):
+    rng = random.Random(seed)
     rows = []
-    for i in range(600):
+    for i in range(n):
         bad = rng.random() < 0.5
-        rows.append((i, f"http://{'x' * rng.randrange(3, 9)}.{rng.choice(['biz', 'info'])}/{'9' * rng.randrange(6, 12) if bad else 'page'}/{'?a=1' * bad}", "block" if bad else "allow"))
-    judged = urlfilter.parsed(spark.createDataFrame(rows, "page_id bigint, url string, action string"))
+        rows.append((i, f"http://{'x' * rng.randrange(3, 9)}.{rng.choice(['biz', 'info'])}/{'9' * rng.randrange(6, 12) if bad else 'page'}/{i}{'?a=1' * bad}", "block" if bad else "allow"))
+    return rows
+
+
+def test_trees_learn(spark):
+    judged = urlfilter.parsed(spark.createDataFrame(labelled_urls(600), "page_id bigint, url string, action string"))
     model = urlfilter.fit(judged.where("page_id < 400"), urlfilter.Settings(trees=3))
-    featured, _ = urlfilter.lexical(judged.where("page_id >= 400"))
-    scored = urlfilter._binned(featured.withColumns({"f_suffix": model.suffix, "f_section": model.section}), model.cuts).withColumn("m", model.margin())
-    assert scored.where("(m > 0) = (action = 'block')").count() >= 195
+    scored = model.featured(judged.where("page_id >= 400")).withColumn("p", 1 / (1 + F.exp(-model.margin())))
+    assert scored.where(f"(p >= {model.threshold}) = (action = 'block')").count() >= 195 and model.auc > 0.99
+
+
+def brute_boosting(sample, names, s):
+    """Boosting over raw values with every sample quantile as a cut, row by row; the trees as (feature, value) by heap position."""
+    import numpy as np
+
+    y, x = sample["y"].to_numpy(), {n: sample[n].to_numpy() for n in sorted(names)}
+    cuts = {n: sorted(set(np.quantile(v, [(i + 1) / s.bins for i in range(s.bins - 1)]))) for n, v in x.items()}
+    margin, trees = np.full(len(y), np.log(y.mean() / (1 - y.mean()))), []
+    for _ in range(s.trees):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = y - p, p * (1 - p)
+        tree, at = {}, np.ones(len(y), int)
+        for node in range(1, 2**s.depth):
+            own = at == node
+            best = (1e-6, None)
+            for n, v in x.items():
+                for c in cuts[n]:
+                    left = own & (v <= c)
+                    right = own & ~left
+                    if not left.any() or not right.any() or min(h[left].sum(), h[right].sum()) < s.least:
+                        continue
+                    gain = g[left].sum() ** 2 / (h[left].sum() + s.l2) + g[right].sum() ** 2 / (h[right].sum() + s.l2) - g[own].sum() ** 2 / (h[own].sum() + s.l2)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (n, c))
+            if best[1]:
+                tree[node] = best[1]
+                at[own] = 2 * node + (x[best[1][0]] > best[1][1])[own]
+        for leaf in np.unique(at):
+            margin[at == leaf] += round(s.rate * g[at == leaf].sum() / (h[at == leaf].sum() + s.l2), 6)
+        trees.append(tree)
+    return trees, margin
+
+
+def test_trees_against_brute_force(spark):
+    s = urlfilter.Settings(trees=3, depth=2, bins=8)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    name, action = urlfilter.fitting(urlfilter.RULES)
+    judged = urlfilter.parsed(pages).withColumn("action", action)
+    model = urlfilter.fit(judged, s)
+    sample, names, _, mean = urlfilter.prepared(judged, s)
+    taught = sample.where("fold > 0").toPandas()
+    trees, margin = brute_boosting(taught, names, s)
+    assert mean == pytest.approx(taught["y"].mean()) and len(taught) > 50
+    got = [{k: (f.replace("b_", "f_", 1), model.cuts[f.replace("b_", "f_", 1)][b]) for k, (f, b) in t.splits.items()} for t in model.trees]
+    assert [{k: (f, pytest.approx(c)) for k, (f, c) in t.items()} for t in trees] == got
+    rows = urlfilter._binned(sample.where("fold > 0"), model.cuts).select(model.margin().alias("m")).toPandas()
+    assert sorted(rows["m"]) == pytest.approx(sorted(margin), abs=1e-5)
+
+
+def test_suffix_rates_leave_out_their_own_fold(spark):
+    rows = [(float(i % 3 == 0), 1 + i % 4, i % 5) for i in range(200)]
+    got = {(r["fold"], r["suffix"]): r["rate"] for r in urlfilter.rates(spark.createDataFrame(rows, "y double, fold int, suffix bigint"), urlfilter.Settings()).collect()}
+    for fold in (-1, 1, 2, 3, 4):
+        others = [x for x in rows if x[1] != fold]
+        mean = sum(x[0] for x in others) / len(others)
+        for suffix in range(5):
+            own = [x[0] for x in others if x[2] == suffix]
+            assert got[fold, suffix] == pytest.approx((sum(own) + 20 * mean) / (len(own) + 20))
+
+
+def test_undecided_urls_get_both_verdicts(spark):
+    got = queries.op10_url_filter(spark, "/root/testdata/sf0.01").where("rule is null").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in got} == {"allow", "block"}
 
 
 def test_urls_without_labels(spark):
