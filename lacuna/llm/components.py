@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.storage import keep
+from lacuna.llm.storage import discard, keep
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,9 +22,12 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        edges = keep(small.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "links")
+        last, edges = edges, keep(small.union(lowest.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break
         mark = tuple(now)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+    found.__dict__["kept_at"] = edges.__dict__["kept_at"]
+    return found

@@ -76,7 +76,8 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    return sharding.shard(table(spark, sf_dir, "documents"), folder).assignment()
+    stored = sharding.shard(table(spark, sf_dir, "documents"), folder).stored()
+    return stored.select("doc_id", "source", "lang", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), (F.col("shard_bytes") > 0).alias("in_shard"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,4 +193,6 @@ select c.doc_id, coalesce(n, 0) as n_shingles, component_id, class_id, coalesce(
 from class c join component using (doc_id) left join sized using (doc_id) left join linked on x = c.doc_id
 """
 
-SQL: dict[str, str] = {"op2_ngram_jaccard": _JACCARD, "op3_decontamination": _DECONTAMINATION, "op4_quality": _QUALITY, "op6_mixing": _MIXING}
+_SHARDING = "select doc_id, source, lang, n_chars, sha256(text) as text_sha256, true as in_shard from documents"
+
+SQL: dict[str, str] = {"op9_sharding": _SHARDING, "op2_ngram_jaccard": _JACCARD, "op3_decontamination": _DECONTAMINATION, "op4_quality": _QUALITY, "op6_mixing": _MIXING}
