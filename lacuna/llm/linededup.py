@@ -12,15 +12,16 @@ chunks at two lines or more inside a text. Chunks with two lines that hold a wor
 lies in a chunk together with other lines stays.
 
 Either way, units that stand in several places are candidates; their bytes are fetched and compared, and where they are
-the same, all but the first place (lowest doc_id, then lowest place) are cut out.
+the same, all but the first place (lowest doc_id, then text by its hash, then lowest place) are cut out.
 
 Tables of units hold hashes and places alone; texts are read again for the documents that have a candidate and for
 those that lose one. The list of such documents is broadcast where it holds at most BROADCAST_ROWS units, else
-documents are shuffled to it.
+documents are shuffled to it. A unit that stands in very many places is joined by broadcast, so that its places never
+meet in one task.
 
 Cases: a null text stays null and an empty one empty; a document without id is passed through and its units don't
-count; rows with the same id count as one document, so copies of a whole row keep or lose the same lines; units of
-which two texts have the same hash are left alone. Columns pass through, those named like a result are replaced.
+count; rows with the same id and text count as one document, so copies of a whole row keep or lose the same lines; rows
+with the same id and different texts are documents of their own; units of which two texts have the same hash are left alone. Columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.llm import tokens
-from lacuna.llm.storage import keep, small_batches
+from lacuna.llm.skew import hot_join
+from lacuna.llm.storage import discard, keep, small_batches
 
 BROADCAST_ROWS = 500_000
 _U = np.uint64
@@ -112,9 +114,10 @@ def pairs(column: pa.Array, block: int = tokens.BLOCK_BYTES) -> Iterator[tuple[n
 
 def _listed(batches: Iterator[pa.RecordBatch], units: Callable, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row, place, _, lines, value, solid in units(batch.column(1)):
+        for row, place, _, lines, value, solid in units(batch.column(2)):
             good = (lines > 1) & (solid >= words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[good])), pa.array(place[good].astype(np.int32)), pa.array(value[good].view(np.int64))], names=["doc_id", "place", "hash"])
+            rows = pa.array(row[good])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place[good].astype(np.int32)), pa.array(value[good].view(np.int64))], names=["doc_id", "of_text", "place", "hash"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], units: Callable) -> Iterator[pa.RecordBatch]:
@@ -128,7 +131,7 @@ def _texts(batches: Iterator[pa.RecordBatch], units: Callable) -> Iterator[pa.Re
                 end = np.searchsorted(row, r, side="right")
                 own = text[int(r)].as_py().split("\n")
                 for p in wanted[r]:
-                    if p >= end - at:  # of another text with the same id
+                    if p >= end - at:  # of another text with the same id and hash
                         continue
                     k = at + p
                     out.append("\n".join(own[first[k] : first[k] + lines[k]]))
@@ -170,20 +173,28 @@ def dedup(documents: DataFrame, units: Callable = chunks, words: int = 2) -> Dat
     small_batches(documents.sparkSession)
     documents = documents.drop("n_removed_chunks", "n_removed_lines")
     kind = documents.schema["doc_id"].dataType
-    listed = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = keep(listed.mapInArrow(tokens.tidy(lambda batches: _listed(batches, units, words)), T.StructType([T.StructField("doc_id", kind), T.StructField("place", T.IntegerType()), T.StructField("hash", T.LongType())])).distinct(), "lines-chunks")
-    counted = found.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1")
-    keepers = keep(found.join(counted.select("hash", "doc_id"), ["hash", "doc_id"]).groupBy("hash", "doc_id").agg(F.min("place").alias("place")), "lines-keepers")
-
-    repeated = keep(found.join(keepers.select("hash", F.col("doc_id").alias("first_doc"), F.col("place").alias("first_place")), "hash"), "lines-repeated")
-    places = keep(repeated.groupBy(F.col("doc_id").alias("of_doc")).agg(F.sort_array(F.collect_list("place")).alias("places")), "lines-places")
-    texts = listed.join(_sized(places, "places"), F.col("doc_id") == F.col("of_doc")).select("text", "places").mapInArrow(tokens.tidy(lambda batches: _texts(batches, units)), "hash bigint, chunk string")
-    same = texts.groupBy("hash", "chunk").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.sum("one").alias("kinds")).where("kinds = 1").select("hash")
-
-    gone = repeated.join(same, "hash").where("doc_id != first_doc or place != first_place")
-    gone = keep(gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.sort_array(F.collect_list("place")).alias("__places")), "lines-gone")
+    fields = [T.StructField("doc_id", kind), T.StructField("of_text", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("hash", T.LongType())]
+    listed = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("of_text"), "text")
+    found = keep(listed.mapInArrow(tokens.tidy(lambda batches: _listed(batches, units, words)), T.StructType(fields)).distinct(), "lines-units")
+    counted = keep(found.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1"), "lines-counted")
+    repeated = keep(hot_join(found, counted, "hash", F.col("n"), found.count()), "lines-repeated")
+
+    places = keep(repeated.groupBy(F.col("doc_id").alias("of_doc"), F.col("of_text").alias("of")).agg(F.sort_array(F.collect_list("place")).alias("places")), "lines-places")
+    texts = listed.join(_sized(places, "places"), (F.col("doc_id") == F.col("of_doc")) & (F.col("of_text") == F.col("of"))).select("text", "places")
+    texts = texts.mapInArrow(tokens.tidy(lambda batches: _texts(batches, units)), "hash bigint, chunk string")
+    unlike = keep(texts.groupBy("hash", "chunk").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.sum("one").alias("kinds")).where("kinds > 1").select("hash"), "lines-unlike")
+
+    own = repeated.where("doc_id = first_doc")
+    first = own.groupBy("hash").agg(F.min(F.struct("of_text", "place")).alias("first"))
+    again = own.join(first, "hash").where(F.struct("of_text", "place") != F.col("first")).drop("first")
+    gone = repeated.where("doc_id != first_doc").unionByName(again)
+    if n := unlike.count():
+        gone = gone.join(F.broadcast(unlike) if n <= BROADCAST_ROWS else unlike, "hash", "left_anti")
+    gone = gone.groupBy(F.col("doc_id").alias("__doc"), F.col("of_text").alias("__of")).agg(F.sort_array(F.collect_list(F.struct("place", "hash"))).alias("__places"))
+    gone = keep(gone, "lines-gone")
+    discard(found, counted, repeated, places, unlike)
     columns = documents.columns
-    marked = documents.join(_sized(gone, "__places"), F.col("doc_id") == F.col("__doc"), "left").select(*columns, "__places")
+    marked = documents.join(_sized(gone, "__places"), (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__of")), "left").select(*columns, "__places")
     added = [T.StructField("n_removed_chunks", T.LongType()), T.StructField("n_removed_lines", T.LongType())]
     schema = T.StructType([*documents.schema.fields, *added])
     at = columns.index("text")
@@ -199,7 +210,8 @@ def dedup(documents: DataFrame, units: Callable = chunks, words: int = 2) -> Dat
                 for row, _, first, lines, value, _ in units(out):
                     for r in np.unique(row):
                         lo, hi, of = np.searchsorted(row, r), np.searchsorted(row, r, side="right"), int(touched[r])
-                        own, gone = (out[int(r)].as_py() or "").split("\n"), [p for p in places[of].as_py() if p < hi - lo]
+                        own, hashes = (out[int(r)].as_py() or "").split("\n"), value[lo:hi].view(np.int64)
+                        gone = [x["place"] for x in places[of].as_py() if x["place"] < hi - lo and hashes[x["place"]] == x["hash"]]
                         lost = _lost(gone, first[lo:hi], lines[lo:hi], value[lo:hi])
                         if units is pairs:
                             lost |= _between(own, lost)
