@@ -1,21 +1,25 @@
 """N-gram Jaccard join: all links between texts whose sets of 5-word shingles have a similarity of 0.8 or more.
 
-Equal sets are one class from the start. Of each class one text is read again, and its shingles (48 bits of their
-hash) go to an inverted index that is dealt by ranges of shingles, packed and sorted, a few MB to a task. A shingle that
-only one class holds can't be shared and ends there; the others go back to their class with the number of classes that
-hold them. A class that shares less than 0.8 of its shingles with anyone is done. The rest sort theirs rarest first;
+Equal sets are one class from the start: sets of one 64-bit digest, and where those of a second digest differ, of both.
+Of each class one text is read again, and its shingles (48 bits of their hash) go to an inverted index that is dealt by
+ranges of shingles, packed and sorted, a few MB to a task. Texts are indexed in units of some ten thousand; a shingle that
+several texts of a unit hold goes there once, with their number, so the most frequent shingle brings a task one entry from
+each unit. A shingle that only one class holds can't be shared and ends there; the others go back to their unit with the
+number of classes that hold them. A class that shares less than 0.8 of its shingles with anyone is done. The rest sort theirs rarest first;
 two classes that link share one of the first s - ceil(0.8 n) + 1 of s shared out of n shingles, so classes that share such a prefix
 shingle form a cluster, found as components of stars: a hot shingle sends one row from each unit of index and never a pair.
 
-Clusters are joined where they fit one task; sets of larger ones are dealt to blocks, and each pair of blocks is a task.
+Clusters are joined where they fit one task; sets of larger ones are dealt to blocks by size, as those that link differ by
+a quarter at most, and each pair of blocks of the same or neighbouring sizes is a task.
 Inside a task, set relations save work twice. Index lists are kept in blocks by position, and a set without similar
 predecessor reads just those blocks that its prefix can meet. A set that is highly similar to one whose answers are known
 (overlap counts with all sets at hand) derives its own from them: it adds the lists of the shingles it has more and
 takes off those of the shingles it has less.
 
 Cases: a null or empty text has no shingle and links with nothing, not even its like; a text of fewer than five words
-is one shingle; repeated rows are one class. A document without id belongs to its class and component and gets the
-least id there, if any. Ties can't arise: a component is named by its least doc_id.
+is one shingle; repeated rows are one class, and rows of one id with different texts are sets of their own. A document
+without id belongs to its class and component and gets the least id there, if any. A component is named by its least
+doc_id.
 """
 
 from __future__ import annotations
@@ -25,13 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.llm import tokens
 from lacuna.llm.components import components
-from lacuna.llm.storage import keep, small_batches
+from lacuna.llm.skew import hot_join
+from lacuna.llm.storage import discard, keep, small_batches
 
 BROADCAST_ROWS = 1_000_000
 RANGE_POSTINGS = 1_000_000
@@ -41,22 +46,28 @@ BUCKET_BYTES = 8 << 20
 CLUSTER_BYTES = 16 << 20
 _U = np.uint64
 _LOW = _U(0xFFFF)
+LEVEL = 1.26  # sizes of one level of blocks; a little more than the 1.25 that sets which link can differ by
+MOST_CLASHES = 10_000
 
 
-def class_of(shingles: np.ndarray) -> int:
-    """The id of a set: the same for equal sets."""
+def class_of(shingles: np.ndarray) -> tuple[int, int]:
+    """Two digests of a set: the same for equal sets."""
+    out = []
     with np.errstate(over="ignore"):
-        return int(tokens.mix(tokens.mix(shingles ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64, keepdims=True) + _U(len(shingles)))[0].astype(np.int64))
+        for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+            out.append(int(tokens.mix(tokens.mix(shingles ^ _U(seed)).sum(dtype=np.uint64, keepdims=True) + _U(len(shingles)))[0].astype(np.int64)))
+    return out[0], out[1]
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, own = [], []
-        for w in tokens.words(batch.column(1)):
+        for w in tokens.words(batch.column(2)):
             for s in tokens.shingle_sets(w):
                 n.append(len(s))
-                own.append(class_of(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(own, pa.int64())], names=["doc_id", "n_shingles", "class"])
+                own.append(class_of(s) if len(s) else (None, None))
+        columns = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), *(pa.array([x[k] for x in own], pa.int64()) for k in range(2))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "of_text", "n_shingles", "class", "second"])
 
 
 def planes(x: np.ndarray, width: int = 8) -> bytes:
@@ -70,19 +81,28 @@ def unplaned(raw: bytes, width: int = 8) -> np.ndarray:
     return x.reshape(-1).view(np.uint64)
 
 
-def _postings(ranges: int):
-    """text to (key, unit, body): postings by range of shingle, and for each unit the classes and sizes it numbers."""
-    edges = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
+def _postings(ranges: int, clashes: frozenset[int]):
+    """text to (key, unit, body): of each unit its shingles by range, and under a key below 0 what it needs itself.
+
+    The low 16 bits of a shingle are the row in the unit that holds it, or all ones where several do; then their number
+    follows, and the rows stay with the unit."""
 
     def flush(unit: int, held: list[np.ndarray], classes: list[int], sizes: list[int]) -> pa.RecordBatch:
         every = np.concatenate(held)
         every.sort()
-        cut = [0, *np.searchsorted(every, edges), len(every)]
-        keys, bodies = [-1 - unit % ranges], [np.array(classes, dtype=np.int64).tobytes() + np.array(sizes, dtype=np.int64).tobytes()]
-        for k in range(ranges):
-            if cut[k] < cut[k + 1]:
-                keys.append(k)
-                bodies.append(planes(every[cut[k] : cut[k + 1]]))
+        shingle = every >> _U(16)
+        starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
+        n = np.diff(np.append(starts, len(every)))
+        own = np.concatenate([np.array([len(classes), *classes, *sizes], dtype=np.int64).view(np.uint64), every[np.repeat(n > 1, n)]])
+        sent, several = every[starts], n[n > 1].astype(np.uint32)
+        sent[n > 1] |= _LOW
+        behind = np.append(0, np.cumsum(n > 1))
+        place = ((sent >> _U(32)) * _U(ranges)) >> _U(32)
+        at = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        keys, bodies = [-1 - unit % ranges], [own.tobytes()]
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(sent)]):
+            keys.append(int(place[lo]))
+            bodies.append(np.int64(hi - lo).tobytes() + planes(sent[lo:hi]) + several[behind[lo] : behind[hi]].tobytes())
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([unit] * len(keys), pa.int64()), pa.array(bodies, pa.binary())], names=["key", "unit", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +111,11 @@ def _postings(ranges: int):
         for batch in batches:
             for w in tokens.words(batch.column(0)):
                 for s in tokens.shingle_sets(w):
-                    if not len(s) or (own := class_of(s)) in seen:
+                    if not len(s):
+                        continue
+                    own, second = class_of(s)
+                    own = own ^ second if own in clashes else own
+                    if own in seen:
                         continue
                     seen.add(own)
                     bare = s & ~_LOW
@@ -111,29 +135,30 @@ def _postings(ranges: int):
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """One range: of postings to those of shingles that two classes or more hold, by unit, with their number."""
+    """One range: of shingles to those that two classes or more hold, by unit, with their number."""
     key, units, bodies = table.column(0)[0].as_py(), table.column(1).to_pylist(), table.column(2).to_pylist()
     if key < 0:
         return pa.table({"unit": pa.array(units, pa.int64()), "names": pa.array([True] * len(units), pa.bool_()), "body": pa.array(bodies, pa.binary())})
-    parts = [unplaned(b) for b in bodies]
-    every = np.concatenate(parts)
-    source = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    lengths = [int(np.frombuffer(b, np.int64, 1)[0]) for b in bodies]
+    every = np.concatenate([unplaned(b[8 : 8 + 8 * n]) for b, n in zip(bodies, lengths)])
+    holders = np.ones(len(every), dtype=np.int64)
+    holders[every & _LOW == _LOW] = np.concatenate([np.frombuffer(b, np.uint32, offset=8 + 8 * n) for b, n in zip(bodies, lengths)])
+    source = np.repeat(np.arange(len(bodies)), lengths)
     order = np.argsort(every, kind="stable")
-    every, source = every[order], source[order]
+    every, source, holders = every[order], source[order], holders[order]
     shingle = every >> _U(16)
     starts = np.flatnonzero(np.append(True, shingle[1:] != shingle[:-1]))
-    held_by = np.repeat(np.diff(np.append(starts, len(shingle))), np.diff(np.append(starts, len(shingle))))
+    held_by = np.repeat(np.add.reduceat(holders, starts), np.diff(np.append(starts, len(shingle))))
     more = held_by > 1
     every, source, shingle, held_by = every[more], source[more], shingle[more], held_by[more]
     order = np.argsort(source, kind="stable")
-    cut = np.searchsorted(source[order], np.arange(len(parts) + 1))
+    source = source[order]
+    filled = np.flatnonzero(np.append(True, source[1:] != source[:-1])) if len(source) else np.zeros(0, int)
     names, out = [], []
-    for i in range(len(parts)):
-        if cut[i] < cut[i + 1]:
-            own = order[cut[i] : cut[i + 1]]
-            own = own[np.argsort(every[own] & _LOW, kind="stable")]
-            names.append(units[i])
-            out.append((every[own] & _LOW).astype(np.uint16).tobytes() + np.minimum(held_by[own], 0xFFFF).astype(np.uint16).tobytes() + planes(shingle[own], 6))
+    for lo, hi in zip(filled, np.append(filled[1:], len(source))):
+        own = order[lo:hi]
+        names.append(units[source[lo]])
+        out.append((every[own] & _LOW).astype(np.uint16).tobytes() + np.minimum(held_by[own], 0xFFFF).astype(np.uint16).tobytes() + planes(shingle[own], 6))
     return pa.table({"unit": pa.array(names, pa.int64()), "names": pa.array([False] * len(names), pa.bool_()), "body": pa.array(out, pa.binary())})
 
 
@@ -149,16 +174,24 @@ def _clusters(table: pa.Table) -> pa.Table:
     """One unit: the classes that may link (kind 0), stars inside the unit (1), and a row for each prefix shingle (2)."""
     names, bodies = table.column(1).to_pylist(), table.column(2).to_pylist()
     about = np.frombuffer(bodies[names.index(True)], dtype=np.int64)
-    classes, n = about[: len(about) // 2], about[len(about) // 2 :]
+    count = int(about[0])
+    classes, n, within = about[1 : 1 + count], about[1 + count : 1 + 2 * count], about[1 + 2 * count :].view(np.uint64)
     raw = [b for b, is_names in zip(bodies, names) if not is_names]
     m = [len(b) // 10 for b in raw]
     row = np.concatenate([np.frombuffer(b, np.uint16, k) for b, k in zip(raw, m)] or [np.zeros(0, np.uint16)])
     rarity = np.concatenate([np.frombuffer(b, np.uint16, k, 2 * k) for b, k in zip(raw, m)] or [np.zeros(0, np.uint16)])
+    shingle = np.concatenate([unplaned(b[4 * k :], 6) for b, k in zip(raw, m)] or [np.zeros(0, np.uint64)])
+    many = np.flatnonzero(row == 0xFFFF)
+    if len(many):  # rows of shingles that several of this unit hold are here
+        many = many[np.argsort(shingle[many])]
+        theirs, one = within >> _U(16), row != 0xFFFF
+        common = rarity[many][np.searchsorted(shingle[many], theirs)]
+        row = np.concatenate([row[one], (within & _LOW).astype(np.uint16)])
+        rarity, shingle = np.concatenate([rarity[one], common]), np.concatenate([shingle[one], theirs])
     shared = np.bincount(row, minlength=len(n))
     alive = shared >= least_overlap(n)
     use = alive[row]
-    shingle = np.concatenate([unplaned(b[4 * k :], 6) for b, k in zip(raw, m)] or [np.zeros(0, np.uint64)])[use]
-    row, rarity = row[use], rarity[use]
+    shingle, row, rarity = shingle[use], row[use], rarity[use]
     order = np.lexsort((shingle, rarity, row))
     row, shingle = row[order], shingle[order]
     rows = np.flatnonzero(alive)
@@ -289,67 +322,115 @@ def _sized(frame: DataFrame) -> DataFrame:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, class) of each row, written."""
+    """(doc_id, of_text, n_shingles, class, second) of each row, written; of_text is a hash of the whole text."""
     small_batches(documents.sparkSession)
-    kind = documents.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())])
-    return keep(documents.select("doc_id", "text").mapInArrow(tokens.tidy(_signatures), schema), "jaccard-signatures")
+    long = [T.StructField(x, T.LongType()) for x in ("of_text", "n_shingles", "class", "second")]
+    schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), *long])
+    return keep(documents.select("doc_id", F.xxhash64("text").alias("of_text"), "text").mapInArrow(tokens.tidy(_signatures), schema), "jaccard-signatures")
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    by = signed.where("class is not null").groupBy("class")
+    return keep(by.agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"), F.min("second").alias("lowest"), F.max("second").alias("highest")), "jaccard-classes")
+
 
+def told_apart(signed: DataFrame) -> tuple[DataFrame, DataFrame, frozenset[int]]:
+    """Signatures and classes in which no class holds two sets, and the digests that had to be told apart.
 
-def class_links(documents: DataFrame, signed: DataFrame) -> DataFrame:
+    A clash of 64 bits is expected among some 10^9.6 different sets; MOST_CLASHES would need 10^11.5."""
+    classes = _classes(signed)
+    clashes = frozenset(r["class"] for r in classes.where("lowest != highest").select("class").limit(MOST_CLASHES + 1).collect())
+    if not clashes:
+        return signed, classes, clashes
+    if len(clashes) > MOST_CLASHES:
+        raise RuntimeError("too many sets share a digest")
+    signed = signed.withColumn("class", F.when(F.col("class").isin(list(clashes)), F.col("class").bitwiseXOR(F.col("second"))).otherwise(F.col("class")))
+    return signed, _classes(signed), clashes
+
+
+def class_links(documents: DataFrame, signed: DataFrame, classes: DataFrame, clashes: frozenset[int] = frozenset()) -> DataFrame:
     """(a, b, n_links): each class that may link, one it is joined to (itself where there is none), and its links in one task."""
-    first = signed.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    copies = signed.where("doc_id is not null").select("doc_id").distinct().join(first.select("doc_id").distinct(), "doc_id", "left_anti")
+    copies = signed.where("doc_id is not null").select("doc_id").distinct().join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_anti")
     copies = keep(copies.withColumnRenamed("doc_id", "copy"), "jaccard-copies")
     total = signed.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(8, -(-total // RANGE_POSTINGS))
     single = documents.join(_sized(copies), F.col("doc_id") == F.col("copy"), "left_anti").select("text")
-    index = single.mapInArrow(tokens.tidy(_postings(ranges)), "key int, unit bigint, body binary")
+    index = single.mapInArrow(tokens.tidy(_postings(ranges, clashes)), "key int, unit bigint, body binary")
     shared = index.groupBy("key").applyInArrow(tokens.tidy(_shared), "unit bigint, names boolean, body binary")
     parts = keep(shared.groupBy("unit").applyInArrow(tokens.tidy(_clusters), _PARTS), "jaccard-parts")
+    discard(copies)
 
     prefix = parts.where("kind = 2").select(F.col("a").alias("shingle"), F.col("b").alias("class"))
-    lead = prefix.groupBy("shingle").agg(F.min("class").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = prefix.join(lead, "shingle").where("class != lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
-    cluster = components(parts.where("kind = 1").select("a", "b").union(stars)).select(F.col("node").alias("class"), F.col("root").alias("cluster"))
-
-    sets = parts.where("kind = 0").select(F.col("a").alias("class"), "n", "body").join(cluster, "class")
-    weight = keep(sets.groupBy("cluster").agg(F.sum(F.length("body")).alias("bytes")), "jaccard-weights")
-    buckets = max(1, -(-(weight.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
-    blocks = F.greatest(F.ceil(F.col("bytes") / CLUSTER_BYTES), F.lit(1)).cast("int")
-    dealt = sets.join(weight.select("cluster", blocks.alias("blocks")), "cluster")
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    alone = F.pmod(F.xxhash64("cluster"), F.lit(buckets))
-    pair = F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.withColumn("task", F.when(F.col("blocks") == 1, alone).otherwise(pair)).withColumn("several", F.col("blocks") > 1)
-    return keep(dealt.select("task", "several", "cluster", "block", "class", "n", "body").groupBy("task", "several").applyInArrow(tokens.tidy(_joined), "a bigint, b bigint, n_links bigint"), "jaccard-links")
+    lead = prefix.groupBy("shingle").agg(F.min("class").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    stars = hot_join(prefix, keep(lead, "jaccard-leads"), "shingle", F.col("n"), prefix.count()).where("class != lead").select(F.col("lead").alias("a"), F.col("class").alias("b")).distinct()
+    found = components(parts.where("kind = 1").select("a", "b").union(stars))
+    cluster = found.select(F.col("node").alias("class"), F.col("root").alias("cluster"))
+
+    sets = parts.where("kind = 0").select(F.col("a").alias("class"), "n", "body").dropDuplicates(["class"]).join(cluster, "class")
+    sets = keep(sets.withColumn("level", F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int")), "jaccard-sets")
+    levels = keep(sets.groupBy("cluster", "level").agg(F.sum(F.length("body")).alias("bytes")), "jaccard-levels")
+    buckets = max(1, -(-(levels.agg(F.sum("bytes")).first()[0] or 0) // BUCKET_BYTES))
+    large = keep(levels.groupBy("cluster").agg(F.sum("bytes").alias("whole")).where(F.col("whole") > CLUSTER_BYTES).select("cluster"), "jaccard-large")
+    blocks = levels.join(_sized(large), "cluster").select("cluster", "level", F.ceil(F.col("bytes") / CLUSTER_BYTES).cast("int").alias("blocks"))
+    blocks = keep(blocks, "jaccard-blocks")
+    alone = sets.join(_sized(large), "cluster", "left_anti").select(F.pmod(F.xxhash64("cluster"), F.lit(buckets)).alias("task"), F.lit(False).alias("several"), "cluster", F.lit(0).cast("bigint").alias("block"), "class", "n", "body")
+
+    def block(level: str, number: str) -> Column:
+        return (F.col(level).cast("bigint") * (1 << 32) + F.col(number)).cast("bigint")
+
+    own = sets.join(_sized(blocks), ["cluster", "level"]).withColumn("number", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).drop("blocks")
+    own = own.withColumn("near", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)))
+    others = blocks.select(F.col("cluster").alias("of"), F.col("level").alias("other_level"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = own.join(_sized(others), (F.col("cluster") == F.col("of")) & (F.col("near") == F.col("other_level")))
+    dealt = dealt.withColumn("block", block("level", "number")).withColumn("beside", block("other_level", "other"))
+    pair = F.xxhash64("cluster", F.least("block", "beside"), F.greatest("block", "beside"))
+    dealt = dealt.select(pair.alias("task"), F.lit(True).alias("several"), "cluster", "block", "class", "n", "body")
+    links = keep(alone.union(dealt).groupBy("task", "several").applyInArrow(tokens.tidy(_joined), "a bigint, b bigint, n_links bigint"), "jaccard-links")
+    discard(parts, found, sets, levels, large, blocks)
+    return links
+
+
+def grouped(documents: DataFrame) -> DataFrame:
+    """(doc_id, of_text, n_shingles, class, class_id, n_links, component, component_id) of each row; component is unique, component_id as good as doc_id."""
+    signed, classes, clashes = told_apart(signatures(documents))
+    links = class_links(documents, signed, classes, clashes)
+    roots = components(links.select("a", "b"))
+    counts = links.groupBy("a").agg(F.sum("n_links").alias("n_links"))
+    names = classes.select("class", "class_id", "n")
+    linked = keep(names.drop("n").join(roots, F.col("class") == F.col("node")).select("class", "class_id", "root"), "jaccard-linked")
+    least = keep(linked.groupBy("root").agg(F.min("class_id").alias("component_id"), F.count("*").alias("n")), "jaccard-least")
+    reached = hot_join(linked.select("class", "root"), least, "root", F.col("n"), linked.count()).select("class", "root", "component_id")
+    named = names.join(reached, "class", "left").join(counts, F.col("class") == F.col("a"), "left")
+    named = keep(named.select("class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "class").alias("component"), F.coalesce("component_id", "class_id").alias("component_id"), "n"), "jaccard-named")
+    discard(links, roots, linked, least)
+    with_words = hot_join(signed.where("class is not null"), named, "class", F.col("n"), signed.count()).drop("n")
+    found = with_words.unionByName(signed.where("class is null"), allowMissingColumns=True)
+    return found.select("doc_id", "of_text", "n_shingles", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def join(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, class_id, n_links, component_id) of each row of documents (doc_id, text).
 
     class_id is the least doc_id with the same set; n_links counts the other classes that it links with."""
-    signed = signatures(documents)
-    links = class_links(documents, signed)
-    roots = components(links.select("a", "b"))
-    counts = links.groupBy("a").agg(F.sum("n_links").alias("n_links"))
-    classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    named = classes.join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class")).drop("node")
-    least = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    named = named.join(least, "root").join(counts, F.col("class") == F.col("a"), "left").select("class", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "component_id")
-    found = signed.join(named, "class", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return grouped(documents).select("doc_id", "n_shingles", "class_id", "n_links", "component_id")
 
 
 def dedup(documents: DataFrame) -> DataFrame:
-    """One document of each component, that of the least doc_id; documents without id or words stay. All columns pass through."""
-    joined = keep(join(documents.select("doc_id", "text")), "jaccard-joined")
-    gone = joined.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    again = joined.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
-    left = documents.join(_sized(keep(gone, "jaccard-gone")), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = keep(again, "jaccard-again")
+    """One row of each component: of the rows with its least doc_id that of the lowest hash of its text, and of rows alike in
+    both that of the lowest hash of all columns. Rows without id or words stay. All columns pass through."""
+    rows = keep(grouped(documents.select("doc_id", "text")), "jaccard-grouped")
+    named = rows.where("doc_id is not null and class is not null")
+    heads = keep(named.where("doc_id = component_id").groupBy("component", "doc_id", "of_text").agg(F.count("*").alias("n")), "jaccard-heads")
+    first = heads.groupBy("component").agg(F.min("of_text").alias("first"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    others = heads.join(first, "component").where("of_text != first").select("doc_id", "of_text")
+    key = [F.col("doc_id").alias("__doc"), F.col("of_text").alias("__of")]
+    gone = keep(named.where("doc_id != component_id").select("doc_id", "of_text").union(others).distinct().select(*key), "jaccard-gone")
+    again = keep(heads.where("n > 1").select("doc_id", "of_text").distinct().select(*key), "jaccard-again")
+    same = (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__of"))
+    left = documents.join(_sized(gone), same, "left_anti")
+    discard(rows)
     if not again.count():
         return left
-    many = left.join(_sized(again), F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(_sized(again), F.col("doc_id") == F.col("__again"), "left_anti").union(many)
+    one = F.min_by(F.struct(*[F.col(f"`{c}`") for c in documents.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
+    many = left.join(_sized(again), same, "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(one.alias("__row")).select("__row.*")
+    return left.join(_sized(again), same, "left_anti").union(many)

@@ -99,6 +99,49 @@ def test_join_of_repeated_rows_and_null_ids(spark):
     assert joined(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b, c = CASES[0], "only here " + CASES[40], CASES[70]
+    rows = [(1, a), (2, a), (2, b), (1, c), (1, c), (2, None), (3, a.upper()), (3, None), (4, b)]
+    assert joined(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+    got = jaccard.dedup(spark.createDataFrame([(*r, k % 2) for k, r in enumerate(rows)], SCHEMA + ", other int")).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got if r["text"]) == sorted([(1, a), (2, b), (1, c)])
+    assert sorted(r["doc_id"] for r in got if not r["text"]) == [2, 3]
+
+
+def test_a_shingle_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "UNIT_DOCS", 7)
+    monkeypatch.setattr(jaccard, "UNIT_POSTINGS", 300)
+    rng = random.Random(9)
+    line = "every text holds this line and this one too"
+    rows = [(i, " ".join([line, *(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 30)))])) for i in range(120)]
+    rows += [(200 + i, line + f" x{i}") for i in range(40)]
+    assert joined(spark.createDataFrame(rows, SCHEMA).repartition(5)) == brute(rows)
+    entries = [pa.RecordBatch.from_pydict({"text": [t for _, t in rows]})]
+    monkeypatch.setattr(jaccard.TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 1})())
+    out = pa.Table.from_batches(list(jaccard._postings(8, frozenset())(iter(entries))))
+    shared = [jaccard._shared(out.filter(pa.compute.equal(out["key"], k))) for k in range(8)]
+    hot = [np.frombuffer(b, np.uint16, len(b) // 10, len(b) // 5) for t in shared for b in t["body"].to_pylist()]
+    assert max(x.max() for x in hot) == len({t for _, t in rows})
+    assert len(out) < 9 * len(set(out["unit"].to_pylist())) + 1
+
+
+def test_digests_that_clash_are_told_apart(spark, monkeypatch):
+    whole = jaccard.class_of
+    monkeypatch.setattr(jaccard, "class_of", lambda s: (whole(s)[0] % 5, whole(s)[1]))
+    rows = [(i, t) for i, t in enumerate(CASES[:60])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sets = {(len(s), *jaccard.class_of(s)): i for i, t in reversed(rows) for w in tokens.words(pa.array([t])) for s in tokens.shingle_sets(w)}
+    signed = spark.createDataFrame([(i, 0, n, c, d) for (n, c, d), i in sets.items()], "doc_id bigint, of_text bigint, n_shingles bigint, class bigint, second bigint")
+    again, classes, clashes = jaccard.told_apart(signed)
+    assert clashes == {c for _, c, _ in sets} and classes.count() == len(sets) and again.select("class").distinct().count() == len(sets)
+    run = jaccard._postings(8, clashes)
+    monkeypatch.setattr(jaccard.TaskContext, "get", lambda: type("C", (), {"partitionId": lambda self: 0})())
+    out = pa.Table.from_batches(list(run(iter([pa.RecordBatch.from_pydict({"text": [t for _, t in rows]})]))))
+    about = np.frombuffer(out.filter(pa.compute.less(out["key"], 0))["body"][0].as_py(), np.int64)
+    assert set(about[1 : 1 + about[0]].tolist()) == {r["class"] for r in classes.collect()}
+    assert docs.count() == 60
+
+
 def test_join_of_nothing(spark):
     assert joined(spark.createDataFrame([], SCHEMA)) == []
 
@@ -238,6 +281,41 @@ def test_line_dedup(spark, monkeypatch, limit):
     assert total == sum(len(t.split("\n")) - len(u.split("\n")) + (not u and bool(t)) for (_, t), (_, u) in zip(sorted(rows, key=lambda r: str(r[0])), sorted(brute_dedup(rows), key=lambda r: str(r[0]))) if t)
 
 
+def brute_pairs(spark, rows):
+    """Pairs of adjacent lines, one with a word: each line that only gone pairs cover goes. Boundaries are line breaks alone."""
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) as h").collect()}
+    solid = lambda x: bool(WORD.search(x))
+    places = {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        for p, pair in enumerate(zip(lines, lines[1:])):
+            if i is not None and any(map(solid, pair)):
+                places.setdefault(pair, set()).add((i, hashes[t], p))
+    first = {pair: min(x) for pair, x in places.items()}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        pairs = list(zip(lines, lines[1:]))
+        gone = {p for p, x in enumerate(pairs) if i is not None and x in first and first[x] != (i, hashes[t], p)}
+        lost = set()
+        for p in gone:
+            lost |= {p + 1} if p and p - 1 not in gone and pairs[p - 1] == pairs[p] else {p, p + 1}
+        for a, b in itertools.combinations(sorted(lost), 2):
+            if not any(x in lost or solid(lines[x]) for x in range(a + 1, b)):
+                lost |= set(range(a + 1, b))
+        out.append((i, t if t is None else "\n".join(x for k, x in enumerate(lines) if k not in lost)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_of_repeated_ids(spark):
+    a, b = "\n".join(f"line {i} of the text" for i in range(9)), "\n".join(["own", *(f"line {i} of the text" for i in range(3, 7)), "b"])
+    for rows in ([(0, a), (1, a), (1, b)], [(0, a), (1, "short"), (1, a)], [(1, a), (1, None), (0, a)], [(1, a), (1, b), (1, a), (None, a), (2, b + "\nx\nx\nx\nx")]):
+        frame = spark.createDataFrame(rows, SCHEMA)
+        got = sorted(((r["doc_id"], r["text"]) for r in linededup.dedup(frame, linededup.pairs, words=1).collect()), key=str)
+        assert got == brute_pairs(spark, rows)
+        assert linededup.dedup(frame).count() == len(rows)
+
+
 @pytest.mark.parametrize("limit", [500_000, -1])
 def test_repeated_runs_go_whole(spark, tmp_path, monkeypatch, limit):
     monkeypatch.setattr(linededup, "BROADCAST_ROWS", limit)
