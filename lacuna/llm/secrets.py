@@ -1,17 +1,22 @@
 """Secret scans with a worklist of decoded layers.
 
-Three patterns are searched in every whole text and in every layer that decoding uncovers: percent escapes and
-Unicode escapes are undone over the whole layer, base64 runs are decoded one by one, those wrapped into
-lines of one width also as a whole, and what they hold is unpacked where it is compressed and read as UTF-8, else
-latin-1, and as UTF-16 where there are NULs. A new layer goes on the worklist unless the same text was seen before in this
-document, so decoding stops at a fixpoint and a text that decodes to itself ends there. Each layer knows, for each of
-its characters, the span of the original text it came from, and findings are reported there.
+Three patterns are searched in every whole text and in every layer that decoding uncovers. Percent and Unicode escapes
+are undone once over the whole layer and, where escapes are left or arise, to the end: as no two escapes overlap, the
+end is the same in whatever order they are undone, and one pass with a stack reaches it. The layers between, which only
+hold shorter nests, are skipped. Base64 runs are decoded one by one, those wrapped into lines of one width also as a whole,
+and what they hold is unpacked while it is compressed and read as UTF-8, else latin-1, and as UTF-16 where there are NULs.
+A new layer is scanned and decoded in turn unless the same text was seen before in this document, and unpacking stops at
+bytes seen before, so a text or an archive that holds itself ends there. Digests are kept of what was seen, no texts. Each
+layer knows, for each of its characters, the span of the original text it came from, and findings are reported there.
+
+What is unpacked is streamed: it is scanned in windows of about `PIECE` bytes that end at a line end which no pattern, no
+escape and no wrapped run goes across, so nothing is cut in two.
 
 A batch is searched for traces first (key words, long runs, escapes); only texts that have one become Python strings.
 
-Cases: a null or empty text has no finding. Equal findings (kind and span) count once. Spans count code points of the
-original text, ends are exclusive. Compressed layers are unpacked whole, with all their members, in pieces of `PIECE`
-bytes, and then held whole: memory grows with what they unpack to. Texts are never cut.
+Cases: a null or empty text has no finding. Equal findings (kind and span) count once, with the layers of the first found,
+depth first. Spans count code points of the original text, ends are exclusive. Texts are never cut; memory follows the
+text, the layers of one nest, and the longest stretch without a line end in what is unpacked.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -43,6 +49,11 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _NEXT = re.compile(r"\r?\n[\x20\t]*([A-Za-z0-9+/_-]+)(={0,2})")
 
+_BYTES = re.compile("[\udc80-\udcff]+")
+_OPENER = re.compile(r"[%\\]")
+_BEGUN = re.compile(r"%[0-9A-Fa-f]?|\\(?:u[0-9A-Fa-f]{0,3}|U[0-9A-Fa-f]{0,7}|x[0-9A-Fa-f]?|u\{[0-9A-Fa-f]{0,6})?")
+_RUN_AT_END = re.compile(rb"[A-Za-z0-9+/_-]{16}={0,2}\r?\Z")
+
 _HEX_BYTE = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _ANY_HEX = np.isin(np.arange(256), list(b"0123456789abcdefABCDEF"))
 _BASE64_BYTE = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"))
@@ -62,6 +73,7 @@ class Layer:
 
     def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None, path: str = "") -> None:
         self.text, self.start, self.end, self.path = text, start, end, path
+        self.unescaped = False  # made by undoing escapes: what is left of them is undone elsewhere
 
     def span(self, a: int, b: int) -> tuple[int, int]:
         return (a, b) if self.start is None else (int(self.start[a]), int(self.end[b - 1]))
@@ -129,28 +141,59 @@ def _unpacker(raw: bytes) -> Callable | None:
     return lzma.LZMADecompressor if raw[:6] == b"\xfd7zXZ\x00" else None
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """All members that stand one after another, whole; up to the first fault where there is one."""
-    make, out = _unpacker(raw), []
-    while make:
+def _unpacked(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What bytes that come in pieces unpack to, in pieces: all members one after another, up to the first fault."""
+    data = b""
+    while True:
+        while len(data) < 6 and (more := next(pieces, None)) is not None:
+            data = (data + more).lstrip(b"\0")
+        make = _unpacker(data)
+        if not make:
+            return
         unpack = make()
-        try:
-            out.append(unpack.decompress(raw, PIECE))
-            while not unpack.eof:
-                if hasattr(unpack, "unconsumed_tail"):
-                    piece = unpack.decompress(unpack.unconsumed_tail, PIECE)
-                    stuck = not piece and not unpack.unconsumed_tail
-                else:
-                    piece = b"" if unpack.needs_input else unpack.decompress(b"", PIECE)
-                    stuck = not piece and unpack.needs_input
-                out.append(piece)
-                if stuck:
-                    break
-        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-            break
-        raw = unpack.unused_data.lstrip(b"\0") if unpack.eof else b""
-        make = _unpacker(raw)
-    return b"".join(out) if out else None
+        while not unpack.eof:
+            try:
+                piece = unpack.decompress(data, PIECE)
+            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+                return
+            if piece:
+                yield piece
+            data = getattr(unpack, "unconsumed_tail", b"")
+            if not unpack.eof and not piece and not data and (data := next(pieces, None)) is None:
+                return
+        data = unpack.unused_data.lstrip(b"\0")
+
+
+def _opened(raw: bytes) -> tuple[Callable[[], Iterator[bytes]], int]:
+    """The innermost content of bytes as pieces, and how often it had to be unpacked; ends where bytes come back."""
+    seen, at, times = {hashlib.blake2b(raw, digest_size=16).digest()}, lambda: iter([raw]), 0
+    while True:
+        def inner(outer: Callable = at) -> Iterator[bytes]:
+            return _unpacked(outer())
+
+        digest, size = hashlib.blake2b(digest_size=16), 0
+        for piece in inner():
+            digest.update(piece)
+            size += len(piece)
+        if not size or digest.digest() in seen:
+            return at, times
+        seen.add(digest.digest())
+        at, times = inner, times + 1
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """Pieces joined and cut anew, at line ends before which no run of base64 stands."""
+    held = b""
+    for piece in pieces:
+        held += piece
+        cut = held.rfind(b"\n") if len(held) >= PIECE else -1
+        while cut >= 0 and _RUN_AT_END.search(held, max(0, cut - 20), cut):
+            cut = held.rfind(b"\n", 0, cut)
+        if cut >= 0:
+            yield held[: cut + 1]
+            held = held[cut + 1 :]
+    if held:
+        yield held
 
 
 def _base64_runs(text: str) -> Iterator[np.ndarray]:
@@ -196,13 +239,12 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        path, plain = "base64", True
-        while (inner := _unpacked(raw)) is not None and inner != raw:
-            raw, path, plain = inner, f"{path}/compressed", False
-        for text, wide in _texts(raw):
+        content, times = _opened(raw)
+        path = "base64" + "/compressed" * times
+        for raw, text, wide in ((w, *x) for w in _windows(content()) for x in _texts(w)):
             if not text:
                 continue
-            if plain and len(text) == -(-len(raw) // wide):  # byte k stands in characters 4k/3 to (4k + 4)/3
+            if not times and len(raw) == len(body) * 3 // 4 and len(text) == -(-len(raw) // wide):  # byte k stands in characters 4k/3 to (4k + 4)/3
                 k = np.arange(0, len(raw), wide)
                 z = np.minimum(k + wide, len(raw)) - 1
                 s, e = (x[places - a] for x in layer.spans(a, b))
@@ -213,20 +255,104 @@ def _decoded(layer: Layer) -> Iterator[Layer]:
                 yield Layer(text, np.broadcast_to(start, len(text)), np.broadcast_to(end, len(text)), f"{layer.path}/{path}")
 
 
+def _settled(layer: Layer) -> Layer:
+    """All escapes undone until none is left, by a stack: what an escape stands for may be part of the next one.
+
+    Bytes above ASCII wait as lone surrogates and are read as UTF-8 at the end."""
+    text, at = layer.text, 0
+    out: list[str] = []
+    lo: list[int] = []
+    hi: list[int] = []
+    begun: list[int] = []
+    chunks: list[tuple[str, np.ndarray, np.ndarray]] = []
+    while at < len(text):
+        if not begun:
+            if out:
+                chunks.append(("".join(out), np.array(lo), np.array(hi)))
+                out, lo, hi = [], [], []
+            m = _OPENER.search(text, at)
+            stop = m.start() if m else len(text)
+            if stop > at:
+                chunks.append((text[at:stop], np.arange(at, stop), np.arange(at + 1, stop + 1)))
+            if not m:
+                break
+            at = stop
+        out.append(text[at])
+        lo.append(at)
+        hi.append(at + 1)
+        at += 1
+        while True:
+            if out[-1] == "%" or out[-1] == "\\":
+                begun.append(len(out) - 1)
+                break
+            if not begun:
+                break
+            first = begun[-1]
+            tail = "".join(out[first : first + 11])
+            if _BEGUN.fullmatch(tail):
+                break
+            if m := _PERCENT.fullmatch(tail):
+                byte = int(tail[1:], 16)
+                new = chr(byte) if byte < 128 else chr(0xDC00 + byte)
+            elif m := _ESCAPE.fullmatch(tail):
+                point = int(next(x for x in m.groups() if x), 16)
+                new = chr(point) if point <= 0x10FFFF and not 0xD800 <= point < 0xE000 else ""
+            else:
+                new = ""
+            if not new:  # never an escape, nor are those that began before it
+                begun.clear()
+                break
+            begun.pop()
+            span = lo[first], hi[-1]
+            del out[first:], lo[first:], hi[first:]
+            out.append(new)
+            lo.append(span[0])
+            hi.append(span[1])
+    if out:
+        chunks.append(("".join(out), np.array(lo), np.array(hi)))
+    whole = "".join(c[0] for c in chunks)
+    first, last = (np.concatenate([c[k] for c in chunks]) for k in (1, 2))
+    s, e = (first, last) if layer.start is None else (layer.start[first], layer.end[last - 1])
+    made = Layer(whole, s, e, f"{layer.path}/escapes")
+    wide = [(m.start(), m.end(), m[0].encode("utf-8", "surrogateescape").decode("utf-8", "replace")) for m in _BYTES.finditer(whole)]
+    if wide:
+        made = _rewritten(made, wide, "")
+        made.path = f"{layer.path}/escapes"
+    return made
+
+
+def _unescaped(layer: Layer) -> Iterator[Layer]:
+    once = [x for x in (_percent(layer) if "%" in layer.text else None, _escaped(layer) if "\\" in layer.text else None) if x]
+    if len(once) > 1 or any(_PERCENT.search(x.text) or _ESCAPE.search(x.text) for x in once):
+        once.append(_settled(layer))
+    for x in once:
+        x.unescaped = True
+        yield x
+
+
+def _inside(layer: Layer) -> Iterator[Layer]:
+    if not layer.unescaped:
+        yield from _unescaped(layer)
+    yield from _decoded(layer)
+
+
 def findings(text: str) -> list[dict]:
     """All findings of a text, by start and then kind; `layers` is empty for those of the text itself."""
     out: dict[tuple[int, int, int], str] = {}
-    work, seen = [Layer(text)], {text}
+    work, seen = [iter([Layer(text)])], set()
     while work:
-        layer = work.pop(0)
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
+        digest = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        if digest in seen:
+            continue
+        seen.add(digest)
         for kind, a, b in base_findings(layer.text):
             s, e = layer.span(a, b)
             out.setdefault((s, KINDS.index(kind), e), layer.path)
-        new = [x for x in (_percent(layer) if "%" in layer.text else None, _escaped(layer) if "\\" in layer.text else None) if x]
-        for x in [*new, *_decoded(layer)]:
-            if x.text not in seen:
-                seen.add(x.text)
-                work.append(x)
+        work.append(_inside(layer))
     return [{"kind": KINDS[k], "start": s, "end": e, "layers": path} for (s, k, e), path in sorted(out.items())]
 
 

@@ -94,18 +94,124 @@ def test_layers_in_any_coding_and_wrapped(inner, least):
     assert any("\n" in text[f["start"] : f["end"]] for f in found) or not least
 
 
-def test_cycles_end():
+def test_cycles_end(monkeypatch):
     text = "a%2525252541" + base64.b64encode(b"plain text without any secret in it").decode()
     assert secrets.findings(text) == []
+    # archives that unpack to themselves, at once and after one another
+    around = {b"\x1f\x8bone.....": b"\x1f\x8btwo.....", b"\x1f\x8btwo.....": b"\x1f\x8bone.....", b"\x1f\x8bself....": b"\x1f\x8bself...."}
+
+    class Loop:
+        eof, unused_data = False, b""
+
+        def decompress(self, data, _):
+            self.eof = True
+            return around[data]
+
+    monkeypatch.setattr(secrets, "_unpacker", lambda raw: Loop if raw in around else None)
+    for raw in around:
+        assert secrets._opened(raw)[1] == (0 if b"self" in raw else 1)
+        assert secrets.findings("x " + base64.b64encode(raw + b"").decode()) == []
+
+
+def undone(text):
+    """Undo one layer after another, each by its own pass, until nothing changes."""
+    while True:
+        new = re.sub(r"%([0-9A-Fa-f]{2})", lambda m: chr(int(m[1], 16) + 0xDC00 * (int(m[1], 16) > 127)), text)
+        new = re.sub(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\U([0-9A-Fa-f]{8})", lambda m: chr(int(m[1] or m[2] or m[3] or m[4], 16)), new)
+        if new == text:
+            return text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        text = new
+
+
+def test_escapes_settle_as_pass_after_pass():
+    rng = random.Random(3)
+    for n in range(400):
+        text = "".join(rng.choice(["%", "%25", "25", "3", "35", "41", "\\", "\\u", "\\u00", "5c", "25", "u", "x", "x41", "{", "}", "\\x25", "5", "0", "z", "%5c", "é"]) for _ in range(rng.randrange(1, 40)))
+        got = secrets._settled(secrets.Layer(text))
+        assert got.text == undone(text), text
+        assert len(got.start) == len(got.end) == len(got.text) and (got.start < got.end).all() and (got.end <= len(text)).all()
+
+
+@pytest.mark.parametrize("deep", ["%" + "25" * 350_000 + "41", "%3" * 350_000 + "5", "%5cu0025" + "5cu0025" * 100_000, "\\" + "u005c" * 150_000 + "u0041"])
+def test_deep_nests_take_one_pass(deep):
+    import time
+
+    began = time.perf_counter()
+    found = secrets.findings("password" + deep + "=abcdefgh12 " + urllib.parse.quote(urllib.parse.quote(urllib.parse.quote(SECRET, safe=""), safe=""), safe=""))
+    assert time.perf_counter() - began < 10
+    assert any(f["kind"] == "assign" and f["start"] >= len(deep) and f["layers"] for f in found)
+
+
+def test_streams_are_cut_where_nothing_spans(monkeypatch):
+    rng = random.Random(4)
+    inner = wrapped(gzip.compress(bytes(rng.randrange(256) for _ in range(900)) + SECRET.encode()), 64)
+    body = "\n".join(["x y z " * rng.randrange(9) for _ in range(50)] + [SECRET, "see " + inner, KEY] + ["q " * 30 for _ in range(60)])
+    text = "see " + base64.b64encode(lzma.compress(gzip.compress(body.encode()))).decode()
+    want = secrets.findings(text)
+    assert {f["kind"] for f in want} == {"assign", "access"}
+    for piece in (64, 100, 333, 1000):
+        monkeypatch.setattr(secrets, "PIECE", piece)
+        windows = list(secrets._windows(iter([body.encode()[i : i + piece] for i in range(0, len(body), piece)])))
+        assert b"".join(windows) == body.encode() and len(windows) > 1
+        assert not any(w.endswith(b"\n") and re.search(rb"[A-Za-z0-9+/]{16}\n$", w) for w in windows)
+        assert [{**f, "layers": ""} for f in secrets.findings(text)] == [{**f, "layers": ""} for f in want]
+
+
+VALUE = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+
+def scanned(text):
+    """The base findings, character by character, without patterns."""
+
+    def stretch(at, allowed):
+        end = at
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    def assign(at):
+        low = "".join(c.lower() if c.isascii() else c for c in text[at : at + 8])
+        key = next((k for k in ("password", "passwd", "secret", "token", "apikey", "api_key") if low.startswith(k)), None)
+        if not key:
+            return None
+        end = at + len(key)
+        end += text[end : end + 1] in ("'", '"')
+        end = stretch(end, " ")
+        if text[end : end + 1] not in (":", "="):
+            return None
+        end = stretch(end + 1, " ")
+        end += text[end : end + 1] in ("'", '"')
+        stop = stretch(end, VALUE)
+        return (stop, stop - end >= 8) if stop > end else None
+
+    def access(at):
+        end = stretch(at + 4, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") if text.startswith("AKIA", at) else at
+        return (end, end - at >= 16) if end > at + 4 else None
+
+    def hexadecimal(at):
+        end = stretch(at, "0123456789abcdef")
+        return (end, end - at >= 32) if end > at else None
+
+    out = []
+    for order, (kind, rule) in enumerate((("assign", assign), ("access", access), ("hex", hexadecimal))):
+        at = 0
+        while at < len(text):
+            got = rule(at)
+            if got and got[1]:
+                out.append((at, order, got[0], kind))
+            at = got[0] if got else at + 1
+    return [(kind, a, b) for a, _, b, kind in sorted(out)]
 
 
 def test_scan_table(spark):
-    rows = queries.op8_secrets(spark, SMALL).collect()
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op8_secrets(spark, sf).collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     import hashlib
 
+    assert sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in rows) > 5
     for r in rows:
-        base = sorted(secrets.base_findings(texts[r["doc_id"]] or ""), key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+        base = scanned(texts[r["doc_id"]] or "")
         assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x[0] for x in base) for k in secrets.KINDS)
 
@@ -195,7 +301,7 @@ def test_due_inverts_the_integral(spark):
 
 def test_sharding(spark, tmp_path):
     folder = str(tmp_path / "store")
-    store = sharding.Store(spark, folder, sharding.Settings(target_bytes=40_000, least_bytes=2_000, fanout=3))
+    store = sharding.Store(spark, folder, sharding.Settings(target_bytes=40_000, least_bytes=2_000, fanout=3, full_every=3, retain=1, least_age=0))
     assert store.assignment().count() == 0 and store.version() == 0
     text = lambda i: " ".join(str(hash((i, k)) % 10**9) for k in range(60))
     for v in range(4):
@@ -207,11 +313,40 @@ def test_sharding(spark, tmp_path):
     assert len(store.shards(4)) == 24 and store.read(store.shards(4)).count() == 400
     assert store.vacuum() >= 24 and store.read().count() == 400
     with pytest.raises(RuntimeError, match="another writer"):
-        store._commit(2, [])
+        store._commit(2, [], [])
     empty = sharding.shard(spark.createDataFrame([], SCHEMA), str(tmp_path / "empty"))
     assert empty.assignment().count() == 0
     odd = sharding.shard(spark.createDataFrame([(None, None, "x"), (1, "", None), (1, "", None)], SCHEMA + ", shard string"), str(tmp_path / "odd"))
     assert odd.assignment().count() == 3 and odd.read().columns == ["doc_id", "text", "shard"]
+    typed = sharding.shard(spark.createDataFrame([], "doc_id string, version int"), str(tmp_path / "typed")).assignment()
+    assert dict(typed.dtypes) == {"doc_id": "string", "shard": "string", "shard_bytes": "bigint", "version": "int"} and typed.count() == 0
+
+
+@pytest.mark.parametrize("scheme", ["file", "other"])
+def test_interleaved_writers_lose_nothing(spark, tmp_path, scheme, monkeypatch):
+    folder = str(tmp_path / "store")
+    rows = lambda lo: spark.createDataFrame([(i, f"t{i}") for i in range(lo, lo + 10)], SCHEMA)
+    settings = sharding.Settings(least_age=0, fanout=2)
+    a, b = (sharding.Store(spark, folder, settings) for _ in range(2))
+    if scheme == "other":  # the way of file systems whose rename is exclusive
+        for x in (a, b):
+            x._fs = type("Fs", (), {"getScheme": lambda self: "other", "__getattr__": lambda self, n, fs=x._fs: getattr(fs, n)})()
+    seen = b.version()
+    written = b._write(rows(100))
+    assert a.append(rows(0)) == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        b._commit(seen, written, [], rows(0).schema.json())
+    assert sorted(r["doc_id"] for r in a.read().collect()) == list(range(10))
+    assert b._commit(b.version(), written, []) == 2
+    late = sharding.Store(spark, folder, settings)
+    assert sorted(r["doc_id"] for r in late.read().collect()) == [*range(10), *range(100, 110)]
+    flight = b._write(rows(200))
+    assert sharding.Store(spark, folder).vacuum() == 0  # files of a writer in flight are young
+    a.compact()
+    b._commit(b.version(), flight, [])
+    assert sorted(r["doc_id"] for r in late.read().collect()) == [*range(10), *range(100, 110), *range(200, 210)]
+    assert [late.read(late.shards(v)).count() for v in range(1, late.version() + 1)][:2] == [10, 20]
+    assert not [n for n, *_ in late._list("manifests") if n.endswith(".draft")]
 
 
 def test_language(spark):
@@ -248,6 +383,69 @@ def test_no_count_of_a_language_is_dropped(spark):
     assert [r["lang_pred"] for r in sorted(got, key=lambda r: r["doc_id"])] == ["aa", "zh"]
 
 
+def brute_language(train, test):
+    """Cross-entropies under interpolated Kneser-Ney, from dictionaries of tuples."""
+    import math
+
+    def sequence(text):
+        out = []
+        for c in text:
+            if c.isalpha():
+                out.append(c.lower() if len(c.lower()) == 1 else c)
+            elif out and out[-1] != "":
+                out.append("")
+        return out
+
+    def grams(text):
+        padded = ["", "", "", *sequence(text)]
+        return [tuple(padded[i : i + 4]) for i in range(len(padded) - 3)]
+
+    counts = [{}, {}, {}, {}, {}]
+    for text in train:
+        for g in grams(text):
+            counts[4][g] = counts[4].get(g, 0) + 1
+    for n in (3, 2, 1):
+        for g in counts[n + 1]:
+            counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+    discount = [0] * 5
+    for n in range(1, 5):
+        once, twice = (list(counts[n].values()).count(k) for k in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once and twice else 0.75
+
+    def p(g, alphabet):
+        if not g:
+            return 1 / alphabet
+        beside = [c for h, c in counts[len(g)].items() if h[:-1] == g[:-1]]
+        below = p(g[1:], alphabet)
+        if not beside:
+            return below
+        d = discount[len(g)]
+        return max(counts[len(g)].get(g, 0) - d, 0) / sum(beside) + d * len(beside) / sum(beside) * below
+
+    return lambda alphabet: [-sum(math.log(p(g, alphabet)) for g in grams(t)) / max(1, len(grams(t))) for t in test], {g[-1] for g in counts[4]}
+
+
+def test_language_against_brute_force(spark):
+    import pyarrow as pa
+
+    texts = {"aa": ["Karo mika, tulo sena karo!", "sena  tulo karo mi 12 ka", "ro"], "bb": ["Schön ungeheit schung \U00020000\U00020001 eit", "ung eit ung 😀 heit"]}
+    rows = [(i, lang, t) for i, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"))
+    tests = ["karo schung", "Zebra \U00020001 ung", "mika tulo eit 77 ro", "k", "ééé karo"]
+    got, letters = langid.cross_entropies(pa.array(tests), model)
+    brute = [brute_language(own, tests) for own in texts.values()]
+    alphabet = len(set().union(*(seen for _, seen in brute))) + 1
+    for i, (entropies, _) in enumerate(brute):
+        assert got[:, i].tolist() == pytest.approx(entropies(alphabet), rel=2e-6)
+    assert letters.tolist() == [10, 9, 13, 1, 7]
+
+
+def test_texts_without_letters(spark):
+    model = langid.fit(spark.createDataFrame([(1, "en", "some words here"), (2, "fr", "des mots ici")], "doc_id bigint, lang string, text string"))
+    got = {r["text"]: r["lang_pred"] for r in langid.identify(frame(spark, ["😀 123", "😀", "\U0001F600\U0010FFFF", "words", "\U00020000"]), model).collect()}
+    assert [got[t] for t in ("😀 123", "😀", "\U0001F600\U0010FFFF")] == ["und"] * 3 and got["words"] == "en" and got["\U00020000"] != "und"
+
+
 def test_language_probabilities_sum_to_one():
     import numpy as np
     import pyarrow as pa
