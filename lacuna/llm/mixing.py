@@ -107,8 +107,17 @@ def mix(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     return out.select("doc_id", "source", *[f"others.{c}" for c in kept], "size", "source_size", "target", taken.alias("taken"), "placements")
 
 
+def _ranged(rows: DataFrame, by: list[Column], partitions: int | None) -> DataFrame:
+    return (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
+
+
 def ordered(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
     """One row for each placement, range-sorted by position: the order of training."""
     rows = mixed.withColumn("placement", F.explode("placements")).drop("placements").select("*", "placement.*").drop("placement")
-    by = [F.col("position"), F.col("doc_id"), F.col("copy")]
-    return (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
+    return _ranged(rows, [F.col("position"), F.col("doc_id"), F.col("copy")], partitions)
+
+
+def by_first_position(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """One row for each document, with the position of its first placement (null, and last, if it has none), range-sorted by it."""
+    rows = mixed.withColumn("position", F.get("placements", F.lit(0))["position"])
+    return _ranged(rows, [F.col("position").asc_nulls_last(), F.col("doc_id")], partitions)

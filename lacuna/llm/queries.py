@@ -48,8 +48,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    mixed = mixing.by_first_position(mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.size("placements").alias("copies"), F.round("position", 9).alias("position"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,13 +147,23 @@ with sized as (
   from filling
 ), goals as (
   select source, source_size, least(cast(whole as double), weight * (select arg_min(level, fills) from levels where level <= fills)) as target from levels
+), ranked as (
+  select *, (row_number() over (order by source nulls last) - 1) % 3 as schedule from goals
 ), placed as (
-  select s.*, source_size, target, coalesce(sum(size) over (partition by s.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start
-  from sized s join goals g on s.source is not distinct from g.source
+  select s.*, source_size, target, schedule, coalesce(sum(size) over (partition by s.source order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as start
+  from sized s join ranked g on s.source is not distinct from g.source
+), taking as (
+  select *, greatest(least(round(target) - start, size), 0) as one, greatest(least(round(target) - start - source_size, size), 0) as two from placed
+), whole as (
+  select *, case when one > 0 then start when two > 0 then start + source_size end / greatest(target, 1.0) as part from taking
 )
-select doc_id, cast(size as bigint) as size, source_size, round(target, 6) as target,
-  cast(greatest(least(round(target) - start, size), 0) + greatest(least(round(target) - start - source_size, size), 0) as bigint) as taken
-from placed
+select doc_id, cast(size as bigint) as size, source_size, round(target, 6) as target, cast(one + two as bigint) as taken,
+  cast((one > 0)::int + (two > 0)::int as int) as copies,
+  -- where the integrals 4t - t^2 (of 3), t/2 then 1/4 + x/2 + 2x^2 with x = t - 1/2 (of 1), and 2t (of 2) reach that part
+  case when part is not null then round(least(case schedule when 0 then 2 * (3 * part) / (4 + sqrt(greatest(16 - 4 * (3 * part), 0.0)))
+    when 1 then case when part <= 0.25 then 2 * part / (0.5 + 0.5) else 0.5 + 2 * (part - 0.25) / (0.5 + sqrt(greatest(0.25 + 8 * (part - 0.25), 0.0))) end
+    else 2 * (2 * part) / (2 + 2) end, 1.0), 9) end as position
+from whole
 """
 
 _LOWER_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
