@@ -5,10 +5,12 @@ left out; a feature is there or not, so copies of a line weigh once. FTRL-proxim
 coordinate and an L1 threshold that leaves most weights at exactly zero: the model that is broadcast holds the
 rest alone, at most `dims` of them.
 
-Labels come from a bounded sample: at most `max_rows` labelled rows, those of the lowest hash of their id. One
-task fits on them, and scales margins to log-odds with a fifth that it holds out; every text is then scored whole.
+Labels come from a bounded sample: at most `max_rows` labelled rows, those of the lowest hash of their id, and of
+these as many as hold `max_features` features together. Features are extracted where the texts are; one task gets them
+in the order of that hash, fits, and scales margins to log-odds with a fifth that it holds out. Every text is then
+scored whole.
 
-Cases: a null or empty text has no feature and gets the score of the bias; labels other than 0 and 1, null labels
+Cases: rows of one id with different texts all teach its label; a null or empty text has no feature and gets the score of the bias; labels other than 0 and 1, null labels
 and null ids teach nothing; a repeated label row teaches once; without any label all scores are 0.
 """
 
@@ -31,6 +33,7 @@ from lacuna.llm.storage import small_batches
 class Settings:
     dims: int = 1 << 20
     max_rows: int = 24_000
+    max_features: int = 60_000_000
     epochs: int = 5
     alpha: float = 3.0
     beta: float = 1.0
@@ -129,24 +132,34 @@ def fit(documents: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Mo
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(s.max_rows)
     )
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "y").repartition(1)
+    keys = F.xxhash64("doc_id").alias("by_id"), F.xxhash64("text").alias("by_text")
+    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(*keys, "y", "text")
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples, truth, keys = [], [], []
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w in tokens.words(batch.column(1)):
+            for w in tokens.words(batch.column(3)):
                 row, index = distinct(*features(w, s.dims), s.dims)
                 cut = np.searchsorted(row, np.arange(w.hi - w.lo + 1))
-                examples += [index[cut[r] : cut[r + 1]].astype(np.int32) for r in range(w.hi - w.lo)]
-            truth.append(batch.column(2).to_numpy())
-            keys.append(batch.column(0).to_numpy())
+                own = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(index, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(c.slice(w.lo, w.hi - w.lo) for c in batch.columns[:3]), own], names=["by_id", "by_text", "y", "features"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples, truth, held = [], [], 0
+        for batch in batches:
+            cut, index = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
+            for r, y in enumerate(batch.column(2).to_numpy()):
+                held += cut[r + 1] - cut[r]
+                if held > s.max_features and examples:
+                    break
+                examples.append(index[cut[r] : cut[r + 1]].copy())
+                truth.append(y)
         if not examples:
             return
-        y, keys = np.concatenate(truth), np.concatenate(keys)
-        by_key = np.argsort(keys, kind="stable")  # the order of arrival doesn't matter
-        model = calibrated([examples[i] for i in by_key], y[by_key], s)
+        model = calibrated(examples, np.array(truth), s)
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.append(model.index, -1), pa.int32()), "w": pa.array(np.append(model.weight, model.bias), pa.float32())})
 
+    extracted = rows.mapInArrow(tokens.tidy(extract), "by_id bigint, by_text bigint, y double, features array<int>")
+    rows = extracted.repartition(1).sortWithinPartitions("by_id", "by_text")  # the order of arrival doesn't matter
     got = rows.mapInArrow(tokens.tidy(train), "i int, w float").toPandas()
     weights = got[got["i"] >= 0]
     bias = got.loc[got["i"] < 0, "w"]
