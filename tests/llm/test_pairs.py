@@ -226,10 +226,16 @@ def test_decontamination(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in documents if i not in gone)
 
 
-def test_decontamination_without_broadcast(spark, monkeypatch):
+def test_decontamination_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))) for i, n in enumerate((3, 5, 9, 20, 40, 41))] + [(None, "q w e r t y")]
+    documents = [(i, f"x y {t} z") for i, t in items[:6]] * 2 + [(50, f"{items[2][1]} {items[4][1]}"), (None, items[3][1]), (60, "a Q w e r t y b"), (None, items[6][1])]
+    want = contained(documents, items)
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 100)
+    assert found(spark, documents, items) == want and (60, None, 2, 2) in want
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", -1)
-    items = [(0, "a b c d e f g h")]
-    assert found(spark, [(1, "x a b c d e f g h y"), (2, "a b c d x f g h")], items) == {(1, 0, 4, 4)}
+    assert found(spark, documents, items) == want
 
 
 def chunked(text):
