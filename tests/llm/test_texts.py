@@ -253,6 +253,49 @@ def test_cascade_order_never_changes_the_verdict(spark):
     assert quality.judge(documents.limit(0)).count() == 0
 
 
+RULE_CASES = {
+    "good": "the quick brown fox jumps over the lazy dog near this river bank. ", "mean_word_length": "a b. ", "symbols": "word # & other. ", "repeated_lines": None,
+    "capitals": "SHOUTING WORDS alone. ", "digits": "1234567 12 word. ", "ellipses": "and ... so ... on... ", "no_sentence": "words without an end ",
+}
+
+
+def rejecting(text):
+    """The rules that reject a text, worked out from its characters."""
+    w, lines = words(text), [x for x in text.split("\n") if words(x)]
+    chars, (_, _, symbols, dup, inside) = sum(map(len, w)), brute_counts(text)
+    return {
+        name for name, bad in {
+            "mean_word_length": not 3 <= chars / len(w) <= 10, "symbols": symbols / len(w) > 0.1, "repeated_lines": dup / len(lines) > 0.5, "repeated_words": inside / len(w) > 0.35,
+            "capitals": sum("A" <= c <= "Z" for c in text) / chars > 0.4, "digits": sum("0" <= c <= "9" for c in text) / chars > 0.2, "ellipses": 3 * text.count("...") / len(lines) > 0.9,
+            "no_sentence": not set(".!?") & set(text),
+        }.items() if bad
+    }
+
+
+def test_rules_reject_what_they_say(spark):
+    rng = random.Random(5)
+    texts = []
+    for case in RULE_CASES.values():
+        for _ in range(6):
+            own = [f"{''.join(rng.choices('abcdefgh', k=6))} {rng.choice(case.split()) if case else 'x'}" for _ in range(60)]
+            texts.append("\n".join(own) + (case or "\nsame line here." * 200))
+    rows = {r["doc_id"]: r for r in quality.judge(frame(spark, texts), quality.RULES).collect()}
+    seen = set()
+    for i, t in enumerate(texts):
+        bad = rejecting(t)
+        assert rows[i]["kept"] == (not bad and not rows[i]["base_failed"])
+        assert rows[i]["base_failed"] or rows[i]["failed_rule"] == next((r.name for r in quality.RULES if r.name in bad), None)
+        seen |= bad
+    assert len(seen) >= 6
+
+
+def test_cascade_takes_rejections_per_cost():
+    patterns = [((True, True, False), 10), ((False, True, False), 2), ((False, False, True), 5), ((False, False, False), 9)]
+    assert quality.cascade(patterns, [1.0, 4.0, 1.0]) == [0, 2, 1]
+    assert quality.cascade(patterns, [1.0, 1.0, 1.0]) == [1, 2, 0]
+    assert quality.cascade(patterns, [1.0, 1.0, 0.1]) == [2, 1, 0]
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
@@ -278,6 +321,8 @@ def test_mixing(spark):
     assert all(abs(t - n) <= 1 for t, n, _ in totals.values())
     assert sum(t for t, _, _ in totals.values()) == pytest.approx(1.5 * sum(s for *_, s in totals.values()))
     assert all(t <= 2 * s + 1e-9 for t, _, s in totals.values()) and totals["d"][0] == 0
+    once = [r["position"] for r in mixing.by_first_position(mixing.mix(docs), 3).collect()]
+    assert len(once) == len(rows) and once == sorted(once, key=lambda p: (p is None, p)) and None in once
     positions = [r["position"] for r in mixing.ordered(mixing.mix(docs), 3).collect()]
     assert positions == sorted(positions) and all(0 <= p <= 1 for p in positions)
     assert mixing.mix(docs.limit(0)).count() == 0
@@ -486,6 +531,55 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, ["x"]), toxicity.fit(docs, labels.limit(0))).first()["toxicity"] < 1e-6
 
 
+def brute_ftrl(examples, labels, s, order):
+    """FTRL-proximal coordinate by coordinate, on dictionaries."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(i, l1):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((s.beta + math.sqrt(n[i])) / s.alpha + s.l2)
+
+    for turn in order:
+        for k in turn:
+            at = [*examples[k].tolist(), "bias"]
+            w = {i: weight(i, 0.0 if i == "bias" else s.l1) for i in at}
+            g = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w.values()))))) - labels[k]
+            for i in at:
+                sigma = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / s.alpha
+                z[i], n[i] = z.get(i, 0.0) + g - sigma * w[i], n.get(i, 0.0) + g * g
+    return {i: weight(i, s.l1) for i in z if i != "bias"}, weight("bias", 0.0)
+
+
+def test_ftrl_against_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    s = toxicity.Settings(dims=50, epochs=3, l1=0.7)
+    examples = [np.unique(rng.integers(0, 50, rng.integers(0, 12))) for _ in range(150)]
+    labels = np.array([float(7 in e or rng.random() < 0.1) for e in examples])
+    order = np.random.Generator(np.random.PCG64(7))
+    want, bias = brute_ftrl(examples, labels, s, [order.permutation(len(examples)) for _ in range(3)])
+    got = toxicity.ftrl(examples, labels, s)
+    assert got.bias == pytest.approx(bias, abs=1e-9)
+    assert dict(zip(got.index.tolist(), got.weight.tolist())) == pytest.approx({i: w for i, w in want.items() if w}, abs=1e-6)
+    assert 0 < len(got.index) < 50
+
+
+def test_toxicity_of_text_ids_and_bounds(spark):
+    rows = [(f"id{i}", "nasty words here" if i % 3 == 0 else f"kind words {i % 7}") for i in range(90)] + [("id0", "nasty other row"), (None, "x"), ("id1", None)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    labels = spark.createDataFrame([(f"id{i}", int(i % 3 == 0)) for i in range(60)], "doc_id string, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert len(model.index) and toxicity.score(docs, model).count() == len(rows)
+    again = toxicity.fit(docs.repartition(7), labels)
+    assert (again.index == model.index).all() and (again.weight == model.weight).all() and again.bias == model.bias
+    few = toxicity.fit(docs, labels, toxicity.Settings(max_features=30))
+    assert len(few.index) < 30
+
+
 def brute_host(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
     return (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
