@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import concurrent.futures
+import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.config import Settings
+from lacuna.functions import numbers, text
+from lacuna.sources import html
 
 
 def first_violation(steps: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -92,38 +95,75 @@ class Tool(Protocol):
     def execute(self, arguments: dict[str, Any]) -> list[dict[str, Any]]: ...
 
 
+class ToolError(RuntimeError):
+    """What a tool raises to say which status its failure has."""
+
+    def __init__(self, code: str, message: str = "") -> None:
+        super().__init__(message or code)
+        self.code = code
+
+
 @dataclass(frozen=True)
 class ToolResult:
-    """no_result has no row, has_result one or more."""
+    """no_result has no row, has_result one or more. code names the fault, seconds the time it took."""
 
     status: str
     rows: tuple[dict[str, Any], ...] = ()
     error: str | None = None
+    code: str | None = None
+    seconds: float = field(default=0.0, compare=False)
 
     def __post_init__(self) -> None:
         if (self.status == "no_result" and self.rows) or (self.status == "has_result" and not self.rows):
             raise ValueError(f"{self.status} with {len(self.rows)} rows")
 
 
-def run_tool(tool: Tool, arguments: dict[str, Any]) -> ToolResult:
-    """A tool's result; whatever goes wrong becomes a status and nothing is raised."""
+def violations(results: DataFrame) -> DataFrame:
+    """results (status, result_count, rows: array) that contradict themselves, with the rule that each breaks."""
+    size = F.coalesce(F.size("rows"), F.lit(0))
+    rule = F.when((F.col("status") == "no_result") & (size > 0), "rows_without_result").when((F.col("status") == "has_result") & (size < 1), "result_without_rows").when(F.col("result_count") != size, "count")
+    return results.withColumn("rule", rule).where("rule is not null")
+
+
+POLL = 0.02
+
+
+def run_tool(tool: Tool, arguments: dict[str, Any], aborted: Callable[[], bool] = lambda: False, clock: Callable[[], float] = time.monotonic) -> ToolResult:
+    """A tool's result with the time it took; whatever goes wrong becomes a status and nothing is raised.
+
+    A caller that gives up gets an error, a tool that takes too long a timeout, one that says it is unavailable just that."""
+    began = clock()
+
+    def failed(status: str, code: str, message: str) -> ToolResult:
+        return ToolResult(status, error=message, code=code, seconds=clock() - began)
+
     if reason := tool.unavailable():
-        return ToolResult("unavailable", error=reason)
+        return failed("unavailable", "tool_unavailable", reason)
     if issue := tool.check(arguments):
-        return ToolResult("error", error=f"bad arguments: {issue}")
+        return failed("error", "bad_arguments", f"bad arguments: {issue}")
     pool = concurrent.futures.ThreadPoolExecutor(1)
     try:
-        found = pool.submit(tool.execute, arguments).result(timeout=tool.seconds)
-        if isinstance(found, ToolResult):
-            return found
-        rows = tuple(found)
-    except concurrent.futures.TimeoutError:
-        return ToolResult("timeout", error=f"took more than {tool.seconds:g} s")
+        running = pool.submit(tool.execute, arguments)
+        while True:
+            if aborted():
+                return failed("error", "aborted", "the caller gave up")
+            left = tool.seconds - (clock() - began)
+            if left <= 0:
+                return failed("timeout", "tool_timeout", f"took more than {tool.seconds:g} s")
+            done, _ = concurrent.futures.wait([running], timeout=min(POLL, left))
+            if done:
+                break
+        found = running.result()
+        if not isinstance(found, ToolResult):
+            rows = tuple(found)
+            found = ToolResult("has_result" if rows else "no_result", rows)
+        return replace(found, seconds=clock() - began)
+    except ToolError as error:
+        return failed("unavailable" if error.code == "tool_unavailable" else "timeout" if error.code == "tool_timeout" else "error", error.code, str(error))
     except Exception as error:  # a tool may raise anything
-        return ToolResult("error", error=str(error))
+        return failed("error", "internal", str(error))
     finally:
         pool.shutdown(wait=False, cancel_futures=True)
-    return ToolResult("has_result" if rows else "no_result", rows)
 
 
 @dataclass(frozen=True)
@@ -161,6 +201,56 @@ def ask_model_tool(provider: Callable[[str], str] | None) -> FunctionTool:
     return FunctionTool("ask_model", "model", ask, reason=None if provider else "no model is configured")
 
 
+class PageCache:
+    """Pages by key, fetched at most every `pause` seconds, kept for `ttl` seconds, `most` of them: the oldest goes first."""
+
+    def __init__(self, fetch: Callable[[str], str], pause: float = 1.0, ttl: float = 3600.0, most: int = 200, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.fetch, self.pause, self.ttl, self.most, self.clock, self.sleep = fetch, pause, ttl, most, clock, sleep
+        self.pages: dict[str, tuple[float, str]] = {}
+        self.last = float("-inf")
+
+    def get(self, key: str) -> str:
+        held = self.pages.get(key)
+        if held and self.clock() - held[0] < self.ttl:
+            return held[1]
+        if (wait := self.last + self.pause - self.clock()) > 0:
+            self.sleep(wait)
+        self.last = self.clock()
+        page = self.fetch(key)
+        self.pages.pop(key, None)
+        self.pages[key] = (self.clock(), page)
+        while len(self.pages) > self.most:
+            del self.pages[next(iter(self.pages))]
+        return page
+
+
+def web_tool(cache: PageCache | None, seconds: float = 15.0, longest: int = 60) -> FunctionTool:
+    """A poem site as a tool: the first hits of its result page. Fetching is the cache's, nothing here uses a network."""
+    def ask(query: str) -> list[dict[str, Any]]:
+        page = cache.get(query) if cache else ""
+        hits = html.parsed(page)[: html.FIRST_HITS]
+        if not hits and not any(word in page for word in html.RESULT_PAGE):
+            raise ToolError("unexpected_page", "the page isn't a result page; its markup may have changed")
+        return [{"id": f"web:{h['id']}", "title": h["title"], "author": h["author"], "dynasty": h["dynasty"], "content": "\n".join(h["lines"]), "url": h["url"], "source": "web"} for h in hits]
+
+    return FunctionTool("search_web", "web", ask, seconds, None if cache else "web search is switched off", most=longest)
+
+
+def registry(*tools: Tool) -> dict[str, Tool]:
+    """Tools by name, in the order in which a model is shown them."""
+    out: dict[str, Tool] = {}
+    for tool in tools:
+        if tool.name in out:
+            raise ValueError(f"two tools are called {tool.name}")
+        out[tool.name] = tool
+    return out
+
+
+def offered(tools: dict[str, Tool]) -> list[dict[str, Any]]:
+    """What a model is told of the tools that can run."""
+    return [{"name": t.name, "source": t.source, "arguments": {"query": {"type": "string", "least": getattr(t, "least", None), "most": getattr(t, "most", None)}}} for t in tools.values() if t.unavailable() is None]
+
+
 class ProviderError(RuntimeError):
     def __init__(self, code: str, message: str = "") -> None:
         super().__init__(message or code)
@@ -197,7 +287,7 @@ class AgentState:
     stopped: str | None = None
 
 
-def run_agent(query: str, provider: Provider, tools: dict[str, Tool], s: Settings = Settings(), clock: Callable[[], float] = __import__("time").monotonic) -> AgentState:
+def run_agent(query: str, provider: Provider, tools: dict[str, Tool], s: Settings = Settings(), clock: Callable[[], float] = time.monotonic, aborted: Callable[[], bool] = lambda: False) -> AgentState:
     """The loop: the provider names a tool and its arguments, or is done; budgets are looked at before each call."""
     state, began = AgentState(query), clock()
     if not any(t.unavailable() is None for t in tools.values()):
@@ -207,6 +297,8 @@ def run_agent(query: str, provider: Provider, tools: dict[str, Tool], s: Setting
         return state.iterations >= s.max_iterations or state.tool_calls >= s.max_tool_calls or clock() - began >= s.max_seconds or (not state.cost_unknown and state.cost_usd >= s.max_cost_usd)
 
     while True:
+        if aborted():
+            return replace(state, stopped="aborted")
         if exhausted():
             return replace(state, stopped="budget_exhausted", flags=(*state.flags, "agent_budget_exhausted"))
         try:
@@ -223,7 +315,7 @@ def run_agent(query: str, provider: Provider, tools: dict[str, Tool], s: Setting
             if state.tool_calls >= s.max_tool_calls:
                 break
             tool = tools.get(call.get("name", ""))
-            result = run_tool(tool, call.get("arguments") or {}) if tool else ToolResult("error", error="no such tool")
+            result = run_tool(tool, call.get("arguments") or {}, aborted) if tool else ToolResult("error", error="no such tool")
             held = {e.get("id") for e in state.evidence}
             new = tuple(r for r in result.rows if r.get("id") is None or r.get("id") not in held)
             source = tool.source if tool else call.get("name", "?")
@@ -238,3 +330,20 @@ def assembled(chunks: DataFrame) -> DataFrame:
     pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("arguments", F.lit("")).alias("a")))), lambda x: x["a"]), "")
     calls = chunks.groupBy("response_id", "index").agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("seq"))).alias("name"), pieces.alias("raw_arguments"))
     return calls.withColumn("valid", F.try_parse_json("raw_arguments").isNotNull())
+
+
+def responses(chunks: DataFrame, prices: DataFrame) -> DataFrame:
+    """Deltas (response_id, seq, requested, model, text, tool_calls, bad_arguments, tokens_in, tokens_out, cached) to one row for each response.
+
+    status is error where a response has neither text nor tool calls. Without usage the cost is null and a flag says so;
+    prices (model, rate_in, rate_out, rate_cached) are of the served model."""
+    pieces = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "")
+    last = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("model", "tokens_in", "tokens_out", "cached")}
+    whole = chunks.groupBy("response_id", "requested").agg(pieces.alias("text"), F.coalesce(F.sum("tool_calls"), F.lit(0)).alias("tool_calls"), F.coalesce(F.sum("bad_arguments"), F.lit(0)).alias("bad_arguments"), *last.values())
+    whole = whole.withColumn("model", F.coalesce("model", "requested")).join(F.broadcast(prices), "model", "left")
+    usage = F.col("tokens_in").isNotNull() | F.col("tokens_out").isNotNull()
+    counts = [F.coalesce(c, F.lit(0)) for c in ("tokens_in", "tokens_out", "cached")]
+    cost = F.when(usage, numbers.token_cost(*counts, F.col("rate_in"), F.col("rate_out"), F.col("rate_cached")))
+    empty = (F.length("text") == 0) & (F.col("tool_calls") == 0)
+    flags = F.array_compact(F.array(F.when(F.col("bad_arguments") > 0, "bad_tool_args"), F.when(text.substituted(F.col("requested"), F.col("model")), "model_substituted"), F.when(~usage, "usage_unavailable")))
+    return whole.select("response_id", "model", "text", "tool_calls", F.when(empty, "error").when(F.col("tool_calls") > 0, "tool_use").otherwise("done").alias("status"), F.when(empty, "empty_reply").alias("error_code"), cost.alias("cost_usd"), flags.alias("flags"))

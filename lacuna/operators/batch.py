@@ -161,6 +161,13 @@ def start(status: str | None, column: str | None, left: int) -> str:
     return "running"
 
 
+def moved(jobs: DataFrame) -> DataFrame:
+    """jobs (job_id, status, wanted) in the status they want, where their life allows it; `refused` says where it doesn't."""
+    allowed = F.create_map(*[x for a, after in TRANSITIONS.items() for x in (F.lit(a), F.array(*map(F.lit, after)))])
+    free = F.coalesce(F.array_contains(F.try_element_at(allowed, F.col("status")), F.col("wanted")), F.lit(False))
+    return jobs.withColumns({"status": F.when(free, F.col("wanted")).otherwise(F.col("status")), "refused": ~free}).drop("wanted")
+
+
 def interrupted(jobs: DataFrame) -> DataFrame:
     """Jobs after a restart: what ran is interrupted."""
     return jobs.withColumn("status", F.when(F.col("status") == "running", "interrupted").otherwise(F.col("status")))

@@ -21,7 +21,7 @@ def terms(queries: DataFrame, profile: Profile) -> DataFrame:
     return queries.select("query_id", F.explode(text.query_terms(text.match_form(F.col("text"), profile), profile.query_terms)).alias("term"))
 
 
-def term_hits(wanted: DataFrame, poems: DataFrame, profile: Profile, true_df: bool = False) -> DataFrame:
+def term_hits(wanted: DataFrame, poems: DataFrame, profile: Profile, true_df: bool = False, index: corpus.Index | None = None) -> DataFrame:
     """(term, poem_id, work_id, char_count, n): documents of each wanted term and how many of them there are.
 
     What scores need of a document travels with its postings, so the corpus is read once and never joined again; the cap
@@ -29,20 +29,21 @@ def term_hits(wanted: DataFrame, poems: DataFrame, profile: Profile, true_df: bo
     distinct = wanted.select("term").distinct()
     if distinct.count() <= BROADCAST_TERMS:
         distinct = F.broadcast(distinct)
-    index = poems.select("poem_id", "work_id", "char_count", F.explode(F.array_distinct(text.bigrams(F.col("text_match")))).alias("term"))
-    met = index.join(distinct, "term")
+    stored = corpus.touched(index.terms, distinct, "term") if index else corpus.term_postings(poems)
+    met = stored.join(distinct, "term")
     of_term = Window.partitionBy("term")
     if true_df:
-        return met.join(met.groupBy("term").agg(F.count("*").alias("n")), "term")
+        counts = met.groupBy("term").agg(F.count("*").alias("n"))
+        return met.join(F.broadcast(counts) if distinct.count() <= BROADCAST_TERMS else counts, "term")
     capped = met.withColumn("k", F.row_number().over(of_term.orderBy("poem_id"))).where(F.col("k") <= profile.hits_per_term).drop("k")
     return capped.withColumn("n", F.count("*").over(of_term))
 
 
-def search(queries: DataFrame, poems: DataFrame, profile: Profile, limit: int = 50, true_df: bool = False) -> DataFrame:
+def search(queries: DataFrame, poems: DataFrame, profile: Profile, limit: int = 50, true_df: bool = False, index: corpus.Index | None = None) -> DataFrame:
     """(query_id, poem_id, work_id, matched_terms, score, position): the best `limit` of the 4 * limit with most terms."""
     wanted = terms(queries, profile)
-    stats = F.broadcast(corpus.stats(poems))
-    found = wanted.join(term_hits(wanted, poems, profile, true_df), "term").join(stats)
+    stats = F.broadcast(index.stats if index else corpus.stats(poems))
+    found = wanted.join(term_hits(wanted, poems, profile, true_df, index), "term").join(stats)
     part = numbers.bm25_term(F.lit(1.0), F.col("char_count"), F.col("avg_doc_len"), numbers.idf(F.col("n"), F.col("total_docs")))
     scored = found.groupBy("query_id", "poem_id", "work_id").agg(F.count("*").alias("matched_terms"), F.round(F.sum(part), 9).alias("score"))
     most = Window.partitionBy("query_id").orderBy(F.desc("matched_terms"), "poem_id")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacuna.config import HAN, Profile
 from lacuna.functions import keys, text
 
+BUCKETS = 256
+
 
 @dataclass(frozen=True)
 class Corpus:
@@ -22,9 +24,9 @@ class Corpus:
     profile: Profile
 
 
-def authors_of(raw: DataFrame) -> DataFrame:
+def authors_of(raw: DataFrame, profile: Profile = HAN) -> DataFrame:
     """raw (name, dynasty, bio, file): one author for each match name, the first by file and name."""
-    named = raw.where(F.length(F.trim("name")) > 0).withColumn("name_match", text.match_form(F.col("name")))
+    named = raw.where(F.length(F.trim("name")) > 0).withColumn("name_match", text.match_form(F.col("name"), profile))
     first = Window.partitionBy("name_match").orderBy("file", "name")
     kept = named.withColumn("n", F.row_number().over(first)).where("n = 1")
     return kept.select(F.sha2("name_match", 256).substr(1, 32).alias("author_id"), F.col("name").alias("name_display"), "name_match", "dynasty", "bio", F.col("file").alias("source_file"))
@@ -68,11 +70,47 @@ def lines_of(poems: DataFrame) -> DataFrame:
 
 
 def postings(lines: DataFrame, size: int) -> DataFrame:
-    """(gram, place, and the line): an inverted index of grams at line granularity. Write it bucketed by gram to keep it."""
+    """(gram, place, and the line): an inverted index of grams at line granularity; write_index keeps it."""
     placed = lines.where(F.length("text_match") >= size).select("*", F.explode(F.sequence(F.lit(1), F.length("text_match") - (size - 1))).alias("place"))
     return placed.withColumn("gram", F.substring("text_match", F.col("place"), F.lit(size)))
 
 
+def term_postings(poems: DataFrame) -> DataFrame:
+    """(poem_id, work_id, char_count, term): the distinct bigrams of each poem, with what scores need of it."""
+    return poems.select("poem_id", "work_id", "char_count", F.explode(F.array_distinct(text.bigrams(F.col("text_match")))).alias("term"))
+
+
+@dataclass(frozen=True)
+class Index:
+    """Stored postings in buckets of their gram or term, and the statistics of the corpus they were made from."""
+
+    grams: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(poems: DataFrame, lines: DataFrame, profile: Profile, folder: str, spread: int = 4) -> None:
+    """Write the postings that searches read, once for a corpus: a bucket is written by `spread` tasks, each sorted by gram."""
+    for name, key, rows in (("grams", "gram", postings(lines, profile.seed)), ("terms", "term", term_postings(poems))):
+        dealt = rows.withColumn("bucket", bucket(key)).repartition(BUCKETS * spread, "bucket", F.pmod(F.xxhash64("poem_id"), F.lit(spread)))
+        dealt.sortWithinPartitions("bucket", key, "poem_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
+    stats(poems).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def read_index(spark: SparkSession, folder: str) -> Index:
+    return Index(*[spark.read.parquet(f"{folder}/{name}") for name in ("grams", "terms", "stats")])
+
+
+def touched(stored: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The buckets of stored postings that a batch of keys can meet: BUCKETS numbers at most reach the driver."""
+    found = [r["b"] for r in wanted.select(bucket(key).alias("b")).distinct().collect()]
+    return stored.where(F.col("bucket").isin(found) if found else F.lit(False)).drop("bucket")
+
+
 def stats(poems: DataFrame) -> DataFrame:
     """One row: total_docs and avg_doc_len."""
     return poems.agg(F.count("*").alias("total_docs"), F.coalesce(F.avg("char_count"), F.lit(0.0)).alias("avg_doc_len"))

@@ -25,15 +25,16 @@ def sweep(readings: DataFrame, profile: Profile) -> DataFrame:
     return each.select(*KEY, (F.instr("chars", F.col("win")) - 1).alias("at"), "win")
 
 
-def hits(windows: DataFrame, lines: DataFrame, profile: Profile, sized: bool = True) -> DataFrame:
-    """Lines that contain a window, hits_per_window at most for each, by poem and line.
+def hits(windows: DataFrame, lines: DataFrame, profile: Profile, sized: bool = True, index: corpus.Index | None = None) -> DataFrame:
+    """Lines that contain a window, hits_per_window at most for each, by poem and line. A stored index is read only in the buckets of its grams.
 
     Windows that begin at one place share their seed: the place is joined once, and the lengths that match are read off."""
     size = F.length("win").alias("n")
     places = windows.groupBy(*KEY, "at").agg(F.max(F.struct(size, "win"))["win"].alias("longest"), F.collect_set(size).alias("sizes")).withColumn("gram", F.substring("longest", 1, profile.seed))
     if sized and places.count() <= BROADCAST_WINDOWS:
         places = F.broadcast(places)
-    met = corpus.postings(lines, profile.seed).join(places, "gram")
+    stored = corpus.touched(index.grams, places, "gram") if index else corpus.postings(lines, profile.seed)
+    met = stored.join(places, "gram")
     matching = F.filter("sizes", lambda n: F.substring(F.col("text_match"), F.col("place"), n) == F.substring(F.col("longest"), F.lit(1), n))
     each = met.select(*KEY, "at", "longest", "poem_id", "work_id", "line_no", "text_display", F.explode(matching).alias("n"))
     found = each.withColumn("win", F.substring("longest", F.lit(1), F.col("n"))).drop("longest", "n").distinct()
@@ -87,17 +88,23 @@ def classify(works: Column, longest: Column, windows: Column, profile: Profile)
     )
 
 
-def search(queries: DataFrame, lines: DataFrame, profile: Profile, readings: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def search(queries: DataFrame, lines: DataFrame, profile: Profile, readings: DataFrame | None = None, index: corpus.Index | None = None, held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Outcome of each query that has a reading, and the hits of its chosen reading.
 
     Readings other than the one as written are only swept for queries that it doesn't decide. Hits, which caps bound, are
-    cached: scores, decisions and the result share them."""
-    every = (readings if readings is not None else enumerate_readings(queries, profile)).where(F.col("ord") < profile.max_readings).cache()
+    cached: scores, decisions and the result share them. What is cached is added to `held`, to be released by whoever reads the result."""
+    held = [] if held is None else held
+
+    def cached(frame: DataFrame) -> DataFrame:
+        held.append(frame.cache())
+        return held[-1]
+
+    every = cached((readings if readings is not None else enumerate_readings(queries, profile)).where(F.col("ord") < profile.max_readings))
     plain, others = every.where("not reordered"), every.where("reordered")
-    first = hits(sweep(plain, profile), lines, profile).cache()
-    first_scores = scores(evidence(first)).cache()
+    first = cached(hits(sweep(plain, profile), lines, profile, index=index))
+    first_scores = cached(scores(evidence(first)))
     decided = first_scores.where((F.col("longest_run") >= profile.decisive) & (F.size("work_ids") == 1)).select("query_id")
-    second = hits(sweep(others.join(decided, "query_id", "left_anti"), profile), lines, profile).cache()
+    second = cached(hits(sweep(others.join(decided, "query_id", "left_anti"), profile), lines, profile, index=index))
     found, scored = first.unionByName(second), first_scores.unionByName(scores(evidence(second)))
     choice = Window.partitionBy("query_id").orderBy(F.desc("longest_run"), F.asc("ord"))
     chosen = scored.withColumn("n", F.row_number().over(choice)).where("n = 1").drop("n")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.config import Profile, Settings, Thresholds
 from lacuna.functions import text
-from lacuna.operators import bm25, confidence, exact, fusion, vectors
+from lacuna.operators import bm25, confidence, corpus, exact, fusion, service, vectors
+from lacuna.storage import checkpointed
 
 #: A scorer takes (query_id, work_id, query, content) and returns it with rerank_score.
 Scorer = Callable[[DataFrame], DataFrame]
@@ -20,11 +23,18 @@ SOURCES = ("exact", "bm25", "vector", "reranker")
 
 @dataclass(frozen=True)
 class Result:
-    """outcomes: a row for each query; candidates: its fused works; reports: a row for each query and source."""
+    """outcomes: a row for each query; candidates: its fused works; reports: a row for each query and source.
+
+    Parts that they share are cached until release()."""
 
     outcomes: DataFrame
     candidates: DataFrame
     reports: DataFrame
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for frame in self.held:
+            frame.unpersist()
 
 
 def lexical_scorer(pairs: DataFrame) -> DataFrame:
@@ -37,15 +47,18 @@ def short_circuited(outcome: DataFrame) -> Column:
     return (outcome["kind"] == "full") & (F.size(outcome["work_ids"]) == 1)
 
 
-def report(queries: DataFrame, source: str, counts: DataFrame | None, skipped: DataFrame, available: bool = True) -> DataFrame:
-    """(query_id, source, status, n): skipped after a short circuit, unavailable without a model, else found or not."""
+def report(queries: DataFrame, source: str, counts: DataFrame | None, skipped: DataFrame, available: bool = True, went: Mapping[str, Any] | None = None) -> DataFrame:
+    """(query_id, source, status, n, latency_ms, error_code, error_message): skipped after a short circuit, unavailable without a
+    model, timeout or error where the source failed, else found or not. went: how the source went as a whole, where that was measured."""
+    went = went or {}
     frame = queries.select("query_id").join(skipped.select("query_id", F.lit(True).alias("s")), "query_id", "left")
     if counts is None:
         n = F.lit(0).cast("bigint")
     else:
         frame, n = frame.join(counts, "query_id", "left"), F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
-    status = F.when(F.coalesce("s", F.lit(False)), "skipped").when(F.lit(not available), "unavailable").when(n > 0, "has_result").otherwise("no_result")
-    return frame.select("query_id", F.lit(source).alias("source"), status.alias("status"), F.when(status.isin("has_result", "no_result"), n).otherwise(F.lit(0)).alias("n"))
+    status = F.when(F.coalesce("s", F.lit(False)), "skipped").when(F.lit(not available), "unavailable").when(F.lit(went.get("status")).isNotNull(), F.lit(went.get("status"))).when(n > 0, "has_result").otherwise("no_result")
+    return frame.select("query_id", F.lit(source).alias("source"), status.alias("status"), F.when(status.isin("has_result", "no_result"), n).otherwise(F.lit(0)).alias("n"),
+        *[F.when(~status.isin("skipped", "unavailable"), F.lit(went.get(c)).cast(kind)).alias(c) for c, kind in (("latency_ms", "double"), ("error_code", "string"), ("error_message", "string"))])
 
 
 def described(source: Column, status: Column, n: Column, short: Column) -> Column:
@@ -59,23 +72,44 @@ def described(source: Column, status: Column, n: Column, short: Column) -> Colum
     )
 
 
-def search(queries: DataFrame, poems: DataFrame, lines: DataFrame, profile: Profile, settings: Settings = Settings(), points: DataFrame | None = None, query_vectors: DataFrame | None = None, scorer: Scorer | None = None, readings: DataFrame | None = None) -> Result:
-    """queries (query_id, text); points (point_id, vector, work_id) and query_vectors (query_id, vector) are optional."""
-    outcome, kept = exact.search(queries, lines, profile, readings)
+def _listed(ranked: DataFrame, order: int, source: str, **metadata: str) -> DataFrame:
+    """A source's ranked works as a list for fusion, with what it knows of them."""
+    known = F.create_map(*[x for k, c in metadata.items() for x in (F.lit(k), F.col(c).cast("string"))])
+    return ranked.select("query_id", F.lit(order).alias("list_ord"), F.lit(source).alias("source"), "position", "work_id", "poem_id", known.alias("metadata"))
+
+
+def search(queries: DataFrame, poems: DataFrame, lines: DataFrame, profile: Profile, settings: Settings = Settings(), points: DataFrame | None = None, query_vectors: DataFrame | None = None, scorer: Scorer | None = None, readings: DataFrame | None = None, index: corpus.Index | None = None, measured: bool = False) -> Result:
+    """queries (query_id, text); points (point_id, vector, work_id) and query_vectors (query_id, vector) are optional.
+
+    index: stored postings of the same corpus. measured: run BM25 and vectors one by one and checkpointed; reports then
+    have their latency, and one that fails is reported with its error while the others go on."""
+    held: list[DataFrame] = []
+    outcome, kept = exact.search(queries, lines, profile, readings, index, held)
     outcome, kept = outcome.cache(), kept.cache()
+    held += [outcome, kept]
     decided = outcome.where(short_circuited(outcome)).select("query_id")
     open_ = queries.join(decided, "query_id", "left_anti")
     ranked = exact.ranked_works(kept)
-    terms = bm25.search(open_, poems, profile, settings.fuse_top)
-    lists = [ranked.select("query_id", F.lit(0).alias("list_ord"), F.lit("exact").alias("source"), "position", "work_id"), terms.select("query_id", F.lit(1).alias("list_ord"), F.lit("bm25").alias("source"), "position", "work_id")]
-    near = None
-    if points is not None and query_vectors is not None:
-        near = vectors.search(query_vectors.join(open_.select("query_id"), "query_id", "left_semi"), points, settings.fuse_top).join(points.select("point_id", "work_id"), "point_id")
-        lists.append(near.select("query_id", F.lit(2).alias("list_ord"), F.lit("vector").alias("source"), "position", "work_id"))
-    every = lists[0]
-    for one in lists[1:]:
-        every = every.unionByName(one)
+    lists = [_listed(ranked, 0, "exact", n_lines="n_lines")]
+    went: dict[str, dict[str, Any]] = {}
+
+    def source(name: str, run: Callable[[], DataFrame]) -> DataFrame | None:
+        if not measured:
+            return run()
+        found, went[name] = service.timed(lambda: checkpointed(run()))
+        return found
+
+    terms = source("bm25", lambda: bm25.search(open_, poems, profile, settings.fuse_top, index=index))
+    if terms is not None:
+        lists.append(_listed(terms, 1, "bm25", matched_terms="matched_terms", bm25_score="score"))
+    near, has_vectors = None, points is not None and query_vectors is not None
+    if has_vectors:
+        near = source("vector", lambda: vectors.search(query_vectors.join(open_.select("query_id"), "query_id", "left_semi"), points, settings.fuse_top).join(points.select("point_id", "work_id"), "point_id"))
+        if near is not None:
+            lists.append(_listed(near.withColumn("poem_id", F.lit(None).cast(poems.schema["poem_id"].dataType)), 2, "vector", vector_score="score"))
+    every = reduce(DataFrame.unionByName, lists)
     fused = fusion.fuse(every, settings.fuse_top, settings.rrf_k).cache()
+    held.append(fused)
     named = fused.select("work_id").distinct()
     named = F.broadcast(named) if named.count() <= BROADCAST_WORKS else named
     contents = poems.join(named, "work_id", "left_semi").groupBy("work_id").agg(F.min_by("text_match", "poem_id").alias("content"))
@@ -98,7 +132,8 @@ def search(queries: DataFrame, poems: DataFrame, lines: DataFrame, profile: Prof
 
     nobody = queries.select("query_id").where(F.lit(False))
     reports = report(queries, "exact", count(ranked), nobody)
-    reports = reports.unionByName(report(queries, "bm25", count(terms), decided))
-    reports = reports.unionByName(report(queries, "vector", count(near) if near is not None else None, decided, near is not None))
+    reports = reports.unionByName(report(queries, "bm25", count(terms) if terms is not None else None, decided, went=went.get("bm25")))
+    reports = reports.unionByName(report(queries, "vector", count(near) if near is not None else None, decided, has_vectors, went.get("vector")))
     reports = reports.unionByName(report(queries, "reranker", count(top), queries.select("query_id").join(counts, "query_id", "left_anti"), scorer is not None))
-    return Result(judged, top.drop("query", "content"), reports)
+    about = fusion.first_of(every.join(top.select("query_id", "work_id"), ["query_id", "work_id"], "left_semi"), ["poem_id"])
+    return Result(judged, top.drop("query", "content").join(about, ["query_id", "work_id"], "left"), reports, tuple(held))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import numbers
@@ -53,3 +53,43 @@ def search(queries: DataFrame, points: DataFrame, limit: int = 50) -> DataFrame:
         top = scored.withColumn("position", F.row_number().over(best) - 1).where(F.col("position") < limit)
         out = top if out is None else out.unionByName(top)
     return out
+
+
+def centres(points: DataFrame, lists: int, sample_rows: int = 20_000, rounds: int = 8) -> list[list[float]]:
+    """Centres of a coarse index, by Lloyd's method on at most sample_rows points, those of the lowest hash of their id."""
+    import numpy as np
+
+    rows = unit(points.select("point_id", "vector").orderBy(F.xxhash64("point_id"), "point_id").limit(sample_rows), "vector").select("vector").toArrow()["vector"]
+    x = np.array(rows.to_pylist(), dtype=np.float64)
+    if not len(x):
+        return []
+    at = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
+    for _ in range(rounds):
+        near = (x @ at.T).argmax(axis=1)
+        sums = np.zeros_like(at)
+        np.add.at(sums, near, x)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        at = np.where(norm > 0, sums / np.maximum(norm, 1e-12), at)
+    return at.tolist()
+
+
+def _nearest(vector: str, at: list[list[float]], most: int) -> Column:
+    """The numbers of the `most` centres nearest to a vector."""
+    each = F.array(*[F.struct((-numbers.dot(F.col(vector), F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(at)])
+    return F.transform(F.slice(F.array_sort(each), 1, most), lambda x: x["i"])
+
+
+def indexed(points: DataFrame, at: list[list[float]]) -> DataFrame:
+    """points with their list: every point is in one. Write it partitioned by list and a search reads only what it probes."""
+    scaled = unit(points, "vector")
+    return scaled.withColumn("list", F.get(_nearest("vector", at, 1), F.lit(0)))
+
+
+def search_indexed(queries: DataFrame, lists: DataFrame, at: list[list[float]], limit: int = 50, probes: int = 8) -> DataFrame:
+    """search() over the lists of the `probes` centres nearest to each query: an equi-join by list, no pair of others is looked at."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
+    scaled = unit(queries, "vector").select("query_id", F.col("vector").alias("q"), F.explode(_nearest("vector", at, probes)).alias("list"))
+    small = scaled.count() <= QUERY_BLOCK * probes
+    met = lists.select("point_id", F.col("vector").alias("v"), "list").join(F.broadcast(scaled) if small else scaled, "list")
+    scored = met.select("query_id", "point_id", F.round(numbers.dot(F.col("q"), F.col("v")), 9).alias("score"))
+    return scored.withColumn("position", F.row_number().over(best) - 1).where(F.col("position") < limit)

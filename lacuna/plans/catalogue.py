@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lacuna.plans import operations, retrieval, verse
+from lacuna.plans import exchange, operations, retrieval, verse
 from lacuna.plans.inputs import Query
 
-PARTS = (retrieval, verse, operations)
+PARTS = (retrieval, verse, operations, exchange)
 QUERIES: dict[str, Query] = {name: q for part in PARTS for name, q in part.C.queries.items()}
 SQL: dict[str, str] = {name: s for part in PARTS for name, s in part.C.sql.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.config import LETTERS
@@ -86,6 +86,26 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+#: Ideographs in place of letters, so that the tables hold texts in Han as well.
+LATIN, IN_HAN = "abcdefghijklmnopqrstuvwxyz", "細草微風岸危檣獨夜舟星垂平野闊月湧大江流名豈文章著官"
+HAN_OF = f"translate(lower({{0}}), '{LATIN}', '{IN_HAN}')"
+
+
+def in_han(column: Column) -> Column:
+    return F.translate(F.lower(column), LATIN, IN_HAN)
+
+
+class WithTable:
+    """An inline table together with rows that are made from a driver table: `sql` and `made` say the same."""
+
+    def __init__(self, inline: Inline, sql: str, made: Query) -> None:
+        self.inline, self.made, self.sql = inline, made, f"({inline.sql[1:-1]} union all {sql})"
+
+    def frame(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = self.made(spark, sf_dir)
+        return self.inline.frame(spark).unionByName(made)
+
+
 # Shared pieces of the SQL counterparts.
 MATCH = r"lower(regexp_replace({0}, '[^\p{{L}}]', '', 'g'))"
 POEMS_SQL = f"""

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from lacuna.config import LETTERS, Settings
 from lacuna.functions import keys, numbers, text
 from lacuna.operators import additions, agent, batch, columns, evaluate, events
-from lacuna.plans.inputs import MATCH, Catalogue, Inline, poems, table
+from lacuna.plans.inputs import MATCH, Catalogue, Inline, WithTable, poems, table
 from lacuna.sources import html
 
 C = Catalogue()
 
+
+def _with_table(cases: Inline, made: dict[str, str], name: str) -> WithTable:
+    """Inline cases and a row for each of a table, by expressions that both engines know."""
+    columns = [f"{v} as {k}" for k, v in made.items()]
+    return WithTable(cases, f"select {', '.join(columns)} from {name}", lambda spark, sf_dir: table(spark, sf_dir, name).selectExpr(*columns))
+
 # The log: a user is a run, an event type a step, and k of the properties gives phase, iteration and count.
 LOG_SQL = """raw as (select *, cast(regexp_extract(props, '(\\d+)', 1) as int) as k from events),
 log as (
@@ -117,21 +123,21 @@ def budget_first_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agent.first_violation(steps, BUDGET)
 
 
-ROUTES = Inline({"case_id": "int", "found": "boolean", "kind": "varchar", "overlap": "double", "enabled": "boolean", "available": "boolean"}, (1, True, "full", 1.0, True, True), (2, False, "none", 0.0, True, True), (3, False, "none", 0.2, False, True), (4, False, "none", 0.2, True, False), (5, False, "none", None, True, True), (6, False, "partial", 0.0, True, True))
+ROUTES = _with_table(Inline({"case_id": "int", "found": "boolean", "kind": "varchar", "overlap": "double", "enabled": "boolean", "available": "boolean"}, (1, True, "full", 1.0, True, True), (2, False, "none", 0.0, True, True), (3, False, "none", 0.2, False, True), (4, False, "none", 0.2, True, False), (5, False, "none", None, True, True), (6, False, "partial", 0.0, True, True)), {'case_id': 'cast(o_orderkey + 100 as int)', 'found': 'o_orderkey % 5 = 0', 'kind': "case when o_custkey % 3 = 0 then 'partial' else 'none' end", 'overlap': 'case when o_custkey % 4 > 0 then cast(o_custkey % 3 as double) / 10 end', 'enabled': 'o_orderkey % 3 > 0', 'available': 'o_orderkey % 4 > 0'}, "orders")
 
 
 @C.add("agent_route", f"select case_id, case when found then 'answered' when kind = 'none' and overlap = 0 then 'skipped' when not enabled then 'skipped' when not available then 'unavailable' else 'run' end as route from {ROUTES.sql}")
 def agent_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ROUTES.frame(spark).select("case_id", agent.route(*[F.col(c) for c in ("found", "kind", "overlap", "enabled", "available")]).alias("route"))
+    return ROUTES.frame(spark, sf_dir).select("case_id", agent.route(*[F.col(c) for c in ("found", "kind", "overlap", "enabled", "available")]).alias("route"))
 
 
-ENDS = Inline({"case_id": "int", "local": "varchar", "evidence": "int", "stopped": "varchar", "verdict": "varchar"}, (1, "no_result", 2, "done", "sufficient"), (2, "no_result", 2, "done", "insufficient"), (3, "no_result", 0, "budget_exhausted", None), (4, "has_result", 1, "done", None), (5, "no_result", 0, "model_failed", None), (6, "no_result", 0, "no_tools_available", None), (7, "no_result", 1, "done", None))
+ENDS = _with_table(Inline({"case_id": "int", "local": "varchar", "evidence": "int", "stopped": "varchar", "verdict": "varchar"}, (1, "no_result", 2, "done", "sufficient"), (2, "no_result", 2, "done", "insufficient"), (3, "no_result", 0, "budget_exhausted", None), (4, "has_result", 1, "done", None), (5, "no_result", 0, "model_failed", None), (6, "no_result", 0, "no_tools_available", None), (7, "no_result", 1, "done", None)), {'case_id': 'cast(o_orderkey + 100 as int)', 'local': "case when o_orderkey % 3 = 0 then 'has_result' when o_orderkey % 3 = 1 then 'low_confidence' else 'no_result' end", 'evidence': 'cast(o_custkey % 3 as int)', 'stopped': "case o_custkey % 4 when 0 then 'done' when 1 then 'budget_exhausted' when 2 then 'model_failed' else 'no_tools_available' end", 'verdict': "case when o_orderkey % 5 = 0 then 'insufficient' when o_orderkey % 5 = 1 then 'sufficient' end"}, "orders")
 
 
 @C.add("agent_outcome", f"select case_id, case when evidence > 0 then 'has_result' when stopped = 'model_failed' then 'error' when stopped = 'no_tools_available' then 'skipped' when stopped = 'budget_exhausted' then 'low_confidence' else 'no_result' end as agent_status, case when local = 'no_result' and evidence > 0 and coalesce(verdict, '') <> 'insufficient' then 'low_confidence' else local end as final_status from {ENDS.sql}")
 def agent_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = F.when(F.col("evidence") > 0, F.array(F.lit("model_has_result"))).otherwise(F.array().cast("array<string>"))
-    return ENDS.frame(spark).select("case_id", agent.agent_status(F.col("evidence"), F.col("stopped")).alias("agent_status"), agent.final_status(F.col("local"), flags, F.col("evidence"), F.col("verdict")).alias("final_status"))
+    return ENDS.frame(spark, sf_dir).select("case_id", agent.agent_status(F.col("evidence"), F.col("stopped")).alias("agent_status"), agent.final_status(F.col("local"), flags, F.col("evidence"), F.col("verdict")).alias("final_status"))
 
 
 # Input rows are documents; results of a first pass exist for those of even length, settled where the language is English.
@@ -178,12 +184,12 @@ def batch_export_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.export(rows, found.select("row_index", outcome.alias("outcome")), ["status", "title", "match_kind", "matched_text"]).drop("original")
 
 
-KINDS = Inline({"case_id": "int", "status": "varchar", "flags": "varchar", "has_top": "boolean", "dataset": "varchar"}, (1, "has_result", "exact_full_match", True, None), (2, "has_result", "exact_ambiguous;exact_full_match", True, "user-added"), (3, "low_confidence", "", True, "agent-proposed"), (4, "low_confidence", "", False, "other"), (5, "no_result", "exact_full_match", True, None), (6, "has_result", "exact_partial_match", True, "user-added"))
+KINDS = _with_table(Inline({"case_id": "int", "status": "varchar", "flags": "varchar", "has_top": "boolean", "dataset": "varchar"}, (1, "has_result", "exact_full_match", True, None), (2, "has_result", "exact_ambiguous;exact_full_match", True, "user-added"), (3, "low_confidence", "", True, "agent-proposed"), (4, "low_confidence", "", False, "other"), (5, "no_result", "exact_full_match", True, None), (6, "has_result", "exact_partial_match", True, "user-added")), {'case_id': 'cast(o_orderkey + 100 as int)', 'status': "case o_custkey % 3 when 0 then 'has_result' when 1 then 'low_confidence' else 'no_result' end", 'flags': "case o_orderkey % 5 when 0 then 'exact_ambiguous;exact_full_match' when 1 then 'exact_full_match' when 2 then 'exact_partial_match' when 3 then 'other' else '' end", 'has_top': 'o_orderkey % 2 = 0', 'dataset': "case o_orderkey % 3 when 0 then 'user-added' when 1 then 'agent-proposed' end"}, "orders")
 
 
 @C.add("match_kind", f"select case_id, case when status not in ('has_result', 'low_confidence') then 'none' when contains(flags, 'exact_ambiguous') then 'ambiguous' when contains(flags, 'exact_full_match') then 'full' when contains(flags, 'exact_partial_match') or has_top then 'partial' else 'none' end as match_kind, case dataset when 'user-added' then 'user' when 'agent-proposed' then 'agent' else 'no' end as origin from {KINDS.sql}")
 def match_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return KINDS.frame(spark).select("case_id", batch.match_kind(F.col("status"), F.split("flags", ";"), F.col("has_top")).alias("match_kind"), batch.addition_origin(F.col("dataset")).alias("origin"))
+    return KINDS.frame(spark, sf_dir).select("case_id", batch.match_kind(F.col("status"), F.split("flags", ";"), F.col("has_top")).alias("match_kind"), batch.addition_origin(F.col("dataset")).alias("origin"))
 
 
 @C.add("alternatives_string", "with ranked as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_returnflag, l_linestatus, l_discount) as k, l_shipdate, l_linestatus, l_returnflag, l_discount from lineitem) select l_orderkey, string_agg(l_returnflag || ' — ' || l_linestatus || ' (' || regexp_replace(cast(floor(l_discount * 1000 + 0.5) / 1000 as varchar), '\\.0$', '') || ')', '; ' order by k) as alternatives from ranked where k between 2 and 4 group by l_orderkey")
@@ -221,7 +227,7 @@ def column_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.suggest(columns.profile(CELLS.frame(spark)))
 
 
-NEW = Inline({"row_index": "int", "title": "varchar", "author": "varchar", "text": "varchar"}, (1, "旅夜書懷", "杜甫", "細草微風岸危檣獨夜舟"), (2, "", "杜甫", "細草"), (3, None, None, None), (4, "x" * 201, "y", "星垂平野闊"), (5, "t", "a", "abc"), (6, "旅夜書懷", "杜甫", "細草微風岸，危檣獨夜舟。"), (7, "長", "人", "天" * 4001))
+NEW = _with_table(Inline({"row_index": "int", "title": "varchar", "author": "varchar", "text": "varchar"}, (1, "旅夜書懷", "杜甫", "細草微風岸危檣獨夜舟"), (2, "", "杜甫", "細草"), (3, None, None, None), (4, "x" * 201, "y", "星垂平野闊"), (5, "t", "a", "abc"), (6, "旅夜書懷", "杜甫", "細草微風岸，危檣獨夜舟。"), (7, "長", "人", "天" * 4001)), {'row_index': 'cast(o_orderkey + 100 as int)', 'title': 'case when o_custkey % 3 > 0 then o_orderpriority end', 'author': "case when o_custkey % 4 > 0 then o_orderstatus else '  ' end", 'text': "repeat('細草x', cast(o_orderkey % 4 as int))"}, "orders")
 _HAN = "length(regexp_replace(trim(coalesce(text, '')), '[^\\p{Han}]', '', 'g'))"
 
 
@@ -231,7 +237,7 @@ _HAN = "length(regexp_replace(trim(coalesce(text, '')), '[^\\p{Han}]', '', 'g'))
     case when trim(coalesce(text, '')) <> '' and {_HAN} < 4 then 'text_han' when trim(coalesce(text, '')) <> '' and {_HAN} > 4000 then 'text_long' end, case when length(trim(coalesce(title, ''))) > 200 then 'title_long' end) as missing from {NEW.sql}""",
 )
 def addition_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NEW.frame(spark).select("row_index", F.array_join(additions.refusals(F.col("title"), F.col("author"), F.col("text")), ";").alias("missing"))
+    return NEW.frame(spark, sf_dir).select("row_index", F.array_join(additions.refusals(F.col("title"), F.col("author"), F.col("text")), ";").alias("missing"))
 
 
 @C.add("addition_outcomes", f"with poem as (select doc_id, sha256(lang || chr(10) || source || chr(10) || {MATCH.format('text')}) as h from documents), marked as (select h, row_number() over (partition by h order by doc_id) as k, h in (select h from poem where doc_id % 2 = 0) as held, doc_id from poem) select case when (held and doc_id % 2 <> 0) or k > 1 then 'duplicate' else 'added' end as result, count(*) as n from marked group by 1")
@@ -244,13 +250,13 @@ def addition_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additions.tally(frame.join(held, "content_hash", "left").withColumn("result", result))
 
 
-PROPOSALS = Inline({"case_id": "int", "verdict": "varchar", "nothing": "boolean", "url": "varchar", "ok": "boolean", "dup": "boolean"}, (1, "sufficient", True, "u1", True, False), (2, "conflicting", True, "u1", True, False), (3, "sufficient", False, "u1", True, False), (4, "sufficient", True, "u9", True, False), (5, "sufficient", True, None, True, False), (6, "sufficient", True, "u1", False, True), (7, "sufficient", True, "u1", True, True), (8, None, True, "u1", True, False))
+PROPOSALS = _with_table(Inline({"case_id": "int", "verdict": "varchar", "nothing": "boolean", "url": "varchar", "ok": "boolean", "dup": "boolean"}, (1, "sufficient", True, "u1", True, False), (2, "conflicting", True, "u1", True, False), (3, "sufficient", False, "u1", True, False), (4, "sufficient", True, "u9", True, False), (5, "sufficient", True, None, True, False), (6, "sufficient", True, "u1", False, True), (7, "sufficient", True, "u1", True, True), (8, None, True, "u1", True, False)), {'case_id': 'cast(o_orderkey + 100 as int)', 'verdict': "case o_custkey % 3 when 0 then 'sufficient' when 1 then 'conflicting' end", 'nothing': 'o_orderkey % 3 > 0', 'url': "case o_orderkey % 4 when 0 then 'u1' when 1 then 'u2' when 2 then 'u3' end", 'ok': 'o_custkey % 4 > 0', 'dup': 'o_orderkey % 5 = 0'}, "orders")
 
 
 @C.add("proposal_gates", f"select case_id, case when coalesce(verdict, '') <> 'sufficient' then 'verdict' when not nothing then 'local_answered' when url is null or url not in ('u1', 'u2') then 'url_not_retrieved' when not ok then 'rules' when dup then 'duplicate' end as gate from {PROPOSALS.sql}")
 def proposal_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     missing = F.when(F.col("ok"), F.array().cast("array<string>")).otherwise(F.array(F.lit("title")))
-    return PROPOSALS.frame(spark).select("case_id", additions.proposal_gate(F.col("verdict"), F.col("nothing"), F.col("url"), F.array(F.lit("u1"), F.lit("u2")), missing, F.col("dup")).alias("gate"))
+    return PROPOSALS.frame(spark, sf_dir).select("case_id", additions.proposal_gate(F.col("verdict"), F.col("nothing"), F.col("url"), F.array(F.lit("u1"), F.lit("u2")), missing, F.col("dup")).alias("gate"))
 
 
 @C.add("addition_counts", "select o_orderstatus as status, o_orderpriority as origin, count(*) as n from orders group by all")
@@ -311,17 +317,17 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.stripped(F.col("html")).alias("text"))
 
 
-USAGE = Inline({"case_id": "int", "model": "varchar", "tokens_in": "bigint", "tokens_out": "bigint", "cached": "bigint"}, (1, "a", 1_000_000, 500_000, 0), (2, "a", 1000, 10, 5000), (3, "b", 1000, 10, 400), (4, "c", 10, 10, 0), (5, "a", None, None, None), (6, "b", 100, 100, -5), (7, "a", 2000, 0, None))
+USAGE = _with_table(Inline({"case_id": "int", "model": "varchar", "tokens_in": "bigint", "tokens_out": "bigint", "cached": "bigint"}, (1, "a", 1_000_000, 500_000, 0), (2, "a", 1000, 10, 5000), (3, "b", 1000, 10, 400), (4, "c", 10, 10, 0), (5, "a", None, None, None), (6, "b", 100, 100, -5), (7, "a", 2000, 0, None)), {'case_id': 'cast(o_orderkey + 100 as int)', 'model': "case o_orderkey % 3 when 0 then 'a' when 1 then 'b' else 'c' end", 'tokens_in': 'cast(case when o_custkey % 7 > 0 then o_custkey end as bigint)', 'tokens_out': 'cast(o_orderkey % 1000 as bigint)', 'cached': 'cast(case when o_custkey % 5 > 0 then o_custkey % 400 - 20 end as bigint)'}, "orders")
 PRICES = Inline({"model": "varchar", "rate_in": "double", "rate_out": "double", "rate_cached": "double"}, ("a", 3.0, 15.0, 0.3), ("b", 1.0, 2.0, None))
 
 
 @C.add("cost_estimate", f"with u as (select *, least(greatest(coalesce(cached, 0), 0), tokens_in) as held from {USAGE.sql}) select case_id, round((tokens_in - held) / 1e6 * rate_in + held / 1e6 * coalesce(rate_cached, rate_in) + tokens_out / 1e6 * rate_out, 9) as cost_usd from u left join {PRICES.sql} using (model)")
 def cost_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = USAGE.frame(spark).join(F.broadcast(PRICES.frame(spark)), "model", "left")
+    met = USAGE.frame(spark, sf_dir).join(F.broadcast(PRICES.frame(spark)), "model", "left")
     return met.select("case_id", F.round(numbers.token_cost(*[F.col(c) for c in ("tokens_in", "tokens_out", "cached", "rate_in", "rate_out", "rate_cached")]), 9).alias("cost_usd"))
 
 
-SIZES = Inline({"rows": "bigint", "agent": "boolean"}, (0, True), (1, False), (100, True), (5425, True), (5425, False), (-3, True), (1_000_000, True))
+SIZES = _with_table(Inline({"rows": "bigint", "agent": "boolean"}, (0, True), (1, False), (100, True), (5425, True), (5425, False), (-3, True), (1_000_000, True)), {'rows': 'cast(o_custkey * 37 + o_orderkey as bigint)', 'agent': 'o_orderkey % 2 = 0'}, "orders")
 
 
 @C.add(
@@ -332,7 +338,7 @@ SIZES = Inline({"rows": "bigint", "agent": "boolean"}, (0, True), (1, False), (1
       case when seconds < 90 then 'second' when seconds < 5400 then 'minute' when seconds < 172800 then 'hour' else 'day' end as unit from t""",
 )
 def batch_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = SIZES.frame(spark).select(F.col("rows").alias("given"), "agent", numbers.estimate(F.col("rows"), F.col("agent")).alias("e"))
+    found = SIZES.frame(spark, sf_dir).select(F.col("rows").alias("given"), "agent", numbers.estimate(F.col("rows"), F.col("agent")).alias("e"))
     return found.select("given", "agent", F.col("e.rows").alias("estimated_rows"), "e.agent_rows", "e.seconds", numbers.human_seconds(F.col("e.seconds")).alias("h")).select("given", "agent", "estimated_rows", "agent_rows", "seconds", "h.value", "h.unit")
 
 
@@ -347,9 +353,10 @@ def semi_in_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(regular, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_totalprice")
 
 
-@C.add("anti_not_exists", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@C.add("anti_not_exists", "select c_custkey, c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority like '1%')")
 def anti_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'")
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @C.add("missing_names", "select string_agg(n_name, ', ' order by n_name) as missing, count(*) as n from nation where not exists (select 1 from supplier where s_nationkey = n_nationkey)")
@@ -389,12 +396,12 @@ def jobs_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("job_id", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ";").alias("counts"))
 
 
-NAMES = Inline({"requested": "varchar", "served": "varchar"}, ("big-model", "big-model-2024"), ("big-model", "Big Model"), ("big-model", "small"), ("a.b", "ab-c"), ("x", None))
+NAMES = _with_table(Inline({"requested": "varchar", "served": "varchar"}, ("big-model", "big-model-2024"), ("big-model", "Big Model"), ("big-model", "small"), ("a.b", "ab-c"), ("x", None)), {'requested': 'p_brand', 'served': "case when p_partkey % 3 = 0 then p_brand || '-' || p_size when p_partkey % 3 = 1 then p_type end"}, "part")
 
 
 @C.add("model_substituted", f"select requested, served, coalesce(not (starts_with(a, b) or starts_with(b, a)), false) as substituted from (select *, lower(regexp_replace(requested, '[^A-Za-z0-9]', '', 'g')) as a, lower(regexp_replace(served, '[^A-Za-z0-9]', '', 'g')) as b from {NAMES.sql})")
 def model_substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NAMES.frame(spark).select("requested", "served", text.substituted(F.col("requested"), F.col("served")).alias("substituted"))
+    return NAMES.frame(spark, sf_dir).select("requested", "served", text.substituted(F.col("requested"), F.col("served")).alias("substituted"))
 
 
 @C.add("event_iso", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as iso from events")

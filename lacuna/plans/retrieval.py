@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from lacuna.config import HAN, LETTERS
 from lacuna.functions import text
 from lacuna.operators import bm25, confidence, corpus, exact, fusion, hybrid, vectors
 from lacuna.operators.readings import enumerate_readings
-from lacuna.plans.inputs import LINES_SQL, MATCH, POEMS_SQL, QUERY_SQL, Catalogue, Inline, fragments, lines, poems, table
+from lacuna.plans.inputs import HAN_OF, LINES_SQL, MATCH, POEMS_SQL, QUERY_SQL, Catalogue, Inline, WithTable, fragments, in_han, lines, poems, table
+from lacuna.storage import shared_folder
 
 C = Catalogue()
 
-HAN_TEXTS = Inline(
+HAN_CASES = Inline(
     {"case_id": "int", "text": "varchar"},
     (1, "細草微風岸，危檣獨夜舟。"),
     (2, "羣峭碧摩天，逍遥不記年。撥雲尋古道，倚石聽流泉。"),
@@ -22,6 +25,7 @@ HAN_TEXTS = Inline(
     (5, ""),
     (6, "。，！"),
 )
+HAN_TEXTS = WithTable(HAN_CASES, f"select cast(doc_id + 100 as int) as case_id, {HAN_OF.format('text')} as text from documents", lambda spark, sf_dir: table(spark, sf_dir, "documents").select((F.col("doc_id") + 100).cast("int").alias("case_id"), in_han(F.col("text")).alias("text")))
 _SIMPLE = "".join(text.SIMPLIFIED), "".join(text.SIMPLIFIED.values())
 _FOLD = "".join(text.VARIANTS), "".join(text.VARIANTS.values())
 _HAN_MATCH = f"translate(regexp_replace(translate(text, '{_SIMPLE[0]}', '{_SIMPLE[1]}'), '[^{text.IDEOGRAPHS}]', '', 'g'), '{_FOLD[0]}', '{_FOLD[1]}')"
@@ -35,12 +39,12 @@ def normalize_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @C.add("han_match_form", f"select case_id, {_HAN_MATCH} as text_match, length({_HAN_MATCH}) as n from {HAN_TEXTS.sql}")
 def han_match_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = text.match_form(F.col("text"), HAN)
-    return HAN_TEXTS.frame(spark).select("case_id", form.alias("text_match"), F.length(form).cast("bigint").alias("n"))
+    return HAN_TEXTS.frame(spark, sf_dir).select("case_id", form.alias("text_match"), F.length(form).cast("bigint").alias("n"))
 
 
 @C.add("match_to_display", f"select case_id, list_filter(list_transform(string_split(text, ''), lambda c, i: case when regexp_matches(c, '^[{text.IDEOGRAPHS}]$') then i - 1 end), lambda i: i is not null) as places from {HAN_TEXTS.sql} where text <> ''")
 def match_to_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return HAN_TEXTS.frame(spark).where("text != ''").select("case_id", F.transform(text.match_to_display(F.col("text")), lambda i: i.cast("bigint")).alias("places"))
+    return HAN_TEXTS.frame(spark, sf_dir).where("text != ''").select("case_id", F.transform(text.match_to_display(F.col("text")), lambda i: i.cast("bigint")).alias("places"))
 
 
 def _lines_sql(pattern: str) -> str:
@@ -55,7 +59,7 @@ def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @C.add("prosody_lines", f"select case_id, list_filter(regexp_split_to_array(text, '[\\s\\x{{3000}}，。、；：？！,.;:?!·．｡､]+'), lambda x: x <> '') as parts from {HAN_TEXTS.sql}")
 def prosody_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return HAN_TEXTS.frame(spark).select("case_id", text.prosody_lines(F.col("text")).alias("parts"))
+    return HAN_TEXTS.frame(spark, sf_dir).select("case_id", text.prosody_lines(F.col("text")).alias("parts"))
 
 
 @C.add("corpus_lines", f"with {LINES_SQL} select poem_id, line_no, text_display, m as text_match from line where m <> ''")
@@ -220,13 +224,6 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "poem_id", "matched_terms", F.round("score", 6).alias("score"), F.col("position").cast("bigint").alias("position"))
 
 
-@C.add("lexical_overlap", f"with {POEMS_SQL}, {QUERY_SQL}, l as (select item_id as query_id, doc_id as poem_id from benchmark join documents on item_id = doc_id) select query_id, round(len(list_intersect(list_distinct(string_split(r, '')), list_distinct(string_split(m, '')))) / len(list_distinct(string_split(r, ''))), 6) as overlap from l join query using (query_id) join poem using (poem_id) where r <> ''")
-def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forms = fragments(spark, sf_dir).withColumn("r", text.match_form(F.col("text"), LETTERS)).where("r != ''")
-    pairs = forms.join(poems(spark, sf_dir), F.col("query_id") == F.col("poem_id"))
-    return pairs.select("query_id", F.round(text.lexical_overlap(F.col("r"), F.col("text_match")), 6).alias("overlap"))
-
-
 VECTOR_SQL = """with v as (select vec_id, cast(embedding as double[]) as e, label from embeddings), u as (select vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as e from v),
 top as (
   select q.vec_id as query_id, p.vec_id as point_id, round(list_dot_product(q.e, p.e), 9) as score, q.label as query_label, p.label as point_label,
@@ -285,6 +282,15 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.fuse(_lists(spark, sf_dir)).select("query_id", "work_id", F.round("score", 9).alias("score"), "agreement", F.col("fused_position").cast("bigint").alias("fused_position"))
 
 
+@C.add("lexical_overlap", FUSED_SQL + ", content as (select work_id, arg_min(m, poem_id) as content from poem group by work_id) select query_id, work_id, round(len(list_intersect(list_distinct(string_split(r, '')), list_distinct(string_split(content, '')))) / len(list_distinct(string_split(r, ''))), 6) as overlap from placed join content using (work_id) join query using (query_id)")
+def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each query with every candidate that the fused search over all documents finds for it."""
+    forms = fragments(spark, sf_dir).select("query_id", text.match_form(F.col("text"), LETTERS).alias("r"))
+    contents = poems(spark, sf_dir).groupBy("work_id").agg(F.min_by("text_match", "poem_id").alias("content"))
+    pairs = fusion.fuse(_lists(spark, sf_dir)).join(contents, "work_id").join(forms, "query_id")
+    return pairs.select("query_id", "work_id", F.round(text.lexical_overlap(F.col("r"), F.col("content")), 6).alias("overlap"))
+
+
 HYBRID_SQL = (
     FUSED_SQL
     + """, content as (select work_id, arg_min(m, poem_id) as content from poem group by work_id),
@@ -320,10 +326,54 @@ def hybrid_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hybrid(spark, sf_dir).outcomes.select("query_id", "kind", F.col("candidates").cast("bigint").alias("candidates"), "status", "confidence")
 
 
-@C.add("source_reports")
+REPORTS_SQL = (
+    HYBRID_SQL
+    + """, seen as (
+  select q.query_id, coalesce(c.kind = 'full' and c.n_works = 1, false) as decided, (select count(*) from works w where w.query_id = q.query_id) as n_exact, (select count(*) from best b where b.query_id = q.query_id) as n_terms,
+    (select count(*) from placed p where p.query_id = q.query_id) as n_placed, (select count(*) from top8 t where t.query_id = q.query_id) as n_top
+  from query q left join classed c using (query_id)
+), listed as (
+  select query_id, 'exact' as source, case when n_exact > 0 then 'has_result' else 'no_result' end as status, n_exact as n, 'Exact search' as name, false as short from seen
+  union all select query_id, 'bm25', case when decided then 'skipped' when n_terms > 0 then 'has_result' else 'no_result' end, case when decided then 0 else n_terms end, 'Term search', true from seen
+  union all select query_id, 'vector', case when decided then 'skipped' else 'unavailable' end, 0, 'Vector search', true from seen
+  union all select query_id, 'reranker', case when n_placed = 0 then 'skipped' when n_top > 0 then 'has_result' else 'no_result' end, case when n_placed = 0 then 0 else n_top end, 'Reranker', false from seen
+)
+select query_id, source, status, n, name || case when status = 'skipped' then case when short then ': not needed, an exact match decided' else ': skipped' end when status = 'unavailable' then ': unavailable' when n = 0 then ': nothing found' else ': ' || n || ' found' end as description from listed"""
+)
+
+
+@C.add("source_reports", REPORTS_SQL)
 def source_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _hybrid(spark, sf_dir).reports
-    return found.select("*", hybrid.described(F.col("source"), F.col("status"), F.col("n"), F.col("source").isin("bm25", "vector")).alias("description"))
+    return found.select("query_id", "source", "status", "n", hybrid.described(F.col("source"), F.col("status"), F.col("n"), F.col("source").isin("bm25", "vector")).alias("description"))
+
+
+@C.add("sources_measured", REPORTS_SQL.replace("select query_id, source, status, n, name ||", "select query_id, source, case when source = 'vector' and status <> 'skipped' then 'error' else status end as status, case when source = 'vector' and status <> 'skipped' then 'internal' end as error_code, source in ('bm25', 'vector') and status <> 'skipped' as timed, name ||").replace(" as description from listed", " as told from listed").replace("select query_id, source, case when source", "select query_id, source, status, error_code, timed from (select query_id, source, case when source", 1) + ")")
+def sources_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources one by one with their latency; vectors of a wrong type fail and are reported, while the others answer."""
+    broken = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.raise_error(F.lit("broken store")).cast("array<float>").alias("vector"), F.lit("w").alias("work_id"))
+    asked = fragments(spark, sf_dir).select("query_id", F.array(F.lit(1.0)).alias("vector"))
+    found = hybrid.search(fragments(spark, sf_dir), poems(spark, sf_dir), lines(spark, sf_dir), LETTERS, points=broken, query_vectors=asked, scorer=hybrid.lexical_scorer, readings=_as_written(spark, sf_dir), measured=True).reports
+    return found.select("query_id", "source", "status", "error_code", F.coalesce(F.col("latency_ms") >= 0, F.lit(False)).alias("timed"))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> corpus.Index:
+    folder = f"{shared_folder(spark)}/catalogue/index-{uuid.uuid4().hex}"
+    corpus.write_index(poems(spark, sf_dir), lines(spark, sf_dir), LETTERS, folder, 1)
+    return corpus.read_index(spark, folder)
+
+
+@C.add("exact_hits_stored", HITS_SQL + " select query_id, \"at\", win, poem_id, line_no from kept")
+def exact_hits_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_hits over stored postings, of which only the buckets of the windows' grams are read."""
+    found = exact.hits(exact.sweep(_as_written(spark, sf_dir), LETTERS), None, LETTERS, index=_stored(spark, sf_dir))
+    return found.select("query_id", F.col("at").cast("bigint").alias("at"), "win", "poem_id", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+@C.add("bm25_stored", BM25_SQL + " select query_id, poem_id, matched_terms, round(score, 6) as score, position from best")
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bm25.search(fragments(spark, sf_dir), None, LETTERS, index=_stored(spark, sf_dir))
+    return found.select("query_id", "poem_id", "matched_terms", F.round("score", 6).alias("score"), F.col("position").cast("bigint").alias("position"))
 
 
 @C.add("short_circuit_split", CLASS_SQL + " select query_id, kind = 'full' as decided from classed")
@@ -332,12 +382,17 @@ def short_circuit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome.select("query_id", hybrid.short_circuited(outcome).alias("decided"))
 
 
-DECISIONS = Inline(
+DECISION_CASES = Inline(
     {"case_id": "int", "kind": "varchar", "works": "int", "windows": "int", "n": "int", "top1": "double", "overlap": "double"},
     (1, "full", 1, 3, 5, None, None), (2, "full", 1, 3, 5, 0.9, 0.05), (3, "ambiguous", 3, 2, 5, None, 0.5), (4, "partial", 1, 2, 5, None, None),
     (5, "partial", 1, 1, 5, 0.7, 0.4), (6, "none", 0, 0, 0, None, None), (7, "none", 0, 0, 4, None, 0.01), (8, "none", 0, 0, 4, 0.9, 0.1),
     (9, "none", 0, 0, 4, 0.2, 0.5), (10, "none", 0, 0, 4, 0.35, 0.15), (11, "none", 0, 0, 4, 0.8, 0.6), (12, "full", 1, 1, 1, 0.1, 0.15), (13, "full", 2, 1, 1, None, None),
 )
+_FROM_ORDERS = {
+    "case_id": "cast(o_orderkey + 100 as int)", "kind": "case o_orderkey % 4 when 0 then 'full' when 1 then 'ambiguous' when 2 then 'partial' else 'none' end", "works": "cast(1 + o_custkey % 2 as int)", "windows": "cast(1 + o_orderkey % 3 as int)",
+    "n": "cast(o_custkey % 3 as int)", "top1": "case when o_custkey % 5 > 0 then cast(o_custkey % 100 as double) / 100 end", "overlap": "case when o_orderkey % 7 > 0 then cast(o_orderkey % 50 as double) / 100 end",
+}
+DECISIONS = WithTable(DECISION_CASES, f"select {', '.join(f'{v} as {k}' for k, v in _FROM_ORDERS.items())} from orders", lambda spark, sf_dir: table(spark, sf_dir, "orders").selectExpr(*[f"{v} as {k}" for k, v in _FROM_ORDERS.items()]))
 
 
 @C.add(
@@ -353,6 +408,6 @@ DECISIONS = Inline(
     else {{'status': 'low_confidence', 'confidence': 0.5, 'flags': 'local_low_confidence'}} end as d), lateral (select d.status as status, d.confidence as confidence, d.flags as flags)""",
 )
 def confidence_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = DECISIONS.frame(spark)
+    rows = DECISIONS.frame(spark, sf_dir)
     verdict = confidence.evaluate(*[F.col(c) for c in ("kind", "works", "windows", "n", "top1", "overlap")])
     return rows.select("case_id", verdict.alias("v")).select("case_id", "v.status", "v.confidence", F.array_join("v.flags", ";").alias("flags"))

@@ -36,6 +36,13 @@ def upsert(batch: DataFrame, folder: str, key: str) -> int:
     return held + 1
 
 
+def replace(frame: DataFrame, folder: str) -> int:
+    """Write the next version of a table whole; the version number."""
+    held = latest_version(frame.sparkSession, folder)
+    frame.write.parquet(f"{folder}/v{held + 1}")
+    return held + 1
+
+
 def latest_version(spark: SparkSession, folder: str) -> int:
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = place.getFileSystem(spark._jsc.sc().hadoopConfiguration())
@@ -56,6 +63,21 @@ def finalised(runs: DataFrame, log: DataFrame) -> DataFrame:
     return runs.drop("final_flags", "cost_usd", "finished").join(folded, "run_id", "left")
 
 
+def write_prosody(tone: DataFrame, rhyme: DataFrame, folder: str) -> None:
+    """The tone table (ch, ping, ze) and the rhyme groups (ch, group_id) as the next version of each."""
+    replace(tone.select("ch", "ping", "ze"), f"{folder}/tone")
+    replace(rhyme.select("ch", "group_id"), f"{folder}/rhyme")
+
+
+def read_prosody(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The last versions of both tables; empty ones where nothing was written."""
+    out = []
+    for name, schema in (("tone", "ch string, ping bigint, ze bigint"), ("rhyme", "ch string, group_id string")):
+        version = latest_version(spark, f"{folder}/{name}")
+        out.append(spark.read.schema(schema).parquet(f"{folder}/{name}/v{version}") if version else spark.createDataFrame([], schema))
+    return out[0], out[1]
+
+
 def report(frame: DataFrame, path: str) -> None:
-    """A report as JSON lines in one file."""
+    """A report as JSON lines in one file: for summaries of a few rows."""
     frame.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -2,9 +2,13 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lacuna import api
 from lacuna.config import HAN, ConfigError
-from lacuna.operators import agent, corpus, hybrid
+from lacuna.operators import agent, batch, corpus, exact, hybrid, service
+from lacuna.operators.readings import enumerate_readings
+from lacuna.sources import jobs, xlsx
 
 NIGHT = "細草微風岸，危檣獨夜舟。星垂平野闊，月湧大江流。"
 
@@ -52,6 +56,141 @@ def test_batch(spark, engine, tmp_path):
     assert len(api.batch_columns()) == 36 and api.corpus_rules()["least_han"] == 4
 
 
+def test_tools_of_an_engine(engine):
+    tools = engine.tools()
+    assert list(tools) == ["search_local_exact", "search_local_semantic", "search_web", "ask_model"]
+    assert [t["name"] for t in agent.offered(tools)] == ["search_local_exact", "search_local_semantic"]
+    found = agent.run_tool(tools["search_local_semantic"], {"query": "星垂平野闊，月湧大江"})
+    assert "星垂平野闊" in found.rows[0]["content"]
+
+
+def test_stored_index(spark, engine, tmp_path):
+    over = engine.indexed(str(tmp_path / "index"))
+    plain, stored = engine.search("星垂平野闊月湧\n大江流").outcomes.first(), over.search("星垂平野闊月湧\n大江流").outcomes.first()
+    assert plain.asDict(True) == stored.asDict(True)
+    assert engine.indexed(str(tmp_path / "index")).index.stats.first()["total_docs"] == 1
+    asked = exact.sweep(enumerate_readings(spark.createDataFrame([(1, "星垂平野闊")], "query_id int, text string"), HAN, most=1), HAN)
+    plan = exact.hits(asked, None, HAN, index=over.index)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_results_are_released(spark, engine):
+    spark.catalog.clearCache()
+    result = engine.search("星垂平野闊")
+    assert result.outcomes.first()["status"] == "has_result" and result.held
+    result.release()
+    assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(result.held[0]._jdf).isDefined()
+
+
+def test_a_source_that_fails_is_reported(spark, engine):
+    points = spark.range(3).select("id", F.raise_error(F.lit("gone")).cast("array<float>").alias("vector"), F.lit("w").alias("work_id")).withColumnRenamed("id", "point_id")
+    broken = api.replace(engine, points=points)
+    asked = spark.createDataFrame([(0, [1.0])], "query_id bigint, vector array<double>")
+    got = {r["source"]: r for r in broken.search("天地日月龘靐", query_vectors=asked, measured=True).reports.collect()}
+    assert got["vector"]["status"] == "error" and got["vector"]["error_code"] == "internal" and got["vector"]["latency_ms"] > 0
+    assert got["bm25"]["status"] in ("has_result", "no_result") and got["bm25"]["latency_ms"] > 0 and got["bm25"]["error_code"] is None
+
+
+def test_jobs(spark, engine, tmp_path):
+    path = tmp_path / "in.jsonl"
+    path.write_text("\n".join(json.dumps({"id": i, "poem": p}) for i, p in enumerate(["星垂平野闊", " ", "龘龘龘龘"])) + "\n")
+    now = [0.0]
+
+    def clock():
+        now[0] += 1
+        return now[0]
+
+    store = jobs.Jobs(spark, str(tmp_path / "jobs"), clock)
+    job = api.batch_upload(store, str(path), "mine")
+    assert job["headers"] == ["id", "poem"] and job["total_rows"] == 3 and job["suggested"] == "poem"
+    key = job["job_id"]
+
+    def refused(code, run):
+        with pytest.raises(batch.JobError) as fault:
+            run()
+        assert fault.value.code == code
+
+    refused(404, lambda: api.batch_status(store, "none"))
+    refused(400, lambda: api.batch_start(engine, store, key, "nope"))
+    refused(409, lambda: api.batch_cancel(store, key))
+    done = api.batch_start(engine, store, key, "poem")
+    assert done["status"] == "done" and done["pending_rows"] == 3
+    assert api.batch_status(store, key)["counts"] == {"has_result": 1, "skipped": 1, "no_result": 1}
+    refused(409, lambda: api.batch_start(engine, store, key, "poem"))
+    again = api.batch_start(engine, store, key, "poem", "unresolved")
+    assert again["pending_rows"] == 1 and api.batch_status(store, key)["finished_rows"] == 3
+    rows = {r["row_index"]: r for r in api.batch_export(store, key, ["title"], str(tmp_path / "out")).collect()}
+    assert rows[0]["han_title"] == "旅夜書懷" and rows[0]["han_status"] == "has_result" and rows[1]["han_title"] is None
+    assert spark.read.text(str(tmp_path / "out")).count() == 3
+    other = store.add("x", "other", ["a"], 1)
+    assert [r["job_id"] for r in api.batch_list(store).collect()] == [other, key]
+    store.move(other, "running")
+    refused(409, lambda: api.batch_delete(store, other))
+    refused(409, lambda: store.move(other, "scanned"))
+    assert store.interrupt() == 1 and store.find(other)["status"] == "interrupted"
+    store.move(other, "running")
+    api.batch_cancel(store, other)
+    assert store.find(other)["status"] == "cancelled"
+    api.batch_delete(store, key)
+    refused(404, lambda: api.batch_status(store, key))
+    assert store.results().count() == 0
+
+    def broken(left):
+        raise ValueError("broken search")
+
+    store.move(other, "running")
+    assert store.run(other, spark.range(1), broken) == "failed" and store.find(other)["error"] == "broken search"
+
+
+def test_export_of_a_workbook(spark, engine, tmp_path):
+    path = str(tmp_path / "in.xlsx")
+    xlsx.write(path, ["poem", "note"], [["星垂平野闊", 1], ["龘龘龘龘", None]])
+    store = jobs.Jobs(spark, str(tmp_path / "jobs"))
+    key = api.batch_upload(store, path, "book")["job_id"]
+    api.batch_start(engine, store, key, "poem")
+    out = str(tmp_path / "out.xlsx")
+    api.batch_export(store, key, ["status", "title"], out)
+    back = [json.loads(r["raw"]) for r in xlsx.read(spark, out).orderBy("row_index").collect()]
+    assert [b["han_title"] for b in back] == ["旅夜書懷", None] and back[0]["note"] == 1 and back[1]["poem"] == "龘龘龘龘"
+
+
+def test_additions(spark, engine, tmp_path):
+    store = api.Additions(engine, str(tmp_path / "added"))
+    rows = spark.createDataFrame([(0, "題", "人", "細草微風岸危檣獨"), (1, "題", "人", "細草，微風岸危檣獨"), (2, "", "人", "細草微風岸"), (3, "旅夜書懷", "杜甫", NIGHT)], "row_index int, title string, author string, text string")
+    got = {r["row_index"]: r["result"] for r in store.add(rows, "agent").collect()}
+    assert got[0] == "added" and got[1] == "duplicate" and got[2] == "error"
+    held = store.listed("pending", "agent").collect()
+    assert len(held) == list(got.values()).count("added")
+    decisions = spark.createDataFrame([(held[0]["addition_id"], "accepted"), ("none", "accepted")], "addition_id string, decision string")
+    assert sorted(r["review"] for r in store.review(decisions).collect()) == ["applied", "not_found"]
+    assert [r["review"] for r in store.review(decisions.limit(1)).collect()] == ["not_pending"]
+    assert store.stats()["agent_accepted"] == 1 and store.stats()["total"] == 1
+    assert {r["result"] for r in store.add(rows.where("row_index = 0")).collect()} == {"duplicate"}
+    for bad in (lambda: store.listed("odd"), lambda: store.add(rows, "odd")):
+        with pytest.raises(api.RequestError):
+            bad()
+
+
+def test_models_as_plug_ins(spark, engine):
+    made = []
+
+    def factory():
+        made.append(1)
+        return service.HashEmbedder()
+
+    assert service.loaded(factory, "t") is service.loaded(factory, "t") and len(made) == 1
+    assert api.unload("t") == {"unloaded": True} and api.unload("t") == {"unloaded": False}
+    frame = spark.createDataFrame([(1, "天地日月"), (2, " "), (3, None), (4, "天地日月")], "id int, text string")
+    got = {r["id"]: r["vector"] for r in service.embedded(frame, "text", service.HashEmbedder, "h", batch=1).collect()}
+    assert got[2] is None and got[3] is None and got[1] == got[4] and sum(x * x for x in got[1]) == pytest.approx(1)
+    one = api.embed(service.HashEmbedder(), ["天地日月"])
+    assert one["dim"] == 64 and one["vectors"][0] == pytest.approx(got[1], abs=1e-6)
+    assert api.rerank(service.OverlapReranker(), "天地", ["天", "日"])["scores"] == [0.5, 0.0]
+    scored = service.scorer(service.OverlapReranker, "o")(spark.createDataFrame([("天地", "天"), (None, "x")], "query string, content string"))
+    assert [r["rerank_score"] for r in scored.collect()] == [0.5, 0.0]
+    assert service.described(service.HashEmbedder())["model_id"] == "hash-64"
+
+
 def test_requests():
     api.embed_request(["a"])
     api.rerank_request("q", ["d"])

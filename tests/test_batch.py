@@ -93,6 +93,16 @@ def test_html(spark):
     assert {r["page_id"]: r["status"] for r in html.outcomes(pages).collect()} == {1: "has_result", 2: "error", 3: "no_result"}
 
 
+def test_pages_are_read_as_trees():
+    long = "".join(f"<div class='poemSentence'>line {i}, <b>bold</b><br>x &amp; &lt;y<span>&nbsp;z</span></div>" for i in range(900))
+    page = f"<div id='poem_title_1'><a href='http://a/1'>one</a><img src='x'><span class='a inlineComment1'>唐·</span></div><div id='poem_content_1' class='poemContent'>{long}</div><div class='poemSentence'>outside</div>"
+    page += "<div id='poem_title_2'><b>no link</b></div><div id='poem_title_x'><a href='/'>odd</a></div><div id='poem_title_3'><a href='/3'> </a></div><div id='poem_title_4'><a href='/4'>four</a>"
+    one, four = html.parsed(page)
+    assert len(one["lines"]) == 900 and one["lines"][7] == "line 7, boldx & &lt;y z" and (one["dynasty"], one["author"], one["url"]) == ("唐", None, "http://a/1")
+    assert (four["id"], four["title"], four["lines"], four["url"]) == ("4", "four", [], "https://sou-yun.cn/4")
+    assert html.parsed(None) == html.parsed("") == html.parsed("<<div</p>") == []
+
+
 def test_vector_store(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "v"))
     assert store.live() is None and store.meta() is None and store.read().count() == 0

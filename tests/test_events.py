@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import pytest
@@ -76,6 +77,79 @@ def test_stateful_fold(spark, arrived, tmp_path):
     assert {r["run_id"]: (r["applied"], r["total_cost_usd"], r["finished"]) for r in last} == {"r": (5, 0.75, True), "s": (1, 0.0, False)}
 
 
+class State:
+    """What the fold sees of a state store."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutTimestamp(self, ms):  # noqa: N802 - the store's name
+        self.timeout = ms
+
+    def getCurrentWatermarkMs(self):  # noqa: N802 - the store's name
+        return 5_000
+
+
+def test_state_is_bounded_and_removed():
+    import pandas as pd
+
+    state, order = State(), list(range(500))
+    random.Random(2).shuffle(order)
+    order = [x for i in range(0, 500, 20) for x in sorted(range(i, i + 20), key=order.index)]
+    for i in range(0, 500, 20):
+        rows = [{"seq": x, "cost_usd": 0.5, "agent_iteration": None, "step": "exact", "phase": "completed", "ts": None} for x in order[i : i + 20] + order[max(0, i - 5) : i]]
+        out = list(stream._ending_fold(("r",), iter([pd.DataFrame(rows)]), state))
+        assert len(state.value[-1]) <= 20 and not state.timeout
+    assert out[0]["applied"][0] == 500 and out[0]["total_cost_usd"][0] == 250 and state.value[-2:] == (499, [])
+    list(stream._ending_fold(("r",), iter([pd.DataFrame([{"ts": pd.Timestamp(9, unit="s", tz="UTC"), "seq": 502, "cost_usd": None, "agent_iteration": 3, "step": "final_answer", "phase": "completed"}])]), state))
+    assert state.value[-1] == [502] and state.value[4] and state.timeout == 9_000 + stream.LINGER_MS
+    state.hasTimedOut = True
+    assert list(stream._ending_fold(("r",), iter([]), state)) == [] and state.value is None
+
+
+def test_log_reads_only_the_buckets_of_a_batch(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = [dict(run_id=f"run{i}", seq=k, step="exact", phase="completed") for i in range(30) for k in range(3)]
+    frame = log(spark, rows)
+    stream.append_once(frame, path)
+    stream.append_once(frame.where("run_id = 'run7'"), path)
+    assert spark.read.parquet(path).count() == 90
+    one = stream.read_log(spark, path, "run7")
+    assert [r["seq"] for r in one.collect()] == [0, 1, 2] and "PartitionFilters: [isnotnull(bucket" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_subscriber_that_raises_is_reported(spark):
+    seen = []
+
+    def broken(frame):
+        raise ValueError("no")
+
+    assert stream.notified(spark.range(2), [broken, lambda f: seen.append(f.count())]) == ["ValueError: no"] and seen == [2]
+
+
+def test_finished_runs_leave_the_state(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, (run, minute) in enumerate([("r", 0), ("r", 0), ("s", 90), ("t", 200)]):
+        (folder / f"{k}.json").write_text(json.dumps(dict(run_id=run, seq=0, ts=f"2024-01-01T{minute // 60:02}:{minute % 60:02}:00Z", step="final_answer", phase="completed", cost_usd=1.0)))
+        os.utime(folder / f"{k}.json", (1000 + k, 1000 + k))
+    query = stream.folded(stream.read(spark, str(folder), 1), "10 minutes").writeStream.outputMode("update").format("memory").queryName("ended").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
+    rows = sorted((r["run_id"], r["applied"], r["finished"]) for r in spark.table("ended").collect())
+    assert set(rows) == {("r", 1, True), ("s", 1, True), ("t", 1, True)}
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in map(json.loads, (p.json for p in query.recentProgress)) if p["stateOperators"]]
+    assert kept[-1] <= 2
+
+
 def test_dedupe_under_a_watermark(spark, arrived, tmp_path):
     late = stream.deduped(stream.read(spark, arrived), "10 minutes")
     query = late.writeStream.format("memory").queryName("late").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()

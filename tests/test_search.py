@@ -120,3 +120,75 @@ def test_bm25_by_hand(spark, library):
     average = (40 + 40 + 10) / 3
     weight = math.log(1 + (3 - 1 + 0.5) / 1.5)
     assert rows[0]["score"] == pytest.approx(weight * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 40 / average)), abs=1e-6)
+
+
+def brute_readings(text, profile):
+    """(strategy, cols, places, characters) of a text, by hand."""
+    forms = ["".join(c for c in x if "\u4e00" <= c <= "\u9fff") for x in text.split()]
+    stream, at, runs = "".join(forms), 0, []
+    for f in forms:
+        runs.append(list(range(at, at + len(f))))
+        at += len(f)
+    total = len(stream)
+    if not total:
+        return []
+    out = [("as_written", None, list(range(total)))]
+    if len(forms) > 1:
+        out += [("line_reverse", None, [p for run in reversed(runs) for p in run]), ("line_chars_reverse", None, [p for run in runs for p in reversed(run)])]
+    out.append(("stream_reverse", None, list(reversed(range(total)))))
+    widths = [len(f) for f in forms if f]
+    cols = ([widths[0]] if len(set(widths)) == 1 and widths[0] >= 2 else []) + [c for c in range(2, 13) if c <= total and total % c == 0] + [c for c in (5, 7, 4) if c <= total]
+    for c in dict.fromkeys(cols):
+        columns = [[r * c + k for r in range(-(-total // c)) if r * c + k < total] for k in range(c)]
+        out += [("grid_rtl", c, [p for col in reversed(columns) for p in col]), ("grid_ltr", c, [p for col in columns for p in col])]
+    seen, kept = set(), []
+    for strategy, c, places in out:
+        chars = "".join(stream[p] for p in places)
+        if chars not in seen:
+            seen.add(chars)
+            kept.append((strategy, c, places, chars))
+    return kept[: profile.all_readings]
+
+
+def brute_search(text, lines, profile):
+    """(kind, strategy, longest_run) by looking for every window of every reading in every line."""
+    best, decided = None, False
+    for ord_, (strategy, _, _, chars) in enumerate(brute_readings(text, profile)[: profile.max_readings]):
+        if ord_ and decided:
+            break
+        windows = list(dict.fromkeys(chars[i : i + n] for n in range(min(len(chars), profile.max_window), profile.min_window - 1, -1) for i in range(len(chars) - n + 1)))[: profile.max_windows]
+        works = {}
+        for w in windows:
+            for work, line in lines:
+                if w in line:
+                    works.setdefault(work, set()).add(w)
+        if works:
+            top = max((max(map(len, found)), len(found)) for found in works.values())
+            n = sum((max(map(len, found)), len(found)) == top for found in works.values())
+            decided = decided or (not ord_ and top[0] >= profile.decisive and n == 1)
+            if best is None or top[0] > best[0]:
+                best = (top[0], top[1], n, strategy)
+    if best is None:
+        return "none", None, 0
+    kind = ("full" if best[2] == 1 else "ambiguous") if best[0] >= profile.decisive else "partial" if best[1] >= 2 else "none"
+    return kind, best[3], best[0]
+
+
+def test_all_readings_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    poems = {f"w{k}": ["".join(rng.choices("細草微風岸危檣獨夜舟星垂平野闊月湧大江流名豈文章著官應老病休飄何所似天地一沙鷗", k=n)) for _ in range(6)] for k, n in enumerate((5, 7, 5, 7, 6))}
+    poems["w9"] = poems["w0"][:3]
+    lines = [(w, x) for w, own in poems.items() for x in own]
+    asked = []
+    for own in list(poems.values())[:5]:
+        stream = "".join(own)
+        asked += ["\n".join(own), "\n".join(own[::-1]), stream[::-1], "\n".join(x[::-1] for x in own), "\n".join(stream[i::6] for i in range(6)), " ".join(rng.sample(own, 3)), own[0][:4], own[1][:3], "".join(rng.sample(stream, 12))]
+        asked += ["\n".join("".join(stream[c * 5 + r] for c in reversed(range(len(stream) // 5))) for r in range(5))]
+    frame = spark.createDataFrame([(f"p{w}", w, i, x, x) for i, (w, x) in enumerate(lines)], "poem_id string, work_id string, line_no int, text_display string, text_match string")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id int, text string")
+    got = {r["query_id"]: (r["kind"], r["strategy"], r["longest_run"]) for r in exact.search(queries, frame, HAN)[0].collect()}
+    want = {i: brute_search(q, lines, HAN) for i, q in enumerate(asked)}
+    assert got == want
+    assert {k for k, *_ in want.values()} >= {"full", "ambiguous", "none"} and len({s for _, s, _ in want.values()}) >= 5
