@@ -69,9 +69,14 @@ def lines_of(poems: DataFrame) -> DataFrame:
     return rows.where(F.length("text_match") > 0).withColumns({"char_count": F.length("text_match"), "rhyme_char": F.substring("text_match", -1, 1)})
 
 
-def postings(lines: DataFrame, size: int) -> DataFrame:
-    """(gram, place, and the line): an inverted index of grams at line granularity; write_index keeps it."""
-    placed = lines.where(F.length("text_match") >= size).select("*", F.explode(F.sequence(F.lit(1), F.length("text_match") - (size - 1))).alias("place"))
+def stride(profile: Profile) -> int:
+    """How far apart the indexed places of a line may be: a window of the least length still holds a whole gram at one of them."""
+    return profile.min_window - profile.seed + 1
+
+
+def postings(lines: DataFrame, size: int, step: int = 1) -> DataFrame:
+    """(gram, place, and the line): an inverted index of the grams at every `step`-th place of a line; write_index keeps it."""
+    placed = lines.where(F.length("text_match") >= size).select("*", F.explode(F.sequence(F.lit(1), F.length("text_match") - (size - 1), F.lit(step))).alias("place"))
     return placed.withColumn("gram", F.substring("text_match", F.col("place"), F.lit(size)))
 
 
@@ -95,7 +100,7 @@ def bucket(key: str) -> Column:
 
 def write_index(poems: DataFrame, lines: DataFrame, profile: Profile, folder: str, spread: int = 4) -> None:
     """Write the postings that searches read, once for a corpus: a bucket is written by `spread` tasks, each sorted by gram."""
-    for name, key, rows in (("grams", "gram", postings(lines, profile.seed)), ("terms", "term", term_postings(poems))):
+    for name, key, rows in (("grams", "gram", postings(lines, profile.seed, stride(profile))), ("terms", "term", term_postings(poems))):
         dealt = rows.withColumn("bucket", bucket(key)).repartition(BUCKETS * spread, "bucket", F.pmod(F.xxhash64("poem_id"), F.lit(spread)))
         dealt.sortWithinPartitions("bucket", key, "poem_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/{name}")
     stats(poems).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")

@@ -1,7 +1,7 @@
 """Exact n-gram search of queries over corpus lines, set by set.
 
-Windows of each reading meet the lines through an equi-join on the gram they begin with; the rest of the window is
-compared in place. No pair of window and line is looked at that doesn't share a gram. Windows are broadcast where
+Windows of each reading meet the lines through an equi-join on a gram at one of their first places; the rest of the window
+is compared in place. No pair of window and line is looked at that doesn't share a gram. Windows are broadcast where
 there are at most BROADCAST_WINDOWS of them, else both sides are shuffled by gram.
 """
 
@@ -28,16 +28,19 @@ def sweep(readings: DataFrame, profile: Profile) -> DataFrame:
 def hits(windows: DataFrame, lines: DataFrame, profile: Profile, sized: bool = True, index: corpus.Index | None = None) -> DataFrame:
     """Lines that contain a window, hits_per_window at most for each, by poem and line. A stored index is read only in the buckets of its grams.
 
-    Windows that begin at one place share their seed: the place is joined once, and the lengths that match are read off."""
-    size = F.length("win").alias("n")
-    places = windows.groupBy(*KEY, "at").agg(F.max(F.struct(size, "win"))["win"].alias("longest"), F.collect_set(size).alias("sizes")).withColumn("gram", F.substring("longest", 1, profile.seed))
+    Windows that begin at one place are joined once, and the lengths that match are read off. Lines are indexed at every
+    `stride`-th place only: a window is looked up by its grams at as many offsets, of which one meets an indexed place."""
+    size, step = F.length("win").alias("n"), corpus.stride(profile)
+    places = windows.groupBy(*KEY, "at").agg(F.max(F.struct(size, "win"))["win"].alias("longest"), F.collect_set(size).alias("sizes"))
+    places = places.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(step - 1)))).withColumn("gram", F.substring("longest", F.col("offset") + 1, F.lit(profile.seed)))
     if sized and places.count() <= BROADCAST_WINDOWS:
         places = F.broadcast(places)
-    stored = corpus.touched(index.grams, places, "gram") if index else corpus.postings(lines, profile.seed)
-    met = stored.join(places, "gram")
-    matching = F.filter("sizes", lambda n: F.substring(F.col("text_match"), F.col("place"), n) == F.substring(F.col("longest"), F.lit(1), n))
-    each = met.select(*KEY, "at", "longest", "poem_id", "work_id", "line_no", "text_display", F.explode(matching).alias("n"))
-    found = each.withColumn("win", F.substring("longest", F.lit(1), F.col("n"))).drop("longest", "n").distinct()
+    stored = corpus.touched(index.grams, places, "gram") if index else corpus.postings(lines, profile.seed, step)
+    met = stored.join(places, "gram").withColumn("start", F.col("place") - F.col("offset")).where("start >= 1")
+    matching = F.filter("sizes", lambda n: F.substring(F.col("text_match"), F.col("start"), n) == F.substring(F.col("longest"), F.lit(1), n))
+    each = met.select(*KEY, "at", "longest", "start", "text_match", "poem_id", "work_id", "line_no", "text_display", F.explode(matching).alias("n"))
+    found = each.withColumn("win", F.substring("longest", F.lit(1), F.col("n")))
+    found = found.where(F.instr("text_match", F.col("win")) == F.col("start")).drop("longest", "n", "start", "text_match")  # a line counts once
     first = Window.partitionBy(*KEY, "win").orderBy("poem_id", "line_no")
     return found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= profile.hits_per_window).drop("k")
 
