@@ -8,8 +8,9 @@ the source takes every document once and the first 0.4 of the words again, the l
 source's words meet its target. Words k of a source come due where the integral of its schedule has reached
 k / target: that position, found by inverting the piecewise quadratic integral, orders the mix.
 
-Running sums never put a source in one task: documents are dealt to 4096 buckets of the md5, the sums of buckets are
-added up, and each bucket adds its own documents.
+Running sums never put a source in one task: documents are dealt to 4096 buckets of the md5, those without id to buckets
+of their size, 64 for each; the sums of buckets are added up, and each bucket adds its own documents. Rows of one id that
+isn't null share a bucket.
 
 Cases: a null text has 0 words and takes nothing; the null source is a source, the last; repeated rows are documents
 of their own; null ids come first; an empty table gives an empty plan; a source without words has target 0. Columns
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.storage import keep
 
+NULL_BUCKETS = 64
 WORD = r"[^\x20\x09-\x0D]+"
 Schedule = tuple[tuple[float, float], ...]
 RESULT = ("size", "source_size", "target", "taken", "placements")
@@ -83,7 +85,9 @@ def mix(documents: DataFrame, s: Settings = Settings()) -> DataFrame:
     sizes = keep(documents.select("doc_id", "source", *others, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")), "mixing-sizes")
     goal = targets(sizes.select("source", "size"), s).select(F.col("source").alias("of_source"), "source_size", "rank", "target")
     key = F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(""))
-    dealt = sizes.withColumn("key", key).withColumn("bucket", F.substring("key", 1, 3))
+    # rows without id of one size are alike, so they may be dealt in any way; "!" sorts before all digits
+    apart = F.format_string("!%015d-%02d", "size", F.pmod(F.monotonically_increasing_id(), F.lit(NULL_BUCKETS)))
+    dealt = sizes.withColumn("key", key).withColumn("bucket", F.when(F.col("doc_id").isNull(), apart).otherwise(F.substring("key", 1, 3)))
     by_bucket = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = by_bucket.select(F.col("source").alias("of_source"), F.col("bucket").alias("of_bucket"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("bucket_start"))

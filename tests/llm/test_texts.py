@@ -328,6 +328,21 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_rows_without_id_are_dealt_out(spark):
+    rng = random.Random(3)
+    rows = [(None, " ".join(["w"] * rng.choice([0, 3, 3, 3, 8])), "a") for _ in range(400)] + [(i, "w w w w", "a") for i in range(20)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA + ", source string").repartition(7)).collect()
+    # by hand: rows in order of id, null first, and size, once and again
+    order = sorted(rows, key=lambda r: ("" if r[0] is None else __import__("hashlib").md5(str(r[0]).encode()).hexdigest(), len(words(r[1]))))
+    total, at, want = sum(len(words(r[1])) for r in rows), 0, []
+    goal = round(got[0]["target"])
+    for i, t, _ in order:
+        n = len(words(t))
+        want.append((i, n, max(0, min(goal - at, n)) + max(0, min(goal - at - total, n))))
+        at += n
+    assert sorted(((r["doc_id"], r["size"], r["taken"]) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_due_inverts_the_integral(spark):
     schedule = ((0.0, 1.0), (0.25, 3.0), (0.5, 0.0), (1.0, 2.0))
 
