@@ -119,7 +119,7 @@ def cascade(patterns: list[tuple[tuple[bool, ...], int]], costs: list[float]) ->
     return order
 
 
-def ordered(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500, repeat: int = 20) -> list[Rule]:
+def ordered(documents: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 500, repeat: int = 8) -> list[Rule]:
     """The rules in the order of the cascade, measured on sample_rows rows, each evaluated `repeat` times."""
     hashed = [F.col(f"`{f.name}`") for f in documents.schema.fields if "map" not in f.dataType.simpleString()]
     rows = documents.select("text", F.xxhash64(*hashed).alias("__h"))
