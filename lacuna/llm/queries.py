@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.llm import decontam, jaccard, langid, linededup, mixing, quality, secrets, sharding, toxicity, urlfilter
-from lacuna.llm.storage import shared_folder
+from lacuna.llm import convtrie, decontam, hardneg, jaccard, langid, linededup, mixing, quality, secrets, sharding, tokencount, toxicity, urlfilter
+from lacuna.llm.storage import keep, shared_folder
+
+TOKENIZER, MOST_TOKENS = "word_bpe_49k.json", 2048
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +87,26 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", F.round("block_score", 6).alias("block_score"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = F.col("vec_id")
+    label = F.when(of % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hardneg.mine(vectors, F.col("id") % 100 == 0)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = convtrie.turns_of(table(spark, sf_dir, "conversations"))
+    return convtrie.trie(convtrie.rebuilt(keep(turns, "trie-turns")))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    cache = tokencount.Cache(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
+    counted = tokencount.count(table(spark, sf_dir, "documents").select("doc_id", "text"), tokencount.load(public_tokenizers.path(TOKENIZER)), cache)
+    return counted.withColumn("over_limit", F.col("n_tokens") > MOST_TOKENS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -96,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_sharding": op9_sharding,
     "op10_url_filter": op10_url_filter,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_token_counts": op13_token_counts,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -205,4 +230,70 @@ from class c join component using (doc_id) left join sized using (doc_id) left j
 
 _SHARDING = "select doc_id, source, lang, n_chars, sha256(text) as text_sha256, true as in_shard from documents"
 
-SQL: dict[str, str] = {"op9_sharding": _SHARDING, "op2_ngram_jaccard": _JACCARD, "op3_decontamination": _DECONTAMINATION, "op4_quality": _QUALITY, "op6_mixing": _MIXING}
+_HARD_NEGATIVES = """
+with r as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from r a join r b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id
+), positive as (
+  select anchor_id, id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5
+)
+select p.anchor_id, positive_id, cast(row_number() over (partition by p.anchor_id, positive_id order by score desc, id) as int) as rank,
+  id as negative_id, positive_score, score as negative_score
+from positive p join scored n on p.anchor_id = n.anchor_id and not n.same and 80 * positive_score <= 100 * n.score and 100 * n.score <= 100 * positive_score
+qualify row_number() over (partition by p.anchor_id, positive_id order by score desc, id) <= 5
+"""
+
+#: crc32 bit by bit: list_reduce over the bits of the decimal id, lowest first.
+_CONVERSATIONS = r"""
+with turns as (
+  select conv_id, turn, sha256(concat(strlen(coalesce(role, '')), ':', role, text)) as key,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) as words
+  from conversations where conv_id is not null
+), own as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, key) as i, key, words from turns
+), convs as (
+  select distinct conv_id, conv_id - conv_id % 20 as base, xor(4294967295::bigint, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(range(8 * len(conv_id::varchar)), lambda k: cast((ascii(substr(conv_id::varchar, cast(k // 8 + 1 as int), 1)) >> cast(k % 8 as int)) & 1 as bigint))),
+    lambda c, b: case when (xor(c, b) & 1) = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) % 4 as h
+  from conversations where conv_id is not null
+), rebuilt as (
+  select c.conv_id, 0 as part, i, key, words from convs c join own on own.conv_id = c.base and i <= h
+  union all select own.conv_id, 1, i, key, words from own join convs using (conv_id) where i > h
+), paths as (
+  select c.conv_id, coalesce(list(key order by part, i) filter (where key is not null), []) as keys, coalesce(list(words order by part, i) filter (where key is not null), []) as sizes
+  from convs c left join rebuilt using (conv_id) group by c.conv_id
+), prefixes as (
+  select conv_id, d as depth, list_slice(keys, 1, d) as node, case when d > 0 then sizes[d] else 0 end as words, d = len(keys) as ended
+  from (select *, unnest(range(0, len(keys) + 1)) as d from paths)
+), nodes as (
+  select depth, node, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ended), '')) as ends_sha256
+  from prefixes group by depth, node
+), family as (
+  select n.*, p.conv_id as parent_conv_id, p.node as parent from nodes n left join nodes p on n.depth > 0 and p.depth = n.depth - 1 and p.node = list_slice(n.node, 1, n.depth - 1)
+), children as (
+  select parent, count(*) as n_children from family where depth > 0 group by parent
+), weighed as (
+  select node, (n_convs - 1) * words as saved, cast(c.parent is null as bigint) as leaf, unnest(range(0, depth + 1)) as d from nodes left join children c on node = c.parent
+), sums as (
+  select list_slice(node, 1, d) as node, sum(saved) as saved, sum(leaf) as leaves from weighed group by all
+)
+select conv_id, cast(depth as bigint) as depth, parent_conv_id, n_convs, coalesce(n_children, 0) as n_children,
+  cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, ends_sha256
+from family join sums using (node) left join children on node = children.parent
+"""
+
+SQL: dict[str, str] = {
+    "op2_ngram_jaccard": _JACCARD,
+    "op3_decontamination": _DECONTAMINATION,
+    "op4_quality": _QUALITY,
+    "op6_mixing": _MIXING,
+    "op9_sharding": _SHARDING,
+    "op11_hard_negatives": _HARD_NEGATIVES,
+    "op12_conversation_trie": _CONVERSATIONS,
+}
