@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lacuna.config import Settings, as_dict, override
 from lacuna.functions import numbers, text
 from lacuna.operators import additions, agent, batch, columns, corpus, events, exact, hybrid, service, vectors
-from lacuna.sources import jobs, jsonl, sniff, tables, xlsx
+from lacuna.sources import jobs, jsonl, segments, sniff, tables, xlsx
 from lacuna.storage import checkpointed
 
 # Bounds of a query, rows that suggest a column, texts of a call.
@@ -40,14 +40,24 @@ class Engine:
     meta: Mapping[str, Any] | None = None
     scorer: hybrid.Scorer | None = None
     index: corpus.Index | None = None
+    index_folder: str | None = None
     web: agent.PageCache | None = None
     ask: Callable[[str], str] | None = None
 
-    def indexed(self, folder: str) -> Engine:
-        """This engine over stored postings, which are written where the folder has none."""
-        if not tables.exists(self.spark, f"{folder}/stats/_SUCCESS"):
-            corpus.write_index(self.library.poems, self.library.lines, self.library.profile, folder)
-        return replace(self, index=corpus.read_index(self.spark, folder))
+    def indexed(self, folder: str, follow: bool = False) -> Engine:
+        """This engine over stored postings, which are written where the folder has none. Those of another profile or
+        corpus are refused; with follow, what has changed in the corpus since is written and hidden."""
+        store = segments.Segments(self.spark, folder, self.library.profile)
+        if follow or not store.generation()[0]:
+            index = store.follow(self.library.poems, self.library.lines)
+        else:
+            index = store.read(self.library.poems)
+        return replace(self, index=index, index_folder=folder)
+
+    def over(self, library: corpus.Corpus) -> Engine:
+        """This engine over another state of its corpus; its stored postings follow."""
+        grown = replace(self, library=library, index=None)
+        return grown.indexed(self.index_folder, follow=True) if self.index_folder else grown
 
     def config(self, changes: Mapping[str, Any] | None = None) -> dict[str, Any]:
         """The settings, after changes if there are any."""
@@ -219,32 +229,48 @@ def batch_export(store: jobs.Jobs, job_id: str, keys: list[str] | None = None, p
 
 @dataclass
 class Additions:
-    """Poems added to a corpus, in a folder: additions as versions of a table, keyed by id."""
+    """Poems added to a corpus, in a folder: a log of revisions, of which the last of each addition counts. One writer at a time."""
 
     engine: Engine
     folder: str
     clock: Callable[[], float] = time.time
 
-    SCHEMA = "addition_id string, title string, author string, text string, content_hash string, status string, origin string, created_at double"
+    SCHEMA = "addition_id string, title string, author string, text string, content_hash string, status string, origin string, created_at double, revision bigint"
+
+    def _log(self) -> DataFrame:
+        spark, version = self.engine.spark, tables.latest_version(self.engine.spark, self.folder)
+        paths = [p for p in (f"{self.folder}/v{version}", f"{self.folder}/log-{version}") if tables.exists(spark, p)]
+        return spark.read.schema(self.SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], self.SCHEMA)
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").parquet(f"{self.folder}/log-{tables.latest_version(self.engine.spark, self.folder)}")
 
     def table(self) -> DataFrame:
-        spark = self.engine.spark
-        version = tables.latest_version(spark, self.folder)
-        return spark.read.schema(self.SCHEMA).parquet(f"{self.folder}/v{version}") if version else spark.createDataFrame([], self.SCHEMA)
+        return corpus.last_by(self._log(), "addition_id", F.col("revision"), F.col("status"))
+
+    def compact(self) -> int:
+        """Write the last revisions as one table and start a new log; the version number."""
+        return tables.replace(self.table(), self.folder)
 
     def add(self, rows: DataFrame, origin: str = "user") -> DataFrame:
         """rows (row_index, title, author, text) to (row_index, result, missing); what is new is added, as pending where an agent proposed it."""
         if origin not in additions.ORIGINS:
             raise RequestError(400, f"no such origin: {origin}")
-        held = self.table().where("status != 'rejected'").select("content_hash")
+        table = self.table()
+        held = table.where("status != 'rejected'").select("content_hash")
         if "content_hash" in self.engine.library.poems.columns:
             held = held.union(self.engine.library.poems.select("content_hash"))
         judged = checkpointed(additions.added(rows, held, self.engine.library.profile))
         status = "accepted" if origin == "user" else "pending"
         new = judged.where("result = 'added'").select(F.col("content_hash").alias("addition_id"), "title", "author", "text", "content_hash", F.lit(status).alias("status"), F.lit(origin).alias("origin"), F.lit(float(self.clock())).alias("created_at"))
-        tables.upsert(new, self.folder, "addition_id")
+        last = table.select("addition_id", F.col("revision").alias("last"))
+        self._append(new.join(last, "addition_id", "left").withColumn("revision", F.coalesce("last", F.lit(0)) + 1).drop("last"))
         return judged.select("row_index", "result", "missing")
 
+    def searchable(self) -> Engine:
+        """The engine over its corpus and all accepted additions; stored postings follow."""
+        return self.engine.over(additions.grown(self.engine.library, self.table().where("status = 'accepted'")))
+
     def listed(self, status: str | None = None, origin: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
         try:
             return additions.listed(self.table(), status, origin, limit, offset)
@@ -254,7 +280,8 @@ class Additions:
     def review(self, decisions: DataFrame) -> DataFrame:
         """decisions (addition_id, decision) to (addition_id, review); those on unknown additions are not_found."""
         judged = checkpointed(additions.reviewed(self.table(), decisions))
-        tables.replace(judged.drop("review").select(*[f.split()[0] for f in self.SCHEMA.split(", ")]), self.folder)
+        names = [f.split()[0] for f in self.SCHEMA.split(", ")]
+        self._append(judged.where("review = 'applied'").withColumn("revision", F.col("revision") + 1).select(*names))
         return decisions.select("addition_id").join(judged.select("addition_id", "review"), "addition_id", "left").withColumn("review", F.coalesce("review", F.lit("not_found")))
 
     def stats(self) -> dict[str, Any]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.config import HAN, Profile
 from lacuna.functions import keys, text
+from lacuna.operators import corpus
 
 # Bounds of an addition.
 LEAST_HAN, MOST_HAN, MOST_TITLE = 4, 4000, 200
@@ -53,6 +54,33 @@ def added(rows: DataFrame, held: DataFrame, profile: Profile = HAN) -> DataFrame
     return known.withColumn("result", result).drop("held")
 
 
+def grown(library: corpus.Corpus, accepted: DataFrame) -> corpus.Corpus:
+    """A corpus with accepted additions (title, author, text, content_hash, origin) in all of its tables.
+
+    An addition is a work of its own, its lines are those seen in its text, and its author is added where unknown. Additions
+    that the corpus holds by now, and those without a line that has a match form, stay out."""
+    profile = library.profile
+    title, author = (F.trim(c) for c in ("title", "author"))
+    rows = accepted.withColumn("lines", F.filter(text.visual_lines(F.col("text")), lambda x: F.length(text.match_form(x, profile)) > 0)).where(F.size("lines") > 0)
+    if "content_hash" in library.poems.columns:
+        rows = rows.join(library.poems.select("content_hash"), "content_hash", "left_anti")
+    formed = rows.select(
+        F.col("content_hash").alias("poem_id"), F.concat(F.lit("added:"), F.substring("content_hash", 1, 32)).alias("work_id"), title.alias("title"), author.alias("author"),
+        text.match_form(author, profile).alias("author_match"), F.when(F.col("origin") == "agent", "agent-proposed").otherwise("user-added").alias("dataset"), F.col("text").alias("text_display"),
+        text.match_form(F.col("text"), profile).alias("text_match"), "content_hash", "lines", F.transform("lines", lambda x: text.match_form(x, profile)).alias("line_forms"), F.size("lines").alias("line_count"),
+    ).withColumn("char_count", F.length("text_match"))
+    named = formed.select(F.sha2("author_match", 256).substr(1, 32).alias("author_id"), F.col("author").alias("name_display"), F.col("author_match").alias("name_match"), F.col("dataset").alias("source_file"))
+    new = corpus.last_by(named.join(library.authors.select("name_match"), "name_match", "left_anti"), "name_match", F.col("name_display"))
+    authors = library.authors.unionByName(new, allowMissingColumns=True)
+    formed = formed.join(authors.select("author_id", F.col("name_match").alias("author_match")), "author_match", "left")
+    poems = formed.drop("lines", "line_forms")
+    return corpus.Corpus(
+        library.works.unionByName(formed.select("work_id", "title", "author_id"), allowMissingColumns=True), authors,
+        library.poems.unionByName(poems.select(*[c for c in poems.columns if c in library.poems.columns]), allowMissingColumns=True),
+        library.lines.unionByName(corpus.lines_of(formed), allowMissingColumns=True), profile,
+    )
+
+
 def tally(results: DataFrame) -> DataFrame:
     return results.groupBy("result").agg(F.count("*").alias("n"))
 

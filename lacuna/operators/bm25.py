@@ -29,7 +29,7 @@ def term_hits(wanted: DataFrame, poems: DataFrame, profile: Profile, true_df: bo
     distinct = wanted.select("term").distinct()
     if distinct.count() <= BROADCAST_TERMS:
         distinct = F.broadcast(distinct)
-    stored = corpus.touched(index.terms, distinct, "term") if index else corpus.term_postings(poems)
+    stored = corpus.touched(index.terms, distinct, "term", index.buckets) if index else corpus.term_postings(poems)
     met = stored.join(distinct, "term")
     of_term = Window.partitionBy("term")
     if true_df:

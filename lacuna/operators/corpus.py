@@ -87,15 +87,24 @@ def term_postings(poems: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """Stored postings in buckets of their gram or term, and the statistics of the corpus they were made from."""
+    """Stored postings in buckets of their gram or term, and the statistics of the corpus they were made from.
 
-    grams: DataFrame
+    Those of sources.segments have seeds in place of grams, blocks of postings, and what of both is removed."""
+
+    grams: DataFrame | None
     terms: DataFrame
     stats: DataFrame
+    seeds: DataFrame | None = None
+    lines: DataFrame | None = None
+    blocks: DataFrame | None = None
+    removed: DataFrame | None = None
+    removed_terms: DataFrame | None = None
+    frequency: bytes = b""
+    buckets: int = BUCKETS
 
 
-def bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def bucket(key: str, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 def write_index(poems: DataFrame, lines: DataFrame, profile: Profile, folder: str, spread: int = 4) -> None:
@@ -110,9 +119,9 @@ def read_index(spark: SparkSession, folder: str) -> Index:
     return Index(*[spark.read.parquet(f"{folder}/{name}") for name in ("grams", "terms", "stats")])
 
 
-def touched(stored: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """The buckets of stored postings that a batch of keys can meet: BUCKETS numbers at most reach the driver."""
-    found = [r["b"] for r in wanted.select(bucket(key).alias("b")).distinct().collect()]
+def touched(stored: DataFrame, wanted: DataFrame, key: str, buckets: int = BUCKETS) -> DataFrame:
+    """The buckets of stored postings that a batch of keys can meet: as many numbers as buckets at most reach the driver."""
+    found = [r["b"] for r in wanted.select(bucket(key, buckets).alias("b")).distinct().collect()]
     return stored.where(F.col("bucket").isin(found) if found else F.lit(False)).drop("bucket")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lacuna.config import Profile
 from lacuna.functions import text
-from lacuna.operators import corpus
+from lacuna.operators import corpus, seeds
 from lacuna.operators.readings import enumerate_readings, span_to_source
 
 BROADCAST_WINDOWS = 500_000
@@ -25,24 +25,46 @@ def sweep(readings: DataFrame, profile: Profile) -> DataFrame:
     return each.select(*KEY, (F.instr("chars", F.col("win")) - 1).alias("at"), "win")
 
 
-def hits(windows: DataFrame, lines: DataFrame, profile: Profile, sized: bool = True, index: corpus.Index | None = None) -> DataFrame:
-    """Lines that contain a window, hits_per_window at most for each, by poem and line. A stored index is read only in the buckets of its grams.
+def hits(windows: DataFrame, lines: DataFrame | None, profile: Profile, sized: bool = True, index: corpus.Index | None = None) -> DataFrame:
+    """Lines that contain a window, hits_per_window at most for each, by poem and line. A stored index is read only in the buckets of its grams."""
+    met = touched(windows, lines, profile, sized, index)
+    matching = F.filter("sizes", lambda n: F.substring(F.col("text_match"), F.col("start"), n) == F.substring(F.col("longest"), F.lit(1), n))
+    of_window = Window.partitionBy(*KEY, "win").orderBy("poem_id", "line_no")
+    if index and index.seeds is not None:
+        each = met.select(*KEY, "at", "longest", "poem_id", "work_id", "line_no", F.explode(matching).alias("n")).withColumn("win", F.substring("longest", F.lit(1), F.col("n"))).drop("longest", "n")
+        kept = each.withColumn("k", F.dense_rank().over(of_window)).where(F.col("k") <= profile.hits_per_window).drop("k").dropDuplicates([*KEY, "win", "poem_id", "line_no"])  # a line counts once
+        return shown(kept, index)
+    each = met.select(*KEY, "at", "longest", "start", "text_match", "poem_id", "work_id", "line_no", "text_display", F.explode(matching).alias("n"))
+    found = each.withColumn("win", F.substring("longest", F.lit(1), F.col("n")))
+    found = found.where(F.instr("text_match", F.col("win")) == F.col("start")).drop("longest", "n", "start", "text_match")  # a line counts once
+    return found.withColumn("k", F.row_number().over(of_window)).where(F.col("k") <= profile.hits_per_window).drop("k")
+
+
+def shown(found: DataFrame, index: corpus.Index) -> DataFrame:
+    """Hits with the text of their lines, which is stored once and read in the buckets of their poems."""
+    named = found.select("poem_id", "line_no").distinct()
+    few = corpus.touched(index.lines, named, "poem_id", index.buckets)
+    return found.join(few.join(named, ["poem_id", "line_no"], "left_semi"), ["poem_id", "line_no"])
+
+
+def touched(windows: DataFrame, lines: DataFrame | None, profile: Profile, sized: bool = True, index: corpus.Index | None = None) -> DataFrame:
+    """Postings that windows meet, before the rest of a window is compared; `start` is where it would begin in text_match.
 
     Windows that begin at one place are joined once, and the lengths that match are read off. Lines are indexed at every
-    `stride`-th place only: a window is looked up by its grams at as many offsets, of which one meets an indexed place."""
+    `stride`-th place only: a window is looked up by its grams at as many offsets, of which one meets an indexed place.
+    An index by seeds is asked for the rarest of these grams alone."""
     size, step = F.length("win").alias("n"), corpus.stride(profile)
     places = windows.groupBy(*KEY, "at").agg(F.max(F.struct(size, "win"))["win"].alias("longest"), F.collect_set(size).alias("sizes"))
-    places = places.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(step - 1)))).withColumn("gram", F.substring("longest", F.col("offset") + 1, F.lit(profile.seed)))
+    by = "seed" if index and index.seeds is not None else "gram"
+    if by == "seed":
+        places = seeds.lookups(places, profile, index.frequency)
+    else:
+        places = places.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(step - 1)))).withColumn("gram", F.substring("longest", F.col("offset") + 1, F.lit(profile.seed)))
     if sized and places.count() <= BROADCAST_WINDOWS:
         places = F.broadcast(places)
-    stored = corpus.touched(index.grams, places, "gram") if index else corpus.postings(lines, profile.seed, step)
-    met = stored.join(places, "gram").withColumn("start", F.col("place") - F.col("offset")).where("start >= 1")
-    matching = F.filter("sizes", lambda n: F.substring(F.col("text_match"), F.col("start"), n) == F.substring(F.col("longest"), F.lit(1), n))
-    each = met.select(*KEY, "at", "longest", "start", "text_match", "poem_id", "work_id", "line_no", "text_display", F.explode(matching).alias("n"))
-    found = each.withColumn("win", F.substring("longest", F.lit(1), F.col("n")))
-    found = found.where(F.instr("text_match", F.col("win")) == F.col("start")).drop("longest", "n", "start", "text_match")  # a line counts once
-    first = Window.partitionBy(*KEY, "win").orderBy("poem_id", "line_no")
-    return found.withColumn("k", F.row_number().over(first)).where(F.col("k") <= profile.hits_per_window).drop("k")
+    stored = corpus.touched(getattr(index, f"{by}s"), places, by, index.buckets) if index else corpus.postings(lines, profile.seed, step)
+    met = stored.join(places, by).withColumn("start", F.col("place") - F.col("offset")).where("start >= 1")
+    return met.withColumn("start", F.col("start") - F.col("first") + 1).withColumnRenamed("around", "text_match") if by == "seed" else met
 
 
 def inverted(pairs: Column) -> Column:

@@ -68,15 +68,23 @@ class Inline:
 
 
 def poems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as poems: a text is a work of its language, so copies are editions of one."""
-    documents = spread(table(spark, sf_dir, "documents"))
+    """documents as poems."""
+    return poems_of(spread(table(spark, sf_dir, "documents")))
+
+
+def poems_of(documents: DataFrame) -> DataFrame:
+    """A text is a work of its language, so copies are editions of one."""
     formed = documents.withColumn("text_match", text.match_form(F.col("text"), LETTERS)).where(F.length("text_match") > 0)
     return formed.select(F.col("doc_id").alias("poem_id"), keys.work_key(F.col("lang"), F.lit(""), F.col("text_match")).alias("work_id"), F.col("lang").alias("dataset"), F.col("source").alias("edition"), F.col("text").alias("text_display"), "text_match", F.length("text_match").alias("char_count"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clauses of documents."""
-    each = poems(spark, sf_dir).select("poem_id", "work_id", F.posexplode(text.corpus_lines(F.col("text_display"), LETTERS)).alias("line_no", "text_display"))
+    return lines_of(poems(spark, sf_dir))
+
+
+def lines_of(poems: DataFrame) -> DataFrame:
+    each = poems.select("poem_id", "work_id", F.posexplode(text.corpus_lines(F.col("text_display"), LETTERS)).alias("line_no", "text_display"))
     formed = each.withColumn("text_match", text.match_form(F.col("text_display"), LETTERS))
     return formed.where(F.length("text_match") > 0)
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from lacuna.config import HAN, LETTERS
 from lacuna.functions import text
-from lacuna.operators import bm25, confidence, corpus, exact, fusion, hybrid, vectors
+from lacuna.operators import blocks, bm25, confidence, corpus, exact, fusion, hybrid, vectors
 from lacuna.operators.readings import enumerate_readings
-from lacuna.plans.inputs import HAN_OF, LINES_SQL, MATCH, POEMS_SQL, QUERY_SQL, Catalogue, Inline, WithTable, fragments, in_han, lines, poems, table
+from lacuna.plans.inputs import HAN_OF, LINES_SQL, MATCH, POEMS_SQL, QUERY_SQL, Catalogue, Inline, WithTable, fragments, in_han, lines, lines_of, poems, poems_of, table
+from lacuna.sources import segments
 from lacuna.storage import shared_folder
 
 C = Catalogue()
@@ -376,6 +377,80 @@ def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "poem_id", "matched_terms", F.round("score", 6).alias("score"), F.col("position").cast("bigint").alias("position"))
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> segments.Segments:
+    return segments.Segments(spark, f"{shared_folder(spark)}/catalogue/segments-{uuid.uuid4().hex}", LETTERS)
+
+
+@C.add("exact_hits_seeds", HITS_SQL + " select query_id, \"at\", win, poem_id, line_no from kept")
+def exact_hits_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact_hits by the rarest gram of each window."""
+    index = _segments(spark, sf_dir).create(poems(spark, sf_dir), lines(spark, sf_dir))
+    found = exact.hits(exact.sweep(_as_written(spark, sf_dir), LETTERS), None, LETTERS, index=index)
+    return found.select("query_id", F.col("at").cast("bigint").alias("at"), "win", "poem_id", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+@C.add("seeds_touch_fewer", "select sum(greatest(length(r) - 11, 0)) > 0 as asked, true as fewer from (select regexp_replace(text, '[^\\p{L}]', '', 'g') as r from benchmark)")
+def seeds_touch_fewer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings that windows meet by their rarest gram, against those of grams at fixed places, in all readings."""
+    wanted = exact.sweep(enumerate_readings(fragments(spark, sf_dir), LETTERS), LETTERS)
+    index = _segments(spark, sf_dir).create(poems(spark, sf_dir), lines(spark, sf_dir))
+    by_seed = exact.touched(wanted, None, LETTERS, index=index).agg(F.count("*").alias("by_seed"))
+    by_place = exact.touched(wanted, lines(spark, sf_dir), LETTERS).agg(F.count("*").alias("by_place"))
+    return by_seed.join(by_place).select((F.col("by_place") > 0).alias("asked"), (F.col("by_seed") < F.col("by_place")).alias("fewer"))
+
+
+BLOCK_MAX_SQL = f"""with {POEMS_SQL}, {TERMS_SQL}, met as (
+  select distinct t.term, p.poem_id from (select poem_id, unnest(list_distinct(list_transform(range(1, length(m)), lambda i: substr(m, i, 2)))) as term from poem) p join (select distinct term from term) t using (term)
+), df as (select term, count(*) as n from met group by term), stat as (select count(*) as total, avg(char_count) as mean from poem),
+scored as (
+  select query_id, p.poem_id, count(*) as matched_terms,
+    round(sum(ln(1 + (total - n + 0.5::double) / (n + 0.5::double)) * 2.2::double / (1 + 1.2::double * (0.25::double + 0.75::double * char_count / mean))), 9) as score
+  from term join met using (term) join df using (term) join poem p using (poem_id), stat group by all
+)
+select query_id, poem_id, matched_terms, round(score, 6) as score, row_number() over (partition by query_id order by score desc, poem_id) - 1 as position from scored qualify position < 50"""
+
+
+@C.add("bm25_block_max", BLOCK_MAX_SQL)
+def bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 50 of all documents by BM25 with true document frequencies, from the blocks of postings that can hold them."""
+    index = _segments(spark, sf_dir).create(poems(spark, sf_dir), lines(spark, sf_dir))
+    found = blocks.search(fragments(spark, sf_dir), index, LETTERS).best
+    return found.select("query_id", "poem_id", "matched_terms", F.round("score", 6).alias("score"), F.col("position").cast("bigint").alias("position"))
+
+
+# A corpus that has changed: documents taken out, others in other words, items of the benchmark added as poems.
+CHANGED_SQL = f"""changed as (
+  select doc_id as poem_id, lang, source, case when doc_id % 7 = 2 then substr(text, 1, length(text) // 2) else text end as text from documents where doc_id % 10 <> 3
+  union all select 1000000000 + item_id, 'en', 'added', text from benchmark
+)"""
+
+
+def _changed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    shorter = F.when(F.col("doc_id") % 7 == 2, F.expr("substr(text, 1, length(text) div 2)")).otherwise(F.col("text"))
+    kept = table(spark, sf_dir, "documents").where("doc_id % 10 != 3").select("doc_id", "lang", "source", shorter.alias("text"))
+    added = table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), F.lit("en").alias("lang"), F.lit("added").alias("source"), "text")
+    grown = poems_of(kept.unionByName(added))
+    return grown, lines_of(grown)
+
+
+@C.add("search_after_addition", f"with {CHANGED_SQL}, " + HITS_SQL.strip().removeprefix("with").replace("from documents", "from changed").replace("select doc_id as poem_id", "select poem_id") + " select query_id, \"at\", win, poem_id, line_no from kept")
+def search_after_addition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact hits in a corpus that has changed since its postings were written, over postings that followed it."""
+    store = _segments(spark, sf_dir)
+    store.create(poems(spark, sf_dir), lines(spark, sf_dir))
+    found = exact.hits(exact.sweep(_as_written(spark, sf_dir), LETTERS), None, LETTERS, index=store.follow(*_changed(spark, sf_dir)))
+    return found.select("query_id", F.col("at").cast("bigint").alias("at"), "win", "poem_id", F.col("line_no").cast("bigint").alias("line_no"))
+
+
+@C.add("terms_after_addition", f"with {CHANGED_SQL}, " + BLOCK_MAX_SQL.strip().removeprefix("with").replace("from documents", "from changed").replace("select doc_id as poem_id", "select poem_id"))
+def terms_after_addition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best by BM25 in a corpus that has changed: documents that went count no more, nor do their terms."""
+    store = _segments(spark, sf_dir)
+    store.create(poems(spark, sf_dir), lines(spark, sf_dir))
+    found = blocks.search(fragments(spark, sf_dir), store.follow(*_changed(spark, sf_dir)), LETTERS).best
+    return found.select("query_id", "poem_id", "matched_terms", F.round("score", 6).alias("score"), F.col("position").cast("bigint").alias("position"))
+
+
 @C.add("short_circuit_split", CLASS_SQL + " select query_id, kind = 'full' as decided from classed")
 def short_circuit_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome, _ = _classified(spark, sf_dir)
