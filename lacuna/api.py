@@ -36,7 +36,7 @@ class Engine:
     spark: SparkSession
     library: corpus.Corpus
     settings: Settings = Settings()
-    points: DataFrame | None = None
+    points: DataFrame | vectors.Coded | None = None
     meta: Mapping[str, Any] | None = None
     scorer: hybrid.Scorer | None = None
     index: corpus.Index | None = None

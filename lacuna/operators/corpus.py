@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -99,7 +99,7 @@ class Index:
     blocks: DataFrame | None = None
     removed: DataFrame | None = None
     removed_terms: DataFrame | None = None
-    frequency: bytes = b""
+    frequency: bytes = field(default=b"", repr=False)
     buckets: int = BUCKETS
 
 

@@ -78,8 +78,8 @@ def _listed(ranked: DataFrame, order: int, source: str, **metadata: str) -> Data
     return ranked.select("query_id", F.lit(order).alias("list_ord"), F.lit(source).alias("source"), "position", "work_id", "poem_id", known.alias("metadata"))
 
 
-def search(queries: DataFrame, poems: DataFrame, lines: DataFrame, profile: Profile, settings: Settings = Settings(), points: DataFrame | None = None, query_vectors: DataFrame | None = None, scorer: Scorer | None = None, readings: DataFrame | None = None, index: corpus.Index | None = None, measured: bool = False) -> Result:
-    """queries (query_id, text); points (point_id, vector, work_id) and query_vectors (query_id, vector) are optional.
+def search(queries: DataFrame, poems: DataFrame, lines: DataFrame, profile: Profile, settings: Settings = Settings(), points: DataFrame | vectors.Coded | None = None, query_vectors: DataFrame | None = None, scorer: Scorer | None = None, readings: DataFrame | None = None, index: corpus.Index | None = None, measured: bool = False) -> Result:
+    """queries (query_id, text); points (point_id, vector, work_id), as they are or coded, and query_vectors (query_id, vector) are optional.
 
     index: stored postings of the same corpus. measured: run BM25 and vectors one by one and checkpointed; reports then
     have their latency, and one that fails is reported with its error while the others go on."""
@@ -104,7 +104,15 @@ def search(queries: DataFrame, poems: DataFrame, lines: DataFrame, profile: Prof
         lists.append(_listed(terms, 1, "bm25", matched_terms="matched_terms", bm25_score="score"))
     near, has_vectors = None, points is not None and query_vectors is not None
     if has_vectors:
-        near = source("vector", lambda: vectors.search(query_vectors.join(open_.select("query_id"), "query_id", "left_semi"), points, settings.fuse_top).join(points.select("point_id", "work_id"), "point_id"))
+        coded = isinstance(points, vectors.Coded)
+        rows = points.points if coded else points
+
+        def nearest() -> DataFrame:
+            asked = query_vectors.join(open_.select("query_id"), "query_id", "left_semi")
+            found = points.search(asked, settings.fuse_top)[0] if coded else vectors.search(asked, points, settings.fuse_top)
+            return found.join(rows.select("point_id", "work_id"), "point_id")
+
+        near = source("vector", nearest)
         if near is not None:
             lists.append(_listed(near.withColumn("poem_id", F.lit(None).cast(poems.schema["poem_id"].dataType)), 2, "vector", vector_score="score"))
     every = reduce(DataFrame.unionByName, lists)
