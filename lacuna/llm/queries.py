@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lacuna.llm import convtrie, decontam, hardneg, jaccard, langid, linededup, mixing, quality, secrets, sharding, tokencount, toxicity, urlfilter
 from lacuna.llm.storage import keep, shared_folder
 
+ARRIVALS = 4
 TOKENIZER, MOST_TOKENS = "word_bpe_49k.json", 2048
 
 
@@ -78,8 +79,9 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
-    stored = sharding.shard(table(spark, sf_dir, "documents"), folder).stored()
-    return stored.select("doc_id", "source", "lang", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), (F.col("shard_bytes") > 0).alias("in_shard"))
+    store = sharding.shard(table(spark, sf_dir, "documents"), folder, arrivals=ARRIVALS)
+    facts = [F.lit(store.version() > ARRIVALS).alias("compacted"), F.lit(store.settled()).alias("settled")]
+    return store.stored().select("doc_id", "source", "lang", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), (F.col("shard_bytes") > 0).alias("in_shard"), *facts)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +230,7 @@ select c.doc_id, coalesce(n, 0) as n_shingles, component_id, class_id, coalesce(
 from class c join component using (doc_id) left join sized using (doc_id) left join linked on x = c.doc_id
 """
 
-_SHARDING = "select doc_id, source, lang, n_chars, sha256(text) as text_sha256, true as in_shard from documents"
+_SHARDING = "select doc_id, source, lang, n_chars, sha256(text) as text_sha256, true as in_shard, true as compacted, true as settled from documents"
 
 _HARD_NEGATIVES = """
 with r as (

@@ -14,6 +14,10 @@ nothing and has harmed nothing. `vacuum` removes files that none of the last `re
 than `least_age` seconds, so writers in flight and readers of those versions keep theirs; a job that died leaves such
 files and nothing else. Listing, renaming and removal go through the file system that Spark uses for the folder.
 
+A manifest holds one schema for all its shards. An append may bring further columns, leave some out, or have wider or narrower
+numbers: columns meet by name, whatever its case, a column that a shard lacks is null there, and numbers are read in the widest type so far. An
+append whose types don't widen into one another is refused and changes nothing.
+
 Cases: an empty table is appended as no rows and yields no assignment, with the columns and types that others have;
 nulls, repeated rows, long texts and extra columns are stored as they are. Shards of one size are taken by name.
 """
@@ -23,6 +27,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections import Counter
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -44,6 +49,28 @@ class Settings:
     least_age: float = 86_400.0
 
 
+#: Types that a reader takes for one another, each narrower than those behind it.
+WIDENING = (("byte", "short", "integer", "long"), ("float", "double"), ("byte", "short", "integer", "double"))
+
+
+def widest(held: T.DataType, new: T.DataType, column: str) -> T.DataType:
+    if held == new:
+        return held
+    for chain in WIDENING:
+        if {held.typeName(), new.typeName()} <= set(chain):
+            return max(held, new, key=lambda x: chain.index(x.typeName()))
+    raise ValueError(f"column {column}: {new.simpleString()} is appended to {held.simpleString()}")
+
+
+def merged(held: T.StructType | None, new: T.StructType) -> T.StructType:
+    """The columns of both, by name, held ones first; all may be null."""
+    fields = {f.name.lower(): T.StructField(f.name, f.dataType, True) for f in (held or [])}
+    for f in new:
+        known = fields.get(f.name.lower())
+        fields[f.name.lower()] = T.StructField(known.name, widest(known.dataType, f.dataType, f.name), True) if known else T.StructField(f.name, f.dataType, True)
+    return T.StructType(list(fields.values()))
+
+
 @dataclass(frozen=True)
 class Shard:
     path: str
@@ -120,7 +147,7 @@ class Store:
         full = new % self.settings.full_every == 1 or not before
         if full:
             added, gone = [x for p, x in live.items() if p not in gone] + added, set()
-        body = json.dumps({"version": new, "full": full, "schema": known or schema, "removed": sorted(gone), "added": [asdict(x) for x in sorted(added, key=lambda x: x.path)]})
+        body = json.dumps({"version": new, "full": full, "schema": schema or known, "removed": sorted(gone), "added": [asdict(x) for x in sorted(added, key=lambda x: x.path)]})
         draft = f"{self.folder}/manifests/.{new:08d}-{uuid.uuid4().hex}.draft"
         out = self._fs.create(self._path(draft), False)
         out.write(bytearray(body, "utf-8"))
@@ -134,9 +161,15 @@ class Store:
         frame.write.mode("errorifexists").parquet(f"{self.folder}/{name}")
         return [Shard(f"{name}/{file}", size) for file, size, is_folder in self._list(name) if not is_folder and file[0] not in "._"]
 
+    def schema(self, version: int | None = None) -> T.StructType | None:
+        """The columns of a version's shards; None before the first."""
+        known = self._state(version)[1]
+        return T.StructType.fromJson(json.loads(known)) if known else None
+
     def append(self, documents: DataFrame) -> int:
         before = self.version()
-        return self._commit(before, self._write(documents), [], documents.schema.json())
+        schema = merged(self.schema(before) if before else None, documents.schema)
+        return self._commit(before, self._write(documents), [], schema.json())
 
     def tier(self, shard: Shard) -> int:
         """0 for the smallest, None-like -1 for those that have the target size."""
@@ -165,8 +198,14 @@ class Store:
             self._commit(before, added, removed)
 
     def read(self, shards: list[Shard] | None = None) -> DataFrame:
+        """Rows of live shards, or of those given, in the columns of the last version."""
         own = self.shards() if shards is None else shards
-        return self.spark.read.parquet(*[f"{self.folder}/{x.path}" for x in own])
+        return self.spark.read.schema(self.schema()).parquet(*[f"{self.folder}/{x.path}" for x in own])
+
+    def settled(self) -> bool:
+        """Whether no tier holds as many shards as are merged."""
+        tiers = Counter(self.tier(x) for x in self.shards())
+        return all(n < self.settings.fanout for t, n in tiers.items() if t >= 0)
 
     def vacuum(self) -> int:
         """Remove what no retained version lists and no writer in flight can have written; how many files went."""
@@ -197,10 +236,11 @@ class Store:
         return self.stored().select("doc_id", *RESULT)
 
 
-def shard(documents: DataFrame, folder: str, settings: Settings = Settings()) -> Store:
-    """Append documents to the store of a folder and compact it."""
+def shard(documents: DataFrame, folder: str, settings: Settings = Settings(), arrivals: int = 1, key: str = "doc_id") -> Store:
+    """Append documents to the store of a folder, in as many arrivals by hash of their key, and compact it."""
     store = Store(documents.sparkSession, folder, settings)
-    store.append(documents)
+    for a in range(arrivals):
+        store.append(documents.where(F.pmod(F.xxhash64(key), F.lit(arrivals)) == a) if arrivals > 1 else documents)
     store.compact()
     store.vacuum()
     return store

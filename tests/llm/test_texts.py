@@ -359,6 +359,35 @@ def test_due_inverts_the_integral(spark):
     assert got == pytest.approx(times, abs=1e-6)
 
 
+def test_shards_of_other_columns(spark, tmp_path):
+    """No column is lost, whichever file comes first, through appends, merges and removal."""
+    store = sharding.Store(spark, str(tmp_path / "store"), sharding.Settings(fanout=2, least_age=0, retain=1))
+    frames = [
+        spark.createDataFrame([(i, "t", 1) for i in range(5)], "doc_id int, text string, size int"),
+        spark.createDataFrame([(2**40, "u", 2.5, "more")], "doc_id bigint, TEXT string, size double, extra string"),
+        spark.createDataFrame([("v", 7)], "text string, doc_id smallint"),
+        spark.createDataFrame([], "doc_id bigint, flag boolean"),
+    ]
+    for frame in frames:
+        store.append(frame)
+    want = sorted([(i, "t", 1.0, None, None) for i in range(5)] + [(2**40, "u", 2.5, "more", None), (7, "v", None, None, None)], key=str)
+    for step in (lambda: None, store.compact, store.vacuum):
+        step()
+        assert [(f.name, f.dataType.simpleString()) for f in store.schema()] == [("doc_id", "bigint"), ("text", "string"), ("size", "double"), ("extra", "string"), ("flag", "boolean")]
+        assert sorted((tuple(r) for r in store.read().collect()), key=str) == want
+        assert sorted((tuple(r)[:5] for r in store.stored().collect()), key=str) == want
+    assert store.settled() and store.version() > 4
+    before = store.version()
+    with pytest.raises(ValueError, match="extra"):
+        store.append(spark.createDataFrame([(1, 2)], "doc_id bigint, extra int"))
+    assert store.version() == before and store.read().count() == 7
+
+
+def test_sharding_query_compacts(spark):
+    got = queries.op9_sharding(spark, SMALL).collect()
+    assert len(got) == spark.read.parquet(f"{SMALL}/documents.parquet").count() and all(r["compacted"] and r["settled"] and r["in_shard"] for r in got)
+
+
 def test_sharding(spark, tmp_path):
     folder = str(tmp_path / "store")
     store = sharding.Store(spark, folder, sharding.Settings(target_bytes=40_000, least_bytes=2_000, fanout=3, full_every=3, retain=1, least_age=0))
