@@ -9,14 +9,19 @@ A new layer is scanned and decoded in turn unless the same text was seen before
 bytes seen before, so a text or an archive that holds itself ends there. Digests are kept of what was seen, no texts. Each
 layer knows, for each of its characters, the span of the original text it came from, and findings are reported there.
 
+A run is decoded from each of its first four characters on where it may begin with something else, as in a path, and without
+an odd character at its end.
+
 What is unpacked is streamed: it is scanned in windows of about `PIECE` bytes that end at a line end which no pattern, no
-escape and no wrapped run goes across, so nothing is cut in two.
+escape and no wrapped run goes across, so nothing is cut in two. Where a stretch of HELD bytes has no such end, it is cut
+anywhere and the next window begins OVERLAP bytes before the cut: all of its findings have the span of what was unpacked, and what is left
+of a longer match is long enough to be found. Escapes and runs of base64 across such a cut are read up to it.
 
 A batch is searched for traces first (key words, long runs, escapes); only texts that have one become Python strings.
 
 Cases: a null or empty text has no finding. Equal findings (kind and span) count once, with the layers of the first found,
 depth first. Spans count code points of the original text, ends are exclusive. Texts are never cut; memory follows the
-text, the layers of one nest, and the longest stretch without a line end in what is unpacked.
+text and the layers of one nest, whatever they unpack to.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ from lacuna.llm import tokens
 from lacuna.llm.storage import small_batches
 
 KINDS = ("assign", "access", "hex")
-PIECE = 1 << 24
+PIECE, HELD, OVERLAP = 1 << 20, 1 << 22, 1 << 12
 _KEYS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -182,7 +187,7 @@ def _opened(raw: bytes) -> tuple[Callable[[], Iterator[bytes]], int]:
 
 
 def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
-    """Pieces joined and cut anew, at line ends before which no run of base64 stands."""
+    """Pieces joined and cut anew, at line ends before which no run of base64 stands, or anywhere in a stretch of HELD bytes without one."""
     held = b""
     for piece in pieces:
         held += piece
@@ -192,6 +197,9 @@ def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
         if cut >= 0:
             yield held[: cut + 1]
             held = held[cut + 1 :]
+        elif len(held) >= HELD:
+            yield held
+            held = held[-OVERLAP:]
     if held:
         yield held
 
@@ -217,6 +225,15 @@ def _base64_runs(text: str) -> Iterator[np.ndarray]:
             yield places[: len(places) - (len(places) % 4 == 1)]
 
 
+def _aligned(text: str, places: np.ndarray) -> Iterator[np.ndarray]:
+    """A run from its first character and, where characters that part words stand in it, from the next three: less an odd one at the end."""
+    a, b = int(places[0]), int(places[-1]) + 1
+    parted = len(places) == b - a and any(x in text[a:b] for x in "/+-_")
+    for first in range(4 if parted else 1):
+        rest = places[first:]
+        yield rest[: len(rest) - (len(rest) % 4 == 1)]
+
+
 def _texts(raw: bytes) -> Iterator[tuple[str, int]]:
     """UTF-8, or else latin-1; UTF-16 of either order too where there is a NUL or a byte order mark. With the least bytes of a character."""
     try:
@@ -229,12 +246,10 @@ def _texts(raw: bytes) -> Iterator[tuple[str, int]]:
 
 
 def _decoded(layer: Layer) -> Iterator[Layer]:
-    for places in _base64_runs(layer.text):
+    for places in (x for run in _base64_runs(layer.text) for x in _aligned(layer.text, run)):
         a, b = int(places[0]), int(places[-1]) + 1
         body = layer.text[a:b] if len(places) == b - a else "".join(layer.text[a:b].split())
         body = body.replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):

@@ -359,6 +359,41 @@ def test_due_inverts_the_integral(spark):
     assert got == pytest.approx(times, abs=1e-6)
 
 
+@pytest.mark.parametrize("tail", ["", "-", "_", "a", "ab", "abc"])
+@pytest.mark.parametrize("front", ["", "/", "a/", "ab/", "abc/", "x-", "https://h.example/p/", "q_", "a+b+"])
+def test_encoded_keys_inside_longer_runs(front, tail):
+    """A run may begin and end with what isn't part of it."""
+    for secret in (SECRET, f"{SECRET} ", f"{SECRET}. "):
+        run = base64.b64encode(secret.encode()).decode().rstrip("=")
+        found = [f for f in secrets.findings(f"see {front}{run}{tail} end") if f["kind"] == "assign" and f["layers"]]
+        assert found and all(f["start"] >= 4 and f["end"] <= 4 + len(front + run + tail) for f in found)
+
+
+def test_a_small_text_that_unpacks_to_much():
+    """200 MB without a line end in 272 KB of text, with a key across every possible cut of a window."""
+    import resource
+    import time
+
+    key = SECRET.encode()
+    for body in (b"a" * 200_000_000, b"z" * (secrets.HELD + 1_048_576 - 9) + b" " + key + b" " + b"z" * 90_000_000):
+        text = "see " + base64.b64encode(gzip.compress(body)).decode()
+        assert len(text) < 300_000
+        before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.monotonic()
+        found = secrets.findings(text)
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000 and time.monotonic() - began < 60
+        assert {f["kind"] for f in found} == ({"hex"} if body[:1] == b"a" else {"assign"}) and all((f["start"], f["end"]) == (4, len(text)) for f in found)
+
+
+def test_windows_without_line_ends(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 200)
+    monkeypatch.setattr(secrets, "HELD", 400)
+    monkeypatch.setattr(secrets, "OVERLAP", 100)
+    for kind, secret in (("assign", SECRET), ("access", KEY), ("hex", "0f" * 16)):
+        for at in range(0, 1_300, 7):
+            body = "z" * at + " " + secret + " " + "z" * (1_300 - at)
+            assert {f["kind"] for f in secrets.findings("x " + base64.b64encode(gzip.compress(body.encode())).decode())} == {kind}, (kind, at)
+
+
 def test_shards_of_other_columns(spark, tmp_path):
     """No column is lost, whichever file comes first, through appends, merges and removal."""
     store = sharding.Store(spark, str(tmp_path / "store"), sharding.Settings(fanout=2, least_age=0, retain=1))
