@@ -16,6 +16,7 @@ from lacuna.plans.operations import LOG_SQL, PRICES, log
 from lacuna.sources import corpus_files, jsonl, sniff, tables, vector_store, xlsx
 from lacuna.storage import shared_folder
 from lacuna.streaming import events as stream
+from lacuna.streaming import numbered, source
 
 C = Catalogue()
 
@@ -252,6 +253,18 @@ def stream_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("total_cost_usd", F.round("total_cost_usd", 4))
 
 
+@C.add("stream_numbered", "select cast(user_id as varchar) as run_id, count(*) as events, cast(0 as bigint) as first_seq, count(*) - 1 as last_seq, count(distinct event_id) as ids, count(*) as numbers from events group by 1")
+def stream_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event twice, by two readers with offsets over files of row groups; a run's events get numbers without gap or repeat."""
+    place = _place(spark, "numbered")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").cast("string").alias("event_id"), "ts", F.col("event_type").alias("step"), F.lit("completed").alias("phase"))
+    rows.repartitionByRange(4, "event_id").write.parquet(f"{place}/in")
+    arrived = [source.read(spark, f"{place}/in", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), groupsPerTrigger="2") for _ in range(2)]
+    numbered.until_idle(numbered.to_table(numbered.numbered(arrived[0].unionByName(arrived[1])), f"{place}/out", f"{place}/checkpoint"))
+    found = spark.read.parquet(f"{place}/out")
+    return found.groupBy("run_id").agg(F.count("*").alias("events"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count_distinct("event_id").alias("ids"), F.count_distinct("seq").alias("numbers"))
+
+
 # Agents: results, evidence, state.
 @C.add("result_violations", f"with {LOG_SQL}, result as (select run_id, seq, case k % 3 when 0 then 'no_result' when 1 then 'has_result' else 'low_confidence' end as status, k % 2 as size, k % 4 as result_count from (select l.*, result_count as k from log l)) select run_id, seq, case when status = 'no_result' and size > 0 then 'rows_without_result' when status = 'has_result' and size < 1 then 'result_without_rows' when result_count <> size then 'count' end as rule from result where (status = 'no_result' and size > 0) or (status = 'has_result' and size < 1) or result_count <> size")
 def result_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
