@@ -7,6 +7,10 @@ there are at most BROADCAST_WINDOWS of them, else both sides are shuffled by gra
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,18 +71,37 @@ def touched(windows: DataFrame, lines: DataFrame | None, profile: Profile, sized
     return met.withColumn("start", F.col("start") - F.col("first") + 1).withColumnRenamed("around", "text_match") if by == "seed" else met
 
 
+def inversions(order: np.ndarray) -> int:
+    """Pairs of a sequence of distinct numbers that come in falling order, bit by bit of their ranks.
+
+    Two ranks differ first in some bit: they are inverted where the one before has it and the one behind hasn't, among those
+    that agree in all higher bits."""
+    rank, total = np.argsort(np.argsort(order, kind="stable"), kind="stable"), 0
+    for bit in range(max(1, len(rank)).bit_length() - 1, -1, -1):
+        by = np.argsort(rank >> (bit + 1), kind="stable")
+        group, one = (rank >> (bit + 1))[by], (rank[by] >> bit) & 1
+        before = np.cumsum(one) - one
+        total += int(((before - before[np.searchsorted(group, group)]) * (1 - one)).sum())
+    return total
+
+
+def _inverted(pairs: pd.Series) -> pd.Series:
+    def judged(rows: Sequence[dict]) -> bool:
+        at, line = (np.array([r[k] for r in rows], dtype=np.int64) for k in ("at", "line_no"))
+        by = np.lexsort((at, line))
+        first = by[np.unique(line[by], return_index=True)[1]]  # where each line first matches
+        seq = line[first][np.lexsort((line[first], at[first]))]
+        n = len(seq)
+        return n >= 3 and inversions(seq) / (n * (n - 1) / 2) > 0.33
+
+    return pairs.map(judged)
+
+
 def inverted(pairs: Column) -> Column:
     """Whether lines come in another order than the input: pairs of (at, line_no), one for each hit.
 
     Lines are put in order of where they first match; of all pairs of three lines or more, over a third has to be inverted."""
-    firsts = F.array_sort(F.transform(F.array_distinct(F.transform(pairs, lambda p: p["line_no"])), lambda n: F.struct(F.array_min(F.transform(F.filter(pairs, lambda p: p["line_no"] == n), lambda p: p["at"])).alias("at"), n.alias("line_no"))))
-
-    def judged(seq: Column) -> Column:
-        wrong = F.aggregate(F.transform(seq, lambda a, i: F.size(F.filter(seq, lambda b, j: (j > i) & (a["line_no"] > b["line_no"])))), F.lit(0), lambda x, y: x + y)
-        n = F.size(seq)
-        return (n >= 3) & (wrong / F.greatest(n * (n - 1) / 2, F.lit(1)) > 0.33)
-
-    return text.let(firsts, judged)
+    return F.pandas_udf(_inverted, "boolean")(pairs)
 
 
 def evidence(found: DataFrame) -> DataFrame:

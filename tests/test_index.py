@@ -251,3 +251,21 @@ def test_long_lines(spark, tmp_path, monkeypatch):
     assert index.seeds.agg(F.max(F.length("around"))).first()[0] <= 24
     asked = swept(spark.createDataFrame([(1, line[5_010:5_060]), (2, line[29_950:])], "query_id int, text string"))
     assert hit_rows(exact.hits(asked, None, LETTERS, index=index)) == hit_rows(exact.hits(asked, lines, LETTERS))
+
+
+def test_inversions():
+    import itertools
+    import time
+
+    rng = random.Random(7)
+    for n in [0, 1, 2, 3, 4, 5, 8, 17, 64, 100]:
+        order = rng.sample(range(1_000), n)
+        assert exact.inversions(np.array(order, dtype=np.int64)) == sum(a > b for a, b in itertools.combinations(order, 2))
+    many, began = np.arange(100_000)[::-1], time.monotonic()
+    assert exact.inversions(many) == 100_000 * 99_999 // 2 and time.monotonic() - began < 10
+
+
+def test_order_of_many_lines(spark):
+    rows = [(i, 100_000 - i) for i in range(100_000)]
+    frame = spark.createDataFrame([(1, rows), (2, [(a, -b) for a, b in rows]), (3, rows[:2]), (4, [])], "id int, p array<struct<at:int,line_no:int>>")
+    assert {r["id"]: r["x"] for r in frame.select("id", exact.inverted(F.col("p")).alias("x")).collect()} == {1: True, 2: False, 3: False, 4: False}
