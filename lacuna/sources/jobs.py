@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from lacuna.operators import batch
 from lacuna.operators.batch import JobError
 from lacuna.sources import tables
+from lacuna.storage import checkpointed
 
 JOB = "job_id string, path string, name string, headers array<string>, total_rows bigint, status string, query_column string, agent boolean, cap_usd double, created_at double, error string"
+MOST_BLOCKS = 1_000
 RESULT = "row_index bigint, status string, finished_at double, outcome string, job_id string"
 
 
@@ -81,14 +83,25 @@ class Jobs:
         self.move(job_id, "running", query_column=column, agent=agent, cap_usd=cap_usd, error=None)
         return left.drop("job_id")
 
-    def run(self, job_id: str, left: DataFrame, search: Callable[[DataFrame], DataFrame]) -> str:
-        """Search the rows that are left and write the results; the status that the job ends with.
+    def run(self, job_id: str, left: DataFrame, search: Callable[[DataFrame], DataFrame], block_rows: int = 20_000) -> str:
+        """Search the rows that are left, block by block of row_index, and write the results of each; the status that the job ends with.
 
-        The work is a job group, so cancel() stops it on the executors; a job that was cancelled stays so."""
+        What a block found stays when a later one fails or the job is cancelled, and status() counts it at once. Blocks are
+        MOST_BLOCKS at most, larger ones where there are more rows. The work is a job group, so cancel() stops it on the executors; a job that was cancelled stays so."""
         context = self.spark.sparkContext
         context.setJobGroup(job_id, f"batch {job_id}", interruptOnCancel=True)
         try:
-            self.write(job_id, search(left))
+            rows = checkpointed(left)  # results that are written meanwhile don't change what is left
+            size = max(block_rows, -(-rows.count() // MOST_BLOCKS))
+            low, high = rows.agg(F.min("row_index"), F.max("row_index")).first()
+            at = low
+            while at is not None and at <= high and self.find(job_id)["status"] != "cancelled":
+                block = rows.where(F.col("row_index") >= at)
+                end = block.orderBy("row_index").select("row_index").limit(size).agg(F.max("row_index")).first()[0]
+                if end is None:
+                    break
+                self.write(job_id, search(block.where(F.col("row_index") <= end)))
+                at = end + 1
         except Exception as error:  # noqa: BLE001 - whatever went wrong belongs to the job
             if self.find(job_id)["status"] == "cancelled":
                 return "cancelled"

@@ -139,7 +139,30 @@ def test_jobs(spark, engine, tmp_path):
         raise ValueError("broken search")
 
     store.move(other, "running")
-    assert store.run(other, spark.range(1), broken) == "failed" and store.find(other)["error"] == "broken search"
+    assert store.run(other, spark.range(1).withColumnRenamed("id", "row_index"), broken) == "failed" and store.find(other)["error"] == "broken search"
+
+
+def test_blocks_of_a_job_are_kept(spark, tmp_path):
+    store = jobs.Jobs(spark, str(tmp_path / "jobs"))
+    key = store.add("x", "mine", ["poem"], 7)
+    rows = spark.createDataFrame([(i, None, "x") for i in (0, 1, 2, 5, 6, 9, 12)], "row_index bigint, parse_error string, raw string")
+
+    def search(some, stop=None):
+        if stop and some.where("row_index = 6").count():
+            stop()
+        return some.select("row_index", F.lit("has_result").alias("status"), F.lit("{}").alias("outcome"))
+
+    def fail():
+        raise ValueError("broken at the third")
+
+    assert store.run(key, store.begin(key, rows, "poem"), lambda some: search(some, fail), 2) == "failed"
+    assert store.status(key)["finished_rows"] == 4 and store.find(key)["error"] == "broken at the third"
+    left = store.begin(key, rows, "poem", "unresolved")
+    assert sorted(r["row_index"] for r in left.collect()) == [6, 9, 12]
+    assert store.run(key, left, lambda some: search(some, lambda: store.cancel(key)), 1) == "cancelled"
+    assert store.status(key)["finished_rows"] in (4, 5)
+    assert store.run(key, store.begin(key, rows, "poem", "unresolved"), search, 2) == "done"
+    assert store.status(key)["finished_rows"] == 7 and store.results(key).select("row_index").distinct().count() == 7
 
 
 def test_export_of_a_workbook(spark, engine, tmp_path):
