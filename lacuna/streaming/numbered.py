@@ -64,9 +64,9 @@ def numbered(stream: DataFrame, linger_ms: int = 600_000, remember_ms: int = 3_6
 
 
 def until_idle(query: StreamingQuery, seconds: float = 0.2) -> None:
-    """Wait for a micro-batch that found no data, and stop; what the query failed with is raised."""
+    """Wait for two micro-batches in a row that found no data, and stop; what the query failed with is raised. The first of them may be one that an earlier stop cut off."""
     try:
-        while not ((progress := query.lastProgress) and progress["numInputRows"] == 0):
+        while len(last := query.recentProgress[-2:]) < 2 or any(p["numInputRows"] for p in last) or last[0]["batchId"] == last[1]["batchId"]:
             if fault := query.exception():
                 raise fault
             time.sleep(seconds)

@@ -3,7 +3,7 @@
 An offset is a number of files and, of the next one, of row groups; a row group is a partition of a micro-batch. After a failure Spark
 asks for the same pair of offsets again and gets the same rows, since files don't change. Progress that Spark has committed is
 written to `progress`, if given, by renaming a finished file. Files have to come with names behind those already read, and to be
-there whole (written aside and renamed). The folder is a path that driver and executors share, or a URI that Arrow's file systems open.
+there whole (written aside and renamed). The first micro-batch after a start takes all there is, later ones groupsPerTrigger. The folder is a path that driver and executors share, or a URI that Arrow's file systems open.
 """
 
 from __future__ import annotations
@@ -68,10 +68,13 @@ class Reader(DataSourceStreamReader):
         return {"files": 0, "groups": 0}
 
     def latestOffset(self) -> dict[str, int]:
+        """The next groupsPerTrigger row groups. A reader that has just begun isn't told where its query stands, and an offset before
+        that would be read as progress: its first answer is the end of what there is, which nothing can lie behind."""
+        most = self.most if self.at else None
         self.at = self.at or self.initialOffset()
         for n, (_, _, behind) in enumerate(self._between(self.at, None), 1):
             self.at = behind
-            if n >= self.most:
+            if n == most:
                 break
         return self.at
 
