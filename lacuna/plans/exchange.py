@@ -58,35 +58,36 @@ def jsonl_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(jsonl.count(spark, path),)], "n bigint")
 
 
-@C.add("xlsx_round_trip", "select n_nationkey - 0 as row_index, n_nationkey as key, n_name as name, case when n_regionkey <> 2 then n_regionkey end as region, n_regionkey = 1 as first from nation")
-def xlsx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation, a table of fixed size, as a workbook and back."""
-    rows, path = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect(), _place(spark, "book") + ".xlsx"
-    import os
+BOOK = "(o_orderkey // 10000)"
+
 
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    xlsx.write(path, ["key", "name", "region", "first"], [[r["n_nationkey"], r["n_name"], r["n_regionkey"] if r["n_regionkey"] != 2 else None, r["n_regionkey"] == 1] for r in rows])
-    back = xlsx.read(spark, path).withColumn("v", F.try_parse_json("raw"))
-    kinds = {"key": "int", "name": "string", "region": "int", "first": "boolean"}
-    return back.select(F.col("row_index").cast("int").alias("row_index"), *[F.try_variant_get("v", f"$.{k}", v).alias(k) for k, v in kinds.items()])
+@C.add("xlsx_round_trip", f"select cast({BOOK} as varchar) as path, row_number() over (partition by {BOOK} order by o_orderkey) - 1 as row_index, o_orderkey as key, o_orderpriority as name, case when o_custkey % 3 <> 0 then o_custkey end as customer, o_custkey % 2 = 0 as even from orders")
+def xlsx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as workbooks that executors write, and back from pieces of their sheets."""
+    rows, path = table(spark, sf_dir, "orders"), _place(spark, "books")
+    named = rows.select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_custkey") % 3 != 0, F.col("o_custkey")).alias("customer"), (F.col("o_custkey") % 2 == 0).alias("even"))
+    xlsx.books(named, F.floor(F.col("key") / 10_000), F.col("key"), ["key", "name", "customer", "even"]).write.parquet(path)
+    back = xlsx.parsed(spark.read.parquet(path)).withColumn("v", F.try_parse_json("raw"))
+    kinds = {"key": "bigint", "name": "string", "customer": "bigint", "even": "boolean"}
+    return back.select("path", "row_index", *[F.try_variant_get("v", f"$.{k}", v).alias(k) for k, v in kinds.items()])
 
 
-HEADS = {
-    "rows.jsonl": (b'{"a": 1}\n{"a": 2}\n', "jsonl", None), "array.json": (b'[{"a": 1}]', None, "json_array"), "pretty.json": (b'{\n"a": 1\n}\n', None, "json_array"),
-    "table.csv": (b"a,b\n1,2\n3,4\n", None, "csv_like"), "book.xlsx": (b"PK\x03\x04....", "xlsx", None), "old.xls": (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", None, "xls_legacy"),
-    "wide.txt": ("a\n".encode("utf-16"), None, "not_utf8"), "empty": (b"", None, "empty"), "bad.jsonl": (b'{"a": 1}\nx\n', None, "unknown"),
-}
-SNIFFED = Inline({"name": "varchar", "kind": "varchar", "reason": "varchar"}, *[(n, k, r) for n, (_, k, r) in HEADS.items()])
+# What a stored text starts like, by conv_id and turn, and the kind that its file has.
+_SNIFFED = """select conv_id, turn, case coalesce((conv_id + turn) % 6, 4) when 0 then 'jsonl' when 1 then null when 2 then 'xlsx' else null end as kind,
+    case coalesce((conv_id + turn) % 6, 4) when 1 then 'json_array' when 3 then 'csv_like' when 4 then 'empty' when 5 then 'not_utf8' end as reason from conversations"""
 
 
-@C.add("file_kinds", f"select * from {SNIFFED.sql}")
+@C.add("file_kinds", _SNIFFED)
 def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, out = _place(spark, "heads"), []
-    for name, (body, *_) in HEADS.items():
-        _put(spark, f"{folder}/{name}", body)
-        kind = sniff.sniff_file(spark, f"{folder}/{name}")
-        out.append((name, kind.kind, kind.reason))
-    return spark.createDataFrame(out, "name string, kind string, reason string")
+    """Turns as the bytes of files of each kind, judged where they lie."""
+    row = F.to_json(F.struct("conv_id", "turn", "role"))
+    kind = F.coalesce((F.col("conv_id") + F.col("turn")) % 6, F.lit(4))
+    body = (
+        F.when(kind == 0, F.concat(row, F.lit("\n"), row, F.lit("\n"))).when(kind == 1, F.concat(F.lit("["), row, F.lit("]"))).when(kind == 2, F.concat(F.lit("PK\x03\x04"), row))
+        .when(kind == 3, F.concat(F.lit("conv,turn\n"), F.concat_ws(",", "conv_id", "turn"), F.lit("\n"))).when(kind == 4, F.lit(""))
+    )
+    files = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(kind == 5, F.encode(row, "UTF-16")).otherwise(F.encode(body, "UTF-8")).alias("content"))
+    return files.select("conv_id", "turn", sniff.kinds(F.col("content")).alias("k")).select("conv_id", "turn", "k.kind", "k.reason")
 
 
 # Corpus files: nation and region, tables of fixed size, as the files of a corpus.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.config import LETTERS, Settings
 from lacuna.functions import keys, numbers, text
 from lacuna.operators import additions, agent, batch, columns, evaluate, events
-from lacuna.plans.inputs import MATCH, Catalogue, Inline, WithTable, poems, table
+from lacuna.plans.inputs import HAN_OF, MATCH, Catalogue, Inline, WithTable, in_han, poems, table
 from lacuna.sources import html
 
 C = Catalogue()
@@ -212,19 +212,22 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.profile(rows).select("name", "cjk_ratio", "filled", F.round("mean_length", 6).alias("mean_length"), "score")
 
 
-CELLS = Inline({"row_index": "int", "ord": "int", "name": "varchar", "value": "varchar"}, *[(i, o, n, v) for i, row in enumerate((("1", "細草微風岸", "note"), ("2", "危檣獨夜舟", ""), ("3", "", "月"), ("4", "星垂平野闊!", "x"))) for o, (n, v) in enumerate(zip(("id", "poem", "note"), row))])
+_CELLS_SQL = f"(select doc_id as row_index, o as ord, ['id', 'poem', 'note'][o + 1] as name, trim(coalesce(case o when 0 then cast(doc_id as varchar) when 1 then {HAN_OF.format('text')} else {HAN_OF.format('source')} end, '')) as value from documents, (select unnest([0, 1, 2]) as o))"
 
 
 @C.add(
     "column_suggest",
-    f"""with filled as (select ord, name, row_index, value, length(regexp_replace(regexp_replace(value, '[\\s\\pP\\pS]', '', 'g'), '[^\\p{{Han}}]', '', 'g')) / nullif(length(regexp_replace(value, '[\\s\\pP\\pS]', '', 'g')), 0) as ratio from {CELLS.sql}),
+    f"""with filled as (select ord, name, row_index, value, length(regexp_replace(regexp_replace(value, '[\\s\\pP\\pS]', '', 'g'), '[^\\p{{Han}}]', '', 'g')) / nullif(length(regexp_replace(value, '[\\s\\pP\\pS]', '', 'g')), 0) as ratio from {_CELLS_SQL}),
     prof as (select ord, name, coalesce(avg(coalesce(ratio, 0)) filter (where value <> ''), 0) as r, count(*) filter (where value <> '') / count(*) as f, coalesce(avg(length(value)) filter (where value <> ''), 0) as m from filled group by all),
     fit as (select name, r * f * ln(1 + m) as s, row_number() over (order by r * f * ln(1 + m) desc, ord) as k from prof where r >= 0.5 and f >= 0.5),
     best as (select max(s) filter (where k = 1) as a, max(s) filter (where k = 2) as b, max(name) filter (where k = 1) as name from fit)
     select case when a is not null and not coalesce(a < b * 1.5, false) then name end as suggested, case when a is null then 'no_cjk' when a < b * 1.5 then 'ambiguous' end as abstain_reason from best""",
 )
 def column_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return columns.suggest(columns.profile(CELLS.frame(spark)))
+    """Which column of documents holds the poems, their letters in Han: numbers, texts or short notes."""
+    values = (F.col("doc_id").cast("string"), in_han(F.col("text")), in_han(F.col("source")))
+    each = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(n).alias("name"), F.trim(F.coalesce(v, F.lit(""))).alias("value")) for i, (n, v) in enumerate(zip(("id", "poem", "note"), values))])
+    return columns.suggest(columns.profile(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_index"), F.explode(each).alias("c")).select("row_index", "c.*")))
 
 
 NEW = _with_table(Inline({"row_index": "int", "title": "varchar", "author": "varchar", "text": "varchar"}, (1, "旅夜書懷", "杜甫", "細草微風岸危檣獨夜舟"), (2, "", "杜甫", "細草"), (3, None, None, None), (4, "x" * 201, "y", "星垂平野闊"), (5, "t", "a", "abc"), (6, "旅夜書懷", "杜甫", "細草微風岸，危檣獨夜舟。"), (7, "長", "人", "天" * 4001)), {'row_index': 'cast(o_orderkey + 100 as int)', 'title': 'case when o_custkey % 3 > 0 then o_orderpriority end', 'author': "case when o_custkey % 4 > 0 then o_orderstatus else '  ' end", 'text': "repeat('細草x', cast(o_orderkey % 4 as int))"}, "orders")

@@ -162,29 +162,58 @@ def exact_reorder_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome.select("query_id", F.array_contains("flags", "input_reordered").alias("reordered"))
 
 
-@C.add("exact_all_readings")
-def exact_all_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reading of every item: no SQL counterpart, tested on the Han fixtures."""
-    outcome, _ = exact.search(fragments(spark, sf_dir), lines(spark, sf_dir), LETTERS)
-    return outcome.select("query_id", "kind", "strategy", "longest_run", "flags")
+# Every reading of each item: as written, lines and letters turned round, and grids read in columns from either side.
+READINGS_SQL = f"""form as (
+  select item_id as query_id, list_transform(list_filter(regexp_split_to_array(text, '[\\s\\x{{3000}}\\x{{00A0}}]+'), lambda x: x <> ''), lambda x: {MATCH.format('x')}) as forms from benchmark
+), base as (
+  select *, array_to_string(forms, '') as s, length(array_to_string(forms, '')) as total, list_filter(list_transform(forms, lambda x: length(x)), lambda n: n > 0) as widths from form where array_to_string(forms, '') <> ''
+), width as (
+  select query_id, s, cols, min(p) as p from (
+    select query_id, s, 0 as p, widths[1] as cols from base where len(list_distinct(widths)) = 1 and widths[1] >= 2
+    union all select query_id, s, c as p, c as cols from base, (select unnest(range(2, 13)) as c) where c <= total and total % c = 0
+    union all select query_id, s, 20 + i as p, [5, 7, 4][i] as cols from base, (select unnest([1, 2, 3]) as i) where [5, 7, 4][i] <= total) group by all
+), cell as (
+  select query_id, 10 + 2 * p + side as p, cols, side, s, unnest(range(0, length(s))) as i from width, (select unnest([0, 1]) as side)
+), every_reading as (
+  select query_id, 0 as p, 'as_written' as strategy, cast(null as int) as cols, s as chars from base
+  union all select query_id, 1, 'line_reverse', null, array_to_string(list_reverse(forms), '') from base where len(forms) > 1
+  union all select query_id, 2, 'line_chars_reverse', null, array_to_string(list_transform(forms, lambda x: reverse(x)), '') from base where len(forms) > 1
+  union all select query_id, 3, 'stream_reverse', null, reverse(s) from base
+  union all select query_id, p, case side when 0 then 'grid_rtl' else 'grid_ltr' end, cols, string_agg(substr(s, i + 1, 1), '' order by case side when 0 then -(i % cols) else i % cols end, i) from cell group by query_id, p, side, cols
+), reading as (
+  select query_id, row_number() over (partition by query_id order by p) - 1 as ord, strategy, cols, chars from (
+    select * from every_reading qualify row_number() over (partition by query_id, chars order by p) = 1) qualify row_number() over (partition by query_id order by p) <= 24
+)"""
+
+
+@C.add("readings_grid", f"with {READINGS_SQL} select query_id, ord, strategy, cols, chars, strategy <> 'as_written' as reordered from reading")
+def readings_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings of all items, grids among them."""
+    return enumerate_readings(fragments(spark, sf_dir), LETTERS).select("query_id", F.col("ord").cast("bigint").alias("ord"), "strategy", "cols", "chars", "reordered")
 
 
-GRID = Inline(
-    {"query_id": "int", "text": "varchar"},
-    (1, "地何病著名涌平夜岸細\n一所休官章江野舟危草\n沙似老應文大闊星檣微\n鷗天飄飄豈流月垂獨風"),
-    (2, "水\n秋\n無\n淨\n泥\n春\n花\n開\n落\n自"),
+# The classes of readings one by one, as of queries of their own; the first reading that is decided or else the best counts.
+ALL_CLASS_SQL = (
+    CLASS_SQL.replace(QUERY_SQL, f"{READINGS_SQL}, query as (select query_id * 100 + ord as query_id, chars as r from reading where ord < 12)")
+    + """, swept as (
+  select c.*, c.query_id // 100 as item, c.query_id % 100 as ord, bool_or(c.query_id % 100 = 0 and longest_run >= 14 and n_works = 1) over (partition by c.query_id // 100) as decided from classed c
+), chosen as (
+  select * from swept where not coalesce(decided, false) or ord = 0 qualify row_number() over (partition by item order by n_works is null, longest_run desc, ord) = 1
+)"""
 )
 
 
 @C.add(
-    "readings_grid",
-    f"""with q as (select query_id, {_HAN_MATCH} as s, length(split_part(text, chr(10), 1)) as w from {GRID.sql}),
-    cells as (select query_id, s, w, unnest(range(0, length(s))) as p from q)
-    select query_id, string_agg(substr(s, p + 1, 1), '' order by -(p % w), p) as rtl, string_agg(substr(s, p + 1, 1), '' order by p % w, p) as ltr from cells where w >= 2 group by query_id""",
+    "exact_all_readings",
+    ALL_CLASS_SQL
+    + """ select item as query_id, kind, case when n_works is not null then strategy end as strategy, cast(longest_run as int) as longest_run, case when kind = 'none' then 0 else n_works end as n_works, case when kind <> 'none' then first_work end as first_work,
+    list_filter([case when kind <> 'none' then 'exact_' || replace(kind || '_match', 'ambiguous_match', 'ambiguous') end, case when kind <> 'none' and (chosen.ord > 0 or out_of_order) then 'input_reordered' end], lambda x: x is not null) as flags
+    from chosen join reading on reading.query_id = item and reading.ord = chosen.ord""",
 )
-def readings_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = enumerate_readings(GRID.frame(spark), HAN).where("query_id = 1 and cols = 10")
-    return every.groupBy("query_id").agg(F.max(F.when(F.col("strategy") == "grid_rtl", F.col("chars"))).alias("rtl"), F.max(F.when(F.col("strategy") == "grid_ltr", F.col("chars"))).alias("ltr"))
+def exact_all_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading of every item over every line."""
+    outcome, _ = exact.search(fragments(spark, sf_dir), lines(spark, sf_dir), LETTERS)
+    return outcome.select("query_id", "kind", "strategy", "longest_run", F.size("work_ids").cast("bigint").alias("n_works"), F.get("work_ids", F.lit(0)).alias("first_work"), "flags")
 
 
 TERMS_SQL = f"""{QUERY_SQL}, pair as (

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 HEAD_BYTES = 65_536
 # What files begin with.
@@ -68,6 +70,16 @@ def sniff(head: bytes, whole: bool = True) -> Kind:
     return Kind(reason="unknown")
 
 
+def kinds(content: Column) -> Column:
+    """struct(kind, reason, note, line) of contents, by their heads of HEAD_BYTES; null is an empty file."""
+    def judged(heads: pd.Series, whole: pd.Series) -> pd.DataFrame:
+        found = [sniff(bytes(h or b""), w) for h, w in zip(heads, whole)]
+        return pd.DataFrame({"kind": [k.kind for k in found], "reason": [k.reason for k in found], "note": [k.note for k in found], "line": pd.array([k.line for k in found], dtype="Int64")})
+
+    whole = F.coalesce(F.octet_length(content) <= HEAD_BYTES, F.lit(True))
+    return F.pandas_udf(judged, "kind string, reason string, note string, line bigint")(F.substring(content, 1, HEAD_BYTES), whole)
+
+
 def sniff_file(spark: SparkSession, path: str) -> Kind:
     """The kind of a file that Spark can reach; only its head is read."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

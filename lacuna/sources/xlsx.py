@@ -1,7 +1,9 @@
-"""XLSX: the first sheet as rows, and a writer; zip archives of XML, nothing more.
+"""XLSX: the first sheet as rows, and writers; zip archives of XML, nothing more.
 
-A workbook is one compressed document, so one task reads it. Registered as a Python data source, `xlsx` gives
-(row_index, raw) with raw a JSON object of the row under its headers.
+A sheet is one compressed stream, which can't be entered in its middle, but taking it apart costs far more than unpacking it.
+So one task unpacks a workbook and cuts the stream between rows into pieces of 1 MB, which many tasks take apart; what
+a task holds is the packed workbook and a piece, however many rows there are. Strings that cells share are a table of their own, joined
+by number. Many rows are written as many workbooks, each by one task.
 """
 
 from __future__ import annotations
@@ -12,12 +14,17 @@ import json
 import re
 import zipfile
 from collections.abc import Iterable, Iterator
-from typing import Any
+from typing import IO, Any, NamedTuple
 from xml.etree import ElementTree
+from xml.parsers import expat
 from xml.sax.saxutils import escape
 
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+PIECE = 1 << 20
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 # Built-in number formats that are dates.
@@ -46,7 +53,13 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {i for i, f in enumerate(formats) if f in _DATES or re.search(r"[dmyhs]", own.get(f, ""), re.I)}
 
 
-def _value(cell: ElementTree.Element, shared: list[str], dates: set[int]) -> Any:
+class Shared(NamedTuple):
+    """A cell whose text is the shared string of that number."""
+
+    number: int
+
+
+def _value(cell: ElementTree.Element, dates: set[int]) -> Any:
     """A cell: dates as ISO texts, rich text and links as text, formulas as their result, errors as nothing."""
     kind, raw = cell.get("t", "n"), cell.findtext(f"{_NS}v")
     if kind == "inlineStr":
@@ -54,7 +67,7 @@ def _value(cell: ElementTree.Element, shared: list[str], dates: set[int]) -> Any
     if raw is None or kind == "e":
         return None
     if kind == "s":
-        return shared[int(raw)]
+        return Shared(int(raw))
     if kind == "b":
         return raw == "1"
     if kind in ("str", "d"):
@@ -66,27 +79,101 @@ def _value(cell: ElementTree.Element, shared: list[str], dates: set[int]) -> Any
     return int(number) if number.is_integer() else number
 
 
-def sheet(data: bytes) -> list[list[Any]]:
-    """The rows of the first sheet as lists; rows that aren't stored are empty."""
-    with zipfile.ZipFile(io.BytesIO(data)) as book:
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        first = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_NS}sheets/{_NS}sheet")
-        if first is None:
-            return []
-        target = links[first.get(_REL)].lstrip("/")
-        shared = [_text(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in book.namelist() else []
-        dates = _date_styles(book)
-        rows: list[list[Any]] = []
-        for row in ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_NS}row"):
-            while len(rows) < int(row.get("r", len(rows) + 1)) - 1:
-                rows.append([])
-            values: list[Any] = []
-            for cell in row.iter(f"{_NS}c"):
-                at = _column(cell.get("r")) if cell.get("r") else len(values)
-                values += [None] * (at + 1 - len(values))
-                values[at] = _value(cell, shared, dates)
-            rows.append(values)
-    return rows
+class Piece(NamedTuple):
+    """Elements of one kind that stand together in a document: `first` is the number of the first, head all that precedes any."""
+
+    first: int
+    head: bytes
+    body: bytes
+
+
+def cut(stream: IO[bytes], tag: str, size: int = PIECE) -> Iterator[Piece]:
+    """The elements of that name, in pieces of about `size` bytes, each as it stands in the document.
+
+    The places of elements are those that the parser reports, so comments and character data that look like elements are
+    none. Rows carry numbers, which may skip some; other elements count from 0. A piece begins where the one before ended."""
+    parser = expat.ParserCreate(namespace_separator=" ")
+    name, starts, held, base = f"{_NS[1:-1]} {tag}", [], bytearray(), 0
+    head, last, depth = None, 0 if tag == "row" else -1, 0
+
+    def opened(found: str, attributes: dict[str, str]) -> None:
+        nonlocal last, depth
+        if found == name:
+            depth += 1
+            if depth == 1:
+                starts.append((parser.CurrentByteIndex, last + 1))
+                last = int(attributes.get("r", last + 1)) if tag == "row" else last + 1
+
+    def closed(found: str) -> None:
+        nonlocal depth
+        depth -= found == name
+
+    parser.StartElementHandler, parser.EndElementHandler = opened, closed
+    while True:
+        chunk = stream.read(size)
+        held += chunk
+        parser.Parse(chunk, not chunk)
+        if starts and head is None:
+            head = bytes(held[: starts[0][0]])
+        # the element that opened last may be unfinished: it stays
+        if starts and (not chunk or starts[-1][0] - starts[0][0] >= size):
+            until = starts[-1] if chunk else (base + len(held), 0)
+            yield Piece(starts[0][1], head, bytes(held[starts[0][0] - base : until[0] - base]))
+            del held[: until[0] - base]
+            base, starts[:] = until[0], starts[-1:]
+        if not chunk:
+            return
+
+
+def _elements(piece: Piece, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of a piece. What the head opens is never closed, so nothing needs to be known about it."""
+    parser = ElementTree.XMLPullParser(["end"])
+    for part in (piece.head, piece.body):
+        parser.feed(part)
+        for _, element in parser.read_events():
+            if element.tag == f"{_NS}{tag}":
+                yield element
+                element.clear()
+
+
+def rows_of(piece: Piece, dates: set[int]) -> Iterator[tuple[int, list[Any]]]:
+    """(row number, values) of a piece of a sheet; rows that aren't stored are empty."""
+    following = piece.first
+    for row in _elements(piece, "row"):
+        number = int(row.get("r", following))
+        for skipped in range(following, number):
+            yield skipped, []
+        values: list[Any] = []
+        for cell in row.iter(f"{_NS}c"):
+            at = _column(cell.get("r")) if cell.get("r") else len(values)
+            values += [None] * (at + 1 - len(values))
+            values[at] = _value(cell, dates)
+        yield number, values
+        following = number + 1
+
+
+def shared_strings(book: zipfile.ZipFile) -> Iterator[tuple[int, str]]:
+    if "xl/sharedStrings.xml" in book.namelist():
+        with book.open("xl/sharedStrings.xml") as stream:
+            for piece in cut(stream, "si"):
+                for i, element in enumerate(_elements(piece, "si")):
+                    yield piece.first + i, _text(element)
+
+
+def _first_sheet(book: zipfile.ZipFile) -> str | None:
+    links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    first = ElementTree.fromstring(book.read("xl/workbook.xml")).find(f"{_NS}sheets/{_NS}sheet")
+    if first is None:
+        return None
+    target = links[first.get(_REL)].lstrip("/")
+    return target if target.startswith("xl/") else f"xl/{target}"
+
+
+def sheet_pieces(book: zipfile.ZipFile, size: int = PIECE) -> Iterator[Piece]:
+    name = _first_sheet(book)
+    if name:
+        with book.open(name) as stream:
+            yield from cut(stream, "row", size)
 
 
 def header_names(cells: list[Any]) -> list[str]:
@@ -100,19 +187,24 @@ def header_names(cells: list[Any]) -> list[str]:
 
 
 def records(data: bytes) -> Iterator[dict[str, Any]]:
-    """Rows below the header; blank rows inside are kept, one at the end isn't."""
-    rows = sheet(data)
-    if not rows:
-        return
-    names, body = header_names(rows[0]), rows[1:]
-    if body and all(v is None for v in body[-1]):
-        body = body[:-1]
-    for row in body:
-        yield {name: row[i] if i < len(row) else None for i, name in enumerate(names)}
+    """Rows below the header; blank rows inside are kept, one at the end isn't. For workbooks that one process reads."""
+    with zipfile.ZipFile(io.BytesIO(data)) as book:
+        shared, dates, names, held = dict(shared_strings(book)), _date_styles(book), None, None
+        for piece in sheet_pieces(book):
+            for _, values in rows_of(piece, dates):
+                values = [shared[v.number] if isinstance(v, Shared) else v for v in values]
+                if names is None:
+                    names = header_names(values)
+                    continue
+                if held is not None:
+                    yield held[1]
+                held = values, {name: values[i] if i < len(values) else None for i, name in enumerate(names)}
+        if held is not None and any(v is not None for v in held[0]):
+            yield held[1]
 
 
 class XlsxSource(DataSource):
-    """spark.dataSource.register(XlsxSource); spark.read.format("xlsx").load(path)."""
+    """spark.dataSource.register(XlsxSource); spark.read.format("xlsx").load(path). Files of the machine, one task each; `read` splits them."""
 
     @classmethod
     def name(cls) -> str:
@@ -138,19 +230,93 @@ class _Reader(DataSourceReader):
                 yield i, json.dumps(record, ensure_ascii=False)
 
 
-def read(spark: Any, path: str) -> Any:
-    """(row_index, raw) of a workbook anywhere Spark reads, through its binary files."""
-    from pyspark.sql import functions as F
+def pieces(books: DataFrame, size: int = PIECE) -> DataFrame:
+    """books (path, content) to (path, first, head, body, dates): the rows of each first sheet in pieces."""
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, data in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(data)) as book:
+                    dates = sorted(_date_styles(book))
+                    for piece in sheet_pieces(book, size):
+                        yield pd.DataFrame({"path": [path], "first": [piece.first], "head": [piece.head], "body": [piece.body], "dates": [dates]})
+
+    return books.select("path", "content").mapInPandas(of, "path string, first bigint, head binary, body binary, dates array<int>")
+
+
+def _strings(books: DataFrame) -> DataFrame:
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, data in zip(batch["path"], batch["content"]):
+                with zipfile.ZipFile(io.BytesIO(data)) as book:
+                    yield from _framed(((path, i, json.dumps(text, ensure_ascii=False)) for i, text in shared_strings(book)), ["path", "shared", "text"])
+
+    return books.select("path", "content").mapInPandas(of, "path string, shared bigint, text string")
+
+
+def _framed(rows: Iterable[tuple], names: list[str], most: int = 10_000) -> Iterator[pd.DataFrame]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == most:
+            yield pd.DataFrame(held, columns=names)
+            held = []
+    if held:
+        yield pd.DataFrame(held, columns=names)
 
-    def of(batches: Iterator[Any]) -> Iterator[Any]:
-        import pandas as pd
 
+def cells(cut_pieces: DataFrame) -> DataFrame:
+    """pieces to (path, row, cells): a row number from 1, and (at, value, shared) for each cell that isn't empty, value as JSON."""
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for data in batch["content"]:
-                rows = [json.dumps(r, ensure_ascii=False) for r in records(data)]
-                yield pd.DataFrame({"row_index": range(len(rows)), "raw": rows})
+            for path, first, head, body, dates in batch.itertuples(index=False):
+                rows = rows_of(Piece(first, head, body), set(dates))
+                yield from _framed(((path, number, [_stored(at, v) for at, v in enumerate(values) if v is not None]) for number, values in rows), ["path", "row", "cells"])
 
-    return spark.read.format("binaryFile").load(path).select(F.col("content")).mapInPandas(of, "row_index bigint, raw string")
+    return cut_pieces.mapInPandas(of, "path string, row bigint, cells array<struct<at: int, value: string, shared: bigint>>")
+
+
+def _stored(at: int, value: Any) -> dict[str, Any]:
+    if isinstance(value, Shared):
+        return {"at": at, "value": None, "shared": value.number}
+    return {"at": at, "value": json.dumps(value, ensure_ascii=False), "shared": None}
+
+
+def _named(rows: pd.Series) -> pd.Series:
+    """Header cells (at, JSON) as the names of columns, each as JSON."""
+    def names(found: Any) -> list[str]:
+        values = {c["at"]: json.loads(c["value"]) for c in found}
+        return [json.dumps(n, ensure_ascii=False) for n in header_names([values.get(i) for i in range(max(values, default=-1) + 1)])]
+
+    return rows.map(names)
+
+
+def parsed(books: DataFrame, size: int = PIECE) -> DataFrame:
+    """books (path, content) to (path, row_index, raw): the rows below the header as JSON objects, numbered from 0 in each workbook.
+
+    Blank rows inside a sheet are kept, one at its end isn't. A workbook without rows gives none. The same path twice is read
+    as one workbook of repeated rows, so paths are to be distinct. Cells beyond the last header name have no name and drop out."""
+    tasks = books.sparkSession.sparkContext.defaultParallelism
+    rows = cells(pieces(books, size).repartition(tasks, "path", "first"))
+    each = rows.select("path", "row", F.explode_outer("cells").alias("c")).select("path", "row", "c.*")
+    # cells with a value of their own look for a number that no string has, each in a place of its own
+    each = each.withColumn("shared", F.coalesce("shared", -1 - F.col("row")))
+    filled = each.join(_strings(books), ["path", "shared"], "left").withColumn("value", F.coalesce("value", "text"))
+    by_row = filled.groupBy("path", "row").agg(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("at", "value"))).alias("cells"))
+    # no task can tell which row is the last of its workbook
+    ends = by_row.groupBy("path").agg(F.max("row").alias("last"), F.max(F.when(F.col("row") == 1, F.col("cells"))).alias("header"))
+    ends = ends.select("path", "last", F.pandas_udf(_named, "array<string>")("header").alias("names"))
+    body = by_row.where("row > 1").join(ends, "path").where((F.col("row") < F.col("last")) | (F.size("cells") > 0))
+    return body.select("path", (F.col("row") - 2).alias("row_index"), _object(F.col("names"), F.map_from_entries("cells")).alias("raw"))
+
+
+def _object(names: Column, values: Column) -> Column:
+    pairs = F.transform(names, lambda name, i: F.concat(name, F.lit(": "), F.coalesce(F.try_element_at(values, i), F.lit("null"))))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(row_index, raw) of a workbook anywhere Spark reads, through its binary files."""
+    return parsed(spark.read.format("binaryFile").load(path)).drop("path")
 
 
 def _cell(value: Any, at: str, style: str = "") -> str:
@@ -175,7 +341,7 @@ def _letters(i: int) -> str:
     return out
 
 
-def write(path: str, names: list[str], rows: Iterable[list[Any]]) -> None:
+def write(path: str | IO[bytes], names: list[str], rows: Iterable[list[Any]]) -> None:
     """A workbook of one sheet: a bold header that stays in view, with filters; objects as JSON."""
     kinds = "http://schemas.openxmlformats.org"
     main, package = f"{kinds}/spreadsheetml/2006/main", f"{kinds}/package/2006"
@@ -192,3 +358,17 @@ def write(path: str, names: list[str], rows: Iterable[list[Any]]) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
         for name, text in parts.items():
             book.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+
+
+def books(frame: DataFrame, book: Column, order: Column, names: list[str]) -> DataFrame:
+    """(path, content): a workbook for each value of `book`, its rows in that order, the columns `names` as cells.
+
+    A workbook is made by one task, which holds its rows: keep to what a sheet can hold, 1,048,575 rows."""
+    def made(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        values = rows.sort_values("order__")[names].astype(object)
+        write(out, names, values.where(values.notna(), None).values.tolist())
+        return pd.DataFrame({"path": [key[0]], "content": [out.getvalue()]})
+
+    keyed = frame.select(book.cast("string").alias("book__"), order.alias("order__"), *names)
+    return keyed.groupBy("book__").applyInPandas(made, "path string, content binary")

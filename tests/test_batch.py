@@ -35,6 +35,43 @@ def test_xlsx_round_trip(spark, tmp_path):
     assert spark.read.format("xlsx").option("path", path).load().count() == 3
 
 
+def test_xlsx_in_pieces(spark, tmp_path):
+    """Sheets cut at any size and several workbooks at once: the same rows as one process reads, gaps and all."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    shared = [f"天 {i} <row r='1'>" for i in range(40)]
+
+    def cell(r, c):
+        at = f'r="{"ABC"[c]}{r}"'
+        return f'<c {at} t="s"><v>{(r * 7 + c) % 40}</v></c>' if c != 1 else f'<c {at}><v>{r / 4}</v></c>'
+
+    stored = [r for r in range(1, 90) if r % 9 != 5]
+    body = "".join(f'<row r="{r}">{"".join(cell(r, c) for c in range(3) if (r + c) % 4 or r == 1)}</row>' if r % 11 else f'<row r="{r}"/>' for r in stored)
+    sheets = {"a": f'<!-- <row r="7"/> --><worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>', "b": f'<x:worksheet xmlns:x="{main}"><x:sheetData><x:row r="3"><x:c r="B3"><x:v>1</x:v></x:c></x:row><x:row/></x:sheetData></x:worksheet>', "c": f'<worksheet xmlns="{main}"><sheetData/></worksheet>'}
+    for name, sheet in sheets.items():
+        with zipfile.ZipFile(tmp_path / f"{name}.xlsx", "w") as book:
+            book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
+            book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Target="/xl/worksheets/s.xml" Type="t"/></Relationships>')
+            book.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{"".join(f"<si><t>{x.replace("<", "&lt;")}</t></si>" for x in shared)}</sst>')
+            book.writestr("xl/worksheets/s.xml", sheet)
+    want = {(name, i): json.dumps(r, ensure_ascii=False) for name in sheets for i, r in enumerate(xlsx.records((tmp_path / f"{name}.xlsx").read_bytes()))}
+    assert len([k for k in want if k[0] == "a"]) == 88 and [v for k, v in want.items() if k[0] == "b"] == ["{}", "{}"]
+    first = json.loads(want["a", 0])
+    assert list(first) == [shared[7], "0.25", shared[9]] and first[shared[7]] == shared[14] and set(json.loads(want["a", 3]).values()) == {None}
+    files = spark.read.format("binaryFile").load(str(tmp_path / "*.xlsx"))
+    assert xlsx.pieces(files, 200).where("path like '%a.xlsx'").count() > 10
+    for size in (60, 1000, xlsx.PIECE):
+        got = {(r["path"][-6], r["row_index"]): r["raw"] for r in xlsx.parsed(files, size).collect()}
+        assert got == want
+
+
+def test_xlsx_books_by_executors(spark):
+    rows = spark.range(0, 30_000, 1, 6).selectExpr("id as key", "case when id % 3 > 0 then concat('x ', id) end as text")
+    made = xlsx.books(rows, F.floor(F.col("key") / 20_000), F.col("key"), ["key", "text"])
+    back = xlsx.parsed(made, 1 << 16).withColumn("v", F.try_parse_json("raw")).select("path", "row_index", F.try_variant_get("v", "$.key", "long").alias("key"), F.try_variant_get("v", "$.text", "string").alias("text"))
+    assert back.where("key = row_index + 20000 * cast(path as int) and not (text <=> case when key % 3 > 0 then concat('x ', key) end)").count() == 0
+    assert back.count() == 30_000 and back.where("key <> row_index + 20000 * cast(path as int)").count() == 0
+
+
 def test_xlsx_cells(tmp_path):
     path, main = tmp_path / "b.xlsx", "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     cells = '<c r="A2" s="1"><v>45292.5</v></c><c r="B2" t="s"><v>0</v></c><c r="C2" t="e"><v>#REF!</v></c><c r="D2" t="str"><f>A1</f><v>sum</v></c>'
