@@ -6,6 +6,8 @@ from collections.abc import Mapping
 from dataclasses import asdict, dataclass, fields, replace
 from typing import Any
 
+from lacuna.functions.script import Script
+
 
 @dataclass(frozen=True)
 class Profile:
@@ -23,6 +25,8 @@ class Profile:
     all_readings: int = 24
     query_terms: int = 24
     hits_per_term: int = 400
+    #: a conversion by phrases that comes before folding, for ideographs; without one, the seed of pairs
+    script: Script | None = None
 
 
 HAN = Profile("han", seed=4, min_window=4, max_window=12, decisive=5, clause="[，。！？；]")

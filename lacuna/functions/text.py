@@ -83,15 +83,29 @@ def simplified(text: Column, table: dict[str, str] = SIMPLIFIED) -> Column:
 def match_form(text: Column, profile: Profile = HAN, table: dict[str, str] = SIMPLIFIED) -> Column:
     """What texts are compared by: letters only, folded. The same for corpus and query."""
     if profile.name == "han":
-        kept = F.regexp_replace(traditional(text, table), f"[^{IDEOGRAPHS}]", "")
-        return display_form(replaced(kept, VARIANTS))
+        return _folded(profile.script.converted(display_form(text)) if profile.script else traditional(text, table))
     return F.lower(F.regexp_replace(text, r"[^\p{L}]", ""))
 
 
-def match_to_display(text: Column) -> Column:
-    """For each character of the match form, its place in the display form (conversion keeps lengths here)."""
-    places = F.transform(F.split(display_form(text), ""), lambda c, i: F.when(c.rlike(f"^[{IDEOGRAPHS}]$"), i))
-    return F.filter(places, lambda i: i.isNotNull())
+def _folded(text: Column) -> Column:
+    return display_form(replaced(F.regexp_replace(text, f"[^{IDEOGRAPHS}]", ""), VARIANTS))
+
+
+def match_forms(texts: Column, profile: Profile = HAN) -> Column:
+    """match_form of each text of an array. Conversion by phrases takes the whole array, as no lambda can hold it."""
+    if profile.name == "han" and profile.script:
+        return F.transform(profile.script.all_converted(F.transform(texts, display_form)), _folded)
+    return F.transform(texts, lambda x: match_form(x, profile))
+
+
+def match_to_display(text: Column, profile: Profile = HAN) -> Column:
+    """For each character of the match form, its place in the display form, whatever lengths a conversion changes."""
+    def kept(characters: Column, place: Callable[[Column], Column]) -> Column:
+        return F.filter(F.transform(characters, lambda c, i: F.when(c.rlike(f"^[{IDEOGRAPHS}]$"), place(i))), lambda i: i.isNotNull())
+
+    if profile.script:
+        return let(profile.script.placed(display_form(text)), lambda made: kept(F.split(made["text"], ""), lambda i: F.get(made["places"], i)))
+    return kept(F.split(display_form(text), ""), lambda i: i)
 
 
 def _parts(text: Column, pattern: str) -> Column:

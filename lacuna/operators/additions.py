@@ -61,13 +61,15 @@ def grown(library: corpus.Corpus, accepted: DataFrame) -> corpus.Corpus:
     that the corpus holds by now, and those without a line that has a match form, stay out."""
     profile = library.profile
     title, author = (F.trim(c) for c in ("title", "author"))
-    rows = accepted.withColumn("lines", F.filter(text.visual_lines(F.col("text")), lambda x: F.length(text.match_form(x, profile)) > 0)).where(F.size("lines") > 0)
+    seen = accepted.withColumn("lines", text.visual_lines(F.col("text"))).withColumn("line_forms", text.match_forms(F.col("lines"), profile))
+    kept = F.filter(F.arrays_zip("lines", "line_forms"), lambda x: F.length(x["line_forms"]) > 0)
+    rows = seen.withColumn("kept", kept).withColumns({c: F.transform("kept", lambda x: x[c]) for c in ("lines", "line_forms")}).where(F.size("lines") > 0)
     if "content_hash" in library.poems.columns:
         rows = rows.join(library.poems.select("content_hash"), "content_hash", "left_anti")
     formed = rows.select(
         F.col("content_hash").alias("poem_id"), F.concat(F.lit("added:"), F.substring("content_hash", 1, 32)).alias("work_id"), title.alias("title"), author.alias("author"),
         text.match_form(author, profile).alias("author_match"), F.when(F.col("origin") == "agent", "agent-proposed").otherwise("user-added").alias("dataset"), F.col("text").alias("text_display"),
-        text.match_form(F.col("text"), profile).alias("text_match"), "content_hash", "lines", F.transform("lines", lambda x: text.match_form(x, profile)).alias("line_forms"), F.size("lines").alias("line_count"),
+        text.match_form(F.col("text"), profile).alias("text_match"), "content_hash", "lines", "line_forms", F.size("lines").alias("line_count"),
     ).withColumn("char_count", F.length("text_match"))
     named = formed.select(F.sha2("author_match", 256).substr(1, 32).alias("author_id"), F.col("author").alias("name_display"), F.col("author_match").alias("name_match"), F.col("dataset").alias("source_file"))
     new = corpus.last_by(named.join(library.authors.select("name_match"), "name_match", "left_anti"), "name_match", F.col("name_display"))

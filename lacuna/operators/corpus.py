@@ -36,7 +36,7 @@ def prepared(raw: DataFrame, profile: Profile = HAN) -> DataFrame:
     """raw (title, author, paragraphs, upstream_id, dataset, file): poems with forms and keys; empty ones drop out."""
     shown = F.array_join(F.transform("paragraphs", lambda p: text.display_form(p)), "\n")
     frame = raw.withColumn("text_display", shown).withColumn("lines", F.flatten(F.transform("paragraphs", lambda p: text.corpus_lines(text.display_form(p), profile))))
-    frame = frame.withColumn("line_forms", F.transform("lines", lambda x: text.match_form(x, profile))).withColumn("text_match", F.array_join("line_forms", ""))
+    frame = frame.withColumn("line_forms", text.match_forms(F.col("lines"), profile)).withColumn("text_match", F.array_join("line_forms", ""))
     frame = frame.where(F.length("text_match") > 0)
     title_match, author_match = (text.match_form(F.coalesce(F.col(c), F.lit("")), profile) for c in ("title", "author"))
     return frame.withColumns({

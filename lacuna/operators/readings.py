@@ -37,7 +37,7 @@ def enumerate_readings(queries: DataFrame, profile: Profile = HAN, most: int | N
     """queries (query_id, text) to (query_id, ord, strategy, cols, source_index, chars, reordered).
 
     Texts that equal an earlier reading or are empty drop out; a query has profile.all_readings of them at most."""
-    forms = F.transform(text.visual_lines(F.col("text")), lambda x: text.match_form(x, profile))
+    forms = text.match_forms(text.visual_lines(F.col("text")), profile)
     frame = queries.select("query_id", forms.alias("forms"))
     frame = frame.withColumns({"stream": F.array_join("forms", ""), "widths": F.transform("forms", lambda x: F.length(x))}).where(F.length("stream") > 0)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.config import HAN, LETTERS
 from lacuna.functions import text
+from lacuna.functions.script import Script
 from lacuna.operators import blocks, bm25, confidence, corpus, exact, fusion, hybrid, vectors
 from lacuna.operators.readings import enumerate_readings
 from lacuna.plans.inputs import HAN_OF, LINES_SQL, MATCH, POEMS_SQL, QUERY_SQL, Catalogue, Inline, WithTable, fragments, in_han, lines, lines_of, poems, poems_of, table
@@ -52,6 +53,30 @@ def _lines_sql(pattern: str) -> str:
     return f"list_filter(list_transform(regexp_split_to_array(text, '{pattern}'), lambda x: trim(x)), lambda x: x <> '')"
 
 
+# Entries that overlap, begin alike, grow, shrink and vanish: of the letters that stand for Latin ones.
+SCRIPT = {
+    "細草": "细", "細草微": "纤草微", "草": "艹", "微風": "微风起", "風岸": "风岸", "危": "", "舟": "船", "夜舟星": "夜", "垂平野": "陲原", "大江流": "大江東流", "闊月": "阔月", "名": "茗",
+    "豈文": "岂文", "岸危檣獨": "岸檣", "平": "平平", "官": "官", "星垂": "星陲", "流": "流流流",
+}
+_TOKENS = "|".join(sorted(SCRIPT, key=len, reverse=True))
+_ENTRY = "map {" + ", ".join(f"'{a}': '{b}'" for a, b in SCRIPT.items()) + "}"
+
+
+@C.add(
+    "script_converted",
+    f"""with part as (select doc_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as k from (select doc_id, regexp_extract_all({HAN_OF.format('text')}, '(?s){_TOKENS}|.') as tokens from documents)),
+    placed as (select *, coalesce({_ENTRY}[token], token) as new, sum(length(token)) over (partition by doc_id order by k) - length(token) as spot from part),
+    spelled as (select doc_id, k, spot, token, new, unnest(range(0, length(new))) as j from placed),
+    place as (select doc_id, count(*) as n, sum((spot + least(j, length(token) - 1)) * (row_number)) as weighed from (select *, row_number() over (partition by doc_id order by k, j) as row_number from spelled) group by doc_id)
+    select doc_id, string_agg(new, '' order by k) as converted, coalesce(any_value(n), 0) as n, cast(coalesce(any_value(weighed), 0) as bigint) as weighed from placed left join place using (doc_id) group by doc_id""",
+)
+def script_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in Han by the longest entry at each place; the places that characters come from, weighed by their order."""
+    made = table(spark, sf_dir, "documents").where("text != ''").select("doc_id", Script(SCRIPT).placed(in_han(F.col("text"))).alias("s"))
+    weighed = F.aggregate(F.transform("s.places", lambda p, i: p.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return made.select("doc_id", F.col("s.text").alias("converted"), F.size("s.places").cast("bigint").alias("n"), weighed.alias("weighed"))
+
+
 @C.add("visual_lines", f"select doc_id, cast(len(l) as bigint) as n, l[1] as first_line, l[-1] as last_line from (select doc_id, {_lines_sql('[\\s\\x{3000}\\x{00A0}]+')} as l from documents)")
 def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "documents").select("doc_id", text.visual_lines(F.col("text")).alias("l"))
