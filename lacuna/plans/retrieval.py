@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -157,36 +158,6 @@ def exact_work_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.evidence(found).select("query_id", "work_id", F.col("longest_run").cast("bigint").alias("longest_run"), "windows_matched", "lines_matched", "out_of_order")
 
 
-CLASS_SQL = (
-    EVIDENCE_SQL
-    + """, ranked as (select *, rank() over (partition by query_id order by longest_run desc, windows_matched desc) as k from per_work),
-top as (
-  select query_id, count(*) as n_works, min(work_id) as first_work, max(longest_run) as longest_run, max(windows_matched) as windows_matched, arg_min(out_of_order, work_id) as out_of_order
-  from ranked where k = 1 group by query_id
-), classed as (
-  select q.query_id, coalesce(longest_run, 0) as longest_run, coalesce(windows_matched, 0) as windows_matched, n_works, first_work, coalesce(out_of_order, false) as out_of_order,
-    case when n_works is null then 'none' when longest_run >= 14 then case when n_works = 1 then 'full' else 'ambiguous' end when windows_matched >= 2 then 'partial' else 'none' end as kind
-  from query q left join top t on q.query_id = t.query_id where length(r) > 0
-)"""
-)
-
-
-def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return exact.search(fragments(spark, sf_dir), lines(spark, sf_dir), LETTERS, _as_written(spark, sf_dir))
-
-
-@C.add("exact_classify", CLASS_SQL + " select query_id, kind, case when kind = 'none' then 0 else n_works end as n_works, case when kind <> 'none' then first_work end as first_work, longest_run, windows_matched from classed")
-def exact_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcome, _ = _classified(spark, sf_dir)
-    return outcome.select("query_id", "kind", F.size("work_ids").cast("bigint").alias("n_works"), F.get("work_ids", F.lit(0)).alias("first_work"), F.col("longest_run").cast("bigint").alias("longest_run"), F.col("windows_matched").cast("bigint").alias("windows_matched"))
-
-
-@C.add("exact_reorder_flag", CLASS_SQL + " select query_id, kind <> 'none' and out_of_order as reordered from classed")
-def exact_reorder_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outcome, _ = _classified(spark, sf_dir)
-    return outcome.select("query_id", F.array_contains("flags", "input_reordered").alias("reordered"))
-
-
 # Every reading of each item: as written, lines and letters turned round, and grids read in columns from either side.
 READINGS_SQL = f"""form as (
   select item_id as query_id, list_transform(list_filter(regexp_split_to_array(text, '[\\s\\x{{3000}}\\x{{00A0}}]+'), lambda x: x <> ''), lambda x: {MATCH.format('x')}) as forms from benchmark
@@ -217,28 +188,63 @@ def readings_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enumerate_readings(fragments(spark, sf_dir), LETTERS).select("query_id", F.col("ord").cast("bigint").alias("ord"), "strategy", "cols", "chars", "reordered")
 
 
-# The classes of readings one by one, as of queries of their own; the first reading that is decided or else the best counts.
-ALL_CLASS_SQL = (
-    CLASS_SQL.replace(QUERY_SQL, f"{READINGS_SQL}, query as (select query_id * 100 + ord as query_id, chars as r from reading where ord < 12)")
-    + """, swept as (
-  select c.*, c.query_id // 100 as item, c.query_id % 100 as ord, bool_or(c.query_id % 100 = 0 and longest_run >= 14 and n_works = 1) over (partition by c.query_id // 100) as decided from classed c
-), chosen as (
-  select * from swept where not coalesce(decided, false) or ord = 0 qualify row_number() over (partition by item order by n_works is null, longest_run desc, ord) = 1
+ONE_CLASS_SQL = (
+    EVIDENCE_SQL
+    + """, ranked as (select *, rank() over (partition by query_id order by longest_run desc, windows_matched desc) as k from per_work),
+top as (
+  select query_id, count(*) as n_works, min(work_id) as first_work, max(longest_run) as longest_run, max(windows_matched) as windows_matched, arg_min(out_of_order, work_id) as out_of_order
+  from ranked where k = 1 group by query_id
+), classed as (
+  select q.query_id, coalesce(longest_run, 0) as longest_run, coalesce(windows_matched, 0) as windows_matched, n_works, first_work, coalesce(out_of_order, false) as out_of_order,
+    case when n_works is null then 'none' when longest_run >= 14 then case when n_works = 1 then 'full' else 'ambiguous' end when windows_matched >= 2 then 'partial' else 'none' end as kind
+  from query q left join top t on q.query_id = t.query_id where length(r) > 0
 )"""
 )
 
 
+# Readings as queries of their own; of an item, the reading as written counts if it is decided, else the one with the longest run.
+CLASS_SQL = (
+    re.sub(r"\b(kept|ranked|classed)\b", r"each_\1", ONE_CLASS_SQL)
+    .replace(QUERY_SQL, f"{READINGS_SQL}, asked as (select query_id * 100 + ord as query_id, chars as r from reading where ord < 12)")
+    .replace("from query", "from asked")
+    + f""", {QUERY_SQL}, swept as (
+  select c.*, c.query_id // 100 as item, c.query_id % 100 as ord, bool_or(c.query_id % 100 = 0 and longest_run >= 14 and n_works = 1) over (partition by c.query_id // 100) as decided from each_classed c
+), settled as (
+  select * from swept where not coalesce(decided, false) or ord = 0 qualify row_number() over (partition by item order by n_works is null, longest_run desc, ord) = 1
+), classed as (
+  select item as query_id, kind, n_works, first_work, longest_run, windows_matched, settled.ord, case when n_works is not null then strategy end as strategy, settled.ord > 0 or out_of_order as out_of_order
+  from settled join reading on reading.query_id = item and reading.ord = settled.ord
+), kept as (select item as query_id, k.* exclude (query_id) from each_kept k join settled on k.query_id = settled.query_id),
+ranked as (select item as query_id, g.* exclude (query_id) from each_ranked g join settled on g.query_id = settled.query_id)"""
+)
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return exact.search(fragments(spark, sf_dir), lines(spark, sf_dir), LETTERS)
+
+
+@C.add("exact_classify", CLASS_SQL + " select query_id, kind, case when kind = 'none' then 0 else n_works end as n_works, case when kind <> 'none' then first_work end as first_work, longest_run, windows_matched from classed")
+def exact_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome, _ = _classified(spark, sf_dir)
+    return outcome.select("query_id", "kind", F.size("work_ids").cast("bigint").alias("n_works"), F.get("work_ids", F.lit(0)).alias("first_work"), F.col("longest_run").cast("bigint").alias("longest_run"), F.col("windows_matched").cast("bigint").alias("windows_matched"))
+
+
+@C.add("exact_reorder_flag", CLASS_SQL + " select query_id, kind <> 'none' and out_of_order as reordered from classed")
+def exact_reorder_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outcome, _ = _classified(spark, sf_dir)
+    return outcome.select("query_id", F.array_contains("flags", "input_reordered").alias("reordered"))
+
+
 @C.add(
     "exact_all_readings",
-    ALL_CLASS_SQL
-    + """ select item as query_id, kind, case when n_works is not null then strategy end as strategy, cast(longest_run as int) as longest_run, case when kind = 'none' then 0 else n_works end as n_works, case when kind <> 'none' then first_work end as first_work,
-    list_filter([case when kind <> 'none' then 'exact_' || replace(kind || '_match', 'ambiguous_match', 'ambiguous') end, case when kind <> 'none' and (chosen.ord > 0 or out_of_order) then 'input_reordered' end], lambda x: x is not null) as flags
-    from chosen join reading on reading.query_id = item and reading.ord = chosen.ord""",
+    CLASS_SQL
+    + """ select query_id, kind, strategy, cast(longest_run as int) as longest_run,
+    list_filter([case when kind <> 'none' then 'exact_' || replace(kind || '_match', 'ambiguous_match', 'ambiguous') end, case when kind <> 'none' and out_of_order then 'input_reordered' end], lambda x: x is not null) as flags from classed""",
 )
 def exact_all_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reading of every item over every line."""
-    outcome, _ = exact.search(fragments(spark, sf_dir), lines(spark, sf_dir), LETTERS)
-    return outcome.select("query_id", "kind", "strategy", "longest_run", F.size("work_ids").cast("bigint").alias("n_works"), F.get("work_ids", F.lit(0)).alias("first_work"), "flags")
+    """The reading that counts for each item, and what it says."""
+    outcome, _ = _classified(spark, sf_dir)
+    return outcome.select("query_id", "kind", "strategy", "longest_run", "flags")
 
 
 TERMS_SQL = f"""{QUERY_SQL}, pair as (
@@ -367,7 +373,7 @@ judged as (
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> hybrid.Result:
-    return hybrid.search(fragments(spark, sf_dir), poems(spark, sf_dir), lines(spark, sf_dir), LETTERS, scorer=hybrid.lexical_scorer, readings=_as_written(spark, sf_dir))
+    return hybrid.search(fragments(spark, sf_dir), poems(spark, sf_dir), lines(spark, sf_dir), LETTERS, scorer=hybrid.lexical_scorer)
 
 
 @C.add("hybrid_topk", HYBRID_SQL + " select query_id, work_id, round(rerank_score, 6) as rerank_score, fused_position, position from top8")
@@ -408,7 +414,7 @@ def sources_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources one by one with their latency; vectors of a wrong type fail and are reported, while the others answer."""
     broken = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("point_id"), F.raise_error(F.lit("broken store")).cast("array<float>").alias("vector"), F.lit("w").alias("work_id"))
     asked = fragments(spark, sf_dir).select("query_id", F.array(F.lit(1.0)).alias("vector"))
-    found = hybrid.search(fragments(spark, sf_dir), poems(spark, sf_dir), lines(spark, sf_dir), LETTERS, points=broken, query_vectors=asked, scorer=hybrid.lexical_scorer, readings=_as_written(spark, sf_dir), measured=True).reports
+    found = hybrid.search(fragments(spark, sf_dir), poems(spark, sf_dir), lines(spark, sf_dir), LETTERS, points=broken, query_vectors=asked, scorer=hybrid.lexical_scorer, measured=True).reports
     return found.select("query_id", "source", "status", "error_code", F.coalesce(F.col("latency_ms") >= 0, F.lit(False)).alias("timed"))
 
 
