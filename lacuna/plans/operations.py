@@ -320,6 +320,38 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.stripped(F.col("html")).alias("text"))
 
 
+# Pages that begin with a poem whose lines are the parts of their url, pages that say that nothing was found, and others.
+_SHOWN_URL = "trim(regexp_replace(regexp_replace(url, '[<>]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _poem_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = F.replace(F.regexp_replace("url", "[<>]", ""), F.lit("&"), F.lit("&amp;"))
+    lines = F.array_join(F.transform(F.split(shown, "/"), lambda x: F.concat(F.lit("<div class='poemSentence'>"), x, F.lit("<i>&nbsp;</i></div>"))), "\n")
+    poem = F.concat(
+        F.format_string("<div id='poem_title_%d' class='x'><a href='/p/%d'>", "page_id", "page_id"), shown, F.lit("</a><span class='inlineComment1'>page · </span><a href='javascript:x()'>"),
+        F.concat(F.lit("author "), F.col("page_id") % 5), F.format_string("</a></div><div class='poemContent' id='poem_content_%d'>", "page_id"), lines, F.lit("</div>"),
+    )
+    html_ = F.when(F.col("page_id") % 3 == 0, F.concat(poem, "html")).when(F.col("page_id") % 3 == 1, F.concat(F.lit("<p>没有找到</p>"), "html")).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", html_.alias("html"))
+
+
+@C.add("html_poems", f"""select page_id, 0 as place, cast(page_id as varchar) as id, {_SHOWN_URL} as title, 'author ' || page_id % 5 as author, 'page' as dynasty,
+    list_filter(list_transform(string_split({_SHOWN_URL}, '/'), lambda x: trim(x)), lambda x: x <> '') as lines, '{html.SITE}/p/' || page_id as url from pages where page_id % 3 = 0 and url is not null and html is not null""")
+def html_poems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.poems(_poem_pages(spark, sf_dir))
+
+
+@C.add("html_outcomes", "select page_id, case when page_id % 3 = 0 and url is not null and html is not null then 'has_result' when page_id % 3 = 1 and html is not null then 'no_result' else 'error' end as status, case when page_id % 3 = 0 and url is not null and html is not null then 1 else 0 end as n from pages")
+def html_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.outcomes(_poem_pages(spark, sf_dir)).select("page_id", "status", F.col("n").cast("int").alias("n"))
+
+
+@C.add("addition_origins", "select o_orderkey as row_index, case o_custkey % 3 when 0 then 'user' when 1 then 'agent' else 'no' end as origin from orders")
+def addition_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dataset = F.when(F.col("o_custkey") % 3 == 0, "user-added").when(F.col("o_custkey") % 3 == 1, "agent-proposed").otherwise(F.nullif("o_orderstatus", F.lit("O")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_index"), batch.addition_origin(dataset).alias("origin"))
+
+
 USAGE = _with_table(Inline({"case_id": "int", "model": "varchar", "tokens_in": "bigint", "tokens_out": "bigint", "cached": "bigint"}, (1, "a", 1_000_000, 500_000, 0), (2, "a", 1000, 10, 5000), (3, "b", 1000, 10, 400), (4, "c", 10, 10, 0), (5, "a", None, None, None), (6, "b", 100, 100, -5), (7, "a", 2000, 0, None)), {'case_id': 'cast(o_orderkey + 100 as int)', 'model': "case o_orderkey % 3 when 0 then 'a' when 1 then 'b' else 'c' end", 'tokens_in': 'cast(case when o_custkey % 7 > 0 then o_custkey end as bigint)', 'tokens_out': 'cast(o_orderkey % 1000 as bigint)', 'cached': 'cast(case when o_custkey % 5 > 0 then o_custkey % 400 - 20 end as bigint)'}, "orders")
 PRICES = Inline({"model": "varchar", "rate_in": "double", "rate_out": "double", "rate_cached": "double"}, ("a", 3.0, 15.0, 0.3), ("b", 1.0, 2.0, None))
 
