@@ -269,3 +269,16 @@ def test_order_of_many_lines(spark):
     rows = [(i, 100_000 - i) for i in range(100_000)]
     frame = spark.createDataFrame([(1, rows), (2, [(a, -b) for a, b in rows]), (3, rows[:2]), (4, [])], "id int, p array<struct<at:int,line_no:int>>")
     assert {r["id"]: r["x"] for r in frame.select("id", exact.inverted(F.col("p")).alias("x")).collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+# Kinds of postings and their size
+
+
+def test_stored_terms_are_small(spark, texts, queries, tmp_path):
+    """BM25 reads stored terms alone: an id and a length for each posting, without the work."""
+    poems, lines = corpus_of(spark, texts)
+    corpus.write_index(poems, lines, LETTERS, str(tmp_path), 1, ("terms",))
+    assert not (tmp_path / "grams").exists()
+    index = corpus.read_index(spark, str(tmp_path), ("terms",))
+    assert set(index.terms.columns) == {"poem_id", "char_count", "term", "bucket"}
+    assert scores(bm25.search(queries, None, LETTERS, index=index)) == scores(bm25.search(queries, poems, LETTERS))
