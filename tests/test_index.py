@@ -282,3 +282,18 @@ def test_stored_terms_are_small(spark, texts, queries, tmp_path):
     index = corpus.read_index(spark, str(tmp_path), ("terms",))
     assert set(index.terms.columns) == {"poem_id", "char_count", "term", "bucket"}
     assert scores(bm25.search(queries, None, LETTERS, index=index)) == scores(bm25.search(queries, poems, LETTERS))
+
+
+def test_blocks_alone_are_shuffled_once(spark, texts, queries, tmp_path):
+    poems, lines = corpus_of(spark, texts)
+    plan = blocks.postings(poems, 8, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    store = segments.Segments(spark, str(tmp_path), LETTERS, kinds=("blocks",))
+    index = store.create(poems, lines)
+    assert not (tmp_path / "seeds").exists() and not (tmp_path / "lines").exists()
+    assert index.blocks.select(F.explode("docs").alias("d")).select("d.*").columns == ["poem_id", "char_count"]
+    assert scores(blocks.search(queries, index, LETTERS).best) == scores(full_scores(queries, poems))
+    fewer, of_fewer = corpus_of(spark, {i: t for i, t in texts.items() if i % 5})
+    assert scores(blocks.search(queries, store.follow(fewer, of_fewer), LETTERS).best) == scores(full_scores(queries, fewer))
+    with pytest.raises(segments.StaleIndex):
+        segments.Segments(spark, str(tmp_path), LETTERS).read()
