@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 entry = importlib.import_module("__spark_entry__")
 SF = "/root/testdata/sf0.001"
@@ -86,6 +87,23 @@ def test_simplified_damage(spark):
     assert {r["damage"]: r["query"] for r in evaluate.cases(works).collect()}["simplified"] == "风岸\n独舟"
 
 
+def test_grid_of_a_long_text(spark):
+    """Letters are taken by place from one array: a text of 60,000 letters in 5,000 lines takes seconds."""
+    import random
+    import time
+
+    from lacuna.operators import evaluate
+
+    rng = random.Random(3)
+    lines = ["".join(rng.choices("abcdefgh風岸", k=rng.randrange(1, 24))) for _ in range(5000)]
+    cases = {"long": lines, "one": ["風"], "none": [], "blank": ["", "a"]}
+    works = spark.createDataFrame(list(cases.items()), "work_id string, lines array<string>").select("*", F.lit("grid_transpose").alias("damage"))
+    began = time.time()
+    got = {r["work_id"]: r["q"] for r in works.select("work_id", evaluate.damaged(F.col("lines"), F.col("damage"), F.col("work_id")).alias("q")).collect()}
+    assert time.time() - began < 30
+    assert got == {k: brute_damage(v, "grid_transpose", 0) for k, v in cases.items()}
+
+
 def test_nothing_is_left_without_a_test():
     """Queries without SQL have a brute-force test of their own."""
     assert set(entry.catalogue.QUERIES) - set(entry.catalogue.SQL) == {"eval_damage"}
