@@ -79,3 +79,19 @@ def test_a_corpus_with_phrases(spark):
         outcome, _ = exact.search(queries, corpus.build(raw, authors, profile).lines, profile)
         found[profile is han] = {r["query_id"]: r["kind"] for r in outcome.collect()}
     assert found[True][1] == "full" and found[False][1] == "none" and found[True][2] == "none"
+
+
+def test_places_of_a_block_at_a_time(spark, monkeypatch):
+    """place() gives what placed() gives, and hands on one block of texts after another, however many Arrow hands over."""
+    import pyarrow as pa
+
+    table = Script({"ab": "xyz", "c": "", "風": "风"})
+    texts = ["abc" * 40, None, "", "風ab", "cc", *["a" * (n % 30) for n in range(200)]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    want = {r["k"]: (r["s"]["text"], r["s"]["places"]) for r in frame.select("k", table.placed(F.col("text")).alias("s")).collect()}
+    assert {r["k"]: (r["text"], r["places"]) for r in table.place(frame).collect()} == want
+    monkeypatch.setattr(script, "BLOCK", 64)
+    batch = pa.RecordBatch.from_pydict({"k": list(range(len(texts))), "text": texts})
+    blocks = list(table._placed([batch], ["k"], "text"))
+    assert len(blocks) > 10 and all(sum(len(texts[k] or "") for k in b["k"].to_pylist()) <= 64 for b in blocks[1:])
+    assert {r["k"]: (r["text"], r["places"]) for b in blocks for r in b.to_pylist()} == want
