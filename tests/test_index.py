@@ -297,3 +297,35 @@ def test_blocks_alone_are_shuffled_once(spark, texts, queries, tmp_path):
     assert scores(blocks.search(queries, store.follow(fewer, of_fewer), LETTERS).best) == scores(full_scores(queries, fewer))
     with pytest.raises(segments.StaleIndex):
         segments.Segments(spark, str(tmp_path), LETTERS).read()
+
+
+def test_stored_grams_are_small(spark, texts, queries, tmp_path, monkeypatch):
+    """A posting of a gram is a hash and the number of a line, whose text is stored once; broadcast or shuffled, hits are those of the lines themselves."""
+    poems, lines = corpus_of(spark, texts)
+    odd = [(None, "w", 0, texts[0]), (7, "w7", 0, "another line of this number " + texts[7].split("\n")[0]), (8, None, 900, "x" * 3_000)]
+    more = spark.createDataFrame(odd, "poem_id bigint, work_id string, line_no int, text_display string").withColumn("text_match", text.match_form(F.col("text_display"), LETTERS))
+    lines = lines.unionByName(more)
+    corpus.write_index(poems, lines, LETTERS, str(tmp_path), 1, ("grams",))
+    assert not (tmp_path / "terms").exists()
+    index = corpus.read_index(spark, str(tmp_path), ("grams",), LETTERS)
+    assert set(index.grams.columns) == {"gram", "poem_id", "line_no", "bucket"} and index.grams.schema["gram"].dataType.simpleString() == "int"
+    assert spark.read.parquet(f"{tmp_path}/lines").columns == ["poem_id", "work_id", "line_no", "text_display"] and index.lines.count() == lines.count()
+
+    def rows(found):
+        return sorted(map(str, found.select("query_id", "ord", "at", "win", "poem_id", "work_id", "line_no", "text_display").collect()))
+
+    asked = swept(queries)
+    want = rows(exact.hits(asked, lines, LETTERS))
+    assert any("poem_id=None" in r for r in want) and want == rows(exact.hits(asked, None, LETTERS, index=index))
+    few = corpus.lines_with(corpus.postings(lines.where("poem_id = 7"), LETTERS.seed, 1), index)
+    assert 0 < few.count() < lines.count()
+    monkeypatch.setattr(corpus, "BROADCAST_GRAMS", -1)
+    monkeypatch.setattr(corpus, "BROADCAST_LINES", -1)
+    assert want == rows(exact.hits(asked, None, LETTERS, index=index))
+
+
+def test_an_empty_index_of_grams(spark, texts, queries, tmp_path):
+    poems, lines = corpus_of(spark, {1: texts[1]})
+    corpus.write_index(poems.limit(0), lines.limit(0), LETTERS, str(tmp_path), 1, ("grams",))
+    index = corpus.read_index(spark, str(tmp_path), ("grams",), LETTERS)
+    assert exact.hits(swept(queries), None, LETTERS, index=index).count() == 0
