@@ -329,3 +329,18 @@ def test_an_empty_index_of_grams(spark, texts, queries, tmp_path):
     corpus.write_index(poems.limit(0), lines.limit(0), LETTERS, str(tmp_path), 1, ("grams",))
     index = corpus.read_index(spark, str(tmp_path), ("grams",), LETTERS)
     assert exact.hits(swept(queries), None, LETTERS, index=index).count() == 0
+
+
+def test_postings_of_other_grams_are_not_shuffled(spark, texts, queries, monkeypatch):
+    """Beyond the windows that are broadcast, only lines whose grams are wanted meet them in a shuffle."""
+    _, lines = corpus_of(spark, texts)
+    asked = swept(queries)
+    want = hit_rows(exact.hits(asked, lines, LETTERS))
+    monkeypatch.setattr(exact, "BROADCAST_WINDOWS", 0)
+    met = exact.touched(asked, lines, LETTERS)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "__gram" not in met.columns
+    assert want and hit_rows(exact.hits(asked, lines, LETTERS)) == want
+    monkeypatch.setattr(corpus, "BROADCAST_GRAMS", 0)
+    assert "LeftSemi" not in exact.touched(asked, lines, LETTERS)._jdf.queryExecution().optimizedPlan().toString()
+    assert hit_rows(exact.hits(asked, lines, LETTERS)) == want

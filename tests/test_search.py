@@ -192,3 +192,27 @@ def test_all_readings_against_brute_force(spark):
     want = {i: brute_search(q, lines, HAN) for i, q in enumerate(asked)}
     assert got == want
     assert {k for k, *_ in want.values()} >= {"full", "ambiguous", "none"} and len({s for _, s, _ in want.values()}) >= 5
+
+
+def test_reports_score_terms_once(spark):
+    """Fusion and reports share the lists of BM25: poems are passed over for statistics, terms and contents, each once."""
+    from lacuna.config import LETTERS
+    from lacuna.functions import text
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, f"w{i}", t) for i, t in enumerate(["the river under the evening moon", "lanterns on the autumn harbour", "frost on the mountain gate", "willow and crane in the snow"])]
+    plain = spark.createDataFrame(rows, "poem_id bigint, work_id string, text_display string").withColumn("text_match", text.match_form(F.col("text_display"), LETTERS)).withColumn("char_count", F.length("text_match"))
+    poems = plain.mapInArrow(counted, plain.schema)
+    lines = plain.select("poem_id", "work_id", F.lit(0).alias("line_no"), "text_display", "text_match")
+    queries = spark.createDataFrame([(1, "river evening lanterns"), (2, "mountain of snow"), (3, "qqqq")], "query_id int, text string")
+    found = hybrid.search(queries, poems, lines, LETTERS, scorer=hybrid.lexical_scorer)
+    got = {(r["query_id"], r["source"]): (r["status"], r["n"]) for r in found.reports.collect()}
+    found.release()
+    assert got[1, "bm25"][0] == got[2, "bm25"][0] == "has_result" and got[3, "bm25"] == ("no_result", 0) and len(got) == 12
+    assert seen.value <= 3 * len(rows)
