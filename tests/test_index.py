@@ -193,6 +193,48 @@ def test_blocks_that_cannot_matter_are_not_read(spark, queries, tmp_path):
     assert sum(read.values()) / len(read) < 0.7 and max(read.values()) <= 1
 
 
+def every_score(texts, queries, limit=50):
+    """All documents by all bigrams of each query, in Python."""
+    forms = {i: "".join(c for c in t.lower() if c.isalpha()) for i, t in texts.items()}
+    held = {i: {m[k : k + 2] for k in range(len(m) - 1)} for i, m in forms.items()}
+    mean, rows = sum(map(len, forms.values())) / len(forms), []
+    for q, t in queries:
+        r = "".join(c for c in t.lower() if c.isalpha())
+        terms = {r[k : k + 2] for k in range(len(r) - 1)}
+        weight = {x: math.log(1 + (len(forms) - n + 0.5) / (n + 0.5)) for x in terms if (n := sum(x in h for h in held.values()))}
+        found = [(-round(sum(weight[x] for x in terms & h) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(forms[i]) / mean)), 9), i, len(terms & h)) for i, h in held.items() if terms & h]
+        rows += [(q, k, i, n, round(-s, 7)) for k, (s, i, n) in enumerate(sorted(found)[:limit])]
+    return sorted(rows)
+
+
+def test_all_bigrams_of_a_query_are_searched(spark, texts, tmp_path, monkeypatch):
+    """A query's last words find documents, whatever passes queries come in and however many documents are hidden."""
+    tail = "zyx wvu quartz"
+    changed = {**texts, 500: tail, 501: f"river {tail}"}
+    asked = [(1, " ".join([*WORDS, tail])), (2, tail), (3, "x"), (4, texts[3])]
+    queries = spark.createDataFrame(asked, "query_id int, text string")
+    store = segments.Segments(spark, str(tmp_path), LETTERS, kinds=("blocks",))
+    store.create(*corpus_of(spark, {**changed, 3: tail, 502: tail}))
+    index = store.follow(*corpus_of(spark, changed))
+    assert store.generation()[1]["hidden"] == 2
+    want = every_score(changed, asked)
+    assert scores(blocks.search(queries, index, LETTERS, every=True).best) == want
+    assert {r["poem_id"] for r in blocks.search(queries, index, LETTERS, 2, every=True).best.where("query_id = 2").collect()} == {500, 501}
+    monkeypatch.setattr(blocks, "QUERIES", 2)
+    monkeypatch.setattr(blocks, "MOST_HIDDEN", 0)
+    assert scores(blocks.search(queries, index, LETTERS, every=True).best) == want
+
+
+def test_blocks_of_documents_are_rows(spark, texts, tmp_path):
+    """What is shuffled and stored of a document grows with its distinct bigrams, and its id is stored once."""
+    poems, lines = corpus_of(spark, texts)
+    index = segments.Segments(spark, str(tmp_path), LETTERS, kinds=("blocks",)).create(poems, lines)
+    ids = [i for r in index.packed.select("ids").collect() for i in r["ids"]]
+    assert sorted(ids) == sorted(r["poem_id"] for r in poems.where("char_count > 1").collect())
+    stored = blocks.documents(index.blocks).select("term", "poem_id", "char_count")
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, corpus.term_postings(poems).select("term", "poem_id", "char_count").collect()))
+
+
 # Additions
 
 
