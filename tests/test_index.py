@@ -225,6 +225,21 @@ def test_all_bigrams_of_a_query_are_searched(spark, texts, tmp_path, monkeypatch
     assert scores(blocks.search(queries, index, LETTERS, every=True).best) == want
 
 
+def test_following_compares_ids_alone(spark, texts, tmp_path, monkeypatch):
+    """No texts are kept or shuffled to find what is new; results are the same where ids aren't broadcast."""
+    asked = [(1, texts[3]), (2, texts[50])]
+    queries = spark.createDataFrame(asked, "query_id int, text string")
+    stores = [segments.Segments(spark, str(tmp_path / x), LETTERS, kinds=("blocks",)) for x in ("a", "b")]
+    changed = {i: (t + " quartz" if i % 9 == 0 else t) for i, t in texts.items() if i % 10 != 3}
+    for store, most in zip(stores, (500_000, -1)):
+        monkeypatch.setattr(segments, "BROADCAST_REMOVED", most)
+        store.create(*corpus_of(spark, texts))
+        monkeypatch.setattr(type(queries), "cache", lambda self: pytest.fail("texts are kept"))
+        index = store.follow(*corpus_of(spark, changed))
+        monkeypatch.undo()
+        assert scores(blocks.search(queries, index, LETTERS, every=True).best) == every_score(changed, asked)
+
+
 def test_blocks_of_documents_are_rows(spark, texts, tmp_path):
     """What is shuffled and stored of a document grows with its distinct bigrams, and its id is stored once."""
     poems, lines = corpus_of(spark, texts)
