@@ -12,6 +12,7 @@ from lacuna.config import HAN, LETTERS
 from lacuna.functions import text
 from lacuna.operators import blocks, bm25, corpus, exact, seeds
 from lacuna.operators.readings import enumerate_readings
+from lacuna.plans import retrieval
 from lacuna.sources import segments
 
 WORDS = ["river", "moon", "boat", "grass", "evening", "lantern", "mountain", "crane", "autumn", "frost", "willow", "gate", "snow", "harbour", "bell", "the", "of", "and"]
@@ -240,6 +241,20 @@ def test_following_compares_ids_alone(spark, texts, tmp_path, monkeypatch):
         assert scores(blocks.search(queries, index, LETTERS, every=True).best) == every_score(changed, asked)
 
 
+def test_stored_terms_have_no_cap(spark, tmp_path):
+    """The best document of a term counts though 400 documents with lower ids have it, and 200 with more of the query's terms."""
+    held = {**{i: "abcd " + "xyz " * 40 for i in range(450)}, 900: "ab", 901: "abq"}
+    queries = spark.createDataFrame([(1, "abcd")], "query_id int, text string")
+    poems, lines = corpus_of(spark, held)
+    corpus.write_index(poems, lines, LETTERS, str(tmp_path), 1, ("terms",))
+    index = corpus.read_index(spark, str(tmp_path), ("terms",))
+    found = blocks.search(queries, index, LETTERS)
+    assert scores(found.best) == every_score(held, [(1, "abcd")])
+    assert index.packed.count() < 40 and set(index.works.columns) >= {"poem_id", "char_count", "work_id"}
+    sql = retrieval.C.sql["bm25_stored"]
+    assert "<= 400" not in sql and "<= 200" not in sql
+
+
 def test_blocks_of_documents_are_rows(spark, texts, tmp_path):
     """What is shuffled and stored of a document grows with its distinct bigrams, and its id is stored once."""
     poems, lines = corpus_of(spark, texts)
