@@ -112,6 +112,18 @@ def test_frequencies(spark):
 # Segments
 
 
+def test_stored_seeds_are_small(spark, texts, queries, tmp_path):
+    """Of a seed its hash and the number of its line are stored, without letters, where the line is read; every line once."""
+    poems, lines = corpus_of(spark, texts)
+    index = segments.Segments(spark, str(tmp_path), LETTERS, kinds=("seeds",)).create(poems, lines)
+    assert index.marks.columns == ["ids", "nos", "steps", "at", "segment"] and index.lines.count() == lines.count()
+    plan = seeds.packed(lines, LETTERS, index.frequency)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    few = seeds.named(index.marks, seeds.chosen([LICENSE.replace(" ", "")], LETTERS, np.frombuffer(index.frequency, dtype=np.uint8))[2])
+    assert 0 < few.count() < lines.count()
+    assert hit_rows(exact.hits(swept(queries), None, LETTERS, index=index)) == hit_rows(exact.hits(swept(queries), lines, LETTERS))
+
+
 def same_results(spark, texts, queries, index):
     poems, lines = corpus_of(spark, texts)
     windows = swept(queries)
